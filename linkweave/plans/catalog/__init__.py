@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["scoring"]
+PARTS = ["scoring", "ledger", "evaluation"]
 
 
 def entries() -> dict:

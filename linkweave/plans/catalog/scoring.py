@@ -5,23 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkweave.functions import scoring
-from linkweave.operators import evidence, fusion
+from linkweave.operators import evidence, fusion, waterfall
 from linkweave.plans import derive as D
+from linkweave.plans.catalog.registration import registrar
+from linkweave.plans.catalog.registration import rounded as r6
 from linkweave.plans.oracle import with_ctes
 
 ENTRIES: dict = {}
-
-
-def entry(name: str, sql: str | None):
-    def register(fn):
-        ENTRIES[name] = (fn, sql)
-        return fn
-
-    return register
-
-
-def r6(name: str):
-    return F.round(F.col(name), 6).alias(name)
+entry = registrar(ENTRIES)
 
 
 @entry(
@@ -228,3 +219,241 @@ def link_evaluation(spark, d):
     return fusion.evaluate(D.evidence_items(spark, d)).select(
         "link_id", r6("final_llr"), r6("posterior_probability"), "decision", "explanation"
     )
+
+
+# --- outward record, batch scoring, waterfall ----------------------------------------
+
+_FAM4 = ", ".join(
+    f"'{f}=' || printf('%.4f', coalesce(max(score) FILTER (WHERE family = '{f}'), 0.0))"
+    for f in sorted(fusion.fixed.FAMILIES)
+)
+
+
+@entry(
+    "public_scores",
+    with_ctes(
+        "evaluated family_sums",
+        f"""SELECT v.link_id, round(v.raw_llr, 4) AS raw_llr,
+             round(v.total_capped_llr, 4) AS total_capped_llr,
+             round(v.contradiction_penalty, 4)::DOUBLE AS contradiction_penalty,
+             round(v.final_llr, 4) AS final_llr,
+             round(v.posterior_probability, 4) AS calibrated_prob,
+             CASE WHEN round(v.posterior_probability, 4) >= 0.85 THEN 'High Confidence'
+               WHEN round(v.posterior_probability, 4) >= 0.6 THEN 'Medium Confidence'
+               WHEN round(v.posterior_probability, 4) >= 0.35 THEN 'Low Confidence'
+               ELSE 'Insufficient Evidence' END AS confidence_tier, v.decision,
+             CAST(v.independent_families AS BIGINT) AS independent_family_count,
+             CAST(v.abstained_items AS BIGINT) AS abstained_items_count, f.family_scores
+           FROM evaluated v JOIN (SELECT e.link_id, concat_ws(',', {_FAM4}) AS family_scores
+             FROM (SELECT DISTINCT link_id FROM items) e LEFT JOIN family_sums s
+             ON e.link_id = s.link_id GROUP BY e.link_id) f ON v.link_id = f.link_id""",
+    ),
+)
+def public_scores(spark, d):
+    out = fusion.public_scores(fusion.evaluate(D.evidence_items(spark, d)))
+    flat = F.array_join(
+        F.transform(
+            F.array_sort(F.map_entries("family_scores")),
+            lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"])),
+        ),
+        ",",
+    )
+    return out.select(
+        "link_id", "raw_llr", "total_capped_llr", "contradiction_penalty", "final_llr",
+        "calibrated_prob", "confidence_tier", "decision", "independent_family_count",
+        "abstained_items_count", flat.alias("family_scores"),
+    )
+
+
+@entry(
+    "public_contributions_nested",
+    with_ctes(
+        "contribs",
+        """SELECT link_id, 0 AS chunk, count(*) AS n_items,
+             string_agg(evidence_id, '|' ORDER BY evidence_id) AS evidence_ids,
+             round(sum(round(llr_contrib, 4)), 4) AS contribution_sum
+           FROM contribs GROUP BY link_id""",
+    ),
+)
+def public_contributions_nested(spark, d):
+    """Item arrays of the outward record, chunked per link."""
+    from linkweave.operators.nesting import nest
+
+    rows = fusion.contributions(D.evidence_items(spark, d))
+    item = F.struct("evidence_id", F.round("llr_contrib", 4).alias("llr_contrib"))
+    nested = nest(rows, ["link_id"], item, "evidence_id")
+    total = F.aggregate("items", F.lit(0.0), lambda acc, x: acc + x["llr_contrib"])
+    return nested.select(
+        "link_id",
+        "chunk",
+        F.size("items").cast("long").alias("n_items"),
+        F.array_join(F.transform("items", lambda x: x["evidence_id"]), "|").alias("evidence_ids"),
+        F.round(total, 4).alias("contribution_sum"),
+    )
+
+
+@entry(
+    "batch_link_scores",
+    with_ctes(
+        "evaluated_batch",
+        """SELECT link_id, round(final_llr, 4) AS raw_log_lr,
+             round(posterior_probability, 4) AS calibrated_prob,
+             CASE decision WHEN 'HIGH_CONFIDENCE_LINK' THEN 'ACCEPTED'
+               WHEN 'LOW_CONFIDENCE_LINK' THEN 'PROPOSED' ELSE 'INSUFFICIENT' END AS status
+           FROM evaluated_batch""",
+    ),
+)
+def batch_link_scores(spark, d):
+    rows = evidence.rows_from_links(D.link_list(spark, d))
+    return fusion.evaluate(rows).select(
+        "link_id",
+        F.round("final_llr", 4).alias("raw_log_lr"),
+        F.round("posterior_probability", 4).alias("calibrated_prob"),
+        scoring.decision_status(F.col("decision")).alias("status"),
+    )
+
+
+@entry(
+    "batch_link_items",
+    with_ctes(
+        "contribs_batch",
+        """SELECT 'H' || link_id AS hypothesis_id, evidence_id, family, round(raw_llr, 4) AS raw_llr,
+             round(llr_contrib, 4) AS contribution, is_contradiction FROM contribs_batch""",
+    ),
+)
+def batch_link_items(spark, d):
+    """Contributions written back beside the evidence of each link."""
+    rows = evidence.rows_from_links(D.link_list(spark, d))
+    return D.stored_items(fusion.contributions(rows)).select(
+        "hypothesis_id", "evidence_id", "family", "raw_llr", "contribution", "is_contradiction"
+    )
+
+
+_BY_FAMILY = """SELECT c.link_id, c.family, count(*) AS item_count, sum(raw_llr) AS raw_llr_sum,
+    sum(llr_contrib) AS contrib, max(cap) AS cap_limit FROM contribs c
+    JOIN caps k ON c.family = k.family WHERE NOT abstain AND NOT is_contradiction
+    GROUP BY c.link_id, c.family"""
+
+
+@entry(
+    "waterfall_by_family",
+    with_ctes(
+        "contribs caps",
+        f"""SELECT link_id, family, item_count, round(raw_llr_sum, 6) AS raw_llr_sum,
+             round(contrib, 6) AS capped_contribution, cap_limit, raw_llr_sum > cap_limit AS is_capped,
+             greatest(0, CAST(floor(least(contrib * 2, 20)) AS INTEGER)) AS bar_length,
+             CASE WHEN raw_llr_sum > cap_limit THEN printf('Cap Reached (%.1f)', cap_limit)
+               ELSE 'Uncapped' END AS cap_status FROM ({_BY_FAMILY})""",
+    ),
+)
+def waterfall_by_family(spark, d):
+    out = waterfall.by_family(fusion.contributions(D.evidence_items(spark, d)))
+    return out.withColumn("raw_llr_sum", F.round("raw_llr_sum", 6)).withColumn(
+        "capped_contribution", F.round("capped_contribution", 6)
+    )
+
+
+@entry(
+    "waterfall_items_nested",
+    with_ctes(
+        "contribs",
+        """SELECT link_id, family, 0 AS chunk, count(*) AS n_items,
+             string_agg(evidence_id || ':' || printf('%.4f', llr_contrib), '|'
+               ORDER BY evidence_id) AS item_list FROM contribs
+           WHERE NOT abstain AND NOT is_contradiction GROUP BY link_id, family""",
+    ),
+)
+def waterfall_items_nested(spark, d):
+    nested = waterfall.items_nested(fusion.contributions(D.evidence_items(spark, d)))
+    line = F.transform(
+        "items",
+        lambda x: F.concat(
+            x["evidence_id"], F.lit(":"), F.format_string("%.4f", x["llr_contrib"])
+        ),
+    )
+    return nested.select(
+        "link_id", "family", "chunk", F.size("items").cast("long").alias("n_items"),
+        F.array_join(line, "|").alias("item_list"),
+    )
+
+
+@entry(
+    "waterfall_contradictions",
+    with_ctes(
+        "contribs",
+        """SELECT link_id, evidence_id, feature_name, abs(llr_contrib) AS contradiction_weight
+           FROM contribs WHERE is_contradiction AND NOT abstain""",
+    ),
+)
+def waterfall_contradictions(spark, d):
+    return waterfall.contradiction_rows(fusion.contributions(D.evidence_items(spark, d)))
+
+
+@entry(
+    "link_summary",
+    with_ctes(
+        "evaluated contribs caps ends",
+        f"""SELECT v.link_id, e.subject_id AS target, e.object_id AS candidate, v.decision,
+             round(v.posterior_probability, 4) AS posterior_probability,
+             round(v.final_llr, 4) AS final_net_llr, coalesce(f.steps, '') AS steps,
+             coalesce(x.n, 0) AS contradiction_count
+           FROM evaluated v JOIN ends e ON v.link_id = e.link_id
+           LEFT JOIN (SELECT link_id, string_agg(family || ':' || CAST(item_count AS VARCHAR) || ':'
+               || printf('%.4f', contrib), '|' ORDER BY family) AS steps
+             FROM ({_BY_FAMILY}) GROUP BY link_id) f ON v.link_id = f.link_id
+           LEFT JOIN (SELECT link_id, count(*) AS n FROM contribs WHERE is_contradiction
+             AND NOT abstain GROUP BY link_id) x ON v.link_id = x.link_id""",
+    ),
+)
+def link_summary(spark, d):
+    items = D.evidence_items(spark, d)
+    out = waterfall.link_summary(
+        fusion.evaluate(items), fusion.contributions(items), D.link_ends(spark, d)
+    )
+    steps = F.transform(
+        "waterfall.family_contributions",
+        lambda s: F.concat_ws(
+            ":",
+            s["family"],
+            s["item_count"].cast("string"),
+            F.format_string("%.4f", s["capped_llr_contribution"]),
+        ),
+    )
+    return out.select(
+        "link_id", "target", "candidate", "decision", "posterior_probability", "final_net_llr",
+        F.array_join(steps, "|").alias("steps"),
+        F.col("waterfall.contradiction_count").cast("long").alias("contradiction_count"),
+    )
+
+
+@entry(
+    "waterfall_bar_widths",
+    with_ctes(
+        "family_sums fused",
+        """SELECT f.link_id, f.family, round(f.score, 6) AS score, round(m.scale, 6) AS scale,
+             round(greatest(8.0, least(100.0, f.score / m.scale * 100)), 6) AS width_pct,
+             round(least(100.0, u.contradiction_penalty / 15.0 * 100), 6) AS penalty_width_pct
+           FROM family_sums f JOIN (SELECT link_id, greatest(max(score), 10.0) AS scale
+             FROM family_sums GROUP BY link_id) m ON f.link_id = m.link_id
+           JOIN fused u ON f.link_id = u.link_id""",
+    ),
+)
+def waterfall_bar_widths(spark, d):
+    return waterfall.bar_widths(fusion.fuse(D.evidence_items(spark, d))).select(
+        "link_id", "family", r6("score"), r6("scale"), r6("width_pct"), r6("penalty_width_pct")
+    )
+
+
+@entry(
+    "stored_family_totals",
+    with_ctes(
+        "hyp_items caps",
+        """SELECT h.hypothesis_id, h.family, round(sum(contribution), 4) AS total,
+             round(least(sum(contribution), max(cap)), 3) AS capped_total FROM hyp_items h
+           JOIN caps c ON h.family = c.family WHERE NOT is_contradiction GROUP BY ALL""",
+    ),
+)
+def stored_family_totals(spark, d):
+    from linkweave.operators import reads
+
+    return reads.family_totals(D.hypothesis_evidence(spark, d))

@@ -256,7 +256,6 @@ def pgp_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wallets(spark: SparkSession, d: str) -> DataFrame:
-    n = customer_count(spark, d)
     return table(spark, d, "supplier").select(
         F.concat(F.lit("w-"), text("s_suppkey")).alias("wallet_id"),
         F.concat(F.lit("addr"), F.lpad(text("s_suppkey"), 8, "0")).alias("address"),
@@ -267,9 +266,7 @@ def wallets(spark: SparkSession, d: str) -> DataFrame:
         F.when(
             F.pmod("s_suppkey", F.lit(11)) != 0, F.concat(F.lit("CL_"), text("s_nationkey"))
         ).alias("cluster_id"),
-        F.concat(
-            F.lit("A"), F.pmod(F.col("s_suppkey").cast("long") * 3, F.lit(n)).cast("string")
-        ).alias("actor_id"),
+        F.concat(F.lit("A"), F.floor(F.col("s_suppkey") / 2).cast("string")).alias("actor_id"),
     )
 
 
@@ -538,3 +535,70 @@ def actor_edges(spark: SparkSession, d: str) -> DataFrame:
         .union(e.select("object_id", "subject_id"))
         .distinct()
     )
+
+
+def link_list(spark: SparkSession, d: str) -> DataFrame:
+    """Links with their observed, contradicting and abstained feature names."""
+    names = F.array(*[F.lit(r[0]) for r in fixed.FEATURE_PRIORS])
+    pick = lambda c: F.get(names, F.pmod(c, F.lit(11)).cast("int"))
+    none = F.array().cast("array<string>")
+    return table(spark, d, "orders").select(
+        text("o_orderkey").alias("link_id"),
+        F.array(
+            pick(F.col("o_orderkey")),
+            pick(F.floor(F.col("o_orderkey") / 11)),
+            F.lit("no_such_feature"),
+        ).alias("features"),
+        F.when(F.pmod("o_orderkey", F.lit(10)) == 0, F.array(F.lit("pgp_key_conflict")))
+        .otherwise(none)
+        .alias("contradictions"),
+        F.when(F.pmod("o_custkey", F.lit(3)) == 0, F.array(pick(F.col("o_custkey"))))
+        .otherwise(none)
+        .alias("abstained"),
+    )
+
+
+def eval_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents as cases; the score grows with the text's length."""
+    from linkweave.functions import scoring
+
+    cases = (
+        table(spark, d, "labels")
+        .join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+        .select(
+            F.col("doc_id").alias("case_id"),
+            F.col("quality").alias("truth"),
+            ((F.col("n_chars") - 2000) / F.lit(500.0)).alias("final_llr"),
+            (F.col("n_chars") < 600).alias("short_text"),
+            (F.col("n_chars") < 300).alias("abstained"),
+        )
+        .withColumn("probability", scoring.posterior(F.col("final_llr")))
+    )
+    return cases.withColumn(
+        "decision", scoring.decision(F.lit(0.0), F.col("final_llr"), F.col("probability"))
+    )
+
+
+def ledger(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The entity tables a lookup reads."""
+    return {
+        "actors": actors(spark, d),
+        "aliases": aliases(spark, d),
+        "accounts": accounts(spark, d),
+        "pgp_keys": pgp_keys(spark, d),
+        "wallets": wallets(spark, d),
+        "services": services(spark, d),
+        "servers": servers(spark, d),
+        "evidence": stored_evidence(spark, d),
+        "cases": cases(spark, d),
+    }
+
+
+def withdrawn_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence ledger after the retraction requests."""
+    from linkweave.operators import ledger as ops
+
+    updated, _, _ = ops.retract(
+        stored_evidence(spark, d), retraction_requests(spark, d), hypothesis_evidence(spark, d)
+    )
+    return updated

@@ -216,7 +216,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
               CASE s_suppkey % 3 WHEN 0 THEN 'BTC' WHEN 1 THEN 'ETH' ELSE 'XMR' END AS chain,
               CASE WHEN s_suppkey % 11 <> 0 THEN 'CL_' || CAST(s_nationkey AS VARCHAR) END
                 AS cluster_id,
-              'A' || CAST((s_suppkey * 3) % (SELECT count(*) FROM customer) AS VARCHAR) AS actor_id
+              'A' || CAST(s_suppkey // 2 AS VARCHAR) AS actor_id
             FROM supplier""",
     ),
     "services": (
@@ -377,3 +377,67 @@ def with_ctes(names: str, body: str, recursive: bool = False) -> str:
         return (head + body) if recursive else body
     joiner = ",\n" if body.lstrip().startswith("--cte") else "\n"
     return head + ",\n".join(parts) + joiner + body.replace("--cte", "", 1)
+
+
+_CHAIN = ("effective", "ranked", "discounted", "family_sums", "contribs", "fused", "evaluated")
+
+
+def scoring_chain(source: str, suffix: str) -> None:
+    """Register the scoring expressions once more over another item table."""
+    import re
+
+    names = {n: f"{n}_{suffix}" for n in _CHAIN} | {"items": source}
+    pattern = re.compile(r"\b(" + "|".join(names) + r")\b")
+    for n in _CHAIN:
+        needs, sql = CTES[n]
+        CTES[names[n]] = (
+            tuple(names.get(x, x) for x in needs),
+            pattern.sub(lambda m: names[m.group(1)], sql),
+        )
+
+
+_F = "[" + ", ".join(f"'{r[0]}'" for r in fixed.FEATURE_PRIORS) + "]"
+CTES["link_list"] = (
+    (),
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS link_id,
+          [list_extract({_F}, CAST(o_orderkey % 11 + 1 AS INTEGER)),
+           list_extract({_F}, CAST((o_orderkey // 11) % 11 + 1 AS INTEGER)), 'no_such_feature']
+            AS features,
+          CASE WHEN o_orderkey % 10 = 0 THEN ['pgp_key_conflict'] ELSE [] END AS contradictions,
+          CASE WHEN o_custkey % 3 = 0 THEN [list_extract({_F}, CAST(o_custkey % 11 + 1 AS INTEGER))]
+            ELSE [] END AS abstained FROM orders""",
+)
+CTES["link_items"] = (
+    ("link_list", "priors"),
+    """SELECT l.link_id, l.link_id || '-' || CAST(l.pos AS VARCHAR) AS id, l.feature_name,
+          CASE WHEN conflict THEN 'EXACT_IDENTITY' ELSE p.prior_family END AS family,
+          CASE WHEN conflict THEN 'contradiction_' || l.feature_name ELSE p.prior_group END
+            AS dependence_group, coalesce(p.prior_m, 0.9) AS m_i, coalesce(p.prior_u, 0.01) AS u_i,
+          CAST(NULL AS DOUBLE) AS llr, conflict AS is_contradiction,
+          coalesce(p.prior_weight, 0.0) AS contradiction_weight, quiet AS abstain,
+          CAST(1 AS DOUBLE) AS source_reliability, CAST(1 AS DOUBLE) AS credibility_multiplier
+        FROM (SELECT link_id, features[i] AS feature_name, i - 1 AS pos, FALSE AS conflict,
+                FALSE AS quiet FROM link_list, unnest(range(1, len(features) + 1)) r(i)
+              UNION ALL SELECT link_id, contradictions[i], len(features) + i - 1, TRUE, FALSE
+              FROM link_list, unnest(range(1, len(contradictions) + 1)) r(i)
+              UNION ALL SELECT link_id, abstained[i], len(features) + len(contradictions) + i - 1,
+                FALSE, TRUE FROM link_list, unnest(range(1, len(abstained) + 1)) r(i)) l
+        JOIN priors p ON l.feature_name = p.feature_name
+        WHERE conflict = (p.prior_weight IS NOT NULL)""",
+)
+scoring_chain("link_items", "batch")
+
+CTES["eval_cases"] = (
+    (),
+    """SELECT d.doc_id AS case_id, l.quality AS truth, (d.n_chars - 2000) / 500.0 AS final_llr,
+          1.0 / (1.0 + exp(-greatest(-50.0, least(50.0, (d.n_chars - 2000) / 500.0 - 2.0))))
+            AS probability, d.n_chars < 600 AS short_text, d.n_chars < 300 AS abstained
+        FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
+)
+CTES["cases_decided"] = (
+    ("eval_cases",),
+    """SELECT *, CASE WHEN final_llr < 0 THEN 'CONTRADICTION_REJECTED'
+          WHEN probability >= 0.85 THEN 'HIGH_CONFIDENCE_LINK'
+          WHEN probability >= 0.5 THEN 'LOW_CONFIDENCE_LINK' ELSE 'INSUFFICIENT_EVIDENCE' END
+          AS decision FROM eval_cases""",
+)
