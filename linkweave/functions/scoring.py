@@ -1,4 +1,8 @@
-"""Scores, probabilities and the labels that follow from them."""
+"""Scores, probabilities and the labels that follow from them.
+
+Each rule is written once as SQL text over column names or expressions; the functions
+hand it out as a Column.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,11 @@ from pyspark.sql import functions as F
 
 from linkweave import fixed
 
-
-def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+EFFECTIVE_LLR = (
+    "CASE WHEN abstain OR is_contradiction THEN 0D ELSE "
+    "coalesce(llr, ln(greatest(m_i, 1e-12D) / greatest(u_i, 1e-12D))) "
+    "* greatest(0D, least(1D, source_reliability * credibility_multiplier)) END"
+)
 
 
 def effective_llr() -> Column:
@@ -17,67 +23,70 @@ def effective_llr() -> Column:
 
     Abstained and contradicting rows weigh nothing here.
     """
-    floor = F.lit(1e-12)
-    base = F.coalesce(
-        F.col("llr"),
-        F.ln(F.greatest(F.col("m_i"), floor) / F.greatest(F.col("u_i"), floor)),
-    )
-    trust = clamp(F.col("source_reliability") * F.col("credibility_multiplier"), 0.0, 1.0)
-    silent = F.col("abstain") | F.col("is_contradiction")
-    return F.when(silent, F.lit(0.0)).otherwise(base * trust)
+    return F.expr(EFFECTIVE_LLR)
 
 
-def posterior(llr: Column, prior_log_odds: float = fixed.PRIOR_LOG_ODDS) -> Column:
+def clamp(value: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def posterior_sql(llr: str, prior_log_odds: float = fixed.PRIOR_LOG_ODDS) -> str:
+    return f"1D / (1D + exp(-greatest(-50D, least(50D, ({llr}) + {float(prior_log_odds)}D))))"
+
+
+def posterior(llr: str, prior_log_odds: float = fixed.PRIOR_LOG_ODDS) -> Column:
     """Sigmoid of the score plus the prior log odds, argument kept within +-50."""
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-clamp(llr + F.lit(prior_log_odds), -50.0, 50.0)))
+    return F.expr(posterior_sql(llr, prior_log_odds))
 
 
-def decision(penalty: Column, final_llr: Column, probability: Column) -> Column:
-    return (
-        F.when((penalty > 0) | (final_llr < 0), fixed.REJECTED)
-        .when(probability >= fixed.HIGH_PROBABILITY, fixed.HIGH)
-        .when(probability >= fixed.LOW_PROBABILITY, fixed.LOW)
-        .otherwise(fixed.INSUFFICIENT)
+def decision(penalty: str, final_llr: str, probability: str) -> Column:
+    """Rejected on any penalty or a negative score, else graded by probability."""
+    return F.expr(
+        f"CASE WHEN {penalty} > 0 OR {final_llr} < 0 THEN '{fixed.REJECTED}' "
+        f"WHEN {probability} >= {fixed.HIGH_PROBABILITY} THEN '{fixed.HIGH}' "
+        f"WHEN {probability} >= {fixed.LOW_PROBABILITY} THEN '{fixed.LOW}' "
+        f"ELSE '{fixed.INSUFFICIENT}' END"
     )
 
 
-def confidence_tier(probability: Column) -> Column:
-    return (
-        F.when(probability >= 0.85, "High Confidence")
-        .when(probability >= 0.60, "Medium Confidence")
-        .when(probability >= 0.35, "Low Confidence")
-        .otherwise("Insufficient Evidence")
+def confidence_tier(probability: str) -> Column:
+    return F.expr(
+        f"CASE WHEN {probability} >= 0.85 THEN 'High Confidence' "
+        f"WHEN {probability} >= 0.60 THEN 'Medium Confidence' "
+        f"WHEN {probability} >= 0.35 THEN 'Low Confidence' ELSE 'Insufficient Evidence' END"
     )
 
 
-def mapped(value: Column, table: dict[str, str], default: str | None = None) -> Column:
-    """Look a value up in a small constant table."""
-    out = F.lit(default)
-    for key, target in reversed(list(table.items())):
-        out = F.when(value == key, target).otherwise(out)
-    return out
+def _case(value: str, table: dict, default: str) -> str:
+    arms = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in table.items())
+    return f"CASE {value} {arms} ELSE {default} END"
 
 
-def decision_status(decision_col: Column) -> Column:
-    return mapped(decision_col, fixed.DECISION_STATUS, "PROPOSED")
+def decision_status(decision_col: str) -> Column:
+    return F.expr(_case(decision_col, fixed.DECISION_STATUS, "'PROPOSED'"))
 
 
-def review_status(verb: Column) -> Column:
-    return mapped(verb, fixed.REVIEW_STATUS)
+def review_status(verb: str) -> Column:
+    return F.expr(_case(verb, fixed.REVIEW_STATUS, "NULL"))
 
 
-def family_cap(family: Column, caps: dict[str, float], unknown: float | None) -> Column:
-    out = F.lit(unknown).cast("double")
-    for name, cap in reversed(list(caps.items())):
-        out = F.when(family == name, F.lit(float(cap))).otherwise(out)
-    return out
+def family_cap(caps: dict[str, float], unknown: float | None, family: str = "family") -> Column:
+    default = "NULL" if unknown is None else repr(float(unknown))
+    table = {k: float(v) for k, v in caps.items()}
+    return F.expr(f"CAST({_case(family, table, default)} AS DOUBLE)")
 
 
-def short_text_score(similarity: Column) -> Column:
+def short_text_score(similarity: str) -> Column:
     """Log-odds style score of a short-text similarity, within -5..10."""
-    odds = F.log2((similarity + 0.01) / (F.lit(1.01) - similarity))
-    return clamp(F.round(odds * 2.5, 2), -5.0, 10.0)
+    odds = f"log2(({similarity} + 0.01D) / (1.01D - {similarity}))"
+    return F.expr(f"greatest(-5D, least(10D, round({odds} * 2.5D, 2)))")
+
+
+def distance_probability(distance: str) -> Column:
+    return F.expr(f"round(1D / (1D + exp(-2.5D + 15D * {distance})), 4)")
 
 
-def distance_probability(distance: Column) -> Column:
-    return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.5) + F.lit(15.0) * distance)), 4)
+def round_even(value: str, places: int) -> Column:
+    """Rounding of a binary figure with ties to even, as the published scores use."""
+    scale = f"{10 ** places}D"
+    return F.expr(f"rint(({value}) * {scale}) / {scale}")

@@ -172,7 +172,7 @@ def isotonic_calibrator(model: IsotonicRegressionModel | None):
 
     def apply(links: DataFrame) -> DataFrame:
         if model is None:
-            return links.withColumn("posterior_probability", scoring.posterior(F.col("final_llr")))
+            return links.withColumn("posterior_probability", scoring.posterior("final_llr"))
         scored = (
             model.copy()
             .setFeaturesCol("final_llr")

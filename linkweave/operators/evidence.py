@@ -70,10 +70,9 @@ def _complete(rows: DataFrame) -> DataFrame:
     """Add the row fields the caller left out, as NULL."""
     have = set(rows.columns)
     fields = [
-        (F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in ROW_FIELDS.items()
+        f"CAST({n if n in have else 'NULL'} AS {t}) AS {n}" for n, t in ROW_FIELDS.items()
     ]
-    extra = [F.col(c) for c in rows.columns if c not in ROW_FIELDS]
-    return rows.select(*fields, *extra)
+    return rows.selectExpr(*fields, *[f"`{c}`" for c in rows.columns if c not in ROW_FIELDS])
 
 
 def normalise_rows(
@@ -83,58 +82,43 @@ def normalise_rows(
 
     ``defaults="row"`` treats unknown features as free-form rows (their own family,
     group and m/u, or .90/.01); ``defaults="factory"`` gives them .80/.05 and the
-    feature name as group.
+    feature name as group. A contradiction taken from the priors ignores reliability.
     """
     rows = _complete(rows)
     if priors is None:
         priors = F.broadcast(prior_table(rows.sparkSession))  # 13 literal rows
     m_default, u_default = fixed.ROW_DEFAULTS[defaults]
-    joined = rows.join(priors.withColumn("_known", F.lit(True)), "feature_name", "left")
-
-    known = F.col("_known").isNotNull()
-    conflict = F.col("prior_weight").isNotNull()
-    legal_family = F.when(F.col("family").isin(*fixed.FAMILIES), F.col("family")).otherwise(
-        fixed.DEFAULT_FAMILY
+    joined = rows.join(priors.selectExpr("*", "true AS known"), "feature_name", "left")
+
+    conflict = "prior_weight IS NOT NULL"
+    legal = ", ".join(f"'{f}'" for f in fixed.FAMILIES)
+    if defaults == "row":
+        family = f"CASE WHEN family IN ({legal}) THEN family ELSE '{fixed.DEFAULT_FAMILY}' END"
+        group, own_m, own_u = "id", "m_i", "u_i"
+    else:
+        family = f"'{fixed.DEFAULT_FAMILY}'"
+        group, own_m, own_u = "feature_name", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"
+    return joined.selectExpr(
+        "link_id",
+        "id",
+        "coalesce(nullif(feature_name, ''), 'custom_evidence') AS feature_name",
+        f"CASE WHEN known THEN prior_family ELSE {family} END AS family",
+        "CASE WHEN known THEN coalesce(nullif(dependence_group, ''), prior_group) "
+        f"ELSE coalesce(dependence_group, {group}) END AS dependence_group",
+        f"CASE WHEN {conflict} THEN 0.90D WHEN known THEN prior_m "
+        f"ELSE coalesce({own_m}, {m_default}D) END AS m_i",
+        f"CASE WHEN {conflict} THEN 0.01D WHEN known THEN prior_u "
+        f"ELSE coalesce({own_u}, {u_default}D) END AS u_i",
+        "llr",
+        f"coalesce(is_contradiction, {conflict}) AS is_contradiction",
+        "coalesce(contradiction_weight, prior_weight, 0D) AS contradiction_weight",
+        "coalesce(abstain, false) AS abstain",
+        f"CASE WHEN {conflict} THEN 1D ELSE coalesce(source_reliability, 1D) END "
+        "AS source_reliability",
+        f"CASE WHEN {conflict} THEN 1D ELSE coalesce(credibility_multiplier, 1D) END "
+        "AS credibility_multiplier",
+        *[f"`{c}`" for c in rows.columns if c not in ROW_FIELDS],
     )
-    own_group = F.col("id") if defaults == "row" else F.col("feature_name")
-
-    def first(*cols: Column) -> Column:
-        return F.coalesce(*cols)
-
-    free = (lambda c: c) if defaults == "row" else (lambda c: F.lit(None))
-    one = F.lit(1.0)
-    fields = {
-        "feature_name": F.when(
-            F.coalesce(F.col("feature_name"), F.lit("")) == "", "custom_evidence"
-        ).otherwise(F.col("feature_name")),
-        "family": F.when(known, F.col("prior_family")).otherwise(
-            legal_family if defaults == "row" else F.lit(fixed.DEFAULT_FAMILY)
-        ),
-        "dependence_group": F.when(
-            known, first(F.nullif("dependence_group", F.lit("")), F.col("prior_group"))
-        ).otherwise(first(F.col("dependence_group"), own_group)),
-        "m_i": F.when(known & ~conflict, F.col("prior_m"))
-        .when(conflict, F.lit(0.90))
-        .otherwise(first(free(F.col("m_i")), F.lit(m_default))),
-        "u_i": F.when(known & ~conflict, F.col("prior_u"))
-        .when(conflict, F.lit(0.01))
-        .otherwise(first(free(F.col("u_i")), F.lit(u_default))),
-        "llr": F.col("llr"),
-        "is_contradiction": first(F.col("is_contradiction"), conflict),
-        "contradiction_weight": first(
-            F.col("contradiction_weight"), F.col("prior_weight"), F.lit(0.0)
-        ),
-        "abstain": first(F.col("abstain"), F.lit(False)),
-        # a contradiction taken from the priors ignores reliability
-        "source_reliability": F.when(conflict, one).otherwise(
-            first(F.col("source_reliability"), one)
-        ),
-        "credibility_multiplier": F.when(conflict, one).otherwise(
-            first(F.col("credibility_multiplier"), one)
-        ),
-    }
-    extra = [c for c in rows.columns if c not in ROW_FIELDS]
-    return joined.select("link_id", "id", *[c.alias(n) for n, c in fields.items()], *extra)
 
 
 def family_code(label: Column) -> Column:
@@ -193,42 +177,39 @@ def rows_from_links(links: DataFrame, priors: DataFrame | None = None) -> DataFr
     """
     if priors is None:
         priors = F.broadcast(prior_table(links.sparkSession))
-    kinds = [("features", False, False), ("contradictions", True, False), ("abstained", False, True)]
-    tagged = F.concat(
-        *[
-            F.transform(
-                F.coalesce(F.col(column), F.array().cast("array<string>")),
-                lambda name, c=conflict, a=abstain, k=column: F.struct(
-                    name.alias("feature_name"),
-                    F.lit(k).alias("part"),
-                    F.lit(c).alias("is_contradiction"),
-                    F.lit(a).alias("abstain"),
-                ),
-            )
-            for column, conflict, abstain in kinds
+
+    def tagged(column: str, conflict: str, quiet: str) -> str:
+        return (
+            f"transform(coalesce({column}, array()), n -> named_struct('feature_name', "
+            f"CAST(n AS STRING), 'is_contradiction', {conflict}, 'abstain', {quiet}))"
+        )
+
+    parts = ", ".join(
+        [
+            tagged("features", "false", "false"),
+            tagged("contradictions", "true", "false"),
+            tagged("abstained", "false", "true"),
         ]
     )
-    rows = links.select("link_id", F.posexplode(tagged).alias("pos", "f")).select(
-        "link_id", "pos", "f.*"
-    )
-    rows = rows.join(priors, "feature_name").where(
-        F.col("is_contradiction") == F.col("prior_weight").isNotNull()
-    )
-    conflict = F.col("is_contradiction")
-    return rows.select(
-        "link_id",
-        F.concat_ws("-", "link_id", F.col("pos").cast("string")).alias("id"),
-        "feature_name",
-        F.when(conflict, "EXACT_IDENTITY").otherwise(F.col("prior_family")).alias("family"),
-        F.when(conflict, F.concat(F.lit("contradiction_"), "feature_name"))
-        .otherwise(F.col("prior_group"))
-        .alias("dependence_group"),
-        F.coalesce("prior_m", F.lit(0.90)).alias("m_i"),
-        F.coalesce("prior_u", F.lit(0.01)).alias("u_i"),
-        F.lit(None).cast("double").alias("llr"),
-        "is_contradiction",
-        F.coalesce("prior_weight", F.lit(0.0)).alias("contradiction_weight"),
-        "abstain",
-        F.lit(1.0).alias("source_reliability"),
-        F.lit(1.0).alias("credibility_multiplier"),
+    return (
+        links.selectExpr("link_id", f"posexplode(concat({parts})) AS (pos, f)")
+        .selectExpr("link_id", "pos", "f.*")
+        .join(priors, "feature_name")
+        .where("is_contradiction = (prior_weight IS NOT NULL)")
+        .selectExpr(
+            "link_id",
+            "concat_ws('-', link_id, CAST(pos AS STRING)) AS id",
+            "feature_name",
+            "CASE WHEN is_contradiction THEN 'EXACT_IDENTITY' ELSE prior_family END AS family",
+            "CASE WHEN is_contradiction THEN concat('contradiction_', feature_name) "
+            "ELSE prior_group END AS dependence_group",
+            "coalesce(prior_m, 0.90D) AS m_i",
+            "coalesce(prior_u, 0.01D) AS u_i",
+            "CAST(NULL AS DOUBLE) AS llr",
+            "is_contradiction",
+            "coalesce(prior_weight, 0D) AS contradiction_weight",
+            "abstain",
+            "1D AS source_reliability",
+            "1D AS credibility_multiplier",
+        )
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave import fixed
@@ -20,13 +20,15 @@ GROUP_KEY = ["link_id", "family", "dependence_group"]
 
 
 def _scored(items: DataFrame) -> DataFrame:
-    return items.withColumn("eff", scoring.effective_llr()).withColumn(
-        "counts", ~F.col("abstain") & ~F.col("is_contradiction")
+    return items.select(
+        "*",
+        scoring.effective_llr().alias("eff"),
+        F.expr("NOT abstain AND NOT is_contradiction").alias("counts"),
     )
 
 
-def _group_sum(discount: float) -> Column:
-    return F.lit(discount) * F.col("g_sum") + F.lit(1.0 - discount) * F.col("g_max")
+def _group_sum(discount: float) -> str:
+    return f"({float(discount)}D * g_sum + {1.0 - discount}D * g_max)"
 
 
 def fuse(
@@ -40,91 +42,66 @@ def fuse(
     their sums are columns of the link row and need no level of their own.
     """
     caps = caps or fixed.FAMILY_CAPS
+    families = list(fixed.FAMILIES)
     groups = (
         _scored(items)
         .groupBy(*GROUP_KEY)
         .agg(
-            F.sum(F.when(F.col("counts"), F.col("eff"))).alias("g_sum"),
-            F.max(F.when(F.col("counts"), F.col("eff"))).alias("g_max"),
-            F.sum(
-                F.when(
-                    F.col("is_contradiction") & ~F.col("abstain"), F.col("contradiction_weight")
-                ).otherwise(0.0)
-            ).alias("g_penalty"),
-            F.sum(F.col("abstain").cast("long")).alias("g_abstained"),
-            F.count(F.lit(1)).alias("g_items"),
+            F.expr("sum(CASE WHEN counts THEN eff END) AS g_sum"),
+            F.expr("max(CASE WHEN counts THEN eff END) AS g_max"),
+            F.expr(
+                "sum(CASE WHEN is_contradiction AND NOT abstain THEN contradiction_weight "
+                "ELSE 0D END) AS g_penalty"
+            ),
+            F.expr("count_if(abstain) AS g_abstained"),
+            F.expr("count(1) AS g_items"),
         )
     )
-    families = list(fixed.FAMILIES)
-    sums = [
-        F.sum(F.when(F.col("family") == f, _group_sum(discount))).alias(f"u_{f}")
-        for f in families
-    ]
     links = groups.groupBy("link_id").agg(
-        *sums,
-        F.sum("g_sum").alias("raw_llr"),
-        F.sum("g_penalty").alias("contradiction_penalty"),
-        F.sum("g_abstained").alias("abstained_items"),
-        F.sum("g_items").alias("total_items"),
-    )
-
-    def capped(f: str) -> Column:
-        # least() skips NULL, so an absent family must be told apart first
-        cap = F.lit(float(caps.get(f, fixed.UNKNOWN_CAP_FUSION)))
-        u = F.col(f"u_{f}")
-        return F.when(u.isNull(), F.lit(0.0)).otherwise(F.least(u, cap))
-
-    total = capped(families[0])
-    for f in families[1:]:
-        total = total + capped(f)
-    independent = F.lit(0)
-    for f in families:
-        independent = independent + (capped(f) > 0).cast("int")
-    present = F.array(*[F.when(F.col(f"u_{f}").isNotNull(), f) for f in sorted(families)])
-    score_map = F.create_map(*[x for f in families for x in (F.lit(f), capped(f))])
-    return links.select(
+        *[
+            F.expr(f"sum(CASE WHEN family = '{f}' THEN {_group_sum(discount)} END) AS u_{f}")
+            for f in families
+        ],
+        F.expr("coalesce(sum(g_sum), 0D) AS raw_llr"),
+        F.expr("sum(g_penalty) AS contradiction_penalty"),
+        F.expr("sum(g_abstained) AS abstained_items"),
+        F.expr("sum(g_items) AS total_items"),
+    )
+    # least() skips NULL, so an absent family must be told apart first
+    capped = {
+        f: f"CASE WHEN u_{f} IS NULL THEN 0D "
+        f"ELSE least(u_{f}, {float(caps.get(f, fixed.UNKNOWN_CAP_FUSION))}D) END"
+        for f in families
+    }
+    score_map = "map(" + ", ".join(f"'{f}', {c}" for f, c in capped.items()) + ")"
+    present = ", ".join(f"CASE WHEN u_{f} IS NOT NULL THEN '{f}' END" for f in sorted(families))
+    total = " + ".join(f"({c})" for c in capped.values())
+    positive = " + ".join(f"coalesce(CAST(u_{f} > 0 AS LONG), 0L)" for f in families)
+    return links.selectExpr(
         "link_id",
-        F.coalesce("raw_llr", F.lit(0.0)).alias("raw_llr"),
-        score_map.alias("family_scores"),
-        total.alias("total_capped_llr"),
+        "raw_llr",
+        f"{score_map} AS family_scores",
+        f"{total} AS total_capped_llr",
         "contradiction_penalty",
-        (total - F.col("contradiction_penalty")).alias("final_llr"),
-        independent.cast("long").alias("independent_families"),
-        F.array_compact(present).alias("families_present"),
+        f"{total} - contradiction_penalty AS final_llr",
+        f"{positive} AS independent_families",
+        f"array_compact(array({present})) AS families_present",
         "abstained_items",
         "total_items",
     )
 
 
-def explain_decision() -> Column:
-    """One sentence per link with the figures the decision rests on."""
-    rejected = F.format_string(
-        "Rejected: contradiction penalty %.2f, final score %.2f.",
-        "contradiction_penalty",
-        "final_llr",
-    )
-    high = F.format_string(
-        "High confidence: probability %.4f, final score %.2f, %d independent families.",
-        "posterior_probability",
-        "final_llr",
-        "independent_families",
-    )
-    low = F.format_string(
-        "Low confidence: probability %.4f, final score %.2f; needs review.",
-        "posterior_probability",
-        "final_llr",
-    )
-    weak = F.format_string(
-        "Insufficient evidence: probability %.4f, final score %.2f.",
-        "posterior_probability",
-        "final_llr",
-    )
-    return (
-        F.when(F.col("decision") == fixed.REJECTED, rejected)
-        .when(F.col("decision") == fixed.HIGH, high)
-        .when(F.col("decision") == fixed.LOW, low)
-        .otherwise(weak)
-    )
+EXPLANATION = f"""CASE decision
+  WHEN '{fixed.REJECTED}' THEN format_string(
+    'Rejected: contradiction penalty %.2f, final score %.2f.', contradiction_penalty, final_llr)
+  WHEN '{fixed.HIGH}' THEN format_string(
+    'High confidence: probability %.4f, final score %.2f, %d independent families.',
+    posterior_probability, final_llr, independent_families)
+  WHEN '{fixed.LOW}' THEN format_string(
+    'Low confidence: probability %.4f, final score %.2f; needs review.',
+    posterior_probability, final_llr)
+  ELSE format_string('Insufficient evidence: probability %.4f, final score %.2f.',
+    posterior_probability, final_llr) END"""
 
 
 Calibrator = Callable[[DataFrame], DataFrame]
@@ -133,7 +110,7 @@ Calibrator = Callable[[DataFrame], DataFrame]
 def sigmoid_calibrator(prior_log_odds: float = fixed.PRIOR_LOG_ODDS) -> Calibrator:
     """Adds ``posterior_probability`` from ``final_llr``."""
     return lambda df: df.withColumn(
-        "posterior_probability", scoring.posterior(F.col("final_llr"), prior_log_odds)
+        "posterior_probability", scoring.posterior("final_llr", prior_log_odds)
     )
 
 
@@ -147,10 +124,8 @@ def evaluate(
     scored = (calibrator or sigmoid_calibrator())(fuse(items, discount, caps))
     return scored.withColumn(
         "decision",
-        scoring.decision(
-            F.col("contradiction_penalty"), F.col("final_llr"), F.col("posterior_probability")
-        ),
-    ).withColumn("explanation", explain_decision())
+        scoring.decision("contradiction_penalty", "final_llr", "posterior_probability"),
+    ).withColumn("explanation", F.expr(EXPLANATION))
 
 
 def group_leaders(items: DataFrame, discount: float = fixed.DISCOUNT) -> DataFrame:
@@ -160,13 +135,13 @@ def group_leaders(items: DataFrame, discount: float = fixed.DISCOUNT) -> DataFra
         .where("counts")
         .groupBy(*GROUP_KEY)
         .agg(
-            F.min(F.struct((-F.col("eff")).alias("neg"), F.col("id"))).alias("lead"),
-            F.sum("eff").alias("g_sum"),
-            F.max("eff").alias("g_max"),
+            F.expr("min(struct(-eff AS neg, id AS id)) AS lead"),
+            F.expr("sum(eff) AS g_sum"),
+            F.expr("max(eff) AS g_max"),
         )
     )
-    return groups.select(
-        *GROUP_KEY, F.col("lead.id").alias("lead_id"), _group_sum(discount).alias("g_score")
+    return groups.selectExpr(
+        *GROUP_KEY, "lead.id AS lead_id", f"{_group_sum(discount)} AS g_score"
     )
 
 
@@ -183,57 +158,58 @@ def contributions(
     """
     caps = caps or fixed.FAMILY_CAPS
     leaders = group_leaders(items, discount)
-    families = leaders.groupBy("link_id", "family").agg(F.sum("g_score").alias("f_sum"))
-    cap = scoring.family_cap(F.col("family"), caps, fixed.UNKNOWN_CAP_FUSION)
-    families = families.select(
-        "link_id",
-        "family",
-        F.when(F.col("f_sum") > cap, cap / F.col("f_sum")).otherwise(F.lit(1.0)).alias("scale"),
-        (F.col("f_sum") > cap).alias("over_cap"),
+    families = (
+        leaders.groupBy("link_id", "family")
+        .agg(F.expr("sum(g_score) AS f_sum"))
+        .withColumn("cap", scoring.family_cap(caps, fixed.UNKNOWN_CAP_FUSION))
+        .selectExpr(
+            "link_id",
+            "family",
+            "CASE WHEN f_sum > cap THEN cap / f_sum ELSE 1D END AS scale",
+            "f_sum > cap AS over_cap",
+        )
     )
     marks = leaders.join(families, ["link_id", "family"]).select(
         *GROUP_KEY, "lead_id", "scale", "over_cap"
     )
-    out = _scored(items).join(marks, GROUP_KEY, "left")
-    discounted = F.col("counts") & (F.col("id") != F.col("lead_id"))
-    weight = F.when(discounted, F.lit(discount)).otherwise(F.lit(1.0))
-    contribution = (
-        F.when(F.col("counts"), F.col("eff") * weight * F.col("scale"))
-        .when(F.col("is_contradiction") & ~F.col("abstain"), -F.col("contradiction_weight"))
-        .otherwise(F.lit(0.0))
-    )
-    return out.select(
-        "link_id",
-        F.col("id").alias("evidence_id"),
-        "feature_name",
-        "family",
-        "dependence_group",
-        F.col("eff").alias("raw_llr"),
-        contribution.alias("llr_contrib"),
-        F.coalesce(discounted, F.lit(False)).alias("is_discounted"),
-        (F.col("counts") & F.coalesce(F.col("over_cap"), F.lit(False))).alias("is_capped"),
-        "is_contradiction",
-        "abstain",
-        *[c for c in items.columns if c in ("metadata", "source_reliability")],
+    kept = [c for c in items.columns if c in ("metadata", "source_reliability")]
+    return (
+        _scored(items)
+        .join(marks, GROUP_KEY, "left")
+        .selectExpr(
+            "link_id",
+            "id AS evidence_id",
+            "feature_name",
+            "family",
+            "dependence_group",
+            "eff AS raw_llr",
+            f"""CASE WHEN counts THEN eff * scale * CASE WHEN id <> lead_id THEN {float(discount)}D
+                  ELSE 1D END
+                WHEN is_contradiction AND NOT abstain THEN -contradiction_weight
+                ELSE 0D END AS llr_contrib""",
+            "coalesce(counts AND id <> lead_id, false) AS is_discounted",
+            "counts AND coalesce(over_cap, false) AS is_capped",
+            "is_contradiction",
+            "abstain",
+            *kept,
+        )
     )
 
 
 def public_scores(results: DataFrame) -> DataFrame:
     """The outward record: every figure rounded to four places, with the tier."""
-    rounded = lambda c: F.round(F.col(c), 4)
-    return results.select(
+    return results.selectExpr(
         "link_id",
-        rounded("raw_llr").alias("raw_llr"),
-        F.transform_values("family_scores", lambda _, v: F.round(v, 4)).alias("family_scores"),
-        rounded("total_capped_llr").alias("total_capped_llr"),
-        rounded("contradiction_penalty").alias("contradiction_penalty"),
-        rounded("final_llr").alias("final_llr"),
-        rounded("posterior_probability").alias("calibrated_prob"),
-        scoring.confidence_tier(rounded("posterior_probability")).alias("confidence_tier"),
+        "round(raw_llr, 4) AS raw_llr",
+        "transform_values(family_scores, (k, v) -> round(v, 4)) AS family_scores",
+        "round(total_capped_llr, 4) AS total_capped_llr",
+        "round(contradiction_penalty, 4) AS contradiction_penalty",
+        "round(final_llr, 4) AS final_llr",
+        "round(posterior_probability, 4) AS calibrated_prob",
         "decision",
-        F.col("independent_families").alias("independent_family_count"),
+        "independent_families AS independent_family_count",
         "families_present",
-        F.col("abstained_items").alias("abstained_items_count"),
+        "abstained_items AS abstained_items_count",
         "explanation",
         "total_items",
-    )
+    ).withColumn("confidence_tier", scoring.confidence_tier("calibrated_prob"))

@@ -91,7 +91,7 @@ def rescore(hypotheses: DataFrame, items: DataFrame, evidence: DataFrame) -> Dat
         F.col("raw_log_lr").alias("before_log_lr"),
         F.col("calibrated_prob").alias("before_prob"),
         F.col("new_log_lr").alias("raw_log_lr"),
-        F.round(scoring.posterior(F.col("new_log_lr")), 4).alias("calibrated_prob"),
+        F.round(scoring.posterior("new_log_lr"), 4).alias("calibrated_prob"),
         F.coalesce("active_items", F.lit(0).cast("long")).alias("active_items"),
         F.when(low, "INSUFFICIENT").otherwise(F.col("status")).alias("status"),
     )
@@ -115,7 +115,7 @@ def apply_reviews(hypotheses: DataFrame, reviews: DataFrame) -> DataFrame:
     last = reviews.groupBy("hypothesis_id").agg(latest)
     return hypotheses.join(last, "hypothesis_id", "left").select(
         *[c for c in hypotheses.columns if c != "status"],
-        F.coalesce(scoring.review_status(F.col("r.decision")), F.col("status")).alias("status"),
+        F.coalesce(scoring.review_status("r.decision"), F.col("status")).alias("status"),
         F.col("r.reviewed_at").alias("reviewed_at"),
         F.col("r.reviewer_id").alias("reviewer_id"),
     )

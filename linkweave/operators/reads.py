@@ -151,7 +151,7 @@ def link_headers(
         with_actor_names(hypotheses, actors)
         .join(totals, "hypothesis_id", "left")
         .join(counts, "hypothesis_id", "left")
-        .withColumn("confidence_tier", scoring.confidence_tier(F.col("calibrated_prob")))
+        .withColumn("confidence_tier", scoring.confidence_tier("calibrated_prob"))
         .withColumn("supporting", F.coalesce("supporting", zero))
         .withColumn("contradicting", F.coalesce("contradicting", zero))
     )
@@ -205,7 +205,7 @@ def link_items_nested(detail: DataFrame) -> DataFrame:
 
 def family_totals(items: DataFrame, caps: dict[str, float] | None = None) -> DataFrame:
     """Sum of the stored contributions per family, and the same under its cap."""
-    cap = scoring.family_cap(F.col("family"), caps or fixed.FAMILY_CAPS, None)
+    cap = scoring.family_cap(caps or fixed.FAMILY_CAPS, None)
     return (
         items.where("NOT is_contradiction")
         .groupBy("hypothesis_id", "family")
@@ -214,9 +214,13 @@ def family_totals(items: DataFrame, caps: dict[str, float] | None = None) -> Dat
             "hypothesis_id",
             "family",
             "total",
-            F.round(F.least(F.col("total"), F.coalesce(cap, F.col("total"))), 3).alias(
-                "capped_total"
-            ),
+            cap.alias("cap"),
+        )
+        .select(
+            "hypothesis_id",
+            "family",
+            "total",
+            scoring.round_even("least(total, coalesce(cap, total))", 3).alias("capped_total"),
         )
     )
 

@@ -13,7 +13,7 @@ from linkweave.operators.nesting import nest
 def by_family(contributions: DataFrame, caps: dict[str, float] | None = None) -> DataFrame:
     """Per link and family: items, raw sum, capped contribution, cap and its flag."""
     caps = caps or fixed.FAMILY_CAPS
-    cap = scoring.family_cap(F.col("family"), caps, fixed.UNKNOWN_CAP_REPORT)
+    cap = scoring.family_cap(caps, fixed.UNKNOWN_CAP_REPORT)
     sums = (
         contributions.where("NOT abstain AND NOT is_contradiction")
         .groupBy("link_id", "family")
@@ -27,7 +27,7 @@ def by_family(contributions: DataFrame, caps: dict[str, float] | None = None) ->
     over = (F.col("raw_llr_sum") > F.col("cap_limit")) | (
         F.col("capped_contribution") > F.col("cap_limit") + 1e-9
     )
-    bar = F.least(F.col("capped_contribution") * 2, F.lit(20.0)).cast("int")
+    bar = F.least(F.round("capped_contribution", 4) * 2, F.lit(20.0)).cast("int")
     return sums.withColumn("is_capped", over).select(
         "*",
         F.greatest(bar, F.lit(0)).alias("bar_length"),

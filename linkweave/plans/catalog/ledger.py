@@ -317,7 +317,7 @@ _LIVE = """live AS (SELECT * FROM hyp_items WHERE evidence_id NOT IN
     "link_headers",
     with_ctes(
         "hypotheses hyp_items retracted caps actors",
-        f""", {_LIVE}, ft AS (SELECT hypothesis_id, l.family, round(least(round(sum(contribution),
+        f""", {_LIVE}, ft AS (SELECT hypothesis_id, l.family, round_even(least(round(sum(contribution),
               4), max(cap)), 3) AS t FROM live l JOIN caps c ON l.family = c.family
               WHERE NOT is_contradiction GROUP BY ALL)
             SELECT h.hypothesis_id, coalesce(s.primary_alias, h.subject_id) AS subject,

@@ -177,7 +177,7 @@ def family_scores(spark, d):
     long = fused.select(
         "link_id", "families_present", F.explode("family_scores").alias("family", "score")
     ).where(F.array_contains("families_present", F.col("family")))
-    cap = scoring.family_cap(F.col("family"), fusion.fixed.FAMILY_CAPS, None)
+    cap = scoring.family_cap(fusion.fixed.FAMILY_CAPS, None)
     return long.select("link_id", "family", r6("score"), (F.col("score") >= cap).alias("is_capped"))
 
 
@@ -309,7 +309,7 @@ def batch_link_scores(spark, d):
         "link_id",
         F.round("final_llr", 4).alias("raw_log_lr"),
         F.round("posterior_probability", 4).alias("calibrated_prob"),
-        scoring.decision_status(F.col("decision")).alias("status"),
+        scoring.decision_status("decision").alias("status"),
     )
 
 
@@ -341,7 +341,7 @@ _BY_FAMILY = """SELECT c.link_id, c.family, count(*) AS item_count, sum(raw_llr)
         "contribs caps",
         f"""SELECT link_id, family, item_count, round(raw_llr_sum, 6) AS raw_llr_sum,
              round(contrib, 6) AS capped_contribution, cap_limit, raw_llr_sum > cap_limit AS is_capped,
-             greatest(0, CAST(floor(least(contrib * 2, 20)) AS INTEGER)) AS bar_length,
+             greatest(0, CAST(floor(least(round(contrib, 4) * 2, 20)) AS INTEGER)) AS bar_length,
              CASE WHEN raw_llr_sum > cap_limit THEN printf('Cap Reached (%.1f)', cap_limit)
                ELSE 'Uncapped' END AS cap_status FROM ({_BY_FAMILY})""",
     ),
@@ -449,7 +449,7 @@ def waterfall_bar_widths(spark, d):
     with_ctes(
         "hyp_items caps",
         """SELECT h.hypothesis_id, h.family, round(sum(contribution), 4) AS total,
-             round(least(sum(contribution), max(cap)), 3) AS capped_total FROM hyp_items h
+             round_even(least(round(sum(contribution), 4), max(cap)), 3) AS capped_total FROM hyp_items h
            JOIN caps c ON h.family = c.family WHERE NOT is_contradiction GROUP BY ALL""",
     ),
 )

@@ -98,7 +98,7 @@ def hypotheses(spark: SparkSession, d: str) -> DataFrame:
 def _status() -> Column:
     from linkweave.functions import scoring
 
-    return scoring.decision_status(F.col("decision"))
+    return scoring.decision_status("decision")
 
 
 def hypothesis_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -572,10 +572,10 @@ def eval_cases(spark: SparkSession, d: str) -> DataFrame:
             (F.col("n_chars") < 600).alias("short_text"),
             (F.col("n_chars") < 300).alias("abstained"),
         )
-        .withColumn("probability", scoring.posterior(F.col("final_llr")))
+        .withColumn("probability", scoring.posterior("final_llr"))
     )
     return cases.withColumn(
-        "decision", scoring.decision(F.lit(0.0), F.col("final_llr"), F.col("probability"))
+        "decision", scoring.decision("0", "final_llr", "probability")
     )
 
 
