@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["scoring", "ledger", "evaluation"]
+PARTS = ["scoring", "ledger", "texts", "evaluation"]
 
 
 def entries() -> dict:
