@@ -18,7 +18,9 @@ def status_exposed(html: str) -> Column:
 def header(headers: str, name: str, default: str) -> Column:
     """A header by name, case ignored; the last of equal names wins."""
     entries = F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name.lower())
-    return F.coalesce(F.element_at(F.transform(entries, lambda e: e["value"]), -1), F.lit(default))
+    return F.coalesce(
+        F.try_element_at(F.transform(entries, lambda e: e["value"]), F.lit(-1)), F.lit(default)
+    )
 
 
 def certificate_digest(pem: str) -> Column:

@@ -93,12 +93,14 @@ def char_ngram_shares(
     All n-grams of a text are counted by the task that reads it; only distinct
     (text, n-gram) pairs are shuffled.
     """
-    grams = docs.select(id_col, text.char_ngrams(body, low, high).alias("g")).select(
-        id_col, F.size("g").alias("total"), F.explode("g").alias("gram")
+    length = f"length({text.collapsed_sql(body)})"
+    total = " + ".join(f"greatest({length} - {n - 1}, 0)" for n in range(low, high + 1))
+    grams = docs.select(
+        id_col, F.expr(total).alias("total"), F.explode(text.char_ngrams(body, low, high)).alias("gram")
     )
     return (
-        grams.groupBy(id_col, "gram", "total")
-        .agg(F.count(F.lit(1)).alias("n"))
+        grams.groupBy(id_col, "gram")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("total").alias("total"))
         .select(id_col, "gram", "n", (F.col("n") / F.col("total")).alias("share"))
     )
 

@@ -132,7 +132,24 @@ def sentence_lengths(spark, d):
     )
 
 
-@entry("style_feature_bundle")
+@entry(
+    "style_feature_bundle",
+    f"""SELECT s.doc_id, s.word_count, s.avg_sentence_len, coalesce(g.distinct_ngrams, 0)
+          AS distinct_ngrams, coalesce(g.total_ngrams, 0) AS total_ngrams,
+          coalesce(g.top_ngram_count, 0) AS top_ngram_count, 174 AS vector_length
+        FROM (SELECT doc_id, len({toks('text')}) AS word_count,
+            round(coalesce(list_avg({_SENT}), 0), 6) AS avg_sentence_len FROM documents) s
+        LEFT JOIN (SELECT doc_id, count(*) AS distinct_ngrams, CAST(sum(n) AS BIGINT)
+            AS total_ngrams, max(n) AS top_ngram_count FROM (
+          SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id,
+            unnest([a || b || c, a || b || c || d, a || b || c || d || e]) AS gram FROM (SELECT doc_id, ch AS a, lead(ch, 1) OVER w AS b, lead(ch, 2) OVER w
+              AS c, lead(ch, 3) OVER w AS d, lead(ch, 4) OVER w AS e FROM (
+              SELECT doc_id, unnest(l) AS ch, generate_subscripts(l, 1) AS i FROM (
+                SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '\\s+', ' ', 'g'),
+                  '(?s).') AS l FROM documents)) WINDOW w AS (PARTITION BY doc_id ORDER BY i)))
+          WHERE gram IS NOT NULL GROUP BY doc_id, gram) GROUP BY doc_id) g
+        ON s.doc_id = g.doc_id""",
+)
 def style_feature_bundle(spark, d):
     return style.bundle(D.document_texts(spark, d)).select(
         "doc_id", "word_count", rounded("avg_sentence_len"), "distinct_ngrams", "total_ngrams",
@@ -667,10 +684,10 @@ _TERMS = [("the", 1), ("ention", 2), ("que", 1)]
     "scored_text_search",
     with_ctes(
         "tokens",
-        """, q AS (SELECT * FROM (VALUES ('the', 1), ('ention', 2), ('que', 1)) AS t(term, fuzz)),
+        r""", q AS (SELECT * FROM (VALUES ('the', 1), ('ention', 2), ('que', 1)) AS t(term, fuzz)),
            len AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
            h AS (SELECT t.doc_id, q.term, count(*) AS tf FROM tokens t JOIN q
-             ON levenshtein(t.token, q.term) <= q.fuzz GROUP BY t.doc_id, q.term),
+             ON levenshtein(regexp_replace(t.token, '[^\x00-\x7F]', '~', 'g'), q.term) <= q.fuzz GROUP BY t.doc_id, q.term),
            s AS (SELECT (SELECT count(*) FROM documents) AS n_docs,
              (SELECT sum(n) FROM len) / (SELECT count(*) FROM documents) AS avg_len)
            SELECT h.doc_id, round(3 * sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2

@@ -369,7 +369,7 @@ def texts_with_identifiers(spark: SparkSession, d: str) -> DataFrame:
         .when(k == 5, F.concat(F.lit("u"), text("n"), F.lit("@mail.example.org")))
         .otherwise(F.concat(F.lit("@user_"), text("n")))
     )
-    return both.select("text_id", F.concat("body", F.lit(" "), tail).alias("body"))
+    return spread(both.select("text_id", F.concat("body", F.lit(" "), tail).alias("body")))
 
 
 def audit_events(spark: SparkSession, d: str) -> DataFrame:
@@ -460,9 +460,15 @@ def transactions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors, each pulled towards the axis of its label so that labels cluster."""
+    pulled = (
+        "transform(embedding, (x, i) -> CAST(x AS DOUBLE) + CASE WHEN i = label THEN 1.4D "
+        "ELSE 0D END)"
+    )
     return table(spark, d, "embeddings").select(
         F.concat(F.lit("v"), F.lpad(text("vec_id"), 8, "0")).alias("vec_id"),
-        F.col("embedding").cast("array<double>").alias("embedding"),
+        F.col("vec_id").alias("n"),
+        F.expr(pulled).alias("embedding"),
     )
 
 
@@ -482,8 +488,17 @@ def document_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over the cores where the files give fewer splits than there are cores.
+
+    Large inputs already have many splits and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id"), F.col("text"))
+    return spread(table(spark, d, "documents").select(F.col("doc_id"), F.col("text")))
 
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -307,8 +307,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "vectors": (
         (),
-        """SELECT 'v' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS vec_id,
-              CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings""",
+        """SELECT 'v' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS vec_id, vec_id AS n,
+              [CAST(embedding[i] AS DOUBLE) + CASE WHEN i - 1 = label THEN 1.4 ELSE 0.0 END
+                FOR i IN range(1, len(embedding) + 1)] AS embedding FROM embeddings""",
     ),
     "document_pairs": ((), "SELECT doc_id AS left_id, doc_id + 1 AS right_id FROM documents"),
     "turn_pairs": (
