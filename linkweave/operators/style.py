@@ -95,8 +95,9 @@ def char_ngram_shares(
     """
     length = f"length({text.collapsed_sql(body)})"
     total = " + ".join(f"greatest({length} - {n - 1}, 0)" for n in range(low, high + 1))
-    grams = docs.select(
-        id_col, F.expr(total).alias("total"), F.explode(text.char_ngrams(body, low, high)).alias("gram")
+    # the total is fixed before the rows multiply
+    grams = docs.select(id_col, body, F.expr(total).alias("total")).select(
+        id_col, "total", F.explode(text.char_ngrams(body, low, high)).alias("gram")
     )
     return (
         grams.groupBy(id_col, "gram")
