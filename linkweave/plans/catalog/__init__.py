@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["scoring", "ledger", "texts", "candidates", "evaluation"]
+PARTS = ["scoring", "ledger", "texts", "candidates", "graphs", "evaluation"]
 
 
 def entries() -> dict:
