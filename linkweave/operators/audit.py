@@ -91,12 +91,14 @@ def _chain_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def append(events: DataFrame, order: list[str], log: DataFrame | None = None) -> DataFrame:
     """New entries for ``events``, continuing the chains of ``log``.
 
+    ``log`` needs ``chain, seq, entry_hash`` only; ``order`` must tell a chain's events
+    apart.
+
     Each hash needs the one before, so a chain is walked in order; chains run beside
     each other. Payloads are canonicalised and hashed in parallel beforehand, and the
     walk streams narrow sorted rows, holding one hash in memory whatever the chain's
     length.
     """
-    key = F.xxhash64(F.to_json(F.struct(*order)))
     rows = (
         events.withColumn("payload", canonical_json(F.col("payload")))
         .withColumn("payload_hash", F.sha2("payload", 256))
@@ -116,7 +118,6 @@ def append(events: DataFrame, order: list[str], log: DataFrame | None = None) ->
             .withColumn("_start", F.coalesce("_start", F.lit(0).cast("long")))
             .withColumn("_head", F.coalesce("_head", F.lit(fixed.GENESIS_HASH)))
         )
-    del key
     walked = (
         started.select("chain", *order, "_row", "_start", "_head", "_fields")
         .repartition("chain")

@@ -396,31 +396,60 @@ def _draw(walks: DataFrame, step_table: DataFrame, seed: int, step: int, attempt
     return drawn.join(step_table, ["node", "idx"], "left")
 
 
+LOW_DEGREE = 64
+OFFERS = 16
+
+
 def _weighted_step(walks, step_table, table, seed, step, p, q):
+    """One second-order step: weight 1/p back, 1 to a common neighbour, 1/q elsewhere.
+
+    Around a node of few neighbours all are weighed and the largest of ln(u)/weight
+    wins, which picks in proportion to the weights. Around a hub, drawn neighbours are
+    accepted in proportion to their weights until every walker has moved.
+    """
     from linkweave.session import cut_lineage
 
-    top = max(1.0, 1.0 / p, 1.0 / q)
     known = table.selectExpr("src AS prev", "dst", "true AS near")
-    moving = walks.where("deg IS NOT NULL")
-    done = [walks.where("deg IS NULL")]
-    attempt = 0
-    while True:
-        offer = _draw(moving, step_table, seed, step, attempt).join(known, ["prev", "dst"], "left")
-        weight = f"CASE WHEN dst = prev THEN {1.0 / p}D WHEN near THEN 1D ELSE {1.0 / q}D END"
-        luck = (
-            f"pmod(xxhash64('{seed}', walk_id, {step}, {attempt}, 'accept'), 1000003) / 1000003D"
-        )
-        judged = cut_lineage(offer.selectExpr("*", f"{luck} * {top}D < {weight} AS taken"))
-        done.append(
-            judged.where("taken").selectExpr(
-                "walk_id", "dst AS node", "dst_deg AS deg", "node AS prev",
-                "concat(path, array(dst)) AS path",
+    weight = f"CASE WHEN dst = prev THEN {1.0 / p}D WHEN near THEN 1D ELSE {1.0 / q}D END"
+    moved = ["walk_id", "dst AS node", "dst_deg AS deg", "node AS prev",
+             "concat(path, array(dst)) AS path"]
+    done = [walks.where("deg IS NULL").select("walk_id", "node", "deg", "prev", "path")]
+
+    def luck(*salt: str) -> str:
+        keys = ", ".join([f"'{seed}'", "walk_id", str(step), *salt])
+        return f"(pmod(xxhash64({keys}), 1000003) + 1) / 1000004D"
+
+    few = (
+        walks.where(f"deg <= {LOW_DEGREE}")
+        .join(step_table, "node")
+        .join(known, ["prev", "dst"], "left")
+        .groupBy("walk_id")
+        .agg(
+            F.expr(
+                f"max_by(struct(dst, dst_deg, node, path), ln({luck('idx')}) / ({weight})) AS s"
             )
         )
-        moving = judged.where("NOT taken").select("walk_id", "node", "deg", "prev", "path")
-        attempt += 1
-        if moving.isEmpty():
-            return union(*[d.select("walk_id", "node", "deg", "prev", "path") for d in done])
+    )
+    done.append(few.selectExpr("walk_id", "s.*").selectExpr(*moved))
+    moving = walks.where(f"deg > {LOW_DEGREE}")
+    top = max(1.0, 1.0 / p, 1.0 / q)
+    attempt = 0
+    while not moving.isEmpty():
+        offers = moving.selectExpr(
+            "*", f"explode(sequence({attempt}, {attempt + OFFERS - 1})) AS r"
+        ).selectExpr("*", f"pmod(xxhash64('{seed}', walk_id, {step}, r), deg) AS idx")
+        judged = (
+            offers.join(step_table, ["node", "idx"])
+            .join(known, ["prev", "dst"], "left")
+            .where(f"{luck('r', chr(39) + 'accept' + chr(39))} * {top}D < {weight}")
+            .groupBy("walk_id")
+            .agg(F.expr("min_by(struct(dst, dst_deg, node, path), r) AS s"))
+        )
+        judged = cut_lineage(judged)
+        done.append(judged.selectExpr("walk_id", "s.*").selectExpr(*moved))
+        moving = cut_lineage(moving.join(judged.select("walk_id"), "walk_id", "left_anti"))
+        attempt += OFFERS
+    return union(*done)
 
 
 def context_pairs(walks: DataFrame, window: int = 3) -> DataFrame:
@@ -489,7 +518,9 @@ def score_pairs(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
             "a", "b", "'graph_topological_distance' AS feature_name",
             "'INFRASTRUCTURE' AS family", "'graph_topology' AS dependence_group", "abstain",
             "round(cos, 4) AS cosine_similarity", "round(dist, 4) AS euclidean_distance",
-            "round(greatest(0D, least(1D, (cos + 1D) / 2D)), 4) AS link_probability",
+            # least() and greatest() skip NULL
+            "CASE WHEN cos IS NOT NULL THEN round(greatest(0D, least(1D, (cos + 1D) / 2D)), 4) "
+            "END AS link_probability",
             "NOT neutral AND coalesce(cos >= 0.70, false) AS link_detected",
         )
         .selectExpr(

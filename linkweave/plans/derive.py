@@ -72,9 +72,15 @@ def link_ends(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(
         text("o_orderkey").alias("link_id"),
         F.concat(F.lit("A"), text("o_custkey")).alias("subject_id"),
-        F.concat(F.lit("A"), F.pmod(F.col("o_custkey") * 7 + 1, F.lit(n)).cast("string")).alias(
-            "object_id"
-        ),
+        F.concat(
+            F.lit("A"),
+            F.pmod(
+                F.when(F.pmod("o_orderkey", F.lit(3)) == 0, F.col("o_custkey") * 7 + 1).otherwise(
+                    F.col("o_custkey") + F.pmod("o_orderkey", F.lit(3))
+                ),
+                F.lit(n),
+            ).cast("string"),
+        ).alias("object_id"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
     )
 

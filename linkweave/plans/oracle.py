@@ -114,8 +114,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "ends": (
         (),
         """SELECT CAST(o_orderkey AS VARCHAR) AS link_id, 'A' || CAST(o_custkey AS VARCHAR)
-              AS subject_id, 'A' || CAST((o_custkey * 7 + 1) % (SELECT count(*) FROM customer)
-              AS VARCHAR) AS object_id, o_orderdate AS created_at FROM orders""",
+              AS subject_id, 'A' || CAST((CASE WHEN o_orderkey % 3 = 0 THEN o_custkey * 7 + 1
+              ELSE o_custkey + o_orderkey % 3 END) % (SELECT count(*) FROM customer) AS VARCHAR)
+              AS object_id, o_orderdate AS created_at FROM orders""",
     ),
     "hypotheses": (
         ("evaluated", "ends"),
