@@ -82,8 +82,8 @@ def _chain_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "chain": batch["chain"],
                 "_row": batch["_row"],
                 "seq": seqs,
-                "prev_hash": prevs,
-                "entry_hash": hashes,
+                "prev_hash": pd.Series(prevs, dtype=object),
+                "entry_hash": pd.Series(hashes, dtype=object),
             }
         )
 

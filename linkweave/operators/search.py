@@ -29,10 +29,14 @@ def scored_search(
     are dropped where the text is read, so only hits are shuffled. An exact digest as a
     term finds its document. The content score is the usual saturating one (BM25).
     """
-    spark = docs.sparkSession
-    words = [t.lower() for t in terms if t.strip()]
+    words = [t.strip().lower().replace("'", "") for t in terms if t.strip()]
     pairs = ", ".join(f"struct({i} AS term_no, '{w}' AS term, {_fuzz(w)} AS fuzz)"
                       for i, w in enumerate(words))
+    close = [
+        f"(length(tok) BETWEEN {len(w) - _fuzz(w)} AND {len(w) + _fuzz(w)} "
+        f"AND levenshtein(tok, '{w}', {_fuzz(w)}) >= 0)"
+        for w in words
+    ]
     rows = docs.select(
         id_col, source, F.sha2(body, 256).alias("sha256"), text.tokens(body).alias("toks")
     ).withColumn("len", F.size("toks"))
@@ -41,6 +45,7 @@ def scored_search(
     )
     hits = (
         rows.selectExpr(id_col, "len", "explode(toks) AS tok")
+        .where(" OR ".join(close))
         .selectExpr(
             id_col,
             "len",
@@ -70,7 +75,6 @@ def scored_search(
         "AS source_score",
         f"CASE WHEN sha256 IN ({quoted}) THEN 1D ELSE 0D END AS digest_score",
     )
-    del spark
     return (
         named.join(content, id_col, "left")
         .selectExpr(

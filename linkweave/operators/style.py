@@ -28,20 +28,28 @@ def word_counts(docs: DataFrame, key: list[str], body: str = "text") -> DataFram
     Counts add up over the texts of a key, so an author's texts need not be joined into
     one string. A word with an apostrophe is never one token and never counts.
     """
-    rows = docs.select(*key, text.tokens(body).alias("toks"))
     hits = ", ".join(f"'{w}'" for w in _LIVE_WORDS)
+    # a row without a word carries the text's own length, so one pass yields both
+    tallies = (
+        f"concat(array(struct(CAST(NULL AS STRING) AS word, CAST(size(toks) AS LONG) AS n)), "
+        f"transform(filter(toks, t -> t IN ({hits})), t -> struct(t AS word, 1L AS n)))"
+    )
     found = (
-        rows.select(*key, F.expr(f"explode(filter(toks, t -> t IN ({hits}))) AS word"))
+        docs.select(*key, text.tokens(body).alias("toks"))
+        .selectExpr(*key, f"explode({tallies}) AS e")
+        .selectExpr(*key, "e.word", "e.n")
         .groupBy(*key, "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*key)
-        # at most one entry per function word
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
     )
-    sizes = rows.groupBy(*key).agg(
-        F.sum(F.size("toks")).alias("word_count"), F.count(F.lit(1)).alias("n_texts")
+    return found.groupBy(*key).agg(
+        F.expr("max(CASE WHEN word IS NULL THEN n END) AS word_count"),
+        F.expr("max(CASE WHEN word IS NULL THEN k END) AS n_texts"),
+        # at most one entry per function word
+        F.expr(
+            "map_from_entries(collect_list(CASE WHEN word IS NOT NULL THEN struct(word, n) END)) "
+            "AS counts"
+        ),
     )
-    return sizes.join(found, key, "left")
 
 
 def style_vectors(docs: DataFrame, key: list[str], body: str = "text") -> DataFrame:
@@ -248,12 +256,12 @@ def verify_pairs(
 # --- pairs of short texts -----------------------------------------------------------------
 
 
-def pair_features(pairs: DataFrame, features_of: str) -> DataFrame:
+def pair_features(pairs: DataFrame, prepared: str, features_of: str) -> DataFrame:
     """``pair_id, feature, a, b``: how often each side of a pair shows a feature.
 
-    ``features_of`` is SQL giving the feature array of the column ``text``. Both texts
-    sit in the pair's row, so one task counts all of a pair's features before anything
-    is shuffled.
+    ``prepared`` is SQL over the column ``text``; ``features_of`` is SQL giving the
+    feature array of the resulting column ``prep``. Both texts sit in the pair's row, so
+    one task counts all of a pair's features before anything is shuffled.
     """
     sides = pairs.selectExpr(
         "pair_id",
@@ -261,25 +269,21 @@ def pair_features(pairs: DataFrame, features_of: str) -> DataFrame:
         "struct(text_b AS text, 0L AS a, 1L AS b))) AS s",
     ).selectExpr("pair_id", "s.text", "s.a", "s.b")
     return (
-        sides.selectExpr("pair_id", "a", "b", f"explode({features_of}) AS feature")
+        sides.selectExpr("pair_id", "a", "b", f"{prepared} AS prep")
+        .selectExpr("pair_id", "a", "b", f"explode({features_of}) AS feature")
         .groupBy("pair_id", "feature")
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     )
 
 
-def short_text_features_sql(body: str = "text") -> str:
-    """Words, word pairs and character triples of the ASCII tokens, with their kind."""
-    toks = text.ascii_tokens_sql(body)
-    triples = text.char_ngrams_sql(f"array_join({toks}, ' ')", 3)
-    pairs = (
-        f"zip_with(slice({toks}, 1, greatest(size({toks}) - 1, 0)), "
-        f"slice({toks}, 2, greatest(size({toks}) - 1, 0)), "
-        "(x, y) -> concat('bg_', x, '_', y))"
-    )
-    return (
-        f"concat(transform({toks}, t -> concat('w_', t)), {pairs}, "
-        f"transform({triples}, t -> concat('c3_', t)))"
-    )
+SHORT_TEXT_TOKENS = text.ascii_tokens_sql("text")
+# words, word pairs and character triples of the tokens, each with its kind
+SHORT_TEXT_FEATURES = (
+    "concat(transform(prep, t -> concat('w_', t)), "
+    "zip_with(slice(prep, 1, greatest(size(prep) - 1, 0)), "
+    "slice(prep, 2, greatest(size(prep) - 1, 0)), (x, y) -> concat('bg_', x, '_', y)), "
+    f"transform({text.char_ngrams_sql('array_join(prep, chr(32))', 3)}, t -> concat('c3_', t)))"
+)
 
 
 def _cosine_by_pair(feats: DataFrame, weight: str) -> DataFrame:
@@ -307,7 +311,7 @@ def verify_short_pairs(
     enough = (
         f"tokens_a >= {fixed.MIN_SHORT_TEXT_TOKENS} AND tokens_b >= {fixed.MIN_SHORT_TEXT_TOKENS}"
     )
-    feats = pair_features(sized.where(enough), short_text_features_sql())
+    feats = pair_features(sized.where(enough), SHORT_TEXT_TOKENS, SHORT_TEXT_FEATURES)
     cosines = _cosine_by_pair(feats, "CASE WHEN feature LIKE 'c3\\\\_%' THEN 0.5D ELSE 1D END")
     return (
         sized.select("pair_id", "tokens_a", "tokens_b")
@@ -351,12 +355,12 @@ def hashed_ngram_pairs(pairs: DataFrame, buckets: int = 10000) -> DataFrame:
     of the bucket counts picks the likelihoods. Empty texts abstain.
     """
     clean = f"trim({text.collapsed_sql('text')})"
-    grams = ", ".join(text.char_ngrams_sql(clean, n) for n in (3, 4, 5))
+    grams = ", ".join(text.char_ngrams_sql("prep", n) for n in (3, 4, 5))
     bucket = (
         "transform(concat({g}), g -> CAST(conv(substr(md5(g), 1, 8), 16, 10) AS BIGINT) "
         "% {m} + 1)"
     ).format(g=grams, m=buckets - 1)
-    cosines = _cosine_by_pair(pair_features(pairs, bucket), "1D")
+    cosines = _cosine_by_pair(pair_features(pairs, clean, bucket), "1D")
     return (
         pairs.selectExpr(
             "pair_id", "trim(text_a) = '' OR trim(text_b) = '' AS abstain"
@@ -391,7 +395,7 @@ def top_word_distance(pairs: DataFrame, top: int = 50) -> DataFrame:
         f"size({text.tokens_sql('text_a')}) AS na",
         f"size({text.tokens_sql('text_b')}) AS nb",
     )
-    feats = pair_features(sized.where("na > 0 AND nb > 0"), text.tokens_sql("text"))
+    feats = pair_features(sized.where("na > 0 AND nb > 0"), text.tokens_sql("text"), "prep")
     rates = feats.join(sized.select("pair_id", "na", "nb"), "pair_id").selectExpr(
         "pair_id", "feature", "a / na AS fa", "b / nb AS fb",
         # whole-number rank key: equal sums stay equal

@@ -330,7 +330,9 @@ def short_text_authorship(spark, d):
 )
 def short_text_vectors(spark, d):
     """Feature counts of both sides of each pair of turns."""
-    return style.pair_features(D.turn_pairs(spark, d), style.short_text_features_sql())
+    return style.pair_features(
+        D.turn_pairs(spark, d), style.SHORT_TEXT_TOKENS, style.SHORT_TEXT_FEATURES
+    )
 
 
 @entry(
@@ -699,7 +701,7 @@ _TERMS = [("the", 1), ("ention", 2), ("que", 1)]
     ),
 )
 def scored_text_search(spark, d):
-    docs = D.table(spark, d, "documents")
+    docs = D.spread(D.table(spark, d, "documents").select("doc_id", "text", "source"))
     return search.scored_search(docs, [t for t, _ in _TERMS], 50).select(
         "doc_id", rounded("score")
     )

@@ -495,9 +495,10 @@ def document_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over the cores where the files give fewer splits than there are cores.
+    """Spread a scan over the cores where its files give fewer splits than there are cores.
 
-    Large inputs already have many splits and are left as they are.
+    Large inputs already have many splits and are left as they are. Only for plain scans:
+    counting the splits of a shuffled plan would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
@@ -509,7 +510,7 @@ def document_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each conversation turn with the next turn of the same conversation."""
-    t = table(spark, d, "conversations")
+    t = spread(table(spark, d, "conversations"))
     a = t.select("conv_id", "turn", F.col("text").alias("text_a"))
     b = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("text_b"))
     return a.join(b, ["conv_id", "turn"]).select(
