@@ -24,8 +24,12 @@ def collapsed_sql(text: str) -> str:
 
 
 def char_ngrams_sql(text: str, n: int) -> str:
-    """All overlapping runs of ``n`` characters, in one pass over the text."""
-    return f"regexp_extract_all({text}, '(?s)(?=(.{{{n}}}))', 1)"
+    """All overlapping runs of ``n`` characters, in one pass over the text.
+
+    Each match looks ahead at ``n`` characters and consumes one, so the next begins at the
+    next whole character.
+    """
+    return f"regexp_extract_all({text}, '(?s)(?=(.{{{n}}})).', 1)"
 
 
 def tokens(text: str) -> Column:

@@ -68,6 +68,19 @@ def _shared(t: Ledger, actor_id: str | None = None) -> DataFrame:
     )
 
 
+def _infrastructure(t: Ledger, limit: int = 10) -> DataFrame:
+    services = reads.listing(t["services"], "service_id", limit)
+    servers = reads.listing(t["servers"], "server_id", limit)
+    shared = reads.shared_infrastructure(t["services"])
+    return (
+        shared.selectExpr("concat('shared_', kind) AS kind", "value", "service_count")
+        .unionByName(services.selectExpr("'service' AS kind", "address AS value",
+                                         "1L AS service_count"))
+        .unionByName(servers.selectExpr("'server' AS kind", "ip_address AS value",
+                                        "0L AS service_count"))
+    )
+
+
 def _stats(t: Ledger) -> DataFrame:
     names = ("actors", "aliases", "pgp_keys", "wallets", "services", "evidence", "artifacts",
              "observations", "sources", "hypotheses", "cases")
@@ -89,7 +102,7 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
         t["evidence"], t["artifacts"], limit, kind
     ),
     "get_ledger_stats": _stats,
-    "get_infrastructure": lambda t: reads.shared_infrastructure(t["services"]),
+    "get_infrastructure": _infrastructure,
     "get_review_queue": lambda t, limit=10: reads.review_queue(
         t["hypotheses"], t["actors"], limit
     ),
