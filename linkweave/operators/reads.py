@@ -411,12 +411,17 @@ def wallet_co_owners(
         F.col("actor").alias("co_owner"),
         F.col("address").alias("co_owner_address"),
     )
-    hits = asked.join(others, "cluster_id", "left").where(
-        F.col("co_owner_id").isNull() | (F.col("co_owner_id") != F.col("actor_id"))
-    )
-    return hits.select(
-        "actor_id", "address", "chain", "cluster_id", "co_owner_id", "co_owner",
-        "co_owner_address",
+    return (
+        asked.alias("w")
+        .join(
+            others.alias("o"),
+            F.expr("w.cluster_id = o.cluster_id AND o.co_owner_id <> w.actor_id"),
+            "left",
+        )
+        .selectExpr(
+            "w.actor_id", "w.address", "w.chain", "w.cluster_id", "o.co_owner_id", "o.co_owner",
+            "o.co_owner_address",
+        )
     )
 
 

@@ -80,7 +80,8 @@ def scored_search(
         .selectExpr(
             id_col,
             "sha256",
-            "3D * coalesce(content_score, 0D) + source_score + digest_score AS score",
+            # rounded, so that equal texts tie whatever order their terms were added in
+            "round(3D * coalesce(content_score, 0D) + source_score + digest_score, 9) AS score",
         )
         .where("score > 0")
         .orderBy(F.desc("score"), id_col)

@@ -661,7 +661,31 @@ def source_registry(spark, d):
     )
 
 
-@entry("observation_ingest")
+_FRESH_KINDS = " UNION ALL ".join(
+    k.replace("text_id", "observation_id").replace("FROM texts", "FROM fresh") for k in _KINDS
+)
+
+
+@entry(
+    "observation_ingest",
+    with_ctes(
+        "accepted raw_observations",
+        f""", batch AS (SELECT * FROM accepted WHERE source_type <> 'HONEYPOT'),
+            fresh AS (SELECT *, raw_content AS body FROM batch WHERE observation_id IN (
+              SELECT min(observation_id) FROM batch WHERE sha256 NOT IN (SELECT sha256
+                FROM accepted WHERE source_type = 'HONEYPOT') GROUP BY sha256)),
+            src AS (SELECT DISTINCT source_name, lawful_basis FROM batch EXCEPT
+              SELECT source_name, lawful_basis FROM accepted WHERE source_type = 'HONEYPOT')
+            SELECT 'held' AS table_name, count(*) FILTER (WHERE lawful_basis = 'unstated'
+              OR length(raw_content) NOT BETWEEN 1 AND 200000) AS n_rows FROM raw_observations
+              WHERE source_type <> 'HONEYPOT'
+            UNION ALL SELECT 'sources', count(*) FROM src
+            UNION ALL SELECT 'artifacts', count(*) FROM fresh
+            UNION ALL SELECT 'observations', count(*) FROM fresh
+            UNION ALL SELECT 'audit_events', count(*) FROM fresh
+            UNION ALL SELECT 'evidence', count(*) FROM ({_FRESH_KINDS})""",
+    ),
+)
 def observation_ingest(spark, d):
     """Rows a batch adds to each table."""
     from functools import reduce
@@ -696,8 +720,8 @@ _TERMS = [("the", 1), ("ention", 2), ("que", 1)]
              / (tf + 1.2 * (0.25 + 0.75 * len.n / avg_len))), 6) AS score
            FROM h JOIN (SELECT term, count(*) AS df FROM h GROUP BY term) f ON h.term = f.term
            JOIN len ON h.doc_id = len.doc_id CROSS JOIN s GROUP BY h.doc_id
-           ORDER BY sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2
-             / (tf + 1.2 * (0.25 + 0.75 * len.n / avg_len))) DESC, h.doc_id LIMIT 50""",
+           ORDER BY round(3 * sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2
+             / (tf + 1.2 * (0.25 + 0.75 * len.n / avg_len))), 9) DESC, h.doc_id LIMIT 50""",
     ),
 )
 def scored_text_search(spark, d):

@@ -168,6 +168,21 @@ def test_profile_of_a_busy_actor_comes_in_chunks(spark):
     assert main["objects"][3]["confidence"] == 28
 
 
+def test_wallet_co_owners(spark):
+    w = spark.createDataFrame(
+        [("w1", "a1", "BTC", "C", "x"), ("w2", "a3", "BTC", "C", "y"), ("w3", "a2", "BTC", "C", "y"),
+         ("w4", "a4", "XMR", None, "x"), ("w5", "a5", "BTC", "D", "x")],
+        "wallet_id string, address string, chain string, cluster_id string, actor_id string")
+    who = spark.createDataFrame([("x", "X"), ("y", "Y")], "actor_id string, primary_alias string")
+    ask = who.where("actor_id = 'x'")
+    out = {(r.address, r.co_owner_id, r.co_owner_address)
+           for r in reads.wallet_co_owners(w, who, ask).collect()}
+    assert ("a1", "y", "a2") in out and ("a4", None, None) in out
+    assert ("a5", None, None) in out and len(out) == 3
+    row = {r.actor_id: r for r in reads.wallet_holdings(w, who).collect()}["x"]
+    assert (row.wallet_count, row.clustered_count, row.shared_cluster_count) == (3, 2, 1)
+
+
 def test_search_takes_wildcards_literally(spark):
     who = spark.createDataFrame([("a", "100%_sure", "x"), ("b", "1000", "x")],
                                 "actor_id string, primary_alias string, category string")
