@@ -7,6 +7,7 @@ settings except the UTC session time zone.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -32,23 +33,48 @@ def local_session(cores: int | str = 8, app: str = "linkweave") -> SparkSession:
     return spark
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and written working tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests, a fresh local folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``, a folder that driver and executors
+    share. Only a local master, as in tests, may leave that unset: it gets a fresh folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a folder that the driver and all executors share"
+        )
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _OWN[app]
 
 
 def cut_lineage(df):
     """Reliable checkpoint: survives the loss of executors, unlike a local one."""
     spark = df.sparkSession
-    folder = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="linkweave-code-")
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = shutil.make_archive(
+        os.path.join(folder, "linkweave"), "zip", os.path.dirname(package), "linkweave"
+    )
+    context.addPyFile(base)
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
