@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import common, superminhash
+from linkweave.llm import common, quota, superminhash, templates
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(common.scan(spark, sf_dir, "documents"), 3, 85)
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.report(
+        common.scan(spark, sf_dir, "documents"), common.scan(spark, sf_dir, "benchmark")
+    )
+
+
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota.taken(common.scan(spark, sf_dir, "documents"))
+
+
 def entries() -> dict:
     return {
+        "op8_source_mix": (source_mix, None),
         "op9_superminhash_near_duplicates": (near_duplicates, None),
+        "op10_template_decontamination": (decontamination, None),
     }
