@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import common, quota, superminhash, templates
+from linkweave.llm import common, html, langid, quota, superminhash, templates
+
+
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(common.scan(spark, sf_dir, "pages"))
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(common.scan(spark, sf_dir, "documents"))
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +31,8 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entries() -> dict:
     return {
+        "op5_main_text": (main_texts, None),
+        "op6_language_kernels": (languages, None),
         "op8_source_mix": (source_mix, None),
         "op9_superminhash_near_duplicates": (near_duplicates, None),
         "op10_template_decontamination": (decontamination, None),
