@@ -4,7 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import common, html, langid, quota, superminhash, templates
+from linkweave.llm import common, html, langid, quota, secrets, superminhash, templates, vafile, warc
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') t FROM pages),
+d AS (SELECT page_id, url, strlen(t) payload_bytes, sha256(t) payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) one FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, url, payload_bytes, payload_digest,
+  CASE WHEN one <> page_id OR (page_id IS NULL AND one IS NOT NULL) THEN 'revisit' ELSE 'response' END record_type,
+  CASE WHEN one <> page_id OR (page_id IS NULL AND one IS NOT NULL) THEN one END refers_to
+FROM d LEFT JOIN f USING (payload_digest)"""
+
+VECTOR_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= 4194304)) = 0),
+s AS (SELECT q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id
+  ORDER BY score DESC, vec_id))::INT rank FROM s) WHERE rank <= 20"""
+
+
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(common.scan(spark, sf_dir, "documents"))
+
+
+def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(common.scan(spark, sf_dir, "pages")).drop("payload")
+
+
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(common.scan(spark, sf_dir, "embeddings"))
 
 
 def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +62,9 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entries() -> dict:
     return {
+        "op1_secret_spans": (secret_spans, secrets.ORACLE_SQL),
+        "op3_dictionary_warc": (archived_pages, WARC_SQL),
+        "op4_vector_approximation": (nearest_vectors, VECTOR_SQL),
         "op5_main_text": (main_texts, None),
         "op6_language_kernels": (languages, None),
         "op8_source_mix": (source_mix, None),
