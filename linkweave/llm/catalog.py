@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import common, html, langid, quota, secrets, superminhash, templates, vafile, warc
+from linkweave.llm import common, html, langid, mixing, quota, secrets, superminhash, templates, vafile, warc
 
 
 WARC_SQL = """
@@ -30,6 +30,10 @@ def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(common.scan(spark, sf_dir, "documents"))
 
 
+def text_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(common.scan(spark, sf_dir, "documents"))
+
+
 def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(common.scan(spark, sf_dir, "pages")).drop("payload")
 
@@ -63,6 +67,7 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entries() -> dict:
     return {
         "op1_secret_spans": (secret_spans, secrets.ORACLE_SQL),
+        "op2_context_mixing": (text_costs, None),
         "op3_dictionary_warc": (archived_pages, WARC_SQL),
         "op4_vector_approximation": (nearest_vectors, VECTOR_SQL),
         "op5_main_text": (main_texts, None),

@@ -119,16 +119,17 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     languages = sorted({m[0] for m in marks}, key=lambda x: x.encode())
     if not languages:
         return [], np.zeros((GRAMS, 0), np.float32)
-    held = np.zeros((GRAMS, len(marks)), np.float32)
+    held = np.zeros((GRAMS, len(marks)), bool)
     for k, (_, _, c) in enumerate(marks):
-        held[np.array(c), k] = 1 / np.sqrt(len(c))
+        held[np.array(c), k] = True
+    scale = 1 / np.sqrt(held.sum(axis=0))
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(held)
 
     def kernels(batches):
         for batch in batches:
             for part, _, _ in common.slices(batch, "text"):
-                rows = [sent.value[c].sum(axis=0) / max(1, len(c)) ** 0.5 for c in presence(_lowered(part))]
+                rows = [sent.value[c].sum(axis=0) * scale / max(1, len(c)) ** 0.5 for c in presence(_lowered(part))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("lang"), part.column("place"), pa.array(rows, pa.list_(pa.float32()))],
                     names=["lang", "place", "row"],
@@ -144,7 +145,8 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     k_nm = np.array([f[2] for f in found])
     y = np.array([[1.0 if f[0] == c else -1.0 for c in languages] for f in found])
     share = np.array([1 / (y[:, languages.index(f[0])] > 0).sum() for f in found])
-    value, vector = np.linalg.eigh(held.T.astype(np.float64) @ held)
+    both = np.stack([held[np.array(c)].sum(axis=0) for _, _, c in marks])
+    value, vector = np.linalg.eigh(both * scale[:, None] * scale[None, :])
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
     phi = k_nm @ root
@@ -152,7 +154,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     beta = np.linalg.solve(
         phi.T @ weighted + RIDGE * len(languages) * np.eye(phi.shape[1]), weighted.T @ y
     )
-    return languages, (held.astype(np.float64) @ (root @ beta)).astype(np.float32)
+    return languages, held @ (scale[:, None] * (root @ beta)).astype(np.float32)
 
 
 def predict(docs: DataFrame, languages: list[str], weights: np.ndarray) -> DataFrame:
