@@ -1,6 +1,56 @@
-"""The corpus pipeline: five stages over documents, each written and read again."""
-from linkweave.session import shared_folder
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again.
+
+Every stage takes all that its predecessor kept and returns the columns of documents; the
+last one adds, for every copy that the mix takes, ``copy, words, shard, position``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from linkweave.llm import common, langid, quota, secrets, superminhash, templates
+
+#: No SQL: kernels, signatures and draws are fitted or hashed.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without a letter go."""
+    return langid.keep_identified(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its five-word shingles."""
+    return superminhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of the benchmark."""
+    return templates.clean(docs, common.scan(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with credentials replaced in their texts."""
+    return secrets.without(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The copies that the mix takes, with their output shard."""
+    return quota.mixture(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mask_secrets", mask_secrets),
+    ("mix_sources", mix_sources),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the table documents."""
+    docs = common.scan(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

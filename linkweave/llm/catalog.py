@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import common, html, langid, mixing, quota, secrets, superminhash, templates, vafile, warc
+from linkweave.llm import bwt, common, html, langid, mixing, quota, secrets, superminhash, templates, vafile, warc
 
 
 WARC_SQL = """
@@ -60,6 +60,10 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.remove_repeats(common.scan(spark, sf_dir, "documents")).drop("kept")
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.taken(common.scan(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def entries() -> dict:
         "op4_vector_approximation": (nearest_vectors, VECTOR_SQL),
         "op5_main_text": (main_texts, None),
         "op6_language_kernels": (languages, None),
+        "op7_repeated_strings": (repeated_strings, None),
         "op8_source_mix": (source_mix, None),
         "op9_superminhash_near_duplicates": (near_duplicates, None),
         "op10_template_decontamination": (decontamination, None),

@@ -245,19 +245,14 @@ def mixture(docs: DataFrame) -> DataFrame:
     """The mix itself: a row per taken copy, ``docs`` plus ``copy, words, shard, position``.
 
     ``words`` is how many words from the start of the text belong to the mix; ``position``
-    orders the rows of a shard.
+    orders the rows of a shard. A new name that ``docs`` has already gets the prefix mix_.
     """
-    names = docs.columns
-    return (
-        draws(sized(docs))
-        .withColumn("_c", F.explode("_copies"))
-        .select(
-            *names,
-            F.col("_c.copy").alias("copy"),
-            F.col("_c.words").alias("words"),
-            F.col("_c.shard").alias("shard"),
-            F.xxhash64("doc_id", "_c.copy", "_c.shard", F.lit(SEED)).alias("position"),
-        )
+    plain = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text")
+    rows = draws(sized(plain).drop("text")).withColumn("_c", F.explode("_copies"))
+    position = F.xxhash64("doc_id", "_c.copy", "_c.shard", F.lit(SEED))
+    new = {"copy": F.col("_c.copy"), "words": F.col("_c.words"), "shard": F.col("_c.shard"), "position": position}
+    return rows.select(
+        "_doc.*", *[c.alias(f"mix_{n}" if n in docs.columns else n) for n, c in new.items()]
     )
 
 

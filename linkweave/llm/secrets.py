@@ -153,7 +153,7 @@ def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def without(docs: DataFrame, scope: int = SCOPE, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``mask``."""
     names = docs.columns
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(docs["text"], F.lit(""))
     # spans depend on the text alone, so they come back by its digest
     by_text = docs.select(F.md5(text).alias("doc_id"), "text")
     found = linked(parts(by_text), scope).where(F.col("kind").isNotNull())
@@ -178,23 +178,27 @@ def without(docs: DataFrame, scope: int = SCOPE, mask: str = "[secret]") -> Data
         "spans",
     )
     side = F.broadcast(lists) if lists.count() <= FEW else lists
-    joined = docs.join(side, F.md5(text) == F.col("_text"), "left")
+    joined = docs.join(side, F.md5(text) == side["_text"], "left")
+    found_in = side["_pieces"]
     body = F.concat(
         F.array_join(
             F.transform(
-                "_pieces",
-                lambda p: F.concat(F.substring(text, (p["from"] + 1).cast("int"), (p["a"] - p["from"]).cast("int")), F.lit(mask)),
+                found_in,
+                lambda p: F.concat(
+                    F.substring(text, (p["from"] + 1).cast("int"), (p["a"] - p["from"]).cast("int")),
+                    F.lit(mask),
+                ),
             ),
             "",
         ),
-        F.substring(text, (F.element_at("_pieces", -1)["b"] + 1).cast("int"), F.length(text)),
+        F.substring(text, (F.element_at(found_in, -1)["b"] + 1).cast("int"), F.length(text)),
     )
-    columns = {"text": F.when(F.col("_pieces").isNull(), F.col("text")).otherwise(body)}
+    columns = {"text": F.when(found_in.isNull(), docs["text"]).otherwise(body)}
     if "n_chars" in names:
-        columns["n_chars"] = F.when(F.col("_pieces").isNull(), F.col("n_chars")).otherwise(
-            F.length(columns["text"]).cast("long")
+        columns["n_chars"] = F.when(found_in.isNull(), docs["n_chars"]).otherwise(
+            F.length(body).cast("long")
         )
-    return joined.select(*[columns.get(c, F.col(c)).alias(c) for c in names])
+    return joined.select(*[columns.get(c, docs[c]).alias(c) for c in names])
 
 
 def digest(docs: DataFrame, scope: int = SCOPE) -> DataFrame:

@@ -238,4 +238,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no item of the benchmark."""
-    return contaminated(docs, benchmark).where(F.size("_items") == 0).select(*docs.columns)
+    plain = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    return contaminated(plain, benchmark).where(F.size("_items") == 0).select("_doc.*")
