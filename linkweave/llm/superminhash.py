@@ -7,10 +7,11 @@ all values below j + 1 are final, so a document stops as soon as its largest val
 below j + 1: about two rounds for a text of usual length.
 
 Documents with equal sets form one class and go on as one representative. Bands of the
-signature give buckets; inside a bucket each member meets a few leaders (never all other
-members), survivors are compared on their full sets, and links become components. Then
-the pairs that share a bucket and still lie in different components are compared as well,
-which is exact for the rest: pairs inside a component cannot change the result.
+signature give buckets; inside a bucket each member meets two leaders, survivors are
+compared on their full sets, and links become components. Then members of a bucket that
+still lie in different components are compared as well, tile by tile inside a task and on
+their full sets; a tile returns a spanning set of links, never its pairs. Pairs inside a
+component cannot change the result.
 
 Hot groups: copies collapse by an aggregate with a map-side combine; stars need one row
 per member; skewed joins are split by AQE. Nothing is capped. The only loss is that of
@@ -35,6 +36,10 @@ from linkweave.operators.graph import components
 #: Places of a signature; a prime, so that b + a * j visits all of them.
 PLACES = 331
 MISS = 1e-5
+#: Members in a tile of a large bucket, members dealt to a group, columns of a product.
+TILE = 1_024
+UNIT = 4_096
+COLUMNS = 8_192
 
 
 def layout(percent: int) -> tuple[int, int]:
@@ -194,6 +199,94 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def _links_inside(table: pa.Table, size: int, percent: int) -> pa.Table:
+    """Links between members of different components, a spanning set for each bucket tile.
+
+    Shingles that only one member has cannot be shared; the others give a small matrix whose
+    product with itself counts all intersections at once.
+    """
+    table = table.sort_by([("key", "ascending"), ("t", "ascending"), ("u", "ascending")])
+    key, t, u, own, doc, root = (
+        table.column(c).to_numpy() for c in ("key", "t", "u", "own", "doc_id", "root")
+    )
+    data, offsets = common.flat(table.column("text").combine_chunks())
+    edge = np.flatnonzero((key[1:] != key[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1])) + 1
+    out_a, out_b = [], []
+    for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
+        if hi - lo < 2 or (root[lo:hi] == root[lo]).all():
+            continue
+        held = sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+        row = (held >> np.uint64(48)).astype(np.int64)
+        n = np.bincount(row, minlength=hi - lo)
+        _, column, times = np.unique(
+            held & np.uint64((1 << 48) - 1), return_inverse=True, return_counts=True
+        )
+        shared = times[column] > 1
+        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+        both = np.zeros((hi - lo, hi - lo), np.float32)
+        width = int(column.max()) + 1 if len(column) else 0
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for first in range(0, width, COLUMNS):
+            a, b = np.searchsorted(column, [first, first + COLUMNS])
+            part = np.zeros((hi - lo, min(COLUMNS, width - first)), np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            both += part @ part.T
+        linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        linked &= root[lo:hi, None] != root[None, lo:hi]
+        if t[lo] != u[lo]:
+            linked &= own[lo:hi, None] != own[None, lo:hi]
+        left, right = np.nonzero(np.triu(linked, 1))
+        # only links that join components are needed
+        parent = {r: r for r in root[lo:hi].tolist()}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+            x, y = find(int(root[lo + a])), find(int(root[lo + b]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out_a.append(int(min(doc[lo + a], doc[lo + b])))
+                out_b.append(int(max(doc[lo + a], doc[lo + b])))
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+def _apart(shared: DataFrame, known: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between members of a bucket that lie in different components.
+
+    Large buckets are cut into tiles of about TILE members, each pair of tiles a unit of
+    work of bounded size; units are dealt to tasks by a hash.
+    """
+    placed = shared.select("key", "doc_id", "c").join(
+        known.withColumnRenamed("node", "doc_id"), "doc_id"
+    )
+    mixed = (
+        placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    ).select("key")
+    tiles = F.ceil(F.col("c") / TILE).cast("int")
+    members = (
+        placed.join(mixed, "key", "left_semi")
+        .withColumn("own", F.pmod(F.xxhash64("doc_id"), tiles).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        .select(
+            "key", "own", "doc_id", "root",
+            F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"),
+        )
+    )
+    members = common.stash(members, "apart")
+    units = max(1, -(-members.count() // UNIT))
+    return (
+        members.join(texts, "doc_id")
+        .withColumn("grp", F.pmod(F.xxhash64("key", "t", "u"), F.lit(units)))
+        .groupBy("grp")
+        .applyInArrow(lambda table: _links_inside(table, size, percent), "a long, b long")
+    )
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row for each row of ``docs``.
 
@@ -213,17 +306,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         "representatives",
     )
     entries = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = (
-        entries.groupBy("key")
-        .agg(
-            F.count(F.lit(1)).alias("c"),
-            F.min("doc_id").alias("least"),
-            F.max("doc_id").alias("most"),
-            F.min_by("doc_id", F.xxhash64("doc_id")).alias("any"),
-        )
-        .where("c > 1")
-    )
-    shared = common.stash(entries.join(buckets, "key").drop("c"), "buckets")
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = common.stash(entries.join(buckets, "key"), "buckets")
     ids = shared.select("doc_id").distinct()
     texts = common.stash(
         docs.select(F.col("doc_id").cast("long"), "text")
@@ -231,8 +315,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .dropDuplicates(["doc_id"]),
         "candidates",
     )
+    # the member that shares most buckets with most others is likely what the rest was made from
+    company = shared.groupBy("doc_id").agg(F.sum("c").alias("company"))
+    leaders = (
+        shared.join(company, "doc_id")
+        .groupBy("key")
+        .agg(
+            F.max_by("doc_id", F.struct("company", -F.col("doc_id"))).alias("central"),
+            F.min("doc_id").alias("least"),
+        )
+    )
     star = (
-        shared.select("doc_id", F.explode(F.array("least", "most", "any")).alias("leader"))
+        shared.join(leaders, "key")
+        .select("doc_id", F.explode(F.array("central", "least")).alias("leader"))
         .where("doc_id <> leader")
         .selectExpr("least(doc_id, leader) AS a", "greatest(doc_id, leader) AS b")
         .distinct()
@@ -243,21 +338,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         components(links.selectExpr("a AS src", "b AS dst"), nodes), "components"
     )
     # what shares a bucket and is still apart
-    placed = shared.select("key", "doc_id").join(
-        known.withColumnRenamed("node", "doc_id"), "doc_id"
-    )
-    mixed = placed.groupBy("key").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi")
-    ).where("lo <> hi").select("key")
-    apart = common.stash(placed.join(mixed, "key"), "apart")
-    other = apart.selectExpr("key", "doc_id AS other", "root AS other_root")
-    rest = (
-        apart.join(other, "key")
-        .where("root <> other_root AND doc_id < other")
-        .selectExpr("doc_id AS a", "other AS b")
-        .distinct()
-    )
-    more = common.stash(_verified(_alike(rest, reps, percent), texts, size, percent), "more")
+    more = common.stash(_apart(shared, known, texts, size, percent), "more")
     root = components(
         links.unionByName(more).selectExpr("a AS src", "b AS dst"), nodes
     ).withColumnRenamed("node", "doc_id")
