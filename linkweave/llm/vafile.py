@@ -134,7 +134,7 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20) ->
         *own, group.alias("grp"), numbers(tiles).alias("tile")
     )
 
-    def scan(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    def scan(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
         if not len(q) or not len(c):
             return empty
