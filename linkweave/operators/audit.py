@@ -8,6 +8,7 @@ single chain of any length is checked by all tasks at once.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,9 +23,27 @@ ENTRY_COLUMNS = [
 ]
 
 
+def _canonical(payload: str | None) -> str:
+    try:
+        value = json.loads(payload) if payload else {}
+    except ValueError:  # no JSON: the text itself, as a JSON string
+        value = payload
+    return json.dumps(
+        {} if value is None else value, sort_keys=True, separators=(",", ":"), ensure_ascii=False
+    )
+
+
 def canonical_json(payload: Column) -> Column:
-    """JSON text with sorted keys and no spaces; a missing payload is ``{}``."""
-    return F.to_json(F.parse_json(F.coalesce(payload, F.lit("{}"))))
+    """JSON text with sorted keys and no spaces; a missing or empty payload is ``{}``.
+
+    Numbers keep their kind (``1.0`` is not ``1``), which the SQL JSON functions do not.
+    """
+
+    @F.pandas_udf("string")
+    def canonical(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: _canonical(None if pd.isna(x) else x)).astype(object)
+
+    return canonical(payload)
 
 
 def payload_hash(payload: Column) -> Column:
@@ -132,20 +151,34 @@ def append(events: DataFrame, order: list[str], log: DataFrame | None = None) ->
 
 
 def failures(log: DataFrame) -> DataFrame:
-    """Every entry that fails a check, with the first check it fails."""
-    before = log.select(
-        "chain", (F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("_before")
+    """Positions that fail, with the first failed check and ``passed``, the entries there
+    that come before the failing one.
+
+    Every position holds one entry: a second one, however sound in itself, fails as
+    ``sequence``. Comparisons are null-safe, so a missing hash fails too.
+    """
+    before = log.groupBy("chain", (F.col("seq") + 1).alias("seq")).agg(
+        F.min("entry_hash").alias("_before"), F.lit(True).alias("_known")
     )
     seen = log.join(before, ["chain", "seq"], "left")
-    expected = F.when(F.col("seq") == 0, F.lit(fixed.GENESIS_HASH)).otherwise(F.col("_before"))
+    first = F.col("seq") == 0
+    expected = F.when(first, F.lit(fixed.GENESIS_HASH)).otherwise(F.col("_before"))
+    differs = lambda a, b: ~a.eqNullSafe(b)
     check = (
-        F.when((F.col("seq") != 0) & F.col("_before").isNull(), "sequence")
-        .when(F.col("prev_hash") != expected, "prev_hash")
-        .when(payload_hash(F.col("payload")) != F.col("payload_hash"), "payload_hash")
-        .when(entry_hash() != F.col("entry_hash"), "entry_hash")
+        F.when(F.col("seq").isNull() | (F.col("seq") < 0) | (~first & F.col("_known").isNull()), "sequence")
+        .when(differs(F.col("prev_hash"), expected), "prev_hash")
+        .when(differs(payload_hash(F.col("payload")), F.col("payload_hash")), "payload_hash")
+        .when(differs(entry_hash(), F.col("entry_hash")), "entry_hash")
     )
-    return seen.withColumn("check", check).where("check IS NOT NULL").select(
-        "chain", "seq", "check"
+    sound = F.count_if(F.col("check").isNull())
+    return (
+        seen.withColumn("check", check)
+        .groupBy("chain", "seq")
+        .agg(
+            F.when(sound == 0, F.min("check")).when(F.count(F.lit(1)) > 1, "sequence").alias("check"),
+            F.when(sound > 0, 1).otherwise(0).alias("passed"),
+        )
+        .where("check IS NOT NULL")
     )
 
 
@@ -154,17 +187,22 @@ def verify(log: DataFrame) -> DataFrame:
     first = (
         failures(log)
         .groupBy("chain")
-        .agg(F.min(F.struct("seq", "check")).alias("_f"))
-        .select("chain", F.col("_f.seq").alias("failed_seq"), F.col("_f.check").alias("check"))
+        .agg(F.min(F.struct("seq", "check", "passed")).alias("_f"))
+        .select(
+            "chain",
+            F.col("_f.seq").alias("failed_seq"),
+            F.col("_f.check").alias("check"),
+            F.col("_f.passed").alias("_passed"),
+        )
     )
     counted = log.select("chain", "seq").join(first, "chain", "left")
-    good = F.col("failed_seq").isNull() | (F.col("seq") < F.col("failed_seq"))
+    good = F.col("check").isNull() | (F.col("seq") < F.col("failed_seq"))
     return counted.groupBy("chain").agg(
         F.count(F.lit(1)).alias("entries"),
-        F.count_if(good).alias("entries_checked"),
+        (F.count_if(good) + F.coalesce(F.max("_passed"), F.lit(0))).alias("entries_checked"),
         F.min("failed_seq").alias("failed_seq"),
         F.min("check").alias("check"),
-    ).withColumn("valid", F.col("failed_seq").isNull())
+    ).withColumn("valid", F.col("check").isNull())
 
 
 def timeline(log: DataFrame, limit: int = 15) -> DataFrame:

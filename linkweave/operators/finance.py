@@ -20,9 +20,11 @@ def named_like(address: str, patterns: tuple[str, ...]) -> Column:
 def owner_clusters(tx: DataFrame) -> DataFrame:
     """``address, cluster_id``: all inputs of one transaction share an owner.
 
-    Outputs are only registered. The cluster is named after its smallest address.
+    Outputs are only registered. The cluster is named after its smallest address. Empty and
+    missing addresses are no addresses and join nothing.
     """
-    stars = tx.where("size(inputs) > 1").selectExpr(
+    named = tx.selectExpr("filter(inputs, x -> x <> '') AS inputs").where("size(inputs) > 1")
+    stars = named.selectExpr(
         "inputs[0] AS src", "explode(slice(inputs, 2, size(inputs) - 1)) AS dst"
     )
     seen = tx.selectExpr("explode(concat(inputs, outputs)) AS node").where(

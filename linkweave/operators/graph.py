@@ -279,7 +279,7 @@ def closed_neighbourhood(nodes: DataFrame, edges: DataFrame, term: str) -> DataF
 # --- components and traces ------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of each connected component.
 
     Alternating stars: every node hangs its larger neighbours on the smallest node it
@@ -293,7 +293,7 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> Data
         edges.selectExpr("greatest(src, dst) AS u", "least(src, dst) AS v").where("u <> v").distinct()
     )
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionAll(e.selectExpr("v AS u", "u AS v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
         large = both.join(low, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
@@ -306,8 +306,6 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> Data
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     return (
         nodes.select("node")
         .distinct()

@@ -125,13 +125,17 @@ def new_sources(rows: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def audit_entries(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """One audit event per new observation, naming its digest and what was extracted."""
+    """One audit event per new observation, naming its digest and what was extracted.
+
+    A source has 256 chains by the digest's first byte, so that no single walk holds all of
+    a busy source's events.
+    """
     counts = found.groupBy("observation_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("extraction_method") == "regex:xmr_address").alias("x"),
     )
     return rows.join(counts, "observation_id", "left").selectExpr(
-        "'ingest' AS chain",
+        "concat_ws('/', 'ingest', source_name, substr(sha256, 1, 2)) AS chain",
         "'ingest' AS actor_user_id",
         "'EVIDENCE_INGESTED' AS action",
         "'OBSERVATION' AS resource_type",

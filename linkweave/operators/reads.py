@@ -527,8 +527,10 @@ def ledger_stats(tables: dict[str, DataFrame], hypotheses: DataFrame, chain: Dat
 def resolve_entity(actors: DataFrame, aliases: DataFrame, term: str) -> DataFrame:
     """Actors whose name, category or any alias holds the term, with those aliases.
 
-    Only matching aliases are gathered per actor, in chunks.
+    Only matching aliases are gathered per actor, in chunks. A blank term finds nobody.
     """
+    if not term.strip():
+        actors, aliases = actors.where("false"), aliases.where("false")
     direct = actor_list(actors, q=term).select("actor_id")
     hits = aliases.where(contains_term("value", term))
     found = direct.union(hits.select("actor_id")).distinct()

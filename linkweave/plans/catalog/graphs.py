@@ -15,14 +15,26 @@ entry = registrar(ENTRIES)
 
 # --- transactions -----------------------------------------------------------------------
 
-_STARS = """stars AS (SELECT inputs[1] AS a, unnest(inputs[2:]) AS b FROM tx WHERE len(inputs) > 1),
-  arcs AS (SELECT a, b FROM stars WHERE a <> b UNION SELECT b, a FROM stars WHERE a <> b),
-  reach AS (SELECT a AS node, a AS root FROM arcs UNION SELECT s.b, r.root FROM reach r
-    JOIN arcs s ON s.a = r.node),
-  comp AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
-  seen AS (SELECT DISTINCT unnest(list_concat(inputs, outputs)) AS address FROM tx),
+# components by rounds of smallest labels: exact once a round changes nothing, and the graph of
+# orders and parts is a few steps wide
+_ROUNDS = 12
+_STARS = (
+    """named AS (SELECT list_filter(inputs, lambda x: x <> '') AS ins FROM tx),
+  stars AS (SELECT ins[1] AS a, unnest(ins[2:]) AS b FROM named WHERE len(ins) > 1),
+  arcs AS MATERIALIZED (SELECT a, b FROM stars WHERE a <> b UNION SELECT b, a FROM stars WHERE a <> b
+    UNION SELECT a, a FROM stars UNION SELECT b, b FROM stars),
+  r0 AS MATERIALIZED (SELECT DISTINCT a AS node, a AS root FROM arcs), """
+    + ", ".join(
+        f"r{k} AS MATERIALIZED (SELECT a AS node, min(root) AS root FROM arcs JOIN r{k - 1} ON b = node "
+        "GROUP BY a)"
+        for k in range(1, _ROUNDS + 1)
+    )
+    + f""", comp AS (SELECT node, root FROM r{_ROUNDS}),
+  seen AS (SELECT DISTINCT address FROM (SELECT unnest(list_concat(inputs, outputs)) AS address FROM tx)
+    WHERE address <> ''),
   clusters AS (SELECT address, 'cluster_btc_' || coalesce(root, address) AS cluster_id
     FROM seen LEFT JOIN comp ON address = node)"""
+)
 
 
 @entry(

@@ -105,31 +105,43 @@ def audit_chain_verified(spark, d):
     "audit_chain_tampered",
     with_ctes(
         "entries0",
-        """, n AS (SELECT chain, count(*) AS n FROM entries0 GROUP BY chain)
-           SELECT chain, n AS entries, CASE WHEN k = 4 THEN n WHEN k = 3 THEN least(n, 4)
-                ELSE least(n, 5) END AS entries_checked,
-             CASE WHEN k = 4 THEN NULL ELSE 5 END::BIGINT AS failed_seq,
-             CASE k WHEN 0 THEN 'payload_hash' WHEN 1 THEN 'entry_hash' WHEN 2 THEN 'prev_hash'
-               WHEN 3 THEN 'sequence' END AS check
-           FROM (SELECT chain, n - CASE WHEN k = 3 THEN 1 ELSE 0 END AS n, k FROM (SELECT chain, n,
-             CAST(substr(chain, 2) AS BIGINT) % 5 AS k FROM n WHERE n > 6))""",
+        """, c AS (SELECT chain, count(*) AS n, CAST(substr(chain, 2) AS BIGINT) % 7 AS k
+             FROM entries0 GROUP BY chain),
+           t AS (SELECT chain, n, k, CASE WHEN k = 5 THEN TRUE WHEN k = 4 THEN FALSE ELSE n > 5 END
+             AS broken, CASE WHEN k = 3 AND n > 4 THEN n - 1 WHEN k = 5 THEN n + 1 ELSE n END
+             AS entries FROM c)
+           SELECT chain, entries, CASE WHEN NOT broken THEN entries WHEN k = 3 THEN 4
+               WHEN k = 5 THEN n ELSE 5 END AS entries_checked,
+             CASE WHEN broken THEN CASE WHEN k = 5 THEN n - 1 ELSE 5 END END AS failed_seq,
+             CASE WHEN broken THEN CASE k WHEN 0 THEN 'payload_hash' WHEN 1 THEN 'entry_hash'
+               WHEN 2 THEN 'prev_hash' WHEN 6 THEN 'entry_hash' ELSE 'sequence' END END AS check
+           FROM t""",
     ),
 )
 def audit_chain_tampered(spark, d):
-    """Entry 5 edited four ways by chain: payload, action, link, or entry 4 removed."""
-    k = F.pmod(F.substring("chain", 2, 20).cast("long"), F.lit(5))
+    """Chains broken six ways: payload, action or link of entry 5 edited, entry 4 removed, a
+    second and sound last entry, and an edited entry 5 without a hash. Chains too short for
+    it, and every seventh, stay valid."""
+    k = F.pmod(F.substring("chain", 2, 20).cast("long"), F.lit(7))
     log = _log(spark, d)
     at5 = F.col("seq") == 5
-    broken = (
+    edited = (
         log.withColumn(
             "payload", F.when(at5 & (k == 0), '{"k":-1}').otherwise(F.col("payload")))
-        .withColumn("action", F.when(at5 & (k == 1), "other").otherwise(F.col("action")))
+        .withColumn("action", F.when(at5 & k.isin(1, 6), "other").otherwise(F.col("action")))
         .withColumn(
             "prev_hash", F.when(at5 & (k == 2), "f" * 64).otherwise(F.col("prev_hash")))
+        .withColumn("entry_hash", F.when(~(at5 & (k == 6)), F.col("entry_hash")))
         .where(~((F.col("seq") == 4) & (k == 3)))
     )
-    long = log.groupBy("chain").agg(F.count(F.lit(1)).alias("n")).where("n > 6").select("chain")
-    return audit.verify(broken).join(long, "chain", "left_semi").drop("valid")
+    last = log.groupBy("chain").agg(F.max("seq").alias("seq"))
+    forged = (
+        log.where(k == 5)
+        .join(last, ["chain", "seq"], "left_semi")
+        .withColumn("action", F.lit("forged"))
+        .withColumn("entry_hash", audit.entry_hash())
+    )
+    return audit.verify(edited.unionByName(forged)).drop("valid")
 
 
 @entry(
@@ -147,13 +159,25 @@ def audit_timeline(spark, d):
 
 @entry(
     "canonical_payloads",
-    with_ctes("entries0", "SELECT resource_id, payload, payload_hash FROM entries0"),
+    with_ctes(
+        "entries0",
+        """, p AS (SELECT resource_id, CASE CAST(resource_id AS BIGINT) % 4
+             WHEN 1 THEN '{"a":"é' || resource_id || '","b":1.0,"c":[1,1e-07,-0.5]}'
+             WHEN 2 THEN '{}' WHEN 3 THEN '"no json"' ELSE payload END AS payload FROM entries0)
+           SELECT resource_id, payload, sha256(payload) AS payload_hash FROM p""",
+    ),
 )
 def canonical_payloads(spark, d):
+    """Payloads as stored, with floats and unsorted keys, blank, and no JSON at all."""
+    k = F.pmod(F.col("order_id"), F.lit(4))
+    floats = F.concat(
+        F.lit('{"c": [1, 0.0000001, -5e-1], "b":1.0, "a": "\\u00e9'), F.col("resource_id"), F.lit('"}')
+    )
+    payload = F.when(k == 1, floats).when(k == 2, "").when(k == 3, "no json").otherwise(F.col("payload"))
     return D.audit_events(spark, d).select(
         "resource_id",
-        audit.canonical_json(F.col("payload")).alias("payload"),
-        audit.payload_hash(F.col("payload")).alias("payload_hash"),
+        audit.canonical_json(payload).alias("payload"),
+        audit.payload_hash(payload).alias("payload_hash"),
     )
 
 

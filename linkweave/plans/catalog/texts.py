@@ -725,7 +725,7 @@ _TERMS = [("the", 1), ("ention", 2), ("que", 1)]
     ),
 )
 def scored_text_search(spark, d):
-    docs = D.spread(D.table(spark, d, "documents").select("doc_id", "text", "source"))
+    docs = D.table(spark, d, "documents").select("doc_id", "text", "source")
     return search.scored_search(docs, [t for t, _ in _TERMS], 50).select(
         "doc_id", rounded("score")
     )
@@ -741,18 +741,31 @@ def truncated_labels(spark, d):
 
 @entry(
     "iso_timestamps",
-    """SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL WHEN 2 THEN epoch_us(ts) - 7200000000
-         ELSE epoch_us(ts) END AS micros FROM events""",
+    """SELECT event_id, CASE event_id % 8 WHEN 3 THEN NULL WHEN 2 THEN epoch_us(ts) - 7200000000
+         WHEN 4 THEN epoch_us(ts) // 1000000 * 1000000 - 7200000000
+         WHEN 5 THEN epoch_us(ts) // 1000000 * 1000000
+         WHEN 7 THEN epoch_us(date_trunc('day', ts)) ELSE epoch_us(ts) END AS micros FROM events""",
 )
 def iso_timestamps(spark, d):
-    """Time stamps as text in four spellings, read back: Z, none, +02:00 and unreadable."""
-    shown = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    k = F.pmod("event_id", F.lit(4))
+    """Time stamps in eight spellings, read back: Z, none, two offsets, no separators, nine
+    digits of a fraction, a week date, and unreadable."""
+    ts = F.col("ts").cast("timestamp")
+    shown = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    k = F.pmod("event_id", F.lit(8))
+    thursday = F.date_add(F.trunc(ts, "week"), 3)
+    week = F.concat(
+        F.year(thursday).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0"),
+        F.lit("-"), (F.weekday(ts) + 1).cast("string"),
+    )
     spelled = (
         F.when(k == 0, F.concat(shown, F.lit("Z")))
         .when(k == 1, shown)
         .when(k == 2, F.concat(shown, F.lit("+02:00")))
-        .otherwise(F.concat(F.lit("about "), shown))
+        .when(k == 3, F.concat(F.lit("about "), shown))
+        .when(k == 4, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0200")))
+        .when(k == 5, F.date_format(ts, "yyyyMMdd'T'HHmmss"))
+        .when(k == 6, F.concat(shown, F.lit("789")))
+        .otherwise(week)
     )
     rows = D.table(spark, d, "events").select("event_id", spelled.alias("t"))
     return rows.select("event_id", F.unix_micros(web.iso_timestamp("t")).alias("micros"))

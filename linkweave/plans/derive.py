@@ -375,7 +375,7 @@ def texts_with_identifiers(spark: SparkSession, d: str) -> DataFrame:
         .when(k == 5, F.concat(F.lit("u"), text("n"), F.lit("@mail.example.org")))
         .otherwise(F.concat(F.lit("@user_"), text("n")))
     )
-    return spread(both.select("text_id", F.concat("body", F.lit(" "), tail).alias("body")))
+    return both.select("text_id", F.concat("body", F.lit(" "), tail).alias("body"))
 
 
 def audit_events(spark: SparkSession, d: str) -> DataFrame:
@@ -430,8 +430,9 @@ def address(number: Column) -> Column:
 def transactions(spark: SparkSession, d: str) -> DataFrame:
     """One transaction per order.
 
-    Inputs are the part addresses of the first two lines, so orders that share a part
-    share an owner; the outputs are the customer's address and the next part's.
+    Inputs are the part addresses of all its lines, so orders that share a part share an
+    owner; the outputs are the customer's address and the one after the last part's. Every
+    seventh order has an empty input besides, which is no address.
     """
     lines = (
         table(spark, d, "lineitem")
@@ -441,7 +442,11 @@ def transactions(spark: SparkSession, d: str) -> DataFrame:
                      F.col("l_suppkey").alias("s")).alias("line"),
         )
         .groupBy("l_orderkey")
-        .agg(F.min("line").alias("a"), F.max("line").alias("z"))
+        .agg(F.sort_array(F.collect_list("line")).alias("all"))  # seven lines at most
+        .withColumn("z", F.element_at("all", -1))
+    )
+    blank = F.when(F.pmod("o_orderkey", F.lit(7)) == 0, F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>")
     )
     far = F.lit(10_000_000)
     return (
@@ -450,12 +455,7 @@ def transactions(spark: SparkSession, d: str) -> DataFrame:
         .select(
             F.concat(F.lit("tx"), F.lpad(text("o_orderkey"), 12, "0")).alias("txid"),
             F.col("o_orderkey").alias("tx_order"),
-            F.when(
-                F.pmod("o_orderkey", F.lit(13)) == 0,
-                F.array(address(F.col("a.p")), address(F.col("z.p"))),
-            )
-            .otherwise(F.array(address(F.col("a.p"))))
-            .alias("inputs"),
+            F.concat(blank, F.array_distinct(F.transform("all", lambda x: address(x["p"])))).alias("inputs"),
             F.array(address(F.col("o_custkey") + far), address(F.col("z.p") + 1)).alias("outputs"),
             F.col("o_totalprice").alias("amount"),
         )
@@ -494,23 +494,13 @@ def document_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores where its files give fewer splits than there are cores.
-
-    Large inputs already have many splits and are left as they are. Only for plain scans:
-    counting the splits of a shuffled plan would run it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def document_texts(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select(F.col("doc_id"), F.col("text")))
+    return table(spark, d, "documents").select(F.col("doc_id"), F.col("text"))
 
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each conversation turn with the next turn of the same conversation."""
-    t = spread(table(spark, d, "conversations"))
+    t = table(spark, d, "conversations")
     a = t.select("conv_id", "turn", F.col("text").alias("text_a"))
     b = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("text_b"))
     return a.join(b, ["conv_id", "turn"]).select(
@@ -543,7 +533,7 @@ def neighbours(spark: SparkSession, d: str) -> DataFrame:
         .join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
         .select(
             F.concat(F.lit("A"), text("o_custkey")).alias("entity"),
-            F.concat(F.lit("P"), F.pmod("l_partkey", F.lit(50)).cast("string")).alias("neighbour"),
+            F.concat(F.lit("P"), text("l_partkey")).alias("neighbour"),
         )
         .distinct()
     )

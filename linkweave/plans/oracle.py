@@ -299,12 +299,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """SELECT 'tx' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS txid,
               o_orderkey AS tx_order,
-              CASE WHEN o_orderkey % 13 = 0 THEN [addr(a_p), addr(z_p)] ELSE [addr(a_p)] END
-                AS inputs,
+              CASE WHEN o_orderkey % 7 = 0 THEN list_prepend('', ps) ELSE ps END AS inputs,
               [addr(o_custkey + 10000000), addr(z_p + 1)] AS outputs, o_totalprice AS amount
-            FROM orders JOIN (SELECT l_orderkey, first(l_partkey ORDER BY l_linenumber, l_partkey,
-                l_suppkey) AS a_p, last(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey)
-                AS z_p FROM lineitem GROUP BY l_orderkey) l ON o_orderkey = l_orderkey""",
+            FROM orders JOIN (SELECT l_orderkey, last(p ORDER BY n) AS z_p,
+                list(addr(p) ORDER BY n) FILTER (again = 1) AS ps FROM (SELECT l_orderkey,
+                  l_partkey AS p, row_number() OVER w AS n, row_number() OVER (PARTITION BY
+                    l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey) AS again FROM lineitem
+                  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+              GROUP BY l_orderkey) l ON o_orderkey = l_orderkey""",
     ),
     "vectors": (
         (),
@@ -328,7 +330,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "neighbours": (
         (),
         """SELECT DISTINCT 'A' || CAST(o_custkey AS VARCHAR) AS entity,
-              'P' || CAST(l_partkey % 50 AS VARCHAR) AS neighbour
+              'P' || CAST(l_partkey AS VARCHAR) AS neighbour
             FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
     ),
     "tokens": (
