@@ -10,6 +10,8 @@ from linkweave import fixed
 from linkweave.functions import scoring
 from linkweave.operators.ranking import running_totals
 
+#: Labelled rows that a calibration curve is fitted on at most.
+MAX_CALIBRATION_ROWS = 1_000_000
 MIN_CALIBRATION_ROWS = 5
 
 
@@ -150,13 +152,24 @@ def _beside(left: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def fit_isotonic(
-    cases: DataFrame, score: str = "final_llr", truth: str = "truth"
+    cases: DataFrame,
+    score: str = "final_llr",
+    truth: str = "truth",
+    max_rows: int = MAX_CALIBRATION_ROWS,
 ) -> IsotonicRegressionModel | None:
     """Monotone calibration curve, or None where there are too few cases to fit one.
 
-    Equal scores are merged into weighted points first.
+    Spark ML pools the points on the driver, so at most about ``max_rows`` labelled rows are
+    fitted: of more, a share drawn by a hash of the row. Equal scores are merged into
+    weighted points first.
     """
     rows = cases.select(F.col(score).cast("double").alias("score"), F.col(truth).alias("truth"))
+    total = cases.count()
+    if total > max_rows:
+        luck = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in cases.columns]), F.lit(1_000_003))
+        rows = cases.where(luck < F.lit(1_000_003 * max_rows // total)).select(
+            F.col(score).cast("double").alias("score"), F.col(truth).alias("truth")
+        )
     if rows.limit(MIN_CALIBRATION_ROWS).count() < MIN_CALIBRATION_ROWS:
         return None
     points = rows.groupBy("score").agg(

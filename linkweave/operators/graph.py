@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkweave.operators import ranking
 from linkweave.operators.reads import first_by
 
 NODE = ["id", "label", "type", "detail"]
@@ -250,13 +251,13 @@ def ego_views(
 
 
 def ranked_edges(edges: DataFrame) -> DataFrame:
-    """Each node's edges, strongest first: a range sort that also splits hubs."""
+    """Each node's edges with their ``position``, strongest first; hubs are split as well."""
     both = union(
         edges.selectExpr("src AS node", "dst AS peer", "id", "label", "confidence"),
         edges.where("src <> dst").selectExpr("dst AS node", "src AS peer", "id", "label",
                                              "confidence"),
     )
-    return both.orderBy("node", F.desc("confidence"), "id")
+    return ranking.positions(both, "node", ["_weight", "id"], {"_weight": -F.col("confidence")})
 
 
 def closed_neighbourhood(nodes: DataFrame, edges: DataFrame, term: str) -> DataFrame:
@@ -330,7 +331,7 @@ def indexed_neighbours(edges: DataFrame, slab: int = SLAB) -> DataFrame:
     pairs = edges.select("src", "dst").distinct()
     degree = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     cut = pairs.join(degree, "src").withColumn(
-        "slab", F.pmod(F.xxhash64("dst"), F.ceil(F.col("deg") / slab))
+        "slab", F.expr(f"pmod({draw('dst')}, CAST(ceil(deg / {slab}) AS BIGINT))")
     )
     inside = Window.partitionBy("src", "slab").orderBy("dst")
     sizes = cut.groupBy("src", "slab").agg(F.count(F.lit(1)).alias("c"))
@@ -344,6 +345,11 @@ def indexed_neighbours(edges: DataFrame, slab: int = SLAB) -> DataFrame:
     ).selectExpr("src", "i + o AS idx", "dst", "deg", "dst_deg")
 
 
+def draw(*salt: str) -> str:
+    """SQL of a number from the digest of its salt: the same in every run and engine."""
+    return f"CAST(conv(substr(md5(concat_ws('/', {', '.join(salt)})), 1, 15), 16, 10) AS BIGINT)"
+
+
 def random_walks(
     edges: DataFrame,
     num_walks: int = 10,
@@ -355,7 +361,7 @@ def random_walks(
     """``walk_id, path``: second-order random walks from every node with neighbours.
 
     A walker draws a neighbour's number and joins on (node, number), so walkers standing
-    on a hub never meet its whole list. Draws come from hashes of seed, walk, step and
+    on a hub never meet its whole list. Draws come from digests of seed, walk, step and
     attempt: a task run again draws the same. With return and in-out weights a drawn
     step is accepted in proportion to its weight, and refused walkers draw again.
     """
@@ -373,78 +379,50 @@ def random_walks(
     plain = p == 1.0 and q == 1.0
     for step in range(1, walk_length):
         if plain or step == 1:
-            moved = _draw(walks, step_table, seed, step, 0)
-            walks = moved.selectExpr(
-                "walk_id", "coalesce(dst, node) AS node", "dst_deg AS deg",
-                "CASE WHEN dst IS NULL THEN prev ELSE node END AS prev",
-                "CASE WHEN dst IS NULL THEN path ELSE concat(path, array(dst)) END AS path",
+            drawn = walks.withColumn(
+                "idx", F.expr(f"pmod({draw(repr(str(seed)), 'walk_id', str(step), '0')}, deg)")
             )
+            walks = drawn.join(step_table, ["node", "idx"]).selectExpr(*MOVED)
+            if step % 5 == 0:
+                walks = cut_lineage(walks)
         else:
-            walks = _weighted_step(walks, step_table, table, seed, step, p, q)
-        if step % 5 == 0:
-            walks = cut_lineage(walks)
+            walks = cut_lineage(_weighted_step(walks, step_table, table, seed, step, p, q))
     return walks.select("walk_id", "path")
 
 
-def _draw(walks: DataFrame, step_table: DataFrame, seed: int, step: int, attempt: int) -> DataFrame:
-    drawn = walks.withColumn(
-        "idx",
-        F.expr(f"pmod(xxhash64('{seed}', walk_id, {step}, {attempt}), deg)"),
-    )
-    return drawn.join(step_table, ["node", "idx"], "left")
-
-
-LOW_DEGREE = 64
-OFFERS = 16
+MOVED = ["walk_id", "dst AS node", "dst_deg AS deg", "node AS prev", "concat(path, array(dst)) AS path"]
+OFFERS = 32
 
 
 def _weighted_step(walks, step_table, table, seed, step, p, q):
     """One second-order step: weight 1/p back, 1 to a common neighbour, 1/q elsewhere.
 
-    Around a node of few neighbours all are weighed and the largest of ln(u)/weight
-    wins, which picks in proportion to the weights. Around a hub, drawn neighbours are
-    accepted in proportion to their weights until every walker has moved.
+    Drawn neighbours are accepted in proportion to their weights; an only neighbour is
+    taken at once. Every draw succeeds with a chance of at least the least weight over the
+    largest, so the walkers left after each round of offers dwindle geometrically.
     """
     from linkweave.session import cut_lineage
 
     known = table.selectExpr("src AS prev", "dst", "true AS near")
     weight = f"CASE WHEN dst = prev THEN {1.0 / p}D WHEN near THEN 1D ELSE {1.0 / q}D END"
-    moved = ["walk_id", "dst AS node", "dst_deg AS deg", "node AS prev",
-             "concat(path, array(dst)) AS path"]
-    done = [walks.where("deg IS NULL").select("walk_id", "node", "deg", "prev", "path")]
-
-    def luck(*salt: str) -> str:
-        keys = ", ".join([f"'{seed}'", "walk_id", str(step), *salt])
-        return f"(pmod(xxhash64({keys}), 1000003) + 1) / 1000004D"
-
-    few = (
-        walks.where(f"deg <= {LOW_DEGREE}")
-        .join(step_table, "node")
-        .join(known, ["prev", "dst"], "left")
-        .groupBy("walk_id")
-        .agg(
-            F.expr(
-                f"max_by(struct(dst, dst_deg, node, path), ln({luck('idx')}) / ({weight})) AS s"
-            )
-        )
-    )
-    done.append(few.selectExpr("walk_id", "s.*").selectExpr(*moved))
-    moving = walks.where(f"deg > {LOW_DEGREE}")
+    key = [repr(str(seed)), "walk_id", str(step), "r"]
+    luck = f"(pmod({draw(*key, repr('accept'))}, 1000003) + 1) / 1000004D"
     top = max(1.0, 1.0 / p, 1.0 / q)
-    attempt = 0
-    while not moving.isEmpty():
+    done, moving, attempt = [], walks, 0
+    while attempt == 0 or not moving.isEmpty():
         offers = moving.selectExpr(
             "*", f"explode(sequence({attempt}, {attempt + OFFERS - 1})) AS r"
-        ).selectExpr("*", f"pmod(xxhash64('{seed}', walk_id, {step}, r), deg) AS idx")
+        ).selectExpr("*", f"pmod({draw(*key)}, deg) AS idx")
         judged = (
-            offers.join(step_table, ["node", "idx"])
+            offers.where("deg > 1 OR r = 0")
+            .join(step_table, ["node", "idx"])
             .join(known, ["prev", "dst"], "left")
-            .where(f"{luck('r', chr(39) + 'accept' + chr(39))} * {top}D < {weight}")
+            .where(f"deg = 1 OR {luck} * {top}D < {weight}")
             .groupBy("walk_id")
             .agg(F.expr("min_by(struct(dst, dst_deg, node, path), r) AS s"))
         )
         judged = cut_lineage(judged)
-        done.append(judged.selectExpr("walk_id", "s.*").selectExpr(*moved))
+        done.append(judged.selectExpr("walk_id", "s.*").selectExpr(*MOVED))
         moving = cut_lineage(moving.join(judged.select("walk_id"), "walk_id", "left_anti"))
         attempt += OFFERS
     return union(*done)

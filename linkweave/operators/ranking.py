@@ -43,3 +43,21 @@ def running_totals(rows: DataFrame, order: list[str], measures: list[str]) -> Da
             ],
         )
     )
+
+
+def positions(rows: DataFrame, key: str, order: list[str], made: dict) -> DataFrame:
+    """Adds ``position`` (from 1) within each ``key`` by ``order``, however many rows a key has.
+
+    ``made`` names further columns to order by. The order is completed by a digest of the
+    whole row, so rows equal in it are numbered in a repeatable way.
+    """
+    tie = F.md5(F.to_json(F.struct(*rows.columns)))
+    numbered = running_totals(
+        rows.withColumns({**made, "_tie": tie, "_one": F.lit(1)}), [key, *order, "_tie"], ["_one"]
+    )
+    first = numbered.groupBy(key).agg(F.min("_one_before").alias("_first"))
+    return (
+        numbered.join(first, key)
+        .withColumn("position", (F.col("_one_before") - F.col("_first") + 1).cast("long"))
+        .select(*rows.columns, "position")
+    )

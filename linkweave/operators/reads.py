@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkweave import fixed
+from linkweave.operators import ranking
 from linkweave.functions import scoring
 from linkweave.operators.nesting import nest
 
@@ -300,11 +301,11 @@ def top_actor_evidence(rows: DataFrame, limit: int = 12) -> DataFrame:
 
 
 def actor_timeline(rows: DataFrame) -> DataFrame:
-    """Activity in time order per actor, undated rows first.
+    """Activity with its ``position`` in time order per actor, undated rows first.
 
-    A range-partitioned sort: one busy actor spreads over several partitions.
+    Range partitions: one busy actor spreads over several of them.
     """
-    return rows.orderBy("actor_id", F.asc_nulls_first("created_at"), "evidence_id")
+    return ranking.positions(rows, "actor_id", ["created_at", "evidence_id"], {})
 
 
 # --- shared identifiers ----------------------------------------------------------------

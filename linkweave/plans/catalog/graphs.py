@@ -392,14 +392,17 @@ def peer_links(spark, d):
     "edges_ranked_per_node",
     with_ctes(
         _LEDGER,
-        f""", {_PROJECTED} SELECT node, peer, label, round(confidence, 4)::DOUBLE AS confidence
-            FROM (SELECT src AS node, dst AS peer, label, confidence FROM pe UNION ALL
-              SELECT dst, src, label, confidence FROM pe WHERE src <> dst)""",
+        f""", {_PROJECTED} SELECT node, peer, label, round(confidence, 4)::DOUBLE AS confidence,
+              row_number() OVER (PARTITION BY node ORDER BY confidence DESC, id) AS position
+            FROM (SELECT src AS node, dst AS peer, id, label, confidence FROM pe UNION ALL
+              SELECT dst, src, id, label, confidence FROM pe WHERE src <> dst)""",
     ),
 )
 def edges_ranked_per_node(spark, d):
     _, edges = graph.project(D.ledger(spark, d), D.hypotheses(spark, d))
-    return graph.ranked_edges(edges).select("node", "peer", "label", rounded("confidence", 4))
+    return graph.ranked_edges(edges).select(
+        "node", "peer", "label", rounded("confidence", 4), "position"
+    )
 
 
 @entry(
@@ -428,23 +431,64 @@ def closed_neighbourhood(spark, d):
 # --- walks, contexts, embeddings ----------------------------------------------------------------
 
 
-@entry("random_walks")
-def random_walks(spark, d):
-    out = graph.random_walks(D.actor_edges(spark, d), num_walks=2, walk_length=20)
-    return out.select(
+def _draw(*salt: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('/', {', '.join(salt)})), 1, 15) AS BIGINT)"
+
+
+CTES["numbered"] = (
+    ("ends",),
+    f"""SELECT src, dst, deg, row_number() OVER (PARTITION BY src ORDER BY {_draw("dst")} %
+          CAST(ceil(deg / {graph.SLAB}) AS BIGINT), dst) - 1 AS idx FROM (SELECT *, count(*) OVER
+          (PARTITION BY src) AS deg FROM (SELECT subject_id AS src, object_id AS dst FROM ends
+          WHERE subject_id <> object_id UNION SELECT object_id, subject_id FROM ends
+          WHERE subject_id <> object_id))""",
+)
+
+
+def _walked(walks: int, length: int, p: float = 1.0, q: float = 1.0, seed: int = 42) -> str:
+    """Walks as a recursion: a row is a walker with its last draw; refused draws stay put."""
+    key = (f"'{seed}'", "walk_id", "step", "attempt")
+    weight = f"CASE WHEN m.dst = w.prev THEN {1 / p} WHEN k.dst IS NOT NULL THEN 1.0 ELSE {1 / q} END"
+    luck = f"({_draw(*key, repr('accept'))} % 1000003 + 1) / 1000004.0"
+    top = max(1.0, 1 / p, 1 / q)
+    accept = f"(w.prev IS NULL OR m.deg = 1 OR {luck} * {top} < {weight})"
+    if p == q == 1.0:
+        accept, seen = "TRUE", ""
+    else:
+        seen = "LEFT JOIN numbered k ON k.src = w.prev AND k.dst = m.dst"
+    return f""", degree AS (SELECT DISTINCT src, deg FROM numbered),
+      w AS (SELECT src || '#' || n AS walk_id, src AS node, CAST(NULL AS VARCHAR) AS prev, 1 AS step,
+          0 AS attempt, [src] AS path FROM degree, unnest(range(1, {walks + 1})) u(n)
+        UNION ALL SELECT walk_id, CASE WHEN ok THEN dst ELSE node END, CASE WHEN ok THEN node ELSE prev
+          END, CASE WHEN ok THEN step + 1 ELSE step END, CASE WHEN ok THEN 0 ELSE attempt + 1 END,
+          CASE WHEN ok THEN list_append(path, dst) ELSE path END FROM (
+            SELECT w.*, m.dst, {accept} AS ok FROM w JOIN degree g ON g.src = w.node
+            JOIN numbered m ON m.src = w.node AND m.idx = {_draw(*key)} % g.deg {seen}
+            WHERE step < {length})),
+      walked AS (SELECT walk_id, path FROM w WHERE step = {length} AND attempt = 0)"""
+
+
+_SHOWN = " SELECT walk_id, len(path) AS steps, array_to_string(path, '>') AS path FROM walked"
+
+
+def _shown(walks):
+    return walks.select(
         "walk_id", F.size("path").alias("steps"), F.array_join("path", ">").alias("path")
     )
 
 
-@entry("random_walks_weighted")
+@entry("random_walks", with_ctes("numbered", _walked(10, 20) + _SHOWN, recursive=True))
+def random_walks(spark, d):
+    return _shown(graph.random_walks(D.actor_edges(spark, d)))
+
+
+@entry(
+    "random_walks_weighted",
+    with_ctes("numbered", _walked(10, 20, 4.0, 0.5, 7) + _SHOWN, recursive=True),
+)
 def random_walks_weighted(spark, d):
     """Walks that avoid turning back and stay near, in the second-order sense."""
-    out = graph.random_walks(
-        D.actor_edges(spark, d), num_walks=1, walk_length=6, p=4.0, q=0.5, seed=7
-    )
-    return out.select(
-        "walk_id", F.size("path").alias("steps"), F.array_join("path", ">").alias("path")
-    )
+    return _shown(graph.random_walks(D.actor_edges(spark, d), p=4.0, q=0.5, seed=7))
 
 
 def _token_walks(spark, d):
@@ -471,38 +515,42 @@ def walk_context_pairs(spark, d):
     )
 
 
+def _embedded(contexts: str) -> str:
+    dims = ", ".join(
+        f"round(sum(CASE WHEN i = {i} THEN x END) / any_value(norm), 6)::DOUBLE AS d{i}" for i in range(64)
+    )
+    return f""", c AS (SELECT node, context, count(*) AS n, CAST('0x' || substr(md5(context), 1, 16)
+          AS UBIGINT) AS h FROM {contexts} GROUP BY node, context),
+        s AS (SELECT node, i, sum(n * (2 * CAST((h >> i) & 1 AS BIGINT) - 1)) AS x
+          FROM c, unnest(range(0, 64)) r(i) GROUP BY node, i),
+        z AS (SELECT node, nullif(sqrt(sum(x * x)), 0) AS norm FROM s GROUP BY node)
+        SELECT s.node, {dims} FROM s JOIN z ON s.node = z.node GROUP BY s.node"""
+
+
+def _dims(embedded):
+    return embedded.select("node", *[F.round(F.col("vector")[i], 6).alias(f"d{i}") for i in range(64)])
+
+
+@entry("walk_embeddings", with_ctes("contexts", _embedded("contexts")))
+def walk_embeddings(spark, d):
+    return _dims(graph.embed(_token_walks(spark, d)))
+
+
 @entry(
-    "walk_embeddings",
+    "actor_embeddings",
     with_ctes(
-        "contexts",
-        """, c AS (SELECT node, context, count(*) AS n, CAST('0x' || substr(md5(context), 1, 16)
-               AS UBIGINT) AS h FROM contexts GROUP BY node, context),
-           s AS (SELECT node, i, sum(n * (2 * CAST((h >> i) & 1 AS BIGINT) - 1)) AS x
-             FROM c, unnest(range(0, 64)) r(i) GROUP BY node, i),
-           z AS (SELECT node, sqrt(sum(x * x)) AS norm FROM s GROUP BY node)
-           SELECT s.node, round(sum(CASE WHEN i = 0 THEN x END) / any_value(norm), 6)::DOUBLE AS d0,
-             round(sum(CASE WHEN i = 31 THEN x END) / any_value(norm), 6)::DOUBLE AS d31,
-             round(sum(CASE WHEN i = 63 THEN x END) / any_value(norm), 6)::DOUBLE AS d63
-           FROM s JOIN z ON s.node = z.node GROUP BY s.node""",
+        "numbered",
+        _walked(10, 20)
+        + """, around AS (SELECT path[i] AS node, path[j] AS context FROM walked,
+            unnest(range(1, len(path) + 1)) a(i),
+            unnest(range(greatest(1, i - 3), least(len(path), i + 3) + 1)) b(j) WHERE i <> j)"""
+        + _embedded("around"),
+        recursive=True,
     ),
 )
-def walk_embeddings(spark, d):
-    out = graph.embed(_token_walks(spark, d))
-    at = lambda i: F.round(F.col("vector")[i], 6).alias(f"d{i}")
-    return out.select("node", at(0), at(31), at(63))
-
-
-@entry("actor_embeddings")
 def actor_embeddings(spark, d):
     """Walks over the actor graph turned into vectors."""
-    walks = graph.random_walks(D.actor_edges(spark, d), num_walks=2, walk_length=10)
-    return graph.embed(walks).select(
-        "node", F.size("vector").alias("dims"), rounded_norm().alias("norm")
-    )
-
-
-def rounded_norm():
-    return F.expr("round(sqrt(aggregate(vector, 0D, (a, x) -> a + x * x)), 6)")
+    return _dims(graph.embed(graph.random_walks(D.actor_edges(spark, d))))
 
 
 @entry(

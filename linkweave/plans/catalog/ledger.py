@@ -535,13 +535,14 @@ def actor_evidence_top(spark, d):
     with_ctes(
         "hypotheses hyp_items evidence artifacts",
         f""", {_ACTOR_EVIDENCE} SELECT actor_id, evidence_id, extraction_method AS event_type,
-              strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM ae""",
+              strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, row_number() OVER (PARTITION
+              BY actor_id ORDER BY created_at NULLS FIRST, evidence_id) AS position FROM ae""",
     ),
 )
 def actor_timeline(spark, d):
     return reads.actor_timeline(_actor_evidence(spark, d)).select(
         "actor_id", "evidence_id", F.col("extraction_method").alias("event_type"),
-        iso("created_at"),
+        iso("created_at"), "position",
     )
 
 
