@@ -121,6 +121,36 @@ def apply_reviews(hypotheses: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
+def attach_identifiers(
+    requests: DataFrame, cases: DataFrame, attached: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Identifiers to attach to cases -> ``(added, refused)``; refusals carry a ``reason``.
+
+    Refused are unknown cases, blank values, and what a case has already: from ``attached``
+    or from an earlier request.
+    """
+    rows = requests.withColumn("value", F.trim("value"))
+    key = ["case_id", "id_type", "value"]
+    known = cases.select("case_id", F.lit(True).alias("_case"))
+    first = rows.groupBy(*key).agg(
+        F.min(F.struct("created_at", "identifier_id")).alias("_first")
+    )
+    judged = rows.join(known, "case_id", "left").join(first, key)
+    if attached is not None:
+        old = attached.select(*key).distinct().withColumn("_old", F.lit(True))
+        judged = judged.join(old, key, "left")
+    else:
+        judged = judged.withColumn("_old", F.lit(None).cast("boolean"))
+    own = F.struct("created_at", "identifier_id")
+    reason = (
+        F.when(F.col("_case").isNull(), "unknown case")
+        .when(F.coalesce("value", F.lit("")) == "", "blank value")
+        .when(F.col("_old").isNotNull() | (own != F.col("_first")), "already attached")
+    )
+    out = judged.withColumn("reason", reason).select(*requests.columns, "reason")
+    return out.where("reason IS NULL").drop("reason"), out.where("reason IS NOT NULL")
+
+
 def dangling(items: DataFrame, evidence: DataFrame, hypotheses: DataFrame) -> DataFrame:
     """Stored items that cite a missing evidence row or belong to a missing link."""
     no_evidence = items.join(evidence, "evidence_id", "left_anti").select(

@@ -129,9 +129,21 @@ def actor_links(
 
 
 def link_headers(
-    hypotheses: DataFrame, items: DataFrame, evidence: DataFrame, actors: DataFrame
+    hypotheses: DataFrame,
+    items: DataFrame,
+    evidence: DataFrame,
+    actors: DataFrame,
+    users: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per link: names, tier, capped family totals of its active items."""
+    """One row per link: names, tier, capped family totals of its active items.
+
+    With ``users`` (and a column ``reviewer_id``) the reviewer's address is added.
+    """
+    if users is not None:
+        reviewers = users.select(
+            F.col("user_id").alias("reviewer_id"), F.col("email").alias("reviewer_email")
+        )
+        hypotheses = hypotheses.join(reviewers, "reviewer_id", "left")
     live = live_items(items, evidence)
     totals = (
         family_totals(live)
@@ -449,6 +461,12 @@ def latest(rows: DataFrame, when: str, key: str, limit: int) -> DataFrame:
     return rows.orderBy(F.desc(when), key).limit(limit)
 
 
+def case_identifiers(attached: DataFrame) -> DataFrame:
+    """The identifiers of each case with their ``position``, newest first."""
+    micros = {"_newest": -F.unix_micros("created_at")}
+    return ranking.positions(attached, "case_id", ["_newest", "identifier_id"], micros)
+
+
 # --- rosters and profiles -----------------------------------------------------------------
 
 

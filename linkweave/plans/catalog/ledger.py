@@ -316,7 +316,7 @@ _LIVE = """live AS (SELECT * FROM hyp_items WHERE evidence_id NOT IN
 @entry(
     "link_headers",
     with_ctes(
-        "hypotheses hyp_items retracted caps actors",
+        "hypotheses hyp_items retracted caps actors reviews users",
         f""", {_LIVE}, ft AS (SELECT hypothesis_id, l.family, round_even(least(round(sum(contribution),
               4), max(cap)), 3) AS t FROM live l JOIN caps c ON l.family = c.family
               WHERE NOT is_contradiction GROUP BY ALL)
@@ -326,20 +326,29 @@ _LIVE = """live AS (SELECT * FROM hyp_items WHERE evidence_id NOT IN
                 THEN 'Medium Confidence' WHEN calibrated_prob >= 0.35 THEN 'Low Confidence'
                 ELSE 'Insufficient Evidence' END AS confidence_tier,
               coalesce(f.fb, '') AS family_breakdown, coalesce(n.sup, 0) AS supporting,
-              coalesce(n.con, 0) AS contradicting
-            FROM hypotheses h LEFT JOIN actors s ON h.subject_id = s.actor_id
+              coalesce(n.con, 0) AS contradicting, raw_log_lr, calibrated_prob, 'v1.0-LLR' AS
+              model_version, strftime(h.created_at, '%Y-%m-%d %H:%M:%S') AS created_at,
+              strftime(r.reviewed_at, '%Y-%m-%d %H:%M:%S') AS reviewed_at, r.reviewer_id,
+              u.email AS reviewer_email, CASE r.decision WHEN 'ACCEPT' THEN 'ACCEPTED' WHEN 'REJECT'
+              THEN 'REJECTED' WHEN 'INSUFFICIENT' THEN 'INSUFFICIENT' ELSE h.status END AS status
+            FROM hypotheses h LEFT JOIN (SELECT * FROM reviews QUALIFY row_number() OVER
+              (PARTITION BY hypothesis_id ORDER BY reviewed_at DESC, review_id DESC) = 1) r
+              ON h.hypothesis_id = r.hypothesis_id LEFT JOIN users u ON r.reviewer_id = u.user_id
+            LEFT JOIN actors s ON h.subject_id = s.actor_id
             LEFT JOIN actors o ON h.object_id = o.actor_id
             LEFT JOIN (SELECT hypothesis_id, string_agg(family || '=' || printf('%.3f', t), ','
-              ORDER BY family) AS fb FROM ft GROUP BY hypothesis_id) f USING (hypothesis_id)
+              ORDER BY family) AS fb FROM ft GROUP BY hypothesis_id) f
+              ON h.hypothesis_id = f.hypothesis_id
             LEFT JOIN (SELECT hypothesis_id, count(*) FILTER (WHERE NOT is_contradiction) AS sup,
               count(*) FILTER (WHERE is_contradiction) AS con FROM live GROUP BY 1) n
-              USING (hypothesis_id)""",
+              ON h.hypothesis_id = n.hypothesis_id""",
     ),
 )
 def link_headers(spark, d):
     out = reads.link_headers(
-        D.hypotheses(spark, d), D.hypothesis_evidence(spark, d), D.withdrawn_evidence(spark, d),
-        D.actors(spark, d),
+        ops.apply_reviews(D.hypotheses(spark, d), D.reviews(spark, d)),
+        D.hypothesis_evidence(spark, d), D.withdrawn_evidence(spark, d), D.actors(spark, d),
+        D.users(spark, d),
     )
     flat = F.transform(
         "family_breakdown",
@@ -348,7 +357,8 @@ def link_headers(spark, d):
     return out.select(
         "hypothesis_id", "subject", "object", "confidence_tier",
         F.coalesce(F.array_join(flat, ","), F.lit("")).alias("family_breakdown"),
-        "supporting", "contradicting",
+        "supporting", "contradicting", "raw_log_lr", "calibrated_prob", "model_version",
+        iso("created_at"), iso("reviewed_at"), "reviewer_id", "reviewer_email", "status",
     )
 
 
@@ -617,6 +627,64 @@ def wallet_holdings(spark, d):
     return reads.wallet_holdings(D.wallets(spark, d), D.actors(spark, d))
 
 
+@entry(
+    "wallet_co_owners",
+    with_ctes(
+        "wallets actors",
+        """, o AS (SELECT w.cluster_id, w.actor_id, a.primary_alias AS owner, min(address) AS address
+             FROM wallets w JOIN actors a ON w.actor_id = a.actor_id WHERE cluster_id IS NOT NULL
+             GROUP BY ALL)
+           SELECT w.actor_id, w.address, w.chain, w.cluster_id, o.actor_id AS co_owner_id,
+             o.owner AS co_owner, o.address AS co_owner_address FROM wallets w LEFT JOIN o
+             ON w.cluster_id = o.cluster_id AND o.actor_id <> w.actor_id
+           WHERE CAST(substr(w.actor_id, 2) AS BIGINT) % 10 = 1""",
+    ),
+)
+def wallet_co_owners(spark, d):
+    """Wallets of the actors whose number ends in 1, with the other owners of their clusters."""
+    asked = D.actors(spark, d).where("substr(actor_id, -1) = '1'")
+    everyone = D.wallets(spark, d)
+    missing = everyone.select("actor_id").distinct().where("substr(actor_id, -1) = '1'")
+    ids = asked.select("actor_id").union(missing).distinct()
+    return reads.wallet_co_owners(everyone, D.actors(spark, d), ids)
+
+
+_JUDGED = """, j AS (SELECT r.* REPLACE (trim(value) AS value), CASE WHEN c.case_id IS NULL THEN
+      'unknown case' WHEN trim(value) = '' THEN 'blank value' WHEN row_number() OVER (PARTITION BY
+      r.case_id, id_type, trim(value) ORDER BY r.created_at, identifier_id) > 1 THEN
+      'already attached' END AS reason FROM identifier_requests r LEFT JOIN cases c
+      ON r.case_id = c.case_id)"""
+
+
+@entry(
+    "case_identifiers_refused",
+    with_ctes(
+        "identifier_requests cases",
+        _JUDGED + " SELECT identifier_id, case_id, value, reason FROM j WHERE reason IS NOT NULL",
+    ),
+)
+def case_identifiers_refused(spark, d):
+    _, refused = ops.attach_identifiers(D.identifier_requests(spark, d), D.cases(spark, d))
+    return refused.select("identifier_id", "case_id", "value", "reason")
+
+
+@entry(
+    "case_identifiers_latest",
+    with_ctes(
+        "identifier_requests cases",
+        _JUDGED
+        + """ SELECT case_id, identifier_id, id_type, value, added_by, row_number() OVER (PARTITION BY
+          case_id ORDER BY created_at DESC, identifier_id) AS position FROM j WHERE reason IS NULL""",
+    ),
+)
+def case_identifiers_latest(spark, d):
+    """What could be attached, newest first within its case."""
+    added, _ = ops.attach_identifiers(D.identifier_requests(spark, d), D.cases(spark, d))
+    return reads.case_identifiers(added).select(
+        "case_id", "identifier_id", "id_type", "value", "added_by", "position"
+    )
+
+
 @entry(
     "shared_infrastructure",
     with_ctes(

@@ -330,6 +330,30 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def users(spark: SparkSession, d: str) -> DataFrame:
+    """Accounts of the reviewers: one per small customer number; some have none."""
+    return table(spark, d, "customer").where("c_custkey < 45").select(
+        F.concat(F.lit("u"), text("c_custkey")).alias("user_id"),
+        F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.org")).alias("email"),
+        F.when(F.pmod("c_custkey", F.lit(9)) == 0, "ADMIN").otherwise("ANALYST").alias("role"),
+    )
+
+
+def identifier_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers to attach to cases: repeated, blank and for unknown cases among them."""
+    k = F.col("o_custkey")
+    return table(spark, d, "orders").select(
+        F.concat(F.lit("ID"), text("o_orderkey")).alias("identifier_id"),
+        F.concat(F.lit("C"), F.pmod(k, F.lit(30)).cast("string")).alias("case_id"),
+        F.when(F.pmod(k, F.lit(3)) == 0, "handle").otherwise("wallet").alias("id_type"),
+        F.when(F.pmod("o_orderkey", F.lit(17)) == 0, "  ")
+        .otherwise(F.concat(F.lit(" x"), F.floor(k / 40).cast("string"), F.lit(" ")))
+        .alias("value"),
+        F.concat(F.lit("u"), F.pmod(k, F.lit(50)).cast("string")).alias("added_by"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+    )
+
+
 # --- observations, events, transactions ----------------------------------------------
 
 

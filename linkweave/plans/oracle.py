@@ -175,6 +175,22 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
               'REJECT', 'u7', o_orderdate + INTERVAL 2 DAY
             FROM orders WHERE o_orderpriority LIKE '1-%' AND o_orderkey % 4 = 0""",
     ),
+    "users": (
+        (),
+        """SELECT 'u' || CAST(c_custkey AS VARCHAR) AS user_id,
+              lower(replace(c_name, '#', '.')) || '@example.org' AS email,
+              CASE WHEN c_custkey % 9 = 0 THEN 'ADMIN' ELSE 'ANALYST' END AS role
+            FROM customer WHERE c_custkey < 45""",
+    ),
+    "identifier_requests": (
+        (),
+        """SELECT 'ID' || CAST(o_orderkey AS VARCHAR) AS identifier_id,
+              'C' || CAST(o_custkey % 30 AS VARCHAR) AS case_id,
+              CASE WHEN o_custkey % 3 = 0 THEN 'handle' ELSE 'wallet' END AS id_type,
+              CASE WHEN o_orderkey % 17 = 0 THEN '  ' ELSE ' x' || CAST(o_custkey // 40 AS VARCHAR)
+                || ' ' END AS value, 'u' || CAST(o_custkey % 50 AS VARCHAR) AS added_by,
+              o_orderdate AS created_at FROM orders""",
+    ),
     "actors": (
         (),
         """SELECT 'A' || CAST(c_custkey AS VARCHAR) AS actor_id, c_name AS primary_alias,
