@@ -301,29 +301,25 @@ def evidence_csv_export(spark, d):
     "link_bundles",
     with_ctes(
         "hypotheses actors aliases",
-        """, names AS (SELECT actor_id, string_agg(value, '|' ORDER BY alias_id) AS n FROM (
-               SELECT actor_id, value, min(alias_id) AS alias_id FROM aliases GROUP BY ALL)
-             WHERE (actor_id, value) NOT IN (SELECT (actor_id, primary_alias) FROM actors)
-             GROUP BY actor_id)
+        """, names AS (SELECT actor_id, value, min(alias_id) AS alias_id FROM aliases GROUP BY ALL)
            SELECT hypothesis_id AS bundle_of, 'threat-actor--' || subject_id AS actor_ref,
-             'identity--' || object_id AS target_ref, s.primary_alias || coalesce('|' || n, '')
-               AS known_as, CAST(trunc(calibrated_prob * 100) AS INTEGER) AS confidence,
-             4 AS objects
+             'identity--' || object_id AS target_ref, s.primary_alias AS known_as,
+             CAST(trunc(calibrated_prob * 100) AS INTEGER) AS confidence, 4 AS objects
            FROM hypotheses h JOIN actors s ON subject_id = s.actor_id
-           LEFT JOIN names ON names.actor_id = subject_id""",
+           UNION ALL SELECT alias_id, 'threat-actor--' || actor_id, NULL, value, NULL, 1 FROM names
+           WHERE actor_id IN (SELECT subject_id FROM hypotheses)""",
     ),
 )
 def link_bundles(spark, d):
     links = reads.with_actor_names(D.hypotheses(spark, d), D.actors(spark, d))
     out = exports.link_bundles(links, D.aliases(spark, d), "2024-01-01T00:00:00Z")
     get = lambda p: F.get_json_object("bundle", p)
+    either = lambda f: F.coalesce(get(f"$.objects[1].{f}"), get(f"$.objects[0].{f}"))
     return out.select(
         "bundle_of",
-        get("$.objects[1].id").alias("actor_ref"),
+        either("id").alias("actor_ref"),
         get("$.objects[3].source_ref").alias("target_ref"),
-        F.array_join(F.from_json(get("$.objects[1].aliases"), "array<string>"), "|").alias(
-            "known_as"
-        ),
+        F.array_join(F.from_json(either("aliases"), "array<string>"), "|").alias("known_as"),
         get("$.objects[3].confidence").cast("int").alias("confidence"),
         F.json_array_length(get("$.objects")).alias("objects"),
     )

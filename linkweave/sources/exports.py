@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from linkweave import fixed
 from linkweave.operators import graph, reads
-from linkweave.operators.nesting import nest
 
 
 def evidence_rows(detail: DataFrame) -> DataFrame:
@@ -29,27 +28,25 @@ def write_evidence_csv(detail: DataFrame, path: str) -> None:
     evidence_rows(detail).write.mode("overwrite").option("header", True).csv(path)
 
 
-def link_bundles(
-    links: DataFrame, aliases: DataFrame, stamp: str, chunk_rows: int = 1000
-) -> DataFrame:
-    """STIX 2.1 bundles: four objects per link, as JSON text.
+def link_bundles(links: DataFrame, aliases: DataFrame, stamp: str) -> DataFrame:
+    """STIX 2.1 bundles: four objects per link, and one object per alias of a subject.
 
     ``links`` carries ``hypothesis_id, subject_id, object_id, subject, object,
-    calibrated_prob, raw_log_lr``. The subject lists its own aliases. An actor with more
-    aliases than one chunk holds gets the rest in further bundles of its own, once per
-    actor, so a popular actor's list is not repeated in full for each of its links.
+    calibrated_prob, raw_log_lr``. A link names its subject; every further name is a
+    bundle of its own, once per actor, whose object has the actor's id. So records have
+    one shape and size however many names an actor or links a name has.
     """
-    own = aliases.select("actor_id", "alias_id", "value").dropDuplicates(["actor_id", "value"])
-    nested = nest(own, ["actor_id"], F.col("value"), "alias_id", "names", chunk_rows)
-    first = nested.where("chunk = 0").selectExpr("actor_id AS subject_id", "names")
+    subjects = links.select(F.col("subject_id").alias("actor_id")).distinct()
+    names = aliases.groupBy("actor_id", "value").agg(F.min("alias_id").alias("alias_id"))
+    own = names.join(subjects, "actor_id", "left_semi")
     conf = "CAST(coalesce(calibrated_prob, 0.5D) * 100 AS INT)"
     head = f"'2.1' AS spec_version"
     times = f"'{stamp}' AS created, '{stamp}' AS modified"
-    rows = links.join(first, "subject_id", "left").selectExpr(
+    rows = links.selectExpr(
         "*",
         "concat('threat-actor--', subject_id) AS actor_ref",
         "concat('identity--', object_id) AS target_ref",
-        "concat(array(subject), filter(coalesce(names, array()), n -> n <> subject)) AS known_as",
+        "array(subject) AS known_as",
     )
     text = f"""to_json(struct('bundle' AS type, concat('bundle--', hypothesis_id) AS id, {head},
         array(
@@ -66,13 +63,12 @@ def link_bundles(
             concat('relationship--', hypothesis_id) AS id, {times},
             'attributed-to' AS relationship_type, target_ref AS source_ref,
             actor_ref AS target_ref, {conf} AS confidence))) AS parts))"""
-    main = rows.selectExpr("hypothesis_id AS bundle_of", "0 AS part", f"{text} AS body")
-    rest = nested.where("chunk > 0").selectExpr(
-        "actor_id AS bundle_of",
-        "chunk AS part",
-        f"""to_json(struct('bundle' AS type, concat('bundle--', actor_id, '-', chunk) AS id,
+    main = rows.selectExpr("hypothesis_id AS bundle_of", f"{text} AS body")
+    rest = own.selectExpr(
+        "alias_id AS bundle_of",
+        f"""to_json(struct('bundle' AS type, concat('bundle--', alias_id) AS id,
           {head}, array(to_json(struct('threat-actor' AS type, {head},
-          concat('threat-actor--', actor_id) AS id, {times}, names AS aliases))) AS parts))
+          concat('threat-actor--', actor_id) AS id, {times}, array(value) AS aliases))) AS parts))
           AS body""",
     )
     # the objects were rendered one by one; join them as JSON values, not as strings
@@ -80,7 +76,6 @@ def link_bundles(
               "'array<string>'), ','), ']')"
     return main.unionByName(rest).selectExpr(
         "bundle_of",
-        "part",
         "concat('{\"type\":\"bundle\",\"id\":\"', get_json_object(body, '$.id'), "
         f"'\",\"spec_version\":\"2.1\",\"objects\":', {objects}, '}}') AS bundle",
     )
