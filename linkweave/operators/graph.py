@@ -382,7 +382,11 @@ def random_walks(
             drawn = walks.withColumn(
                 "idx", F.expr(f"pmod({draw(repr(str(seed)), 'walk_id', str(step), '0')}, deg)")
             )
-            walks = drawn.join(step_table, ["node", "idx"]).selectExpr(*MOVED)
+            walks = drawn.join(step_table, ["node", "idx"], "left").selectExpr(
+                "walk_id", "coalesce(dst, node) AS node", "dst_deg AS deg",
+                "CASE WHEN dst IS NULL THEN prev ELSE node END AS prev",
+                "CASE WHEN dst IS NULL THEN path ELSE concat(path, array(dst)) END AS path",
+            )
             if step % 5 == 0:
                 walks = cut_lineage(walks)
         else:
@@ -408,7 +412,9 @@ def _weighted_step(walks, step_table, table, seed, step, p, q):
     key = [repr(str(seed)), "walk_id", str(step), "r"]
     luck = f"(pmod({draw(*key, repr('accept'))}, 1000003) + 1) / 1000004D"
     top = max(1.0, 1.0 / p, 1.0 / q)
-    done, moving, attempt = [], walks, 0
+    # a walker on a node without ways out stays there
+    done = [walks.where("deg IS NULL").select("walk_id", "node", "deg", "prev", "path")]
+    moving, attempt = walks.where("deg IS NOT NULL"), 0
     while attempt == 0 or not moving.isEmpty():
         offers = moving.selectExpr(
             "*", f"explode(sequence({attempt}, {attempt + OFFERS - 1})) AS r"

@@ -272,7 +272,7 @@ def test_return_weight_discourages_turning_back(spark):
 
 
 def test_walkers_on_a_hub_draw_by_offer(spark, monkeypatch):
-    monkeypatch.setattr(graph, "LOW_DEGREE", 3)
+    monkeypatch.setattr(graph, "OFFERS", 2)  # several rounds of offers
     edges = _ring(spark, 10, [("hub", f"n{i}") for i in range(10)])
     known = {(r.src, r.dst) for r in edges.collect()}
     walks = graph.random_walks(edges, num_walks=1, walk_length=5, p=3.0, q=2.0).collect()
@@ -289,6 +289,7 @@ def test_neighbours_are_numbered_without_gaps_in_slabs(spark):
 def test_dead_ends_stop(spark):
     edges = spark.createDataFrame([("a", "b")], "src string, dst string")
     assert [r.path for r in graph.random_walks(edges, 1, 5).collect()] == [["a", "b"]]
+    assert [r.path for r in graph.random_walks(edges, 1, 5, 4.0, 0.5).collect()] == [["a", "b"]]
 
 
 def test_embeddings_have_unit_length(spark):
