@@ -3,24 +3,24 @@
 Every byte covered by a ``LENGTH``-byte string that also starts in a document with a
 smaller id is removed; strings are judged on the input, and never cross documents.
 
-1. Every string belongs to its minimizer, the least hashed ``GRAM``-byte string inside it.
+1. Texts are packed: compressed slices of about a megabyte, in packs of about ``PACK`` bytes.
+   Every string belongs to its minimizer, the least hashed ``GRAM``-byte string inside it.
    Neighbouring strings mostly share it, so a text falls into segments of about 67 bytes,
    and equal strings of different documents always lie in segments of the same minimizer.
-2. Segments whose minimizer occurs in a single document cannot repeat and are left out.
-   Minimizers are compared in ranges of the hash; one that a task has met twice goes there
-   once, so a passage shared by a third of all documents is no hot group.
-3. Equal segments collapse to one with the smallest id. A minimizer with a single segment is
-   done. The others lie in buckets of bounded size, each in two shards. The Burrows-Wheeler
-   transforms of the shards are merged by refining their interleave symbol by symbol; the
-   round in which two neighbours part is their common prefix, and the intervals whose
-   prefix reaches ``LENGTH`` are the repeated strings. No suffix is sorted again. A
-   minimizer with very many segments is salted over buckets, whose intervals meet by the
-   hash of their string.
-4. Smallest ids return to the segments of every document, which drops the covered bytes.
-
-Texts are shuffled once in chunks of about ``CHUNK`` bytes, and once more if something in them
-may repeat. Hashes only select candidates (48 bits), name segments and salted strings (64
-bits).
+2. Two texts with a common string share its minimizer and the 17 bytes before it or those
+   after it. Segments for which neither occurs in another document are left out. These
+   33-byte strings are compared by hash, in ranges of it; each pack names one once, so a
+   passage shared by a third of all documents is no hot group.
+3. The segments of a minimizer meet in a bucket, equal ones as one with the smallest id and
+   the packs that hold it. A minimizer with a single segment is done. The others of a bucket
+   are two shards. The Burrows-Wheeler transforms of the shards are merged by refining their
+   interleave symbol by symbol; the round in which two neighbours part is their common
+   prefix, and the intervals whose prefix reaches ``LENGTH`` are the repeated strings. No
+   suffix is sorted again. Segments at a side that very many texts share are salted over
+   buckets, whose intervals meet by the hash of their string.
+4. Smallest ids return to the packs, where the covered bytes are dropped.
+
+Hashes only select candidates (40 bits and more), name segments and salted strings (64 bits).
 
 Nulls, ties: a null text is empty; a null id neither removes nor loses anything; rows with
 the same id do not remove from one another; texts shorter than ``LENGTH`` lose nothing. An
@@ -34,6 +34,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +42,15 @@ from linkweave.llm import common
 
 LENGTH = 50
 GRAM = 16
-CHUNK = 1 << 20
-#: Minimizers in a range, and pairs gathered in a task before they are handed on.
-RANGE = 200_000
-GATHER = 3_000_000
-#: Bytes of segments in a bucket; a minimizer with more of them is salted.
-BUCKET = 1 << 18
-SALTED = 1 << 20
+PACK = 1 << 25
+#: Bytes before or after a minimizer that a common string shares.
+SIDE = (LENGTH - GRAM + 1) // 2
+#: Hashes in a range.
+RANGE = 400_000
+#: Bytes of text whose repeated segments make a bucket.
+BUCKET = 1 << 20
+#: Texts that share a side from which its segments are salted.
+HOT = 50_000
 
 _A = [pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64) for k in range(4)]
 
@@ -56,11 +59,11 @@ _A = [pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64) for k in range(4)]
 
 
 def segments(data: np.ndarray, offsets: np.ndarray):
-    """``key, first, last, row``: runs of string starts with one minimizer, in text order."""
+    """``key, first, last, row, place``: runs of string starts with one minimizer, in text order."""
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < LENGTH:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     h = common._BYTE[data]
     for k in range(4):
         h = h[: -(1 << k)] * np.uint64(_A[k]) + h[1 << k :]
@@ -74,8 +77,6 @@ def segments(data: np.ndarray, offsets: np.ndarray):
         have += step
     place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     # starts whose string stays inside its text
-    size = np.diff(offsets)
-    inside = np.ones(n + 1, bool)
     cut = np.maximum(offsets[1:] - LENGTH + 1, offsets[:-1])
     mark = np.zeros(n + 1, np.int64)
     np.add.at(mark, cut, 1)
@@ -83,24 +84,23 @@ def segments(data: np.ndarray, offsets: np.ndarray):
     inside = np.cumsum(mark)[: len(place)] == 0
     starts = np.flatnonzero(inside)
     if not len(starts):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     row = np.searchsorted(offsets, starts, "right") - 1
     at = place[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    del size
-    return h[at[first]], starts[first], starts[last], row[first]
+    return h[at[first]], starts[first], starts[last], row[first], at[first]
 
 
-def pack(values: np.ndarray) -> bytes:
+def pack_values(values: np.ndarray) -> bytes:
     """Ascending 64-bit values in few bytes."""
     step = np.diff(values, prepend=values[:1] * 0)
     return zlib.compress(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def unpack(blob: bytes) -> np.ndarray:
+def unpack_values(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
@@ -113,179 +113,253 @@ def _runs(values: np.ndarray):
     return zip([0, *edge.tolist()], [*edge.tolist(), len(values)], strict=True)
 
 
-def _candidates(rows: DataFrame, n_ranges: int) -> DataFrame:
-    """``chunk, keys``: packed 48-bit minimizers of each chunk that some other text has too."""
-
-    def emit(keys, chunks):
-        order = np.lexsort((chunks, keys))
-        keys, chunks = keys[order], chunks[order]
-        first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
-        begin = np.flatnonzero(first)
-        count = np.diff(np.append(begin, len(keys)))
-        twice = np.repeat(count > 1, count)
-        # met twice here: known to repeat, the chunks can be told at once
-        out = {"part": [], "chunk": [], "keys": [], "chunks": [], "known": []}
-        c, k = chunks[twice], keys[twice]
-        order = np.lexsort((k, c))
-        c, k = c[order], k[order]
-        for a, b in _runs(c):
-            out["part"].append(-1)
-            out["chunk"].append(int(c[a]))
-            out["keys"].append(pack(np.unique(k[a:b])))
-            out["chunks"].append(None)
-            out["known"].append(None)
-        keys, chunks, known = keys[begin], chunks[begin].astype(np.int32), count > 1
-        part = ((keys >> np.uint64(16)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
-        for a, b in _runs(part):
-            out["part"].append(int(part[a]))
-            out["chunk"].append(-1)
-            out["keys"].append(pack(keys[a:b]))
-            out["chunks"].append(zlib.compress(chunks[a:b].view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
-            out["known"].append(np.packbits(known[a:b]).tobytes())
+def sides(data: np.ndarray, offsets: np.ndarray, place: np.ndarray, row: np.ndarray):
+    """Hashes of the minimizers with what stands before and after them; 0 where a text ends."""
+    out = []
+    for before, after in ((SIDE, 0), (0, SIDE)):
+        a, b = place - before, place + GRAM + after
+        ok = (a >= offsets[row]) & (b <= offsets[row + 1])
+        h = np.zeros(len(place), np.uint64)
+        h[ok] = common.span_hashes(data, a[ok], b[ok]) | np.uint64(1)
+        out.append(h)
+    return out
+
+
+def packs(docs: DataFrame) -> DataFrame:
+    """``pack, ids, sizes, body``: the documents in compressed slices."""
+
+    def run(batches):
+        import zstandard
+
+        press, size = zstandard.ZstdCompressor(level=6), 0
+        task = TaskContext.get().partitionId() << 24
+        for batch in batches:
+            for part, data, offsets in common.slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([task | size // PACK], pa.int64()),
+                        pa.ListArray.from_arrays(
+                            pa.array([0, part.num_rows], pa.int32()), part.column("doc_id")
+                        ),
+                        pa.array([np.diff(offsets)], pa.list_(pa.int64())),
+                        pa.array([press.compress(data.tobytes())], pa.binary()),
+                    ],
+                    names=["pack", "ids", "sizes", "body"],
+                )
+                size += len(data)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "pack long, ids array<long>, sizes array<long>, body binary"
+    )
+
+
+def _slices(batch):
+    """``ids (nulls kept), bytes, offsets`` of the slices in a batch or table of packs."""
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    for ids, sizes, body in zip(*(batch.column(c) for c in ("ids", "sizes", "body")), strict=True):
+        data = np.frombuffer(press.decompress(body.as_py()), np.uint8)
+        yield ids.values, data, np.concatenate([[0], np.cumsum(np.asarray(sizes.values, np.int64))])
+
+
+def _candidates(packed: DataFrame, total: int) -> DataFrame:
+    """``pack, keys, hot``: for each pack the packed side hashes that another text has too."""
+    n_ranges = max(1, -(-total // (9 * RANGE)))
+    bits = max(40, int(total).bit_length() + 8)
+    drop = np.uint64(64 - bits)
+
+    def emit(pack, held):
+        keys, count = np.unique(np.concatenate(held), return_counts=True)
+        count = np.minimum(count, 1 << 15).astype(np.uint16)
+        part = ((keys >> np.uint64(bits - 32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+        cut = list(_runs(part))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(out["part"], pa.int64()), pa.array(out["chunk"], pa.int64()),
-                pa.array(out["keys"], pa.binary()), pa.array(out["chunks"], pa.binary()),
-                pa.array(out["known"], pa.binary()),
+                pa.array([int(part[a]) for a, _ in cut], pa.int64()),
+                pa.array([pack] * len(cut), pa.int64()),
+                pa.array([pack_values(keys[a:b]) for a, b in cut], pa.binary()),
+                pa.array([zlib.compress(count[a:b].tobytes(), 1) for a, b in cut], pa.binary()),
             ],
-            names=list(out),
-        )
+            names=["part", "pack", "keys", "counts"],
+        )
 
     def scan(batches):
-        held, size = [], 0
+        now, held = None, []
         for batch in batches:
-            for part, data, offsets in common.slices(batch, "text"):
-                key, _, _, row = segments(data, offsets)
-                if not len(key):
-                    continue
-                chunk = part.column("chunk").to_numpy()
-                one = np.unique(np.stack([row.astype(np.uint64), key >> np.uint64(16)], 1), axis=0)
-                held.append((one[:, 1].copy(), chunk[one[:, 0].astype(np.int64)]))
-                size += len(one)
-                if size >= GATHER:
-                    yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held, size = [], 0
+            for pack, (_, data, offsets) in zip(batch.column("pack").to_pylist(), _slices(batch), strict=True):
+                if pack != now and held:
+                    yield emit(now, held)
+                    held = []
+                now = pack
+                _, _, _, row, place = segments(data, offsets)
+                both = np.concatenate(sides(data, offsets, place, row))
+                doc = np.concatenate([row, row])[both > 0]
+                key = both[both > 0] >> drop
+                if len(key):
+                    one = np.lexsort((key, doc))
+                    new = np.ones(len(one), bool)
+                    new[1:] = (key[one][1:] != key[one][:-1]) | (doc[one][1:] != doc[one][:-1])
+                    held.append(key[one][new])
         if held:
-            yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield emit(now, held)
 
     def compare(table: pa.Table) -> pa.Table:
-        keys, chunks, known = [], [], []
-        for k, c, m in zip(*(table.column(x).to_pylist() for x in ("keys", "chunks", "known")), strict=True):
-            keys.append(unpack(k))
-            planes = np.frombuffer(zlib.decompress(c), np.uint8).reshape(4, -1)
-            chunks.append(np.ascontiguousarray(planes.T).view(np.int32).ravel())
-            known.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(keys[-1])).astype(bool))
-        keys, chunks, known = (np.concatenate(x) for x in (keys, chunks, known))
-        order = np.argsort(keys, kind="stable")
-        keys, chunks, known = keys[order], chunks[order], known[order]
-        same = keys[1:] == keys[:-1]
-        again = np.zeros(len(keys), bool)
-        again[1:] |= same
-        again[:-1] |= same
-        # those a task knew have told their chunks already
-        again &= ~known
-        k, c = keys[again], chunks[again]
-        order = np.lexsort((k, c))
-        k, c = k[order], c[order]
-        found = [(int(c[a]), pack(np.unique(k[a:b]))) for a, b in _runs(c)]
-        return pa.table(
-            {
-                "chunk": pa.array([x[0] for x in found], pa.int64()),
-                "keys": pa.array([x[1] for x in found], pa.binary()),
-            }
+        blobs = [unpack_values(k) for k in table.column("keys").to_pylist()]
+        count = np.concatenate(
+            [np.frombuffer(zlib.decompress(m), np.uint16) for m in table.column("counts").to_pylist()]
         )
+        keys, source = np.concatenate(blobs), np.repeat(np.arange(len(blobs)), [len(b) for b in blobs])
+        order = np.argsort(keys, kind="stable")
+        keys, source, count = keys[order], source[order], count[order].astype(np.int64)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        begin = np.flatnonzero(new)
+        docs = np.repeat(np.add.reduceat(count, begin), np.diff(np.append(begin, len(keys))))
+        packs_of = table.column("pack").to_numpy()
+        out = {"pack": [], "keys": [], "hot": []}
+        for wanted, hot in (((docs > 1) & (docs < HOT), False), (docs >= HOT, True)):
+            mine = source[wanted]
+            back = np.argsort(mine, kind="stable")
+            some, mine = keys[wanted][back], mine[back]
+            for a, b in _runs(mine):
+                out["pack"].append(int(packs_of[mine[a]]))
+                out["keys"].append(pack_values(some[a:b]))
+                out["hot"].append(hot)
+        types = (pa.int64(), pa.binary(), pa.bool_())
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
-    told = common.stash(
-        rows.select("chunk", "text").mapInArrow(
-            scan, "part long, chunk long, keys binary, chunks binary, known binary"
-        ),
-        "minimizers",
-    )
-    met = (
-        told.where("part >= 0")
-        .select("part", "keys", "chunks", "known")
+    return (
+        packed.mapInArrow(scan, "part long, pack long, keys binary, counts binary")
         .groupBy("part")
-        .applyInArrow(compare, "chunk long, keys binary")
+        .applyInArrow(compare, "pack long, keys binary, hot boolean")
     )
-    return told.where("part < 0").select("chunk", "keys").unionByName(met)
 
 
 # --- segments -----------------------------------------------------------------------------------
 
-_CUT = (
-    "doc_id long, n_bytes long, text binary, sha string, hashes binary, firsts binary, lasts binary, "
-    "key long, hash long, seg binary, least long"
-)
 
+def _named(data: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hash that names a segment: its bytes and its minimizer."""
+    return common.mix64(common.span_hashes(data, first, last + LENGTH) ^ key)
 
-def _cut(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """A row per text (with its candidate segments) and a row per segment of a chunk."""
-    types = [
-        pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.binary(), pa.binary(), pa.binary(),
-        pa.int64(), pa.int64(), pa.binary(), pa.int64(),
-    ]
-    names = [x.split()[0] for x in _CUT.split(", ")]
 
-    def cut(texts: pa.Table, told: pa.Table) -> pa.Table:
-        wanted = [unpack(b) for b in told.column("keys").to_pylist()]
-        wanted = np.unique(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
-        out = []
-        for batch in texts.combine_chunks().to_batches():
-            for part, data, offsets in common.slices(batch, "text"):
-                ids = part.column("doc_id")
-                key, first, last, row = segments(data, offsets)
-                has = np.asarray(ids.is_valid())
-                some = key >> np.uint64(16)
-                at = np.minimum(np.searchsorted(wanted, some), max(0, len(wanted) - 1))
-                good = (wanted[at] == some) & has[row] if len(wanted) else np.zeros(len(key), bool)
-                key, first, last, row = key[good], first[good], last[good], row[good]
-                h = common.span_hashes(data, first, last + LENGTH)
-                h = common.mix64(h ^ key)
-                count = np.bincount(row, minlength=part.num_rows)
-                edge = np.concatenate([[0], np.cumsum(count)])
-                body = data.tobytes()
-                texts_out, sha, hs, fs, ls = [], [], [], [], []
-                for k in range(part.num_rows):
-                    piece = body[offsets[k] : offsets[k + 1]]
-                    if not count[k]:
-                        texts_out.append(None)
-                        sha.append(hashlib.sha256(piece).hexdigest())
-                        hs.append(None), fs.append(None), ls.append(None)
-                        continue
-                    a, b = edge[k], edge[k + 1]
-                    texts_out.append(piece)
-                    sha.append(None)
-                    hs.append(h[a:b].tobytes())
-                    fs.append((first[a:b] - offsets[k]).astype(np.int32).tobytes())
-                    ls.append((last[a:b] - offsets[k]).astype(np.int32).tobytes())
-                n = part.num_rows
-                out.append(
-                    pa.table(
-                        [ids, pa.array(np.diff(offsets)), *(pa.array(x, t) for x, t in zip((texts_out, sha, hs, fs, ls), types[2:7], strict=True)), *(pa.nulls(n, t) for t in types[7:])],
-                        names=names,
-                    )
-                )
-                if len(h):
-                    doc = np.asarray(ids.fill_null(0))[row]
-                    order = np.lexsort((doc, h))
-                    one = np.ones(len(order), bool)
-                    one[1:] = h[order][1:] != h[order][:-1]
-                    pick = order[one]
-                    pieces = [body[a : b + LENGTH] for a, b in zip(first[pick], last[pick], strict=True)]
-                    m = len(pick)
-                    out.append(
-                        pa.table(
-                            [*(pa.nulls(m, t) for t in types[:7]), pa.array(key[pick].view(np.int64)), pa.array(h[pick].view(np.int64)), pa.array(pieces, pa.binary()), pa.array(doc[pick])],
-                            names=names,
-                        )
-                    )
-        if not out:
-            return pa.table([pa.nulls(0, t) for t in types], names=names)
-        return pa.concat_tables(out)
-
-    # a chunk without candidates still needs its texts; one without texts has no candidates
-    return rows.groupBy("chunk").cogroup(candidates.groupBy("chunk")).applyInArrow(cut, _CUT)
+def _cut(packed: DataFrame, candidates: DataFrame, total: int, buckets: int) -> DataFrame:
+    """``bucket, salted, pack, segs, sizes, ids``: distinct segments of each pack, by bucket.
+
+    ``segs`` holds them one after the other, ``ids`` the smallest and the largest id of each.
+    A segment with a hot side is salted: dealt by its own hash. One whose other side is shared
+    by fewer texts is listed with its minimizer as well.
+    """
+    drop = np.uint64(64 - max(40, int(total).bit_length() + 8))
+    names = ["bucket", "salted", "pack", "segs", "sizes", "ids"]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+    def told_keys(told: pa.Table, hot: bool) -> np.ndarray:
+        blobs = [
+            unpack_values(k)
+            for k, x in zip(told.column("keys").to_pylist(), told.column("hot").to_pylist(), strict=True)
+            if x == hot
+        ]
+        return np.unique(np.concatenate(blobs)) if blobs else np.zeros(0, np.uint64)
+
+    def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+        if not len(ordered):
+            return np.zeros(len(values), bool)
+        at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+        return ordered[at] == values
+
+    def cut(rows: pa.Table, told: pa.Table) -> pa.Table:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        none = pa.table([pa.nulls(0, t) for t in types], names=names)
+        if not told.num_rows or not rows.num_rows:
+            return none
+        wanted = {hot: told_keys(told, hot) for hot in (False, True)}
+        held: dict = {False: [], True: []}
+        texts = []
+        for ids, data, offsets in _slices(rows):
+            key, first, last, row, place = segments(data, offsets)
+            valid, doc = np.asarray(ids.is_valid())[row], np.asarray(ids.fill_null(0))[row]
+            side = sides(data, offsets, place, row)
+            for hot in (False, True):
+                good = valid & ((side[0] > 0) & among(side[0] >> drop, wanted[hot]) | (side[1] > 0) & among(side[1] >> drop, wanted[hot]))
+                if good.any():
+                    a, b = first[good], last[good] + LENGTH
+                    h = _named(data, key[good], first[good], last[good])
+                    held[hot].append((h, key[good], doc[good], a, b, np.full(len(a), len(texts))))
+            texts.append(data.tobytes())
+        out = {n: [] for n in names}
+        pack = rows.column("pack")[0].as_py()
+        for hot, found in held.items():
+            if not found:
+                continue
+            h, key, doc, a, b, where = (np.concatenate(x) for x in zip(*found, strict=True))
+            bucket = common.mix64(h if hot else key) % np.uint64(buckets)
+            order = np.lexsort((doc, h, bucket))
+            new = np.ones(len(order), bool)
+            new[1:] = h[order][1:] != h[order][:-1]
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(order)) - 1
+            pick, most = order[begin], doc[order[end]]
+            size = (b - a)[pick]
+            for lo, hi in _runs(bucket[pick]):
+                out["bucket"].append(int(bucket[pick[lo]]))
+                out["salted"].append(hot)
+                out["pack"].append(pack)
+                mine = pick[lo:hi]
+                spans = zip(where[mine].tolist(), a[mine].tolist(), b[mine].tolist(), strict=True)
+                out["segs"].append(press.compress(b"".join([texts[w][i:j] for w, i, j in spans])))
+                out["sizes"].append(zlib.compress(size[lo:hi].astype(np.uint16).tobytes(), 1))
+                both = np.stack([doc[pick[lo:hi]], most[lo:hi]])
+                out["ids"].append(zlib.compress(both.view(np.uint8).reshape(-1, 8).T.tobytes(), 1))
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=names)
+
+    return (
+        packed.groupBy("pack")
+        .cogroup(candidates.groupBy("pack"))
+        .applyInArrow(
+            cut, "bucket long, salted boolean, pack long, segs binary, sizes binary, ids binary"
+        )
+    )
+
+
+def _gathered(table: pa.Table):
+    """The distinct segments of a bucket: ``strings, hashes, keys, least, most, packs``.
+
+    ``packs`` lists for each segment the packs that hold it.
+    """
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    body, size, least, most, pack = [], [], [], [], []
+    for p, segs, sizes, ids in zip(*(table.column(c).to_pylist() for c in ("pack", "segs", "sizes", "ids")), strict=True):
+        body.append(np.frombuffer(press.decompress(segs), np.uint8))
+        size.append(np.frombuffer(zlib.decompress(sizes), np.uint16).astype(np.int64))
+        planes = np.frombuffer(zlib.decompress(ids), np.uint8).reshape(8, -1)
+        both = np.ascontiguousarray(planes.T).view(np.int64).reshape(2, -1)
+        least.append(both[0]), most.append(both[1])
+        pack.append(np.full(len(size[-1]), p))
+    body, size, least, most, pack = (np.concatenate(x) for x in (body, size, least, most, pack))
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    # every start in a segment has the same minimizer, so the first tells it
+    key, first, _, row, _ = segments(body, offsets)
+    head = np.flatnonzero(np.diff(row, prepend=-1))
+    key = key[head]
+    h = _named(body, key, offsets[:-1], offsets[1:] - LENGTH)
+    order = np.lexsort((h, key))
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    begin = np.flatnonzero(new)
+    pick = order[begin]
+    whole = body.tobytes()
+    strings = [whole[offsets[k] : offsets[k + 1]] for k in pick.tolist()]
+    packs_of = np.split(pack[order], begin[1:])
+    return (
+        strings, h[pick], key[pick], np.minimum.reduceat(least[order], begin),
+        np.maximum.reduceat(most[order], begin), packs_of,
+    )
 
 
 # --- Burrows-Wheeler transforms -------------------------------------------------------------------
@@ -398,165 +472,114 @@ def least_ids(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     return np.split(out, base[1:-1])
 
 
+def _steps(ids: np.ndarray) -> bytes:
+    """Equal neighbours as one (first place, id) pair."""
+    edge = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+    return np.stack([edge, ids[edge]], 1).astype(np.int64).tobytes()
+
+
+def _found(strings: list[bytes], key: np.ndarray, least: np.ndarray) -> list[np.ndarray]:
+    """For each segment (in the order of its minimizer) the smallest id of each of its strings."""
+    found: list = [None] * len(strings)
+    several: list[int] = []
+    for a, b in _runs(key):
+        if b - a == 1:
+            found[a] = np.full(len(strings[a]) - LENGTH + 1, least[a])
+        else:
+            several += range(a, b)
+    if several:
+        for k, f in zip(several, least_ids([strings[k] for k in several], least[several]), strict=True):
+            found[k] = f
+    return found
+
+
 def _intervals(segs: DataFrame) -> DataFrame:
-    """``hash, least, starts``: the smallest id of a segment's strings, one for all or a list."""
-    n_bytes = F.octet_length("seg")
-    busy = (
-        segs.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(n_bytes).alias("size"))
-        .where("n > 1")
-    )
-    total = busy.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // BUCKET))
-    salts = F.when(F.col("size") > SALTED, F.ceil(F.col("size") / SALTED)).otherwise(1)
-    side = busy.select("key", salts.cast("long").alias("salts"))
-    placed = common.stash(
-        segs.join(side, "key", "left").withColumn(
-            "bucket",
-            F.pmod(F.xxhash64("key", F.pmod("hash", "salts")), F.lit(buckets)),
-        ),
-        "buckets",
-    )
-    alone = placed.where("salts IS NULL").select(
-        "hash", "least", F.lit(None).cast("binary").alias("starts")
+    """``pack, hash, steps``: the smallest id of every string of the segments of each pack.
+
+    A segment that no other text shares any string with is left out.
+    """
+
+    def plain(table: pa.Table) -> pa.Table:
+        strings, h, key, least, most, packs_of = _gathered(table)
+        out = {"pack": [], "hash": [], "steps": []}
+        names = h.view(np.int64).tolist()
+        for k, f in enumerate(_found(strings, key, least)):
+            if least[k] == most[k] and (f == least[k]).all():
+                continue
+            held, steps = packs_of[k].tolist(), _steps(f)
+            out["pack"] += held
+            out["hash"] += [names[k]] * len(held)
+            out["steps"] += [steps] * len(held)
+        types = (pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+
+    columns = ["bucket", "pack", "segs", "sizes", "ids"]
+    result = (
+        segs.where(~F.col("salted"))
+        .select(*columns)
+        .groupBy("bucket")
+        .applyInArrow(plain, "pack long, hash long, steps binary")
     )
 
-    def run(table: pa.Table) -> pa.Table:
-        strings, ids = table.column("seg").to_pylist(), table.column("least").to_numpy()
-        found = least_ids(strings, ids) if len(strings) > 1 else [np.full(len(strings[0]) - LENGTH + 1, ids[0])]
-        salted = table.column("salts").to_pylist()
+    # segments with a hot side: the intervals of their buckets meet by the hash of the string
+    def spread(table: pa.Table) -> pa.Table:
+        strings, h, key, least, _, packs_of = _gathered(table)
+        found = _found(strings, key, least)
+        size = [len(f) for f in found]
         grams = []
-        for s, k in zip(strings, salted, strict=True):
-            if k == 1:
-                grams.append(None)
-                continue
-            data = np.frombuffer(s, np.uint8)
-            a = np.arange(len(s) - LENGTH + 1)
-            grams.append(common.span_hashes(data, a, a + LENGTH).tobytes())
+        for s in strings:
+            at = np.arange(len(s) - LENGTH + 1)
+            grams.append(common.span_hashes(np.frombuffer(s, np.uint8), at, at + LENGTH))
+        held = [p.tolist() for p in packs_of]
         return pa.table(
             {
-                "key": table.column("key"),
-                "hash": table.column("hash"),
-                "starts": pa.array([f.tobytes() for f in found], pa.binary()),
-                "grams": pa.array(grams, pa.binary()),
+                "hash": np.repeat(h.view(np.int64), size),
+                "at": np.concatenate([np.arange(n) for n in size]),
+                "gram": np.concatenate(grams).view(np.int64),
+                "least": np.concatenate(found),
+                # the packs stand in a segment's first row only
+                "packs": pa.array(
+                    [p if not k else None for p, n in zip(held, size, strict=True) for k in range(n)],
+                    pa.list_(pa.int64()),
+                ),
             }
         )
 
-    shared = placed.where("salts IS NOT NULL").select("bucket", "key", "salts", "hash", "seg", "least")
-    found = common.stash(
-        shared.groupBy("bucket").applyInArrow(run, "key long, hash long, starts binary, grams binary"),
-        "intervals",
-    )
-    plain = found.where("grams IS NULL").select("hash", F.lit(None).cast("long").alias("least"), "starts")
-
-    # salted minimizers: the intervals of their buckets meet by the hash of the string
-    def spread(batches):
-        for batch in batches:
-            for key, h, starts, grams in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-                ids = np.frombuffer(starts, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([key] * len(ids), pa.int64()), pa.array([h] * len(ids), pa.int64()),
-                        pa.array(range(len(ids)), pa.int32()), pa.array(np.frombuffer(grams, np.int64)), pa.array(ids),
-                    ],
-                    names=["key", "hash", "at", "gram", "least"],
-                )
-
-    each = found.where("grams IS NOT NULL").select("key", "hash", "starts", "grams").mapInArrow(
-        spread, "key long, hash long, at int, gram long, least long"
-    )
-    lowest = each.groupBy("key", "gram").agg(F.min("least").alias("lowest"))
-
     def gather(table: pa.Table) -> pa.Table:
         ordered = table.sort_by("at")
+        packs_of = ordered.column("packs")[0].as_py()
+        n = len(packs_of)
         return pa.table(
             {
-                "hash": ordered.column("hash").slice(0, 1),
-                "least": pa.nulls(1, pa.int64()),
-                "starts": pa.array([ordered.column("lowest").to_numpy().tobytes()], pa.binary()),
+                "pack": pa.array(packs_of, pa.int64()),
+                "hash": pa.array([ordered.column("hash")[0].as_py()] * n, pa.int64()),
+                "steps": pa.array([_steps(ordered.column("lowest").to_numpy())] * n, pa.binary()),
             }
         )
 
-    joined = (
-        each.join(lowest, ["key", "gram"])
-        .select("hash", "at", "lowest")
+    salted = segs.where("salted").select(*columns)
+    if salted.isEmpty():
+        return result
+    each = common.stash(
+        salted.groupBy("bucket").applyInArrow(
+            spread, "hash long, at long, gram long, least long, packs array<long>"
+        ),
+        "salted",
+    )
+    lowest = each.groupBy("gram").agg(F.min("least").alias("lowest"))
+    met = (
+        each.join(lowest, "gram")
+        .select("hash", "at", "lowest", "packs")
         .groupBy("hash")
-        .applyInArrow(gather, "hash long, least long, starts binary")
+        .applyInArrow(gather, "pack long, hash long, steps binary")
     )
-    return alone.unionByName(plain).unionByName(joined)
+    return result.unionByName(met)
 
 
 # --- texts --------------------------------------------------------------------------------------
 
 
-def _removed(texts: DataFrame, intervals: DataFrame) -> DataFrame:
-    """``row, runs``: for each text its (start, end) pairs of bytes to remove, packed."""
-
-    def occurrences(batches):
-        for batch in batches:
-            for row, doc, hashes, firsts, lasts in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-                h = np.frombuffer(hashes, np.int64)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, row)), pa.array(np.full(n, doc)), pa.array(h),
-                        pa.array(np.frombuffer(firsts, np.int32)), pa.array(np.frombuffer(lasts, np.int32)),
-                    ],
-                    names=["row", "doc_id", "hash", "first", "last"],
-                )
-
-    def covered(batches):
-        for batch in batches:
-            rows, starts, ends = [], [], []
-            for row, doc, first, blob in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-                hit = np.frombuffer(blob, np.int64) < doc
-                edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-                rows += [row] * (len(edge) // 2)
-                starts += (first + edge[::2]).tolist()
-                ends += (first + edge[1::2] - 1 + LENGTH).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
-                names=["row", "a", "b"],
-            )
-
-    pieces = texts.where("hashes IS NOT NULL").select("row", "doc_id", "hashes", "firsts", "lasts")
-    # Arrow batches of packed rows are small, so that unpacked they stay small
-    found = pieces.mapInArrow(
-        occurrences, "row long, doc_id long, hash long, first int, last int"
-    ).join(intervals, "hash")
-    whole = found.where("starts IS NULL AND least < doc_id").select(
-        "row", F.col("first").alias("a"), (F.col("last") + LENGTH).alias("b")
-    )
-    some = found.where("starts IS NOT NULL").select("row", "doc_id", "first", "starts").mapInArrow(
-        covered, "row long, a int, b int"
-    )
-    return whole.unionByName(some).groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs")
-    )
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for every row of ``docs``.
-
-    ``kept`` is the remaining text as bytes where something was removed, else null.
-    """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_chunks = max(1, -(-total // CHUNK))
-    n_ranges = max(1, -(-total // (18 * RANGE)))
-    rows = base.withColumn(
-        "chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(n_chunks))
-    )
-    parts = common.stash(
-        _cut(rows, _candidates(rows, n_ranges)).withColumn("row", F.monotonically_increasing_id()), "texts"
-    )
-    texts = parts.where("n_bytes IS NOT NULL")
-    segs = (
-        parts.where("hash IS NOT NULL")
-        .groupBy("hash")
-        .agg(F.first("key").alias("key"), F.first("seg").alias("seg"), F.min("least").alias("least"))
-    )
-    runs = _removed(texts, common.stash(_intervals(common.stash(segs, "segments")), "least"))
+def _drop(packed: DataFrame, intervals: DataFrame) -> DataFrame:
     schema = pa.schema(
         [
             ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
@@ -564,32 +587,72 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         ]
     )
 
-    def drop(batches):
-        for batch in batches:
-            out = {f.name: [] for f in schema}
-            for doc, size, text, sha, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "text", "sha", "runs")), strict=True):
-                removed = spans = 0
-                kept, at = [], 0
-                for r in found or ():
-                    if r["a"] > at or not spans:
-                        kept.append(text[at : r["a"]])
-                        spans += 1
-                        removed += r["b"] - r["a"]
-                        at = r["b"]
-                    elif r["b"] > at:
-                        removed += r["b"] - at
-                        at = r["b"]
-                body = b"".join([*kept, text[at:]]) if spans else None
-                values = (doc, size, removed, spans, sha if text is None else hashlib.sha256(text if body is None else body).hexdigest(), body)
-                for name, value in zip(out, values, strict=True):
-                    out[name].append(value)
-            yield common.tables(out, schema)
+    def drop(rows: pa.Table, told: pa.Table) -> pa.Table:
+        hashes = told.column("hash").to_numpy().view(np.uint64) if told.num_rows else np.zeros(0, np.uint64)
+        order = np.argsort(hashes)
+        hashes, steps = hashes[order], told.column("steps").take(pa.array(order)).to_pylist()
+        # a segment may be told twice, with its minimizer and salted
+        out = []
+        for ids, data, offsets in _slices(rows):
+            key, first, last, row, _ = segments(data, offsets)
+            h = _named(data, key, first, last)
+            at, to = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+            hit = to > at
+            valid, doc = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0))
+            mark = np.zeros(len(data) + 1, np.int32)
+            for k in np.flatnonzero(hit & valid[row]).tolist():
+                for j in range(at[k], to[k]):
+                    pairs = np.frombuffer(steps[j], np.int64).reshape(-1, 2)
+                    ends = [*pairs[1:, 0].tolist(), int(last[k] - first[k]) + 1]
+                    for (a, lowest), b in zip(pairs.tolist(), ends, strict=True):
+                        if lowest < doc[row[k]]:
+                            mark[first[k] + a] += 1
+                            mark[first[k] + b - 1 + LENGTH] -= 1
+            gone = np.cumsum(mark[:-1]) > 0
+            edge = gone.copy()
+            edge[1:] &= ~gone[:-1]
+            starts = offsets[:-1][np.diff(offsets) > 0]
+            edge[starts] = gone[starts]
+            total = np.concatenate([[0], np.cumsum(gone)])
+            spans = np.concatenate([[0], np.cumsum(edge)])
+            removed, runs = total[offsets[1:]] - total[offsets[:-1]], spans[offsets[1:]] - spans[offsets[:-1]]
+            sha, kept = [], []
+            for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                body = data[a:b]
+                if removed[k]:
+                    kept.append(body[~gone[a:b]].tobytes())
+                    sha.append(hashlib.sha256(kept[-1]).hexdigest())
+                else:
+                    kept.append(None)
+                    sha.append(hashlib.sha256(body).hexdigest())
+            out.append(
+                pa.table(
+                    [
+                        ids, pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs),
+                        pa.array(sha, pa.string()), pa.array(kept, pa.binary()),
+                    ],
+                    schema=schema,
+                )
+            )
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return (
-        texts.select("row", "doc_id", "n_bytes", "text", "sha")
-        .join(runs, "row", "left")
-        .select("doc_id", "n_bytes", "text", "sha", "runs")
-        .mapInArrow(
+        packed.groupBy("pack")
+        .cogroup(intervals.groupBy("pack"))
+        .applyInArrow(
             drop, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
         )
     )
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for every row of ``docs``.
+
+    ``kept`` is the remaining text as bytes where something was removed, else null.
+    """
+    packed = common.stash(packs(docs), "packs")
+    sizes = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    total = packed.agg(F.coalesce(F.sum(sizes), F.lit(0))).first()[0]
+    buckets = max(1, -(-total // BUCKET))
+    segs = common.stash(_cut(packed, _candidates(packed, total), total, buckets), "segments")
+    return _drop(packed, _intervals(segs))
