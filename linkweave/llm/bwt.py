@@ -479,13 +479,14 @@ def _steps(ids: np.ndarray) -> bytes:
 
 
 def _found(strings: list[bytes], key: np.ndarray, least: np.ndarray) -> list[np.ndarray]:
-    """For each segment (in the order of its minimizer) the smallest id of each of its strings."""
+    """For each segment (in the order of its minimizer) the smallest id of each of its strings.
+
+    None where the minimizer has no other segment: there the segment's own smallest id holds.
+    """
     found: list = [None] * len(strings)
     several: list[int] = []
     for a, b in _runs(key):
-        if b - a == 1:
-            found[a] = np.full(len(strings[a]) - LENGTH + 1, least[a])
-        else:
+        if b - a > 1:
             several += range(a, b)
     if several:
         for k, f in zip(several, least_ids([strings[k] for k in several], least[several]), strict=True):
@@ -503,10 +504,12 @@ def _intervals(segs: DataFrame) -> DataFrame:
         strings, h, key, least, most, packs_of = _gathered(table)
         out = {"pack": [], "hash": [], "steps": []}
         names = h.view(np.int64).tolist()
+        single = least == most
         for k, f in enumerate(_found(strings, key, least)):
-            if least[k] == most[k] and (f == least[k]).all():
+            if single[k] and (f is None or (f == least[k]).all()):
                 continue
-            held, steps = packs_of[k].tolist(), _steps(f)
+            held = packs_of[k].tolist()
+            steps = np.array([0, least[k]], np.int64).tobytes() if f is None else _steps(f)
             out["pack"] += held
             out["hash"] += [names[k]] * len(held)
             out["steps"] += [steps] * len(held)
@@ -524,7 +527,10 @@ def _intervals(segs: DataFrame) -> DataFrame:
     # segments with a hot side: the intervals of their buckets meet by the hash of the string
     def spread(table: pa.Table) -> pa.Table:
         strings, h, key, least, _, packs_of = _gathered(table)
-        found = _found(strings, key, least)
+        found = [
+            np.full(len(s) - LENGTH + 1, n) if f is None else f
+            for s, n, f in zip(strings, least, _found(strings, key, least), strict=True)
+        ]
         size = [len(f) for f in found]
         grams = []
         for s in strings:
@@ -591,7 +597,10 @@ def _drop(packed: DataFrame, intervals: DataFrame) -> DataFrame:
         hashes = told.column("hash").to_numpy().view(np.uint64) if told.num_rows else np.zeros(0, np.uint64)
         order = np.argsort(hashes)
         hashes, steps = hashes[order], told.column("steps").take(pa.array(order)).to_pylist()
-        # a segment may be told twice, with its minimizer and salted
+        n_steps = np.array([len(b) // 16 for b in steps], np.int64)
+        first_step = np.cumsum(n_steps) - n_steps
+        pairs = np.frombuffer(b"".join(steps), np.int64).reshape(-1, 2)
+        least = np.minimum.reduceat(pairs[:, 1], first_step) if len(pairs) else pairs[:, 1]
         out = []
         for ids, data, offsets in _slices(rows):
             key, first, last, row, _ = segments(data, offsets)
@@ -600,14 +609,23 @@ def _drop(packed: DataFrame, intervals: DataFrame) -> DataFrame:
             hit = to > at
             valid, doc = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0))
             mark = np.zeros(len(data) + 1, np.int32)
-            for k in np.flatnonzero(hit & valid[row]).tolist():
-                for j in range(at[k], to[k]):
-                    pairs = np.frombuffer(steps[j], np.int64).reshape(-1, 2)
-                    ends = [*pairs[1:, 0].tolist(), int(last[k] - first[k]) + 1]
-                    for (a, lowest), b in zip(pairs.tolist(), ends, strict=True):
-                        if lowest < doc[row[k]]:
-                            mark[first[k] + a] += 1
-                            mark[first[k] + b - 1 + LENGTH] -= 1
+            # a segment may be told twice, with its minimizer and salted
+            seg = np.flatnonzero(hit & valid[row])
+            times = (to - at)[seg]
+            told_at = np.repeat(at[seg] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            seg = np.repeat(seg, times)
+            lower = least[told_at] < doc[row[seg]] if len(seg) else np.zeros(0, bool)
+            seg, told_at = seg[lower], told_at[lower]
+            whole = n_steps[told_at] == 1
+            np.add.at(mark, first[seg[whole]], 1)
+            np.add.at(mark, last[seg[whole]] + LENGTH, -1)
+            for k, j in zip(seg[~whole].tolist(), told_at[~whole].tolist(), strict=True):
+                own = pairs[first_step[j] : first_step[j] + n_steps[j]].tolist()
+                ends = [*[p[0] for p in own[1:]], int(last[k] - first[k]) + 1]
+                for (x, lowest), y in zip(own, ends, strict=True):
+                    if lowest < doc[row[k]]:
+                        mark[first[k] + x] += 1
+                        mark[first[k] + y - 1 + LENGTH] -= 1
             gone = np.cumsum(mark[:-1]) > 0
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
