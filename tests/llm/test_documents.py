@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -122,6 +123,112 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert not any(r.contaminated for r in empty)
 
 
+def _template_words(text):
+    """``literal, kind, wide kind`` of every word, said once more in plain Python."""
+    out, before, number = [], True, False
+    for m in re.finditer(r"[^\x20\x09-\x0D]+|\n", text or ""):
+        w = m[0]
+        core = re.sub(r"^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", "", w)
+        if core:
+            capital = len(core) > 1 and core[0].isupper() and not core[1].isupper()
+            unit = number and not core[0].isdigit() and core.lower() in templates.UNITS
+            number = core[0].isdigit()
+            kind = "N" if number else "U" if unit else "P" if capital and not before else ""
+            wide = "P" if not kind and capital and core.lower() not in templates.OPENERS else kind
+            out.append((core.lower(), kind, wide))
+        before = w == "\n" or w[-1] in ".!?:;"
+    return out
+
+
+def _template_runs(w, i, size, form):
+    """The runs that stand for the window at i: itself or grown to two literals."""
+    free = [k for k in range(len(w)) if not w[k][form]]
+    inside = [k for k in free if i <= k < i + size]
+    need = 2 - len(inside)
+    if len(inside) == size:
+        return
+    if need <= 0:
+        yield i, i + size
+        return
+    left, right = [k for k in free if k < i], [k for k in free if k >= i + size]
+    for a in range(need + 1):
+        if a <= len(left) and need - a <= len(right):
+            yield (left[-a] if a else i), (right[need - a - 1] + 1 if need > a else i + size)
+
+
+def _template_found(item, text):
+    a, b = _template_words(item), _template_words(text)
+    if not a:
+        return False
+    size, wide = min(5, len(a)), min(5, len(b))
+    count = len(a) - size + 1
+    seq = lambda w, f: tuple(f"<{x[f]}>" if f and x[f] else x[0] for x in w)
+    found, runs = set(), []
+    there = defaultdict(list)
+    for j in range(len(b) - wide + 1 if b else 0):
+        there[(0, seq(b[j : j + wide], 0))].append(j)
+        for f in (1, 2):
+            for s, e in _template_runs(b, j, wide, f):
+                there[(1, seq(b[s:e], f))].append(s)
+    for i in range(count):
+        if size == 5 or size == wide == len(b):
+            found |= {i} if there[(0, seq(a[i : i + size], 0))] else set()
+        for f in (1, 2):
+            for s, e in _template_runs(a, i, size, f):
+                runs += [(i, f, s, e, t - s) for t in set(there[(1, seq(a[s:e], f))])]
+    for shift in {r[4] for r in runs}:
+        maps = defaultdict(set)
+        for f in (1, 2):
+            for _, _, s, e, _ in (r for r in runs if r[4] == shift and r[1] == f):
+                for k in range(s, e):
+                    if a[k][f] in ("N", "P"):
+                        maps[a[k][0]].add(b[k + shift][0])
+            if all(len(v) == 1 for v in maps.values()):
+                found |= {r[0] for r in runs if r[4] == shift and r[1] == f}
+    return len(found) >= 0.8 * count
+
+
+def test_other_numbers_and_names_are_found(spark):
+    """Questions whose windows are dense with slots, or whose names open sentences."""
+    apples = "Anna has 12 apples. Anna gives Tom 5 apples. Tom eats 2 of them."
+    pairs = [
+        ("Add 12 cm and 15 cm and 20 cm then 7 kg", "Add 3 m and 4 m and 99 m then 1 g"),
+        ("Work out 12 + 34 + 56 + 78 + 90 + 11 as one sum", "Work out 1 + 2 + 3 + 4 + 5 + 6 as one sum"),
+        (apples, "Maria has 15 apples. Maria gives Ben 7 apples. Ben eats 3 of them."),
+    ]
+    bench = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(pairs)], "item_id long, text string")
+    docs = [(k, f"Well then. {b} And so on") for k, (_, b) in enumerate(pairs)]
+    docs += [(k + 10, b) for k, (_, b) in enumerate(pairs)]
+    # one name for two, and only numbers in common
+    docs += [(20, "Maria has 15 apples. Ben gives Tom 7 apples. Eve eats 3 of them."), (21, "1 + 2 + 3 + 4 + 5 + 6")]
+    got = templates.report(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    found = {r.doc_id: r.item_ids for r in got}
+    assert found == {**{k: [k] for k in range(3)}, **{k + 10: [k] for k in range(3)}, 20: [], 21: []}
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(3)
+    pool = ["Anna", "Ben", "Tom", "12", "5", "7", "kg", "cm", "has", "then", "apples", "gives", "Then", "red.", "+"]
+    make = lambda n: " ".join(rng.choice(pool) + rng.choice(["", "", "", ".", ",", "\n"]) for _ in range(n))
+    swap = lambda t: re.sub(
+        "Anna|Ben|12|5|red", lambda m: {"Anna": "Eve", "Ben": "Max", "12": "31", "5": "8"}.get(m[0], m[0]), t
+    )
+    items = [(k, make(rng.randint(1, 24))) for k in range(60)]
+    docs = [(k, f"{make(rng.randint(0, 6))} {rng.choice([str, swap])(t)} {make(rng.randint(0, 6))}") for k, t in items]
+    docs += [(k + 100, swap(t)) for k, t in items] + [(k + 200, make(30)) for k in range(20)] + [(300, None)]
+    got = templates.report(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    ).collect()
+    texts = dict(docs)
+    hits = 0
+    for r in got:
+        want = [k for k, t in items if _template_found(t, texts[r.doc_id])]
+        assert r.item_ids == want, (r.doc_id, texts[r.doc_id])
+        hits += len(want)
+    assert hits > 100
+
+
 # --- secrets ---------------------------------------------------------------------------------------
 
 
