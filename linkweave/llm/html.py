@@ -4,9 +4,13 @@ A page becomes a tree; subtrees that cannot belong to an article (navigation, pa
 and footer, sidebars, forms, scripts, adverts, notices, reader comments, hidden parts) are
 left out. Every paragraph gives points for its length and commas to its ancestors, whole
 points to its parent and a falling share to those above; a container's points are
-discounted by its link density. The best container is kept, with siblings that score
-well or are prose of their own; an element that holds nearly all of the best
-container's points and adds paragraphs of its own takes its place.
+discounted by its link density. An ``article`` element counts all points below it and
+``BONUS`` more. The best container is kept whole. From there the way goes up to the root:
+at every level, parts beside it with few links are added if the points below them, not
+falling, are a fifth of the best container's, if they carry its class (or are a second
+article), or if they are prose of their own. Beside the best container, and wherever a
+level adds such a part, headings, short paragraphs, lists, bare text and inline elements
+that are not mostly links stay as well.
 
 The text of a kept part comes in page order, blocks joined by one space, white space
 inside a block as one space, character references decoded; nothing is cut. Pages are
@@ -61,6 +65,10 @@ OWN_END = {
 }
 SCOPE = frozenset({"table", "td", "th", "caption", "button", "object", "template", "html", "body"})
 PARAGRAPH = frozenset({"p", "pre", "blockquote", "td", "li", "dd"})
+PROSE = 80
+BONUS = 25.0
+HEADING = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+LISTS = frozenset({"ul", "ol", "dl", "table"})
 ASIDE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|"
     r"nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-bar|aside|widget|widgets|footer|masthead|"
@@ -85,15 +93,20 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(
     r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>\"']|$)", re.I
 )
+CLASS = re.compile(r"(?:^|\s)class\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
 class Node:
-    """An element: its tag, parent and parts (texts and elements) in order."""
+    """An element: its tag, parent, class and parts (texts and elements) in order.
 
-    __slots__ = ("tag", "parent", "parts", "points")
+    ``points`` fall on the way up, ``mass`` does not.
+    """
 
-    def __init__(self, tag: str, parent: Node | None):
+    __slots__ = ("tag", "parent", "parts", "points", "mass", "mark")
+
+    def __init__(self, tag: str, parent: Node | None, mark: str = ""):
         self.tag, self.parent, self.parts, self.points = tag, parent, [], 0.0
+        self.mass, self.mark = 0.0, mark
 
 
 def _aside(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -193,7 +206,8 @@ def parse(page: str) -> Node:
                 stack.append(None)
                 skipped += 1
             else:
-                child = Node(tag, node)
+                mark = CLASS.search(attributes) if attributes else None
+                child = Node(tag, node, mark[1].strip("\"'") if mark else "")
                 node.parts.append(child)
                 stack.append(child)
                 node = child
@@ -278,6 +292,7 @@ def main_text(page: str | None) -> str:
             continue
         points = 1 + text.count(",") + min(3.0, len(text) / 100)
         points *= 1 - _density(x, size)
+        x.mass += points
         up, k = (x.parent if inner else x), 0
         while up is not None and k < 5:
             if up.points == 0.0:
@@ -286,33 +301,98 @@ def main_text(page: str | None) -> str:
             up, k = up.parent, k + 1
     if not scored:
         return " ".join(blocks(root))
-    place = {id(x): k for k, x in enumerate(_walk(root))}
+    order = list(_walk(root))
+    for x in reversed(order):
+        if x.parent is not None:
+            x.parent.mass += x.mass
+    place = {id(x): k for k, x in enumerate(order)}
     value = {id(x): x.points * (1 - _density(x, size)) for x in scored}
-    best = max(scored, key=lambda x: (value[id(x)], -place[id(x)]))
-    # the article element around the best container is the article as its author marked it
-    up = best
-    while up is not None:
-        if up.tag == "article":
-            return " ".join(blocks(up))
-        up = up.parent
-    parent = best.parent
-    if parent is None:
-        return " ".join(blocks(best))
-    least = max(10.0, 0.2 * value[id(best)])
-    kept = []
-    for p in parent.parts:
-        if not isinstance(p, Node):
+    articles = [x for x in order if x.tag == "article" and x.mass]
+    value |= {id(x): x.mass * (1 - _density(x, size)) + BONUS for x in articles}
+    best = max(scored + articles, key=lambda x: (value[id(x)], -place[id(x)]))
+    return " ".join(blocks(_with_company(best, size)))
+
+
+def _with_company(best: Node, size: dict) -> Node:
+    """The best container with what belongs to it at the levels above."""
+    least = 0.2 * best.mass * (1 - _density(best, size))
+    kept, at = best, best
+    while at.parent is not None:
+        up = at.parent
+        strong = {
+            id(p) for p in up.parts if isinstance(p, Node) and p is not at and _strong(p, at, best, least, size)
+        }
+        parts: list[str | Node] = []
+        for run in _runs(up.parts):
+            if run[0] is at:
+                parts.append(kept)
+            elif isinstance(run[0], Node) and id(run[0]) in strong:
+                parts.append(run[0])
+            elif (strong or at is best) and _weak(run, size):
+                parts.extend(run)
+            elif _is_inline(run[0]) and _weak(run, size) and sum(_sizes(p, size)[0] for p in run) > PROSE:
+                parts.extend(run)
+            else:
+                parts.append(Node("br", None))
+        if any(isinstance(p, str) or (p is not kept and p.parts) for p in parts):
+            kept = Node(up.tag, None)
+            kept.parts = parts
+        at = up
+    return kept
+
+
+def _strong(p: Node, at: Node, best: Node, least: float, size: dict) -> bool:
+    """Whether an element beside the way from the best container belongs to the article by itself."""
+    text, _ = size[id(p)]
+    dense = _density(p, size)
+    if not text or dense >= 0.25:
+        return False
+    if p.tag == "article" and p.mark and p.mark != best.mark and ASIDE_WORDS.search(p.mark):
+        return False
+    if p.tag in PARAGRAPH:
+        return text > PROSE
+    if any(p.tag == x.tag and p.mark == x.mark and (p.mark or p.tag == "article") for x in (at, best)):
+        return True
+    prose = any(x.tag in PARAGRAPH for x in _walk(p))
+    return p.mass * (1 - dense) >= (least if prose else max(10.0, least))
+
+
+def _weak(run: list, size: dict) -> bool:
+    """Whether a part stays in the company of others: headings, short paragraphs, lists, text."""
+    first = run[0]
+    if _is_inline(first):
+        text, link = (sum(x) for x in zip(*(_sizes(p, size) for p in run), strict=True))
+        return text > 0 and link < 0.5 * text
+    text, _ = size[id(first)]
+    dense = _density(first, size)
+    return (
+        first.tag in HEADING
+        or (first.tag in PARAGRAPH and text > 0 and dense == 0)
+        or (first.tag in LISTS and text > 0 and dense < 0.25)
+    )
+
+
+def _is_inline(p: str | Node) -> bool:
+    return isinstance(p, str) or (p.tag not in BLOCK and not p.mass)
+
+
+def _sizes(p: str | Node, size: dict) -> tuple[int, int]:
+    return (len(p.strip()), 0) if isinstance(p, str) else size[id(p)]
+
+
+def _runs(parts: list):
+    """Runs of text and inline elements, and every other element by itself."""
+    run: list = []
+    for p in parts:
+        if _is_inline(p):
+            run.append(p)
             continue
-        text, _ = size[id(p)]
-        dense = _density(p, size)
-        if (
-            p is best
-            or value.get(id(p), 0.0) >= least
-            or p.tag in ("h1", "h2", "h3")
-            or (p.tag in PARAGRAPH and ((text > 80 and dense < 0.25) or (text and dense == 0)))
-        ):
-            kept.append(p)
-    return " ".join(t for p in kept for t in blocks(p))
+        if run:
+            yield run
+            run = []
+        yield [p]
+    if run:
+        yield run
 
 
 def extract(pages: DataFrame) -> DataFrame:

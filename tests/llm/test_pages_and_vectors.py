@@ -91,6 +91,32 @@ def test_main_text():
     assert html.main_text(deep) == "down, here"
 
 
+def test_main_text_is_whole():
+    said = "One, two, three and some more words of the {} part, which goes on. "
+    part = lambda name, n=3: f"<p>{(said * n).format(*[name] * n)}</p>"
+    flat = lambda *names: " ".join((said * 3).format(*[x] * 3).strip() for x in names)
+    menu = '<div class="menu"><a href=#>x</a></div><div><a href=#>More of this</a> <a href=#>and that</a></div>'
+    # nested wrappers without an article, equal parts
+    rows = "".join(f'<div class="row"><div class="col">{part(x)}</div></div>' for x in "abc")
+    assert html.main_text(f'{menu}<div class="content">{rows}</div>') == flat(*"abc")
+    bare = "".join(f"<div><div>{part(x)}</div></div>" for x in "abc")
+    assert html.main_text(f"{menu}<div>{bare}</div>") == flat(*"abc")
+    # a short last row of the same kind
+    end = '<div class="row"><div class="col"><p>The end.</p></div></div>'
+    assert html.main_text(f'{menu}<div class="content">{rows}{end}</div>') == flat(*"abc") + " The end."
+    # bare text and inline elements beside the best container, links by themselves not
+    beside = f'<div>Lead <b>in</b> <a href=#>w</a>.<div>{part("a")}{part("b")}</div>A <em>last</em> word.<hr><a href=#>next</a></div>'
+    assert html.main_text(menu + beside) == f"Lead in w. {flat('a', 'b')} A last word."
+    # articles: two, one beside a longer text without the tag, one that is a small teaser
+    two = f"<article>{part('a')}{part('b')}</article><article>{part('c')}</article>"
+    assert html.main_text(f"<main>{menu}{two}</main>") == flat(*"abc")
+    assert html.main_text(f"<article>{part('a')}</article><article><p>Short end.</p></article>") == flat("a") + " Short end."
+    long = "".join(part(x) for x in "abcdefgh")
+    teaser = "<article><a href=#>Another story to read</a></article>"
+    assert html.main_text(f"<div><div>{long}</div>{teaser}</div>") == flat(*"abcdefgh")
+    assert html.main_text(f"<div><article>{part('a')}</article><div>{part('b')}</div></div>") == flat("a", "b")
+
+
 def test_extract_keeps_every_page(spark):
     ship_code(spark)
     rows = [(1, "u", "<p>Hello, you</p>", 7), (1, "u", "<p>Hello, you</p>", 7), (None, None, None, None), (2, "v", "", 0)]
