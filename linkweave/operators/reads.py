@@ -438,6 +438,23 @@ def wallet_co_owners(
     )
 
 
+def wallets_and_cluster_owners(wallets: DataFrame, actors: DataFrame) -> DataFrame:
+    """All wallets with their cluster, and each owner of a cluster once with their first address.
+
+    A wallet's co-owners are the owners of its cluster other than its own actor; the pairs
+    are not written out, as they grow with the square of a cluster.
+    """
+    own = wallets.select(
+        F.lit("wallet").alias("kind"), "cluster_id", "actor_id", "address", "chain",
+        F.lit(None).cast("string").alias("owner"),
+    )
+    owners = cluster_owners(wallets, actors).select(
+        F.lit("owner").alias("kind"), "cluster_id", "actor_id", "address",
+        F.lit(None).cast("string").alias("chain"), F.col("actor").alias("owner"),
+    )
+    return own.unionByName(owners)
+
+
 def shared_infrastructure(services: DataFrame) -> DataFrame:
     """Favicon hashes and certificate digests on more than one service."""
     parts = [

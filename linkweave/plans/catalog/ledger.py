@@ -649,6 +649,22 @@ def wallet_co_owners(spark, d):
     return reads.wallet_co_owners(everyone, D.actors(spark, d), ids)
 
 
+@entry(
+    "wallet_clusters_with_owners",
+    with_ctes(
+        "wallets actors",
+        """SELECT 'wallet' AS kind, cluster_id, actor_id, address, chain,
+             CAST(NULL AS VARCHAR) AS owner FROM wallets UNION ALL
+           SELECT 'owner', w.cluster_id, w.actor_id, min(address), NULL, primary_alias
+           FROM wallets w JOIN actors a ON w.actor_id = a.actor_id WHERE cluster_id IS NOT NULL
+           GROUP BY w.cluster_id, w.actor_id, primary_alias""",
+    ),
+)
+def wallet_clusters_with_owners(spark, d):
+    """The co-owners of every wallet, as clusters and their owners instead of pairs."""
+    return reads.wallets_and_cluster_owners(D.wallets(spark, d), D.actors(spark, d))
+
+
 _JUDGED = """, j AS (SELECT r.* REPLACE (trim(value) AS value), CASE WHEN c.case_id IS NULL THEN
       'unknown case' WHEN trim(value) = '' THEN 'blank value' WHEN row_number() OVER (PARTITION BY
       r.case_id, id_type, trim(value) ORDER BY r.created_at, identifier_id) > 1 THEN

@@ -183,6 +183,31 @@ def test_wallet_co_owners(spark):
     assert (row.wallet_count, row.clustered_count, row.shared_cluster_count) == (3, 2, 1)
 
 
+def test_every_wallet_gets_its_co_owners(spark, small):
+    from linkweave.plans import catalog
+    from linkweave.plans import derive as D
+
+    fn, _ = catalog.entries()["wallet_clusters_with_owners"]
+    rows = fn(spark, small).collect()
+    w, who = D.wallets(spark, small), D.actors(spark, small)
+    assert sorted(str((r.cluster_id, r.actor_id, r.address, r.chain)) for r in rows if r.kind == "wallet") == sorted(
+        str((r.cluster_id, r.actor_id, r.address, r.chain)) for r in w.collect()
+    )
+    owners = {}
+    for r in rows:
+        if r.kind == "owner":
+            owners.setdefault(r.cluster_id, []).append((r.actor_id, r.owner, r.address))
+    got = []
+    for r in rows:
+        if r.kind == "wallet":
+            others = [o for o in owners.get(r.cluster_id, []) if o[0] != r.actor_id] or [(None, None, None)]
+            got += [str((r.actor_id, r.address, r.chain, r.cluster_id, *o)) for o in others]
+    want = reads.wallet_co_owners(w, who, w.select("actor_id").distinct()).collect()
+    assert sorted(got) == sorted(str(tuple(r)) for r in want)
+    asked = {r.actor_id for r in rows if r.kind == "wallet"}
+    assert any(not a.endswith("1") for a in asked)
+
+
 def test_search_takes_wildcards_literally(spark):
     who = spark.createDataFrame([("a", "100%_sure", "x"), ("b", "1000", "x")],
                                 "actor_id string, primary_alias string, category string")
