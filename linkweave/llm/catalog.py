@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import bwt, common, html, langid, mixing, quota, secrets, superminhash, templates, vafile, warc
+from linkweave.llm import (
+    alignment, bwt, common, dualtree, html, langid, mixing, packing, quota, secrets, superminhash,
+    templates, vafile, warc,
+)
 
 
 WARC_SQL = """
@@ -26,6 +29,33 @@ SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITI
   ORDER BY score DESC, vec_id))::INT rank FROM s) WHERE rank <= 20"""
 
 
+def _codes_sql(rounds: int = dualtree.ROUNDS) -> str:
+    """Lloyd's rounds written out: p parts, c codebooks, a assignments."""
+    far = "list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    sql = """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) e,
+  row_number() OVER (ORDER BY vec_id, embedding) r FROM embeddings WHERE embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, vec_id, label, k, e[k * len(e) // 8 + 1 : (k + 1) * len(e) // 8] v
+  FROM e, (SELECT unnest(range(8)) k)),
+c0 AS MATERIALIZED (SELECT k, (r - 1)::BIGINT i, v FROM p WHERE r <= 16)"""
+    for n in range(rounds + 1):
+        sql += f""",
+a{n} AS MATERIALIZED (SELECT r, k, min_by(i, (d, i)) i, min(d) d
+  FROM (SELECT p.r, p.k, c.i, {far} d FROM p JOIN c{n} c USING (k)) GROUP BY r, k)"""
+        if n < rounds:
+            sql += f""",
+m{n} AS (SELECT k, i, list(x ORDER BY j) v FROM (SELECT k, i, j, ((s - ((s % n + n) % n)) // n)::BIGINT x
+  FROM (SELECT k, i, j, sum(x)::BIGINT s, count(*) n FROM (SELECT p.k, a.i, unnest(p.v) x, unnest(range(len(p.v))) j
+    FROM p JOIN a{n} a USING (r, k)) GROUP BY k, i, j)) GROUP BY k, i),
+c{n + 1} AS MATERIALIZED (SELECT c.k, c.i, coalesce(m.v, c.v) v FROM c{n} c LEFT JOIN m{n} m USING (k, i))"""
+    return sql + f""",
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY k, i)) codebooks_sha256 FROM c{rounds}),
+o AS (SELECT r, string_agg(printf('%02x', i), '' ORDER BY k) code, sum(d)::BIGINT error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT label_error, codebooks_sha256
+FROM o JOIN e USING (r), h"""
+
+
 def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(common.scan(spark, sf_dir, "documents"))
 
@@ -68,6 +98,18 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.taken(common.scan(spark, sf_dir, "documents"))
 
 
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.quantise(common.scan(spark, sf_dir, "embeddings"))
+
+
+def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(common.scan(spark, sf_dir, "documents"))
+
+
+def token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(common.scan(spark, sf_dir, "documents"))
+
+
 def entries() -> dict:
     return {
         "op1_secret_spans": (secret_spans, secrets.ORACLE_SQL),
@@ -80,4 +122,7 @@ def entries() -> dict:
         "op8_source_mix": (source_mix, None),
         "op9_superminhash_near_duplicates": (near_duplicates, None),
         "op10_template_decontamination": (decontamination, None),
+        "op11_dual_tree_codes": (vector_codes, _codes_sql()),
+        "op12_best_fit_packing": (packed_pieces, None),
+        "op13_pointer_jumping": (token_groups, None),
     }
