@@ -39,7 +39,9 @@ from linkweave.llm import common, tokens
 
 #: Most pairs that are broadcast: 24 bytes each.
 FREQUENT = 131_072
-_TOKENS = "row long, doc_id long, a_ids array<int>, b_ids array<int>"
+_TOKENS = (
+    "row long, doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
+)
 _FACTS = (
     "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
     "count_sum long, groups_sha256 string, rare array<struct<pair:long,n:long>>"
@@ -116,46 +118,58 @@ def links(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
 
 
-def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """``row, doc_id, a_ids, b_ids`` of every text; ``row`` is unique."""
+def _fits(table: tuple[list[bytes], np.ndarray], ids: list[list[int]], chunks: list[bytes]) -> list[bool]:
+    """Whether the bytes of the ids are those of the chunk."""
+    entries, length = table
+    flat = [i for x in ids for i in x]
+    if b"".join([entries[i] for i in flat]) == b"".join(chunks):  # then lengths decide
+        ends = np.append(0, np.cumsum(length[np.array(flat, np.int64)]))
+        at = ends[np.append(0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))))]
+        return (np.diff(at) == np.fromiter(map(len, chunks), np.int64, len(chunks))).tolist()
+    return [_joined(entries, x) == c for x, c in zip(ids, chunks, strict=True)]
+
+
+def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """``row, doc_id, a_ids, b_ids, a_sizes, b_sizes`` of every text; ``row`` is unique.
+
+    The sizes say how many A and B tokens each group has, in order.
+    """
+
+    def encode_a(chunks: list[bytes]) -> list[tuple[bytes, bool]]:
+        ids = tokens.byte_ids(a_path, chunks)
+        return list(zip(tokens.packed(ids), _fits(_table(byte_table, a_path), ids, chunks), strict=True))
 
-    def encode(chunks: list[bytes]) -> list[tuple[bytes, bytes, bool]]:
-        a_bytes, b_bytes = _table(byte_table, a_path)[0], _table(piece_table, b_path)[0]
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        a, b = tokens.byte_ids(a_path, texts), tokens.piece_ids(b_path, [t[1:] for t in texts])
-        same = [
-            _joined(a_bytes, x) == c and _joined(b_bytes, y) == c
-            for c, x, y in zip(chunks, a, b, strict=True)
-        ]
-        return list(zip(tokens.packed(a), tokens.packed(b), same, strict=True))
+    def encode_b(chunks: list[bytes]) -> list[tuple[bytes, bool]]:
+        ids = tokens.piece_ids(b_path, [c[1:].decode("utf-8", "replace") for c in chunks])
+        return list(zip(tokens.packed(ids), _fits(_table(piece_table, b_path), ids, chunks), strict=True))
 
     def whole(text: bytes) -> tuple[bytes, bytes]:
         """Ids of a text some chunk of which differs from its bytes."""
-        plain = text.decode("utf-8", "replace")
-        a, b = tokens.byte_ids(a_path, [plain])[0], tokens.piece_ids(b_path, [plain[1:]])[0]
-        fits = _joined(_table(byte_table, a_path)[0], a) == text == _joined(_table(piece_table, b_path)[0], b)
-        return tuple(tokens.packed([a, b])) if fits else (b"", b"")
+        (a, a_fits), (b, b_fits) = encode_a([text])[0], encode_b([text])[0]
+        return (a, b) if a_fits and b_fits else (b"", b"")
 
-    def slab_rows(memo, data, offsets):
+    def slab_ids(memos, data, offsets):
         """Flat A ids with their counts per text, and the same of B."""
-        n = len(offsets) - 1
-        size = np.diff(offsets)
+        n, size = len(offsets) - 1, np.diff(offsets)
         # a space goes before each text that is not empty
         spaced = offsets + np.concatenate([[0], np.cumsum(size > 0)])
         own = np.full(int(spaced[-1]), 0x20, np.uint8)
         own[np.arange(len(data)) + np.repeat(np.cumsum(size > 0), size)] = data
         if not len(own):
             return [(np.zeros(0, np.uint32), np.zeros(n, np.int64))] * 2
-        cuts = tokens.space_cuts(own, spaced)
-        found, codes = memo(own, cuts)
-        at = np.searchsorted(cuts, spaced)
-        bad = np.array([not x[2] for x in found], bool)[codes]
-        odd = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(bad)])[at]))
-        again = {int(r): whole(own[spaced[r] : spaced[r + 1]].tobytes()) for r in odd}
+        sides, odd = [], np.zeros(n, bool)
+        for memo, cuts_of in zip(memos, (tokens.byte_cuts, tokens.space_cuts), strict=True):
+            cuts = cuts_of(own, spaced)
+            found, codes = memo(own, cuts)
+            at = np.searchsorted(cuts, spaced)
+            bad = np.array([not x[1] for x in found], bool)
+            if bad.any():
+                odd |= np.diff(np.concatenate([[0], np.cumsum(bad[codes])])[at]) > 0
+            ids, lengths = tokens.gather([x[0] for x in found], codes)
+            sides.append((ids, np.concatenate([[0], np.cumsum(lengths)])[at]))
+        again = {int(r): whole(own[spaced[r] : spaced[r + 1]].tobytes()) for r in np.flatnonzero(odd)}
         out = []
-        for side in (0, 1):
-            ids, lengths = tokens.gather([x[side] for x in found], codes)
-            ends = np.concatenate([[0], np.cumsum(lengths)])[at]
+        for side, (ids, ends) in enumerate(sides):
             count = np.diff(ends)
             if again:
                 parts, last = [], 0
@@ -166,8 +180,12 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             out.append((ids, count))
         return out
 
+    def lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.int32)))
+
     def run(batches):
-        memo = tokens.Memo(encode)
+        memos = tokens.Memo(encode_a), tokens.Memo(encode_b)
+        length = [_table(byte_table, a_path)[1], _table(piece_table, b_path)[1]]
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, offsets = common.flat(batch.column("text"))
@@ -176,18 +194,19 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 last = int(np.searchsorted(offsets, offsets[first] + tokens.SLAB, "right")) - 1
                 last = min(max(last, first + 1), batch.num_rows)
                 o = offsets[first : last + 1]
-                sides = slab_rows(memo, data[o[0] : o[-1]], o - o[0])
-                lists = [
-                    pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(ids.astype(np.int32))
-                    )
-                    for ids, count in sides
-                ]
-                numbers = pa.array(np.arange(row, row + last - first))
+                (a, n_a), (b, n_b) = slab_ids(memos, data[o[0] : o[-1]], o - o[0])
+                a_sizes, b_sizes = groups(np.cumsum(length[0][a]), np.cumsum(length[1][b]))
+                a_ends = np.append(0, np.cumsum(n_a))
+                of_group = np.searchsorted(np.append(0, np.cumsum(a_sizes)), a_ends)
                 yield pa.RecordBatch.from_arrays(
-                    [numbers, batch.column("doc_id").slice(first, last - first), *lists],
-                    names=["row", "doc_id", "a_ids", "b_ids"],
-                )
+                    [
+                        pa.array(np.arange(row, row + last - first)),
+                        batch.column("doc_id").slice(first, last - first),
+                        lists(a, a_ends), lists(b, np.append(0, np.cumsum(n_b))),
+                        lists(a_sizes, of_group), lists(b_sizes, of_group),
+                    ],
+                    names=[f.split()[0] for f in _TOKENS.split(", ")],
+                )
                 row += last - first
                 first = last
 
@@ -195,7 +214,7 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 def _slabs(batch: pa.RecordBatch, a_path: str, b_path: str):
-    """Runs of rows of ``tokenised`` with ids, ends and first tokens of both sides."""
+    """Runs of rows of ``aligned`` with ids, ends and first tokens of both sides."""
     sides = []
     for name in ("a_ids", "b_ids"):
         column = batch.column(name)
@@ -214,24 +233,6 @@ def _slabs(batch: pa.RecordBatch, a_path: str, b_path: str):
         first = last
 
 
-def aligned(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """``row, doc_id, a_ids, b_ids, a_sizes, b_sizes``: tokens of each group, in order."""
-
-    def run(batches):
-        for batch in batches:
-            for first, last, (_, a_end, a_at), (_, b_end, _) in _slabs(batch, a_path, b_path):
-                sizes = groups(a_end, b_end)
-                at = np.concatenate([[0], np.cumsum(sizes[0])])
-                offsets = pa.array(np.searchsorted(at, a_at), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(s.astype(np.int32))) for s in sizes]
-                part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, *lists], names=[*part.schema.names, "a_sizes", "b_sizes"]
-                )
-
-    return rows.mapInArrow(run, _TOKENS + ", a_sizes array<int>, b_sizes array<int>")
-
-
 def pair_counts(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """``pair, n, best`` over all texts; ``pair`` is ``a_id << 32 | b_id``."""
 
@@ -243,7 +244,7 @@ def pair_counts(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
 
     counts = common.stash(
-        rows.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs"
+        rows.select("a_ids", "b_ids").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs"
     )
     b_id = F.col("pair").bitwiseAND((1 << 32) - 1).alias("b_id")
     top = counts.groupBy(b_id).agg(F.max("n").alias("top"))  # a row per id of the vocabulary
@@ -268,7 +269,7 @@ def digest(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
     a_path = a_path or tokens.file_of("byte_bpe_50k.json")
     b_path = b_path or tokens.file_of("piece_bpe_32k.model")
     spark = docs.sparkSession
-    rows = common.stash(aligned(tokenised(docs, a_path, b_path), a_path, b_path), "aligned")
+    rows = common.stash(aligned(docs, a_path, b_path), "aligned")
     counts = common.stash(pair_counts(rows, a_path, b_path), "counts")
 
     # the lowest power of two from which at most FREQUENT pairs are left

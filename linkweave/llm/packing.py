@@ -124,8 +124,7 @@ def texts_ids(texts: pa.Array, memo: tokens.Memo, path: str) -> Iterator[tuple[i
         last = int(np.searchsorted(offsets, offsets[first] + tokens.SLAB, "right")) - 1
         last = min(max(last, first + 1), n)
         own = offsets[first : last + 1] - offsets[first]
-        part = data[offsets[first] : offsets[last]]
-        cuts = tokens.word_cuts(part, own)
+        part, own, cuts = tokens.words(data[offsets[first] : offsets[last]], own)
         if len(part):
             ids, lengths = tokens.gather(*memo(part, cuts))
             # a text's ids end where the last chunk that lies in it ends
@@ -151,7 +150,7 @@ def pack(
     last = np.array([end], "<u4").tobytes()
 
     def encode(chunks: list[bytes]) -> list[bytes]:
-        return tokens.packed(tokens.word_ids(path, [c.decode("utf-8", "replace") for c in chunks]))
+        return tokens.packed(tokens.word_ids(path, chunks))
 
     def pieces(doc_id, ids: bytes) -> Iterator[tuple]:
         n = len(ids) // 4

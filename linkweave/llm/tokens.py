@@ -1,9 +1,9 @@
 """Token ids of whole texts by public tokenizers, each distinct chunk encoded once.
 
 Texts are cut where the tokenizer always cuts them, equal chunks of a slab of ``SLAB``
-bytes are found by Arrow's dictionary encoding, and a worker remembers the ids of at most
-``REMEMBERED`` chunks. The ids are those of the whole text: ``word_cuts`` and
-``space_cuts`` say why. A text is never shortened; one without a cut is one chunk.
+bytes are found by Arrow's dictionary encoding, and a worker remembers the ids of about
+``REMEMBERED`` chunks. The ids are those of the whole text: ``words``, ``space_cuts`` and
+``byte_cuts`` say why. A text is never shortened; one without a cut is one chunk.
 
 The tokenizers' files are parameters; workers read them from the path they are given.
 """
@@ -11,7 +11,6 @@ The tokenizers' files are parameters; workers read them from the path they are g
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -19,8 +18,8 @@ import pyarrow as pa
 
 from linkweave.llm import common
 
-SLAB = 8 << 20
-REMEMBERED = 400_000
+SLAB = 4 << 20
+REMEMBERED = 500_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -29,8 +28,6 @@ _SIGN = np.zeros(256, bool)
 _SIGN[:128] = True
 _SIGN &= ~_LETTER & ~common.IS_SPACE
 _SIGN[0x27] = False
-#: Small letters of ASCII and Latin-1: one run of them is one word to the word tokenizer.
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 #: Bytes that may begin a character which is white space to the byte-level tokenizer.
 _MAYBE_SPACE = np.zeros(256, bool)
 _MAYBE_SPACE[:0x21] = True
@@ -71,23 +68,38 @@ def batch(tokenizer, texts: list[str]) -> list[list[int]]:
     return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def word_ids(path: str, texts: list[str]) -> list[list[int]]:
-    """Ids of chunks by the word tokenizer, special tokens recognised."""
-    out: list = [None] * len(texts)
-    for kind, of in (("bare", True), ("word", False)):
-        mine = []
-        for k, t in enumerate(texts):
-            low = t.rstrip(" \t\n\r\v\f").lower()
-            if (_PLAIN.fullmatch(low) is not None) is of:
-                mine.append((k, low if of else t))
-        for (k, _), ids in zip(mine, batch(loaded(kind, path), [t for _, t in mine]), strict=True):
-            out[k] = ids
+def _plain(chunks: list[bytes], space: bool = False) -> np.ndarray:
+    """Which chunks are letters of ASCII and Latin-1 only, after one space if ``space``."""
+    if not chunks:
+        return np.zeros(0, bool)
+    data = np.frombuffer(b"".join(chunks), np.uint8)
+    size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    first = np.cumsum(size) - size
+    fits = letters(data)
+    if space:
+        fits[first[size > 1]] |= data[first[size > 1]] == 0x20
+    return np.logical_and.reduceat(fits, first)
+
+
+def _in_two(chunks: list[bytes], plain: np.ndarray, kind: str, path: str) -> list[list[int]]:
+    """Ids of chunks; plain ones are one word each and need no look for words."""
+    out: list = [None] * len(chunks)
+    for which, places in (("bare", np.flatnonzero(plain)), (kind, np.flatnonzero(~plain))):
+        texts = [chunks[k].decode("utf-8", "replace") for k in places.tolist()]
+        if texts:
+            for k, ids in zip(places.tolist(), batch(loaded(which, path), texts), strict=True):
+                out[k] = ids
     return out
 
 
-def byte_ids(path: str, texts: list[str]) -> list[list[int]]:
+def word_ids(path: str, chunks: list[bytes]) -> list[list[int]]:
+    """Ids of chunks of ``words`` by the word tokenizer."""
+    return _in_two(chunks, _plain(chunks), "word", path)
+
+
+def byte_ids(path: str, chunks: list[bytes]) -> list[list[int]]:
     """Ids by the byte-level tokenizer, the strings of special tokens as plain text."""
-    return batch(loaded("byte", path), texts)
+    return _in_two(chunks, _plain(chunks, True), "byte", path)
 
 
 def piece_ids(path: str, texts: list[str]) -> list[list[int]]:
@@ -95,23 +107,40 @@ def piece_ids(path: str, texts: list[str]) -> list[list[int]]:
     return loaded("piece", path).encode(texts, num_threads=1) if texts else []
 
 
-def word_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places where the word tokenizer always cuts: chunk starts, each text's start first.
+def letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII letters and of the letters of Latin-1 (C3 xx besides D7 and F7)."""
+    out = _LETTER[data]
+    pair = np.flatnonzero(data[:-1] == 0xC3) if len(data) > 1 else np.zeros(0, np.int64)
+    pair = pair[(data[pair + 1] != 0x97) & (data[pair + 1] != 0xB7)]
+    out[pair] = out[pair + 1] = True
+    return out
+
+
+def _sign_cuts(data: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """Where a letter and a sign meet, for the places 1 to n - 1."""
+    sign = _SIGN[data]
+    return (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
 
-    They follow white space, or part a letter from a sign. White space is dropped, letters
-    and signs never share a word, and one side is ASCII, so no character is composed of
-    both sides. Bytes C3 xx are the letters of Latin-1, besides D7 and F7.
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``data, offsets, cuts`` of texts for the word tokenizer, without white space.
+
+    It always cuts after white space and where a letter meets a sign: white space is
+    dropped, letters and signs never share a word, and one side is ASCII, so no character
+    is composed of both sides. It makes letters small; those of ASCII and Latin-1 are here.
     """
     n = len(data)
-    letter = _LETTER[data]
+    data, space = common.LOWER[data], common.IS_SPACE[data]
+    letter = letters(data)
     pair = np.flatnonzero(data[:-1] == 0xC3) if n > 1 else np.zeros(0, np.int64)
-    pair = pair[(data[pair + 1] != 0x97) & (data[pair + 1] != 0xB7)]
-    letter[pair] = letter[pair + 1] = True
-    sign, space = _SIGN[data], common.IS_SPACE[data]
+    high = data[pair + 1]
+    data[pair[(high < 0x9F) & (high != 0x97)] + 1] += 0x20
     cut = np.zeros(n + 1, bool)
-    cut[1:n] = (space[:-1] & ~space[1:]) | (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+    cut[1:n] = (space[:-1] & ~space[1:]) | _sign_cuts(data, letter)
     cut[offsets] = True
-    return np.flatnonzero(cut)
+    place = np.concatenate([[0], np.cumsum(~space)])
+    cuts = place[cut]
+    return data[~space], place[offsets], cuts[np.append(True, cuts[1:] != cuts[:-1])]
 
 
 def space_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -128,6 +157,14 @@ def space_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def byte_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """``space_cuts`` and where a letter meets a sign, which the byte-level pattern parts."""
+    cut = np.zeros(len(data) + 1, bool)
+    cut[space_cuts(data, offsets)] = True
+    cut[1 : len(data)] |= _sign_cuts(data, letters(data))
+    return np.flatnonzero(cut)
+
+
 class Memo:
     """``encode`` of byte chunks, each distinct one once as long as it is remembered."""
 

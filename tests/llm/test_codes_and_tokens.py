@@ -254,20 +254,23 @@ def test_chunks_give_the_ids_of_whole_texts():
     alphabet = [*"aZé ß'.,-1 \n\t=<|>", "́", " ", "▁", "日", "👍", "  ", "'s", "Ã", "×", "\x00", "ﬁ"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40))) for _ in range(1500)]
     a_path, b_path = tokens.file_of("byte_bpe_50k.json"), tokens.file_of("piece_bpe_32k.model")
-    for name, cuts, path in (("word", tokens.word_cuts, word_path()), ("byte", tokens.space_cuts, a_path), ("piece", tokens.space_cuts, b_path)):
-        for t in texts:
+    for t in texts:
+        for name, path in (("word", word_path()), ("byte", a_path), ("piece", b_path)):
             if ("<|" if name == "word" else "\u2581") in t:  # these are encoded whole
                 continue
-            s = t if name == "word" else " " + t
-            data = np.frombuffer(s.encode(), np.uint8)
-            at = cuts(data, np.array([0, len(data)]))
-            chunks = [data[x:y].tobytes().decode() for x, y in zip(at[:-1], at[1:], strict=True)]
+            data = np.frombuffer((t if name == "word" else " " + t).encode(), np.uint8)
+            at = np.array([0, len(data)])
+            if name == "word":
+                data, _, cuts = tokens.words(data, at)
+            else:
+                cuts = (tokens.byte_cuts if name == "byte" else tokens.space_cuts)(data, at)
+            chunks = [data[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             if name == "word":
                 found, want = tokens.word_ids(path, chunks), tokens.loaded("word", path).encode(t, add_special_tokens=False).ids
             elif name == "byte":
-                found, want = tokens.byte_ids(path, chunks), tokens.byte_ids(path, [s])[0]
+                found, want = tokens.byte_ids(path, chunks), tokens.loaded("byte", path).encode(" " + t, add_special_tokens=False).ids
             else:
-                found, want = tokens.piece_ids(path, [c[1:] for c in chunks]), tokens.piece_ids(path, [t])[0]
+                found, want = tokens.piece_ids(path, [c[1:].decode() for c in chunks]), tokens.piece_ids(path, [t])[0]
             assert [i for x in found for i in x] == want, (name, t)
 
 
