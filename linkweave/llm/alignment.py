@@ -16,7 +16,8 @@ are rare and therefore no hot keys. The best count of each B id, one row per id
 vocabulary, is part of the table of counts.
 
 Scale: texts are encoded once and the ids written; nothing but id pairs and per-text sums
-is shuffled. Working arrays hold one slab of texts (or one longer text).
+is shuffled. Working arrays hold one slab of texts (or one longer text); passes over the
+ids take a quarter of a slab at a time.
 
 Nulls, ties: null and empty texts, and texts whose A or B bytes differ from the text with
 its space (such as texts that hold U+2581), have no tokens: zeros and an empty digest.
@@ -27,6 +28,7 @@ count as rows of their own. An empty table gives no rows. Other columns are not
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,15 @@ from pyspark.sql import functions as F
 
 from linkweave.llm import common, tokens
 
+#: Bytes of text whose working arrays are held, chunks remembered, bytes of a batch of rows.
+SLAB = 2 << 20
+REMEMBERED = 150_000
+BATCH = "8m"
 #: Most pairs that are broadcast: 24 bytes each.
 FREQUENT = 131_072
 _TOKENS = (
-    "row long, doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
+    "row long, doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>, "
+    "n_groups long, groups_sha256 string"
 )
 _FACTS = (
     "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
@@ -118,58 +125,106 @@ def links(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
 
 
-def _fits(table: tuple[list[bytes], np.ndarray], ids: list[list[int]], chunks: list[bytes]) -> list[bool]:
-    """Whether the bytes of the ids are those of the chunk."""
+def _joined_lists(offsets: pa.Array, texts: pa.Array, by: str) -> pa.Array:
+    lists = pa.LargeListArray.from_arrays(offsets, texts)
+    return pc.binary_join(lists, pa.scalar(by, pa.large_string()))
+
+
+def _strings(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The decimal ids of each group, comma-joined."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
+    return _joined_lists(offsets, pa.array(ids).cast(pa.large_string()), ",")
+
+
+def _digests(
+    a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, of_group: np.ndarray
+) -> list[str]:
+    """The digest of each text's groups; none without tokens."""
+    groups = pc.binary_join_element_wise(
+        _strings(a, a_sizes), _strings(b, b_sizes), pa.scalar("|", pa.large_string())
+    )
+    texts = _joined_lists(pa.array(of_group, pa.int64()), groups, ";").cast(pa.large_binary())
+    return [hashlib.sha256(t.as_py()).hexdigest() if len(t.as_py()) else "" for t in texts]
+
+
+def _fitting(
+    table: tuple[list[bytes], np.ndarray], ids: list[list[int]], chunks: list[bytes]
+) -> list[bytes | None]:
+    """The packed ids of each chunk, None where their bytes are not the chunk's."""
     entries, length = table
-    flat = [i for x in ids for i in x]
+    flat = list(chain.from_iterable(ids))
+    packed = tokens.packed(ids)
     if b"".join([entries[i] for i in flat]) == b"".join(chunks):  # then lengths decide
         ends = np.append(0, np.cumsum(length[np.array(flat, np.int64)]))
         at = ends[np.append(0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))))]
-        return (np.diff(at) == np.fromiter(map(len, chunks), np.int64, len(chunks))).tolist()
-    return [_joined(entries, x) == c for x, c in zip(ids, chunks, strict=True)]
+        fits = np.diff(at) == np.fromiter(map(len, chunks), np.int64, len(chunks))
+        if fits.all():
+            return packed
+    return [
+        x if _joined(entries, i) == c else None for x, i, c in zip(packed, ids, chunks, strict=True)
+    ]
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """``row, doc_id, a_ids, b_ids, a_sizes, b_sizes`` of every text; ``row`` is unique.
+    """``row, doc_id, a_ids, b_ids, a_sizes, b_sizes`` and more of every text; ``row`` is unique.
 
-    The sizes say how many A and B tokens each group has, in order.
+    The sizes say how many A and B tokens each group has, in order; ``n_groups`` and
+    ``groups_sha256`` are their number and digest.
     """
 
-    def encode_a(chunks: list[bytes]) -> list[tuple[bytes, bool]]:
-        ids = tokens.byte_ids(a_path, chunks)
-        return list(zip(tokens.packed(ids), _fits(_table(byte_table, a_path), ids, chunks), strict=True))
+    def encoder():
+        """Packed A and B ids of chunks, None where their bytes are not the chunk's."""
+        words = tokens.Memo(
+            lambda parts: _fitting(_table(byte_table, a_path), tokens.byte_ids(a_path, parts), parts), REMEMBERED
+        )
 
-    def encode_b(chunks: list[bytes]) -> list[tuple[bytes, bool]]:
-        ids = tokens.piece_ids(b_path, [c[1:].decode("utf-8", "replace") for c in chunks])
-        return list(zip(tokens.packed(ids), _fits(_table(piece_table, b_path), ids, chunks), strict=True))
+        def encode(chunks: list[bytes]) -> list[tuple[bytes, bytes] | None]:
+            if not chunks:
+                return []
+            data = np.frombuffer(b"".join(chunks), np.uint8)
+            own = np.append(0, np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))))
+            cuts = tokens.byte_cuts(data, own)  # A cuts at signs, too
+            found, codes = words(data, cuts)
+            ids, lengths = tokens.gather([x or b"" for x in found], codes)
+            at = np.searchsorted(cuts, own)
+            ends = (4 * np.append(0, np.cumsum(lengths))[at]).tolist()
+            flat = ids.tobytes()
+            missing = np.array([x is None for x in found], bool)[codes]
+            odd = np.diff(np.append(0, np.cumsum(missing))[at]) > 0
+            texts = [c[1:].decode("utf-8", "replace") for c in chunks]
+            b = _fitting(_table(piece_table, b_path), tokens.piece_ids(b_path, texts), chunks)
+            return [
+                None if y is None or o else (flat[i:j], y)
+                for i, j, y, o in zip(ends[:-1], ends[1:], b, odd.tolist(), strict=True)
+            ]
+
+        return encode
 
     def whole(text: bytes) -> tuple[bytes, bytes]:
         """Ids of a text some chunk of which differs from its bytes."""
-        (a, a_fits), (b, b_fits) = encode_a([text])[0], encode_b([text])[0]
-        return (a, b) if a_fits and b_fits else (b"", b"")
+        plain = text.decode("utf-8", "replace")
+        a = _fitting(_table(byte_table, a_path), tokens.batch(tokens.loaded("byte", a_path), [plain]), [text])[0]
+        b = _fitting(_table(piece_table, b_path), tokens.piece_ids(b_path, [plain[1:]]), [text])[0]
+        return (b"", b"") if a is None or b is None else (a, b)
 
-    def slab_ids(memos, data, offsets):
+    def slab_ids(memo, data, offsets):
         """Flat A ids with their counts per text, and the same of B."""
         n, size = len(offsets) - 1, np.diff(offsets)
         # a space goes before each text that is not empty
         spaced = offsets + np.concatenate([[0], np.cumsum(size > 0)])
-        own = np.full(int(spaced[-1]), 0x20, np.uint8)
-        own[np.arange(len(data)) + np.repeat(np.cumsum(size > 0), size)] = data
+        own = np.insert(data, offsets[:-1][size > 0], 0x20)
         if not len(own):
             return [(np.zeros(0, np.uint32), np.zeros(n, np.int64))] * 2
-        sides, odd = [], np.zeros(n, bool)
-        for memo, cuts_of in zip(memos, (tokens.byte_cuts, tokens.space_cuts), strict=True):
-            cuts = cuts_of(own, spaced)
-            found, codes = memo(own, cuts)
-            at = np.searchsorted(cuts, spaced)
-            bad = np.array([not x[1] for x in found], bool)
-            if bad.any():
-                odd |= np.diff(np.concatenate([[0], np.cumsum(bad[codes])])[at]) > 0
-            ids, lengths = tokens.gather([x[0] for x in found], codes)
-            sides.append((ids, np.concatenate([[0], np.cumsum(lengths)])[at]))
-        again = {int(r): whole(own[spaced[r] : spaced[r + 1]].tobytes()) for r in np.flatnonzero(odd)}
+        cuts = tokens.space_cuts(own, spaced)
+        found, codes = memo(own, cuts)
+        at = np.searchsorted(cuts, spaced)
+        bad = np.array([x is None for x in found], bool)
+        odd = np.flatnonzero(np.diff(np.append(0, np.cumsum(bad[codes]))[at]))
+        again = {int(r): whole(own[spaced[r] : spaced[r + 1]].tobytes()) for r in odd}
         out = []
-        for side, (ids, ends) in enumerate(sides):
+        for side in (0, 1):
+            ids, lengths = tokens.gather([b"" if x is None else x[side] for x in found], codes)
+            ends = np.append(0, np.cumsum(lengths))[at]
             count = np.diff(ends)
             if again:
                 parts, last = [], 0
@@ -184,17 +239,17 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.int32)))
 
     def run(batches):
-        memos = tokens.Memo(encode_a), tokens.Memo(encode_b)
+        memo = tokens.Memo(encoder(), REMEMBERED)
         length = [_table(byte_table, a_path)[1], _table(piece_table, b_path)[1]]
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, offsets = common.flat(batch.column("text"))
             first = 0
             while first < batch.num_rows:
-                last = int(np.searchsorted(offsets, offsets[first] + tokens.SLAB, "right")) - 1
+                last = int(np.searchsorted(offsets, offsets[first] + SLAB, "right")) - 1
                 last = min(max(last, first + 1), batch.num_rows)
                 o = offsets[first : last + 1]
-                (a, n_a), (b, n_b) = slab_ids(memos, data[o[0] : o[-1]], o - o[0])
+                (a, n_a), (b, n_b) = slab_ids(memo, data[o[0] : o[-1]], o - o[0])
                 a_sizes, b_sizes = groups(np.cumsum(length[0][a]), np.cumsum(length[1][b]))
                 a_ends = np.append(0, np.cumsum(n_a))
                 of_group = np.searchsorted(np.append(0, np.cumsum(a_sizes)), a_ends)
@@ -204,6 +259,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                         batch.column("doc_id").slice(first, last - first),
                         lists(a, a_ends), lists(b, np.append(0, np.cumsum(n_b))),
                         lists(a_sizes, of_group), lists(b_sizes, of_group),
+                        pa.array(np.diff(of_group).astype(np.int64)),
+                        pa.array(_digests(a, b, a_sizes, b_sizes, of_group), pa.string()),
                     ],
                     names=[f.split()[0] for f in _TOKENS.split(", ")],
                 )
@@ -222,7 +279,7 @@ def _slabs(batch: pa.RecordBatch, a_path: str, b_path: str):
         sides.append((column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]))
     first, total = 0, sides[0][1]
     while first < batch.num_rows:
-        last = int(np.searchsorted(total, total[first] + (tokens.SLAB >> 2), "right")) - 1
+        last = int(np.searchsorted(total, total[first] + (SLAB >> 2), "right")) - 1
         last = min(max(last, first + 1), batch.num_rows)
         out = []
         for (ids, offsets), build, path in zip(sides, (byte_table, piece_table), (a_path, b_path), strict=True):
@@ -253,24 +310,14 @@ def pair_counts(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
     )
 
 
-def _joined_lists(offsets: pa.Array, texts: pa.Array, by: str) -> pa.Array:
-    lists = pa.LargeListArray.from_arrays(offsets, texts)
-    return pc.binary_join(lists, pa.scalar(by, pa.large_string()))
-
-
-def _strings(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """The decimal ids of each group, comma-joined."""
-    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
-    return _joined_lists(offsets, pa.array(ids).cast(pa.large_string()), ",")
-
-
 def digest(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """Tokens, groups, links and link counts of every text, with the digest of its groups."""
     a_path = a_path or tokens.file_of("byte_bpe_50k.json")
     b_path = b_path or tokens.file_of("piece_bpe_32k.model")
     spark = docs.sparkSession
-    rows = common.stash(aligned(docs, a_path, b_path), "aligned")
-    counts = common.stash(pair_counts(rows, a_path, b_path), "counts")
+    with common.batches_of(spark, BATCH):
+        rows = common.stash(aligned(docs, a_path, b_path), "aligned")
+        counts = common.stash(pair_counts(rows, a_path, b_path), "counts")
 
     # the lowest power of two from which at most FREQUENT pairs are left
     levels = (
@@ -290,16 +337,7 @@ def digest(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
     def run(batches):
         pairs, numbers, best = known.value
         for batch in batches:
-            sizes = [batch.column(c).values.to_numpy() for c in ("a_sizes", "b_sizes")]
-            edge = batch.column("a_sizes").offsets.to_numpy()
             for first, last, (a, a_end, a_at), (b, b_end, b_at) in _slabs(batch, a_path, b_path):
-                own = [s[edge[first] : edge[last]] for s in sizes]
-                text = pc.binary_join_element_wise(
-                    _strings(a, own[0]), _strings(b, own[1]), pa.scalar("|", pa.large_string())
-                )
-                each = pa.array((edge[first : last + 1] - edge[first]).astype(np.int64))
-                text = _joined_lists(each, text, ";")
-                sha = [hashlib.sha256(t).hexdigest() if t else "" for t in text.cast(pa.large_binary()).to_pylist()]
                 i, j = links(a_end, b_end)
                 pair = a[i].astype(np.int64) << 32 | b[j]
                 row = np.searchsorted(a_at, i, "right") - 1
@@ -326,14 +364,15 @@ def digest(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("row"), part.column("doc_id"), pa.array(np.diff(a_at)), pa.array(np.diff(b_at)),
-                        pa.array(np.diff(edge[first : last + 1]).astype(np.int64)),
+                        part.column("n_groups"),
                         pa.array(np.bincount(row, minlength=n).astype(np.int64)),
-                        pa.array(n_best.astype(np.int64)), pa.array(total), pa.array(sha, pa.string()), rare,
+                        pa.array(n_best.astype(np.int64)), pa.array(total), part.column("groups_sha256"), rare,
                     ],
                     names=[f.split()[0] for f in _NAMES],
                 )
 
-    facts = common.stash(rows.mapInArrow(run, _FACTS), "links")
+    with common.batches_of(spark, BATCH):
+        facts = common.stash(rows.drop("a_sizes", "b_sizes").mapInArrow(run, _FACTS), "links")
     rest = (
         facts.select("row", F.explode("rare").alias("x"))
         .select("row", "x.pair", F.col("x.n").alias("times"))

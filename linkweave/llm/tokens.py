@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import pyarrow as pa
 from linkweave.llm import common
 
 SLAB = 4 << 20
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -168,8 +169,8 @@ def byte_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Memo:
     """``encode`` of byte chunks, each distinct one once as long as it is remembered."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list[bytes]], list], room: int = REMEMBERED):
+        self.encode, self.room, self.known = encode, room, {}
 
     def __call__(self, data: np.ndarray, cuts: np.ndarray) -> tuple[list, np.ndarray]:
         """``found, codes``: what ``encode`` gave for distinct chunks; each chunk's place there."""
@@ -177,7 +178,7 @@ class Memo:
             pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]
         ).dictionary_encode()
         values = chunks.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.room:
             self.known = {}
         new = [v for v in values if v not in self.known]
         self.known.update(zip(new, self.encode(new), strict=True))
@@ -187,7 +188,7 @@ class Memo:
 def packed(ids: list[list[int]]) -> list[bytes]:
     """Lists of ids as little-endian unsigned 32-bit numbers."""
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), "<u4", int(lengths.sum())).tobytes()
+    flat = np.fromiter(chain.from_iterable(ids), "<u4", int(lengths.sum())).tobytes()
     ends = np.cumsum(lengths) * 4
     return [flat[e - 4 * n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
 

@@ -142,7 +142,7 @@ def brute_alignment(docs):
 def test_alignment(spark, monkeypatch, frequent, slab):
     ship_code(spark)
     monkeypatch.setattr(alignment, "FREQUENT", frequent)
-    monkeypatch.setattr(tokens, "SLAB", slab)
+    monkeypatch.setattr(alignment, "SLAB", slab)
     rng = random.Random(4)
     words = [w for t in TEXTS if t for w in t.split(" ")]
     docs = list(enumerate(TEXTS)) + [(None, TEXTS[0]), (3, TEXTS[0]), (3, TEXTS[0])]
