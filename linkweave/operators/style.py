@@ -115,7 +115,12 @@ def char_ngram_shares(
 
 
 def bundle(docs: DataFrame, id_col: str = "doc_id", body: str = "text") -> DataFrame:
-    """Everything about a text's style in one row, n-grams summed up."""
+    """Everything about a text's style in one row, n-grams summed up.
+
+    The texts are dealt by id once: all groupings and joins below are by id and need no
+    further exchange, so n-grams, several times the size of their text, never travel.
+    """
+    docs = docs.select(id_col, body).repartition(id_col)
     grams = (
         char_ngram_shares(docs, id_col, body)
         .groupBy(id_col)
@@ -301,9 +306,10 @@ def verify_short_pairs(
 ) -> DataFrame:
     """Authorship verdict for pairs of short texts (``pair_id, text_a, text_b``).
 
-    Pairs with too few tokens abstain before any features are built.
+    Pairs with too few tokens abstain before any features are built. Pairs are dealt by id
+    first, so their features are built and summed without another exchange.
     """
-    sized = pairs.selectExpr(
+    sized = pairs.select("pair_id", "text_a", "text_b").repartition("pair_id").selectExpr(
         "*",
         f"size({text.ascii_tokens_sql('text_a')}) AS tokens_a",
         f"size({text.ascii_tokens_sql('text_b')}) AS tokens_b",

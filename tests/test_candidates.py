@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from linkweave.operators import activity, candidates, clones, finance, graph
+from linkweave.operators import activity, candidates, clones, finance, graph, similar
 
 
 def test_similar_values_lose_nothing(spark):
@@ -54,8 +54,58 @@ def test_hash_as_number_and_text(spark):
     assert [r.candidate_id for r in out] == ["c"]
 
 
-@pytest.mark.parametrize("tile,cells", [(7, 4), (4096, 3)])
-def test_near_vectors_equal_brute_force(spark, tile, cells):
+@pytest.mark.parametrize("threshold", [0.25, 0.5, 0.9, 1.0])
+def test_similar_values_are_complete_at_every_threshold(spark, threshold):
+    rng = random.Random(7)
+    words = {"".join(rng.choice("abcde1 é") for _ in range(rng.randrange(0, 12))) for _ in range(90)}
+    words |= {"silverfox" * 4, "silver_fox" * 4, "x" * 90, "x" * 70 + "y", "ab", "ba", "a", ""}
+    df = spark.createDataFrame([(w,) for w in words] + [(None,)], "value string")
+    got = {(r.a, r.b) for r in similar.by_blocks(df, df, threshold).collect()}
+    assert got == {(a, b) for a in words for b in words
+                   if difflib.SequenceMatcher(None, a, b).ratio() >= threshold}
+    got = {(r.a, r.b) for r in similar.by_edits(df, df, threshold).collect()}
+    assert got == {(a, b) for a in words for b in words
+                   if a == b or 1 - edits(a, b) / max(len(a), len(b)) >= threshold}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_similar_values_of_nothing(spark):
+    df = spark.createDataFrame([("",), (None,)], "value string")
+    assert [(r.a, r.b, r.ratio) for r in similar.by_blocks(df, df, 0.7).collect()] == [("", "", 1.0)]
+    assert similar.by_edits(df.where("false"), df, 0.7).count() == 0
+    with pytest.raises(ValueError):
+        similar.by_blocks(df, df, 0.0)
+
+
+def test_near_vectors_compare_a_falling_share_of_clustered_pairs(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 24))
+    shares = []
+    for n in (300, 1500):
+        rows = [(f"v{i}", (centres[i % 12] + 0.35 * rng.normal(size=24)).tolist()) for i in range(n)]
+        s = spark.createDataFrame(rows, "source_id string, embedding array<double>")
+        work = spark.sparkContext.accumulator(0)
+        got = candidates.near_vectors(s, s.withColumnRenamed("source_id", "actor_id"), same_ids=False, compared=work)
+        x = np.array([r[1] for r in rows])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        cosine = x @ x.T
+        np.fill_diagonal(cosine, -2)
+        want = np.minimum(10, (cosine >= 0.65).sum(1)).sum()
+        assert got.count() == want
+        shares.append(work.value / n**2)
+    assert shares[1] < shares[0] < 0.6 and shares[1] < 0.25
+
+
+@pytest.mark.parametrize("tile", [7, 4096])
+def test_near_vectors_equal_brute_force(spark, tile):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(6, 12))
     vecs = [centres[i % 6] + 0.5 * rng.normal(size=12) for i in range(150)]
@@ -64,7 +114,7 @@ def test_near_vectors_equal_brute_force(spark, tile, cells):
     s = spark.createDataFrame(rows, "source_id string, embedding array<double>")
     c = spark.createDataFrame(rows, "actor_id string, embedding array<double>")
     got = {(r.source_id, r.candidate_id, r.rank) for r in candidates.near_vectors(
-        s, c, top_k=5, cells=cells, tile_rows=tile, same_ids=False).collect()}
+        s, c, top_k=5, tile_rows=tile, same_ids=False).collect()}
     want = set()
     for a, u in rows:
         hits = []
