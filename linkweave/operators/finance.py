@@ -17,17 +17,26 @@ def named_like(address: str, patterns: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(p) for p in patterns])
 
 
+#: Inputs and outputs of a transaction; a missing list counts as an empty one.
+ALL_ADDRESSES = (
+    "concat(coalesce(inputs, CAST(array() AS array<string>)), "
+    "coalesce(outputs, CAST(array() AS array<string>)))"
+)
+#: Transactions of one address in a slab of the stored adjacency.
+SLAB = 100_000
+
+
 def owner_clusters(tx: DataFrame) -> DataFrame:
     """``address, cluster_id``: all inputs of one transaction share an owner.
 
     Outputs are only registered. The cluster is named after its smallest address. Empty and
-    missing addresses are no addresses and join nothing.
+    missing addresses are no addresses and join nothing; a missing list is an empty one.
     """
     named = tx.selectExpr("filter(inputs, x -> x <> '') AS inputs").where("size(inputs) > 1")
     stars = named.selectExpr(
         "inputs[0] AS src", "explode(slice(inputs, 2, size(inputs) - 1)) AS dst"
     )
-    seen = tx.selectExpr("explode(concat(inputs, outputs)) AS node").where(
+    seen = tx.selectExpr(f"explode({ALL_ADDRESSES}) AS node").where(
         "node IS NOT NULL AND node <> ''"
     )
     return graph.components(stars, seen).selectExpr(
@@ -35,25 +44,56 @@ def owner_clusters(tx: DataFrame) -> DataFrame:
     )
 
 
+def adjacency(tx: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``spends, pays, busy``: who spends in a transaction, whom it pays, both stored.
+
+    Both are dealt once, by address and by transaction, and written; joins with them
+    shuffle only the other side. The transactions of a busy address lie in slabs of about
+    ``SLAB``; ``busy`` says in how many (None if there is no busy address).
+    """
+    n = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spends = tx.selectExpr("txid", "tx_order", "explode(array_distinct(inputs)) AS address")
+    busy = cut_lineage(
+        spends.groupBy("address")
+        .agg(F.ceil(F.count(F.lit(1)) / SLAB).alias("slabs"))
+        .where("slabs > 1 AND address IS NOT NULL")
+    )
+    if busy.isEmpty():
+        busy, spends = None, spends.withColumn("slab", F.lit(0).cast("long"))
+    else:
+        spends = spends.join(busy, "address", "left").withColumn(
+            "slab", F.coalesce(F.pmod(F.xxhash64("txid"), F.col("slabs")), F.lit(0).cast("long"))
+        ).drop("slabs")
+    pays = tx.selectExpr("txid", "posexplode(outputs) AS (place, address)")
+    return (
+        cut_lineage(spends.repartition(n, "address", "slab")),
+        cut_lineage(pays.repartition(n, "txid")),
+        busy,
+    )
+
+
 def trace_hops(tx: DataFrame, starts: DataFrame, max_hops: int = 5) -> DataFrame:
     """Breadth-first money trace from ``starts`` (``start``), first reach only.
 
     Rows: ``start, from_address, to_address, txid, hop_depth, is_mixer_hop``. A reached
     address keeps the parent the queue would have met first: paths are compared by the
     order of their transactions and output places. One level is two joins, through the
-    transaction, so inputs and outputs are never multiplied out; each level is written
-    out reliably.
+    transaction, with the stored adjacency, so inputs and outputs are never multiplied out
+    and only the frontier is shuffled; each level is written out reliably.
     """
-    spends = tx.selectExpr("txid", "tx_order", "explode(array_distinct(inputs)) AS address")
-    pays = tx.selectExpr("txid", "posexplode(outputs) AS (place, address)")
+    spends, pays, busy = adjacency(tx)
     frontier = starts.selectExpr(
         "start", "start AS address", "CAST(array() AS array<struct<o:bigint,p:int>>) AS path"
     ).distinct()
     reached = frontier.select("start", "address")
     levels = []
     for depth in range(1, max_hops + 1):
+        slab = F.lit(0).cast("long")
+        if busy is not None:
+            frontier = frontier.join(busy, "address", "left")
+            slab = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slabs", F.lit(1)) - 1))
         via = (
-            spends.join(frontier, "address")
+            spends.join(frontier.select("start", "address", "path", slab.alias("slab")), ["address", "slab"])
             .groupBy("start", "txid", "tx_order")
             .agg(F.min(F.struct("path", "address")).alias("f"))
         )
@@ -110,7 +150,7 @@ def cluster_risk(tx: DataFrame, cluster_ids: list[str]) -> DataFrame:
     that list in one pass. Volume and mixer mentions are those of all transactions.
     """
     addresses = (
-        tx.selectExpr("explode(concat(inputs, outputs)) AS address")
+        tx.selectExpr(f"explode({ALL_ADDRESSES}) AS address")
         .groupBy("address")
         .agg(F.count(F.lit(1)).alias("mentions"))
     )

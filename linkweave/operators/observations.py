@@ -104,21 +104,25 @@ def evidence(rows: DataFrame) -> DataFrame:
     )
 
 
+def source_rows(firsts: DataFrame) -> DataFrame:
+    """Registry rows of the first observation of each (source name, lawful basis)."""
+    return firsts.selectExpr(
+        "concat('src-', substr(sha2(concat_ws('|', source_name, lawful_basis), 256), 1, 32)) "
+        "AS source_id",
+        "source_name AS name",
+        "source_type",
+        "lawful_basis",
+        "source_uri AS base_uri",
+        "true AS is_active",
+    )
+
+
 def new_sources(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """Sources to add: one per (name, lawful basis) not registered yet."""
     first = F.min(F.struct("observation_id", "source_type", "source_uri")).alias("f")
+    firsts = rows.groupBy("source_name", "lawful_basis").agg(first)
     return (
-        rows.groupBy("source_name", "lawful_basis")
-        .agg(first)
-        .selectExpr(
-            "concat('src-', substr(sha2(concat_ws('|', source_name, lawful_basis), 256), 1, 32)) "
-            "AS source_id",
-            "source_name AS name",
-            "f.source_type AS source_type",
-            "lawful_basis",
-            "f.source_uri AS base_uri",
-            "true AS is_active",
-        )
+        source_rows(firsts.select("source_name", "lawful_basis", "f.source_type", "f.source_uri"))
         .join(registry.select("name", "lawful_basis"), ["name", "lawful_basis"], "left_anti")
         .select("source_id", "name", "source_type", "lawful_basis", "base_uri", "is_active")
     )

@@ -126,7 +126,7 @@ def evidence_retraction_receipts(spark, d):
     return receipts.select("evidence_id", "requested_by", "cited_by")
 
 
-_RESCORED = """SELECT h.hypothesis_id, h.raw_log_lr AS before_log_lr,
+RESCORED = """SELECT h.hypothesis_id, h.raw_log_lr AS before_log_lr,
     h.calibrated_prob AS before_prob, round(coalesce(a.s, 0.0), 4) AS raw_log_lr,
     round(1.0 / (1.0 + exp(-greatest(-50.0, least(50.0, round(coalesce(a.s, 0.0), 4) - 2.0)))), 4)
       AS calibrated_prob, coalesce(a.n, 0) AS active_items,
@@ -136,7 +136,7 @@ _RESCORED = """SELECT h.hypothesis_id, h.raw_log_lr AS before_log_lr,
     FROM active_items GROUP BY hypothesis_id) a ON h.hypothesis_id = a.hypothesis_id"""
 
 
-@entry("links_rescored", with_ctes("hypotheses active_items", _RESCORED))
+@entry("links_rescored", with_ctes("hypotheses active_items", RESCORED))
 def links_rescored(spark, d):
     return ops.rescore(
         D.hypotheses(spark, d), D.hypothesis_evidence(spark, d), D.withdrawn_evidence(spark, d)
@@ -147,15 +147,20 @@ def links_rescored(spark, d):
     "links_rescored_after_retraction",
     with_ctes(
         "hypotheses active_items",
-        _RESCORED + """ WHERE h.hypothesis_id IN (SELECT hypothesis_id FROM hyp_items
+        RESCORED + """ WHERE h.hypothesis_id IN (SELECT hypothesis_id FROM hyp_items
             WHERE evidence_id IN (SELECT evidence_id FROM retracted))""",
     ),
 )
 def links_rescored_after_retraction(spark, d):
-    items = D.hypothesis_evidence(spark, d)
     withdrawn = D.retraction_requests(spark, d).select("evidence_id").distinct()
+    # links and items are derived here, so only those of the links that are asked for
+    all_items = D.evidence_items(spark, d)
+    asked = withdrawn.select(F.col("evidence_id").alias("id"))
+    touched = all_items.join(asked, "id", "left_semi").select("link_id").distinct()
+    some = all_items.join(touched, "link_id", "left_semi")
     return ops.rescore_affected(
-        D.hypotheses(spark, d), items, D.withdrawn_evidence(spark, d), withdrawn
+        D.hypotheses(spark, d, some), D.hypothesis_evidence(spark, d, some),
+        D.withdrawn_evidence(spark, d), withdrawn,
     )
 
 

@@ -15,6 +15,8 @@ from linkweave.plans.catalog.registration import registrar
 from linkweave.plans.oracle import CTES, with_ctes
 from linkweave.session import shared_folder
 from linkweave.sources import exports, tables, topics
+from linkweave.plans.catalog.ledger import RESCORED
+from linkweave.plans.catalog.texts import KIND_QUERIES
 from linkweave.streaming import jobs
 
 ENTRIES: dict = {}
@@ -427,10 +429,9 @@ def streaming_counters(spark, d):
     root = _fresh(spark)
     D.access_log(spark, d).write.parquet(f"{root}/in")
     schema = spark.read.parquet(f"{root}/in").schema
-    name = f"counters_{uuid.uuid4().hex}"
-    log = spark.readStream.schema(schema).parquet(f"{root}/in")
-    jobs.running_counters(log, name, f"{root}/cp").awaitTermination()
-    return spark.table(name).select("method", "path", "status", "requests")
+    log = jobs.read_files(spark, f"{root}/in", schema, 2)
+    jobs.running_counters(log, root, f"{root}/cp").awaitTermination()
+    return jobs.current_counters(spark, root).select("method", "path", "status", "requests")
 
 
 @entry(
@@ -450,3 +451,67 @@ def streaming_chain_append(spark, d):
     return spark.read.schema(jobs.LOG_SCHEMA).parquet(f"{root}/entries").select(
         "chain", "seq", "entry_hash"
     )
+
+
+_SHARED_PAGES = " UNION ALL ".join(KIND_QUERIES)
+
+
+@entry(
+    "streaming_pipeline",
+    f"""WITH texts AS (SELECT CAST(page_id AS VARCHAR) AS text_id, coalesce(html, '') || ' u'
+          || CAST(page_id % 97 AS VARCHAR) || '@mail.example.org @user_'
+          || CAST(page_id % 13 AS VARCHAR) AS body FROM pages),
+        found AS ({_SHARED_PAGES}),
+        shared AS (SELECT kind, value FROM found GROUP BY 1, 2 HAVING count(DISTINCT text_id) > 1),
+        e AS (SELECT DISTINCT lower(kind) || '::' || value AS name, 'page::' || text_id AS page
+          FROM found JOIN shared USING (kind, value))
+        SELECT 'node' AS element, name AS id, NULL AS source, NULL AS target FROM e GROUP BY name
+        UNION ALL SELECT 'node', page, NULL, NULL FROM e GROUP BY page
+        UNION ALL SELECT 'edge', page || '->' || name, page, name FROM e""",
+)
+def streaming_pipeline(spark, d):
+    """All pages, each with an address and a handle put behind it, streamed to the graph."""
+    root = _fresh(spark)
+    n = lambda k: F.pmod("page_id", F.lit(k)).cast("string")
+    pages = D.table(spark, d, "pages").select(
+        F.lit(fixed.TOPICS[0]).alias("topic"),
+        D.text("page_id").alias("id"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("timestamp"),
+        F.to_json(
+            F.struct(
+                F.concat(
+                    F.coalesce("html", F.lit("")), F.lit(" u"), n(97),
+                    F.lit("@mail.example.org @user_"), n(13),
+                ).alias("html")
+            )
+        ).alias("payload"),
+    )
+    topics.publish(pages, f"{root}/pages")
+    jobs.pipeline(topics.read_stream(spark, f"{root}/pages"), root, f"{root}/cp")
+    get = lambda f: F.get_json_object("payload", f"$.{f}").alias(f)
+    last = topics.read(spark, f"{root}/projected").where(F.col("topic") == fixed.TOPICS[3])
+    return last.select(get("element"), "id", get("source"), get("target"))
+
+
+@entry(
+    "streaming_rescoring",
+    with_ctes(
+        "hypotheses active_items",
+        RESCORED + """ WHERE h.hypothesis_id IN (SELECT hypothesis_id FROM hyp_items
+            WHERE evidence_id IN (SELECT evidence_id FROM retracted))""",
+    ),
+)
+def streaming_rescoring(spark, d):
+    """The retraction requests streamed in three batches against the stored links."""
+    root = _fresh(spark)
+    asked = D.retraction_requests(spark, d)
+    asked.repartition(3, "evidence_id").write.parquet(f"{root}/in")
+    stored = {"items": D.hypothesis_evidence(spark, d), "links": D.hypotheses(spark, d)}
+    for name, rows in stored.items():
+        rows.write.parquet(f"{root}/{name}")
+    items, links = (spark.read.parquet(f"{root}/{n}") for n in stored)
+    evidence = D.stored_evidence(spark, d)
+    jobs.stored_sums(items, evidence).write.parquet(f"{root}/sums")
+    stream = jobs.read_files(spark, f"{root}/in", asked.schema, 1)
+    jobs.rescoring(stream, evidence, items, links, spark.read.parquet(f"{root}/sums"), root, f"{root}/cp")
+    return jobs.rescored_links(spark, root)

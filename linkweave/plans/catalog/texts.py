@@ -469,20 +469,20 @@ def exact_copies(spark, d):
 
 # --- extraction and footprints ------------------------------------------------------------------------
 
-_KINDS = []
+KIND_QUERIES = []
 for _kind, _group, _conf, _pattern in fixed.IDENTIFIER_PLAN:
     _flag = "(?i)" if _kind == "ONION_SERVICE" else ""
     _n = 1 if _kind in ("BTC_ADDRESS", "XMR_ADDRESS", "HANDLE") else 0
     _v = f"unnest(regexp_extract_all(body, '{_flag}{_pattern}', {_n}))"
     if _kind == "PGP_FINGERPRINT":
         _v = f"upper(regexp_replace({_v}, '\\s', '', 'g'))"
-    _KINDS.append(
+    KIND_QUERIES.append(
         f"SELECT DISTINCT text_id, '{_kind}' AS kind, {_v} AS value, '{_group}' AS "
         f"dependence_group, {_conf}::DOUBLE AS confidence FROM texts"
     )
 
 
-@entry("identifier_extraction", with_ctes("texts", " UNION ALL ".join(_KINDS)))
+@entry("identifier_extraction", with_ctes("texts", " UNION ALL ".join(KIND_QUERIES)))
 def identifier_extraction(spark, d):
     return extract.extract_identifiers(D.texts_with_identifiers(spark, d)).drop(
         "extraction_method"
@@ -493,7 +493,7 @@ def identifier_extraction(spark, d):
     "extraction_summary",
     with_ctes(
         "texts",
-        ", x AS (" + " UNION ALL ".join(_KINDS) + """)
+        ", x AS (" + " UNION ALL ".join(KIND_QUERIES) + """)
         SELECT t.text_id, count(x.value) FILTER (WHERE kind = 'PGP_FINGERPRINT') AS n_pgp,
           count(x.value) FILTER (WHERE kind = 'EMAIL') AS n_email,
           count(x.value) FILTER (WHERE kind = 'XMR_ADDRESS') > 0 AS xmr_abstain
@@ -661,8 +661,8 @@ def source_registry(spark, d):
     )
 
 
-_FRESH_KINDS = " UNION ALL ".join(
-    k.replace("text_id", "observation_id").replace("FROM texts", "FROM fresh") for k in _KINDS
+_FRESHKIND_QUERIES = " UNION ALL ".join(
+    k.replace("text_id", "observation_id").replace("FROM texts", "FROM fresh") for k in KIND_QUERIES
 )
 
 
@@ -683,7 +683,7 @@ _FRESH_KINDS = " UNION ALL ".join(
             UNION ALL SELECT 'artifacts', count(*) FROM fresh
             UNION ALL SELECT 'observations', count(*) FROM fresh
             UNION ALL SELECT 'audit_events', count(*) FROM fresh
-            UNION ALL SELECT 'evidence', count(*) FROM ({_FRESH_KINDS})""",
+            UNION ALL SELECT 'evidence', count(*) FROM ({_FRESHKIND_QUERIES})""",
     ),
 )
 def observation_ingest(spark, d):

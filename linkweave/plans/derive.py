@@ -85,9 +85,12 @@ def link_ends(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def hypotheses(spark: SparkSession, d: str) -> DataFrame:
-    """Stored links: rounded score and probability, status from the decision."""
-    scored = fusion.evaluate(evidence_items(spark, d))
+def hypotheses(spark: SparkSession, d: str, items: DataFrame | None = None) -> DataFrame:
+    """Stored links: rounded score and probability, status from the decision.
+
+    With ``items``, evidence items of some links, only those links.
+    """
+    scored = fusion.evaluate(evidence_items(spark, d) if items is None else items)
     return scored.join(link_ends(spark, d), "link_id").select(
         F.concat(F.lit("H"), "link_id").alias("hypothesis_id"),
         "subject_id",
@@ -107,9 +110,11 @@ def _status() -> Column:
     return scoring.decision_status("decision")
 
 
-def hypothesis_evidence(spark: SparkSession, d: str) -> DataFrame:
+def hypothesis_evidence(
+    spark: SparkSession, d: str, items: DataFrame | None = None
+) -> DataFrame:
     """Stored items of the links: rounded contribution per evidence row."""
-    return stored_items(fusion.contributions(evidence_items(spark, d)))
+    return stored_items(fusion.contributions(evidence_items(spark, d) if items is None else items))
 
 
 def stored_items(contributions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkweave import fixed
 from linkweave.operators import audit, graph, ledger, reads
 from linkweave.plans import catalog, derive, registry
-from linkweave.sources import exports, tables
+from linkweave.sources import exports, tables, topics
 from linkweave.streaming import jobs
 
 AT = datetime(2026, 1, 1)
@@ -279,31 +279,66 @@ def test_streaming_chain_verifies_over_batches(spark, folder):
     assert (row.valid, row.entries) == (True, 14)
 
 
-def test_pages_flow_to_the_graph(spark, folder):
-    rows = [("1", AT, json.dumps({"html": "write to x@y.org"})),
-            ("2", AT, json.dumps({"html": "mail x@y.org or z@y.org"}))]
-    spark.createDataFrame(rows, "id string, timestamp timestamp, payload string").write.parquet(
-        f"{folder}/pages")
-    schema = "id string, timestamp timestamp, payload string"
-    pages = jobs.read_files(spark, f"{folder}/pages", schema)
-    jobs.extraction_stage(pages, f"{folder}/ext", f"{folder}/c1").awaitTermination()
-    ext = jobs.read_files(spark, f"{folder}/ext", schema)
-    jobs.relationship_stage(ext, folder, folder, f"{folder}/c2").awaitTermination()
-    rel = jobs.read_files(spark, f"{folder}/relationships", schema)
-    jobs.projection_stage(rel, folder, f"{folder}/c3").awaitTermination()
-    nodes = {r.id: r.shared_by for r in spark.read.parquet(f"{folder}/nodes").collect()}
-    assert nodes == {"email::x@y.org": 2}
+PAGE = "topic string, id string, timestamp timestamp, payload string"
+
+
+def test_pages_flow_to_the_last_topic(spark, folder):
+    def collected(*pages):
+        rows = [("stream:page_collected", k, AT, json.dumps({"html": text})) for k, text in pages]
+        spark.createDataFrame(rows, PAGE).coalesce(1).write.mode("append").parquet(f"{folder}/pages")
+
+    def run():
+        pages = jobs.read_files(spark, f"{folder}/pages", PAGE)
+        jobs.pipeline(pages, folder, f"{folder}/cp")
+        rows = topics.read(spark, f"{folder}/projected").collect()
+        assert all(r.topic == "stream:graph_projected" for r in rows)
+        assert len({r.id for r in rows}) == len(rows)
+        return {r.id for r in rows}
+
+    collected(("1", "write to x@y.org"), ("4", "only q@y.org"))
+    assert run() == set()  # nothing is shared yet
+    collected(("2", "mail x@y.org or z@y.org"), ("2", "mail x@y.org again"))
+    first = {"email::x@y.org", "page::1", "page::2", "page::1->email::x@y.org", "page::2->email::x@y.org"}
+    assert run() == first
+    collected(("3", "x@y.org and z@y.org"))
+    later = {"page::3", "page::3->email::x@y.org", "email::z@y.org", "page::2->email::z@y.org", "page::3->email::z@y.org"}
+    assert run() == first | later
+    assert run() == first | later  # a restart without new pages adds nothing
+
+
+REQUEST = "evidence_id string, requested_at timestamp, request_no int, requested_by string, reason string"
 
 
 def test_streaming_rescoring(spark, folder):
-    schema = ("evidence_id string, requested_at timestamp, request_no int, requested_by string, "
-              "reason string")
-    spark.createDataFrame([("e1", AT, 1, "u1", "x")], schema).write.parquet(f"{folder}/req")
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/req")
-    jobs.rescoring(stream, _evidence(spark), _items(spark), _links(spark), folder,
-                   f"{folder}/cp").awaitTermination()
-    out = {r.hypothesis_id: r.raw_log_lr for r in spark.read.parquet(f"{folder}/rescored").collect()}
-    assert out == {"h1": 1.5, "h2": 0.0}
+    def ask(*rows):
+        spark.createDataFrame([(e, AT, n, "u1", "x") for e, n in rows], REQUEST).coalesce(1).write.mode(
+            "append").parquet(f"{folder}/req")
+
+    def run():
+        stream = jobs.read_files(spark, f"{folder}/req", REQUEST, 1)
+        sums = jobs.stored_sums(_items(spark), _evidence(spark))
+        jobs.rescoring(stream, _evidence(spark), _items(spark), _links(spark), sums, folder, f"{folder}/cp")
+        return {r.hypothesis_id: (r.raw_log_lr, r.active_items, r.status)
+                for r in jobs.rescored_links(spark, folder).collect()}
+
+    ask(("e1", 1), ("e1", 2), ("ghost", 1))
+    assert run() == {"h1": (1.5, 1, "INSUFFICIENT"), "h2": (0.0, 0, "ACCEPTED")}
+    ask(("e1", 3), ("e2", 1))
+    assert run() == {"h1": (0.0, 0, "INSUFFICIENT"), "h2": (0.0, 0, "ACCEPTED")}
+    decided = [(r.evidence_id, r.request_no) for r in spark.read.parquet(f"{folder}/decided").where("accepted").collect()]
+    assert sorted(decided) == [("e1", 1), ("e2", 1)]
+
+
+def test_counters_survive_restarts(spark, folder):
+    log = "method string, path string, status int, duration double"
+    for k in range(3):
+        rows = [("GET", "/a", 200, 0.5)] * (k + 1) + [("PUT", "/b", 201, 1.0)]
+        spark.createDataFrame(rows, log).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.read_files(spark, f"{folder}/in", log, 1)
+        jobs.running_counters(stream, folder, f"{folder}/cp").awaitTermination()
+        got = {(r.method, r.path, r.status): (r.requests, r.seconds) for r in jobs.current_counters(spark, folder).collect()}
+        n = (k + 1) * (k + 2) // 2
+        assert got == {("GET", "/a", 200): (n, n / 2), ("PUT", "/b", 201): (k + 1, k + 1.0)}
 
 
 def test_catalogue_is_sound():
