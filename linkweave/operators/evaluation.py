@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkweave import fixed
 from linkweave.functions import scoring
+from linkweave.operators import isotonic
 from linkweave.operators.ranking import running_totals
 
-#: Labelled rows that a calibration curve is fitted on at most.
-MAX_CALIBRATION_ROWS = 1_000_000
 MIN_CALIBRATION_ROWS = 5
 
 
@@ -152,47 +150,21 @@ def _beside(left: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def fit_isotonic(
-    cases: DataFrame,
-    score: str = "final_llr",
-    truth: str = "truth",
-    max_rows: int = MAX_CALIBRATION_ROWS,
-) -> IsotonicRegressionModel | None:
-    """Monotone calibration curve, or None where there are too few cases to fit one.
-
-    Spark ML pools the points on the driver, so at most about ``max_rows`` labelled rows are
-    fitted: of more, a share drawn by a hash of the row. Equal scores are merged into
-    weighted points first.
-    """
-    rows = cases.select(F.col(score).cast("double").alias("score"), F.col(truth).alias("truth"))
-    total = cases.count()
-    if total > max_rows:
-        luck = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in cases.columns]), F.lit(1_000_003))
-        rows = cases.where(luck < F.lit(1_000_003 * max_rows // total)).select(
-            F.col(score).cast("double").alias("score"), F.col(truth).alias("truth")
-        )
-    if rows.limit(MIN_CALIBRATION_ROWS).count() < MIN_CALIBRATION_ROWS:
+    cases: DataFrame, score: str = "final_llr", truth: str = "truth"
+) -> DataFrame | None:
+    """Monotone calibration curve of all cases, or None where there are too few to fit one."""
+    if cases.limit(MIN_CALIBRATION_ROWS).count() < MIN_CALIBRATION_ROWS:
         return None
-    points = rows.groupBy("score").agg(
-        F.avg("truth").alias("rate"), F.count(F.lit(1)).cast("double").alias("weight")
-    )
-    return IsotonicRegression(
-        featuresCol="score", labelCol="rate", weightCol="weight", isotonic=True
-    ).fit(points)
+    return isotonic.fit(cases, score, truth)
 
 
-def isotonic_calibrator(model: IsotonicRegressionModel | None):
-    """Calibrator for ``fusion.evaluate``; without a model it is the sigmoid."""
+def isotonic_calibrator(curve: DataFrame | None):
+    """Calibrator for ``fusion.evaluate``; without a curve it is the sigmoid."""
 
     def apply(links: DataFrame) -> DataFrame:
-        if model is None:
+        if curve is None:
             return links.withColumn("posterior_probability", scoring.posterior("final_llr"))
-        scored = (
-            model.copy()
-            .setFeaturesCol("final_llr")
-            .setPredictionCol("_isotonic")
-            .transform(links)
-        )
-        return scored.withColumn(
+        return isotonic.predict(links, curve, "final_llr", "_isotonic").withColumn(
             "posterior_probability", scoring.clamp(F.col("_isotonic"), 0.0, 1.0)
         ).drop("_isotonic")
 

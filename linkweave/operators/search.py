@@ -39,7 +39,7 @@ def scored_search(
     ]
     rows = docs.select(
         id_col, source, F.sha2(body, 256).alias("sha256"), text.tokens(body).alias("toks")
-    ).withColumn("len", F.size("toks"))
+    ).withColumn("len", F.coalesce(F.size("toks"), F.lit(0)))
     shape = rows.agg(
         F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), F.lit(1).alias("_one")
     )
@@ -71,8 +71,8 @@ def scored_search(
         id_col,
         source,
         "sha256",
-        f"CAST(size(array_intersect({text.tokens_sql(source)}, array({quoted}))) AS DOUBLE) "
-        "AS source_score",
+        f"coalesce(CAST(size(array_intersect({text.tokens_sql(source)}, array({quoted}))) AS DOUBLE), "
+        "0D) AS source_score",
         f"CASE WHEN sha256 IN ({quoted}) THEN 1D ELSE 0D END AS digest_score",
     )
     return (

@@ -641,17 +641,13 @@ def wallet_holdings(spark, d):
              GROUP BY ALL)
            SELECT w.actor_id, w.address, w.chain, w.cluster_id, o.actor_id AS co_owner_id,
              o.owner AS co_owner, o.address AS co_owner_address FROM wallets w LEFT JOIN o
-             ON w.cluster_id = o.cluster_id AND o.actor_id <> w.actor_id
-           WHERE CAST(substr(w.actor_id, 2) AS BIGINT) % 10 = 1""",
+             ON w.cluster_id = o.cluster_id AND o.actor_id <> w.actor_id""",
     ),
 )
 def wallet_co_owners(spark, d):
-    """Wallets of the actors whose number ends in 1, with the other owners of their clusters."""
-    asked = D.actors(spark, d).where("substr(actor_id, -1) = '1'")
-    everyone = D.wallets(spark, d)
-    missing = everyone.select("actor_id").distinct().where("substr(actor_id, -1) = '1'")
-    ids = asked.select("actor_id").union(missing).distinct()
-    return reads.wallet_co_owners(everyone, D.actors(spark, d), ids)
+    """All wallets with the other owners of their clusters."""
+    wallets = D.wallets(spark, d)
+    return reads.wallet_co_owners(wallets, D.actors(spark, d), wallets.select("actor_id").distinct())
 
 
 @entry(

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from linkweave import fixed
 from linkweave.functions import text, web
-from linkweave.operators import clones, extract, observations, search, style
+from linkweave.operators import clones, extract, observations, search, style, textindex
 from linkweave.plans import derive as D
 from linkweave.plans.catalog.registration import registrar, rounded
 from linkweave.plans.oracle import CTES, with_ctes
+from linkweave.session import shared_folder
 
 ENTRIES: dict = {}
 entry = registrar(ENTRIES)
@@ -706,24 +709,24 @@ def observation_ingest(spark, d):
 _TERMS = [("the", 1), ("ention", 2), ("que", 1)]
 
 
-@entry(
-    "scored_text_search",
-    with_ctes(
-        "tokens",
-        r""", q AS (SELECT * FROM (VALUES ('the', 1), ('ention', 2), ('que', 1)) AS t(term, fuzz)),
-           len AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
-           h AS (SELECT t.doc_id, q.term, count(*) AS tf FROM tokens t JOIN q
-             ON levenshtein(regexp_replace(t.token, '[^\x00-\x7F]', '~', 'g'), q.term) <= q.fuzz GROUP BY t.doc_id, q.term),
-           s AS (SELECT (SELECT count(*) FROM documents) AS n_docs,
-             (SELECT sum(n) FROM len) / (SELECT count(*) FROM documents) AS avg_len)
-           SELECT h.doc_id, round(3 * sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2
-             / (tf + 1.2 * (0.25 + 0.75 * len.n / avg_len))), 6) AS score
-           FROM h JOIN (SELECT term, count(*) AS df FROM h GROUP BY term) f ON h.term = f.term
-           JOIN len ON h.doc_id = len.doc_id CROSS JOIN s GROUP BY h.doc_id
-           ORDER BY round(3 * sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2
-             / (tf + 1.2 * (0.25 + 0.75 * len.n / avg_len))), 9) DESC, h.doc_id LIMIT 50""",
-    ),
+_SEARCH_SQL = with_ctes(
+    "tokens",
+    r""", q AS (SELECT * FROM (VALUES ('the', 1), ('ention', 2), ('que', 1)) AS t(term, fuzz)),
+       len AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY doc_id),
+       h AS (SELECT t.doc_id, q.term, count(*) AS tf FROM tokens t JOIN q
+         ON levenshtein(regexp_replace(t.token, '[^\x00-\x7F]', '~', 'g'), q.term) <= q.fuzz GROUP BY t.doc_id, q.term),
+       s AS (SELECT (SELECT count(*) FROM documents) AS n_docs,
+         (SELECT sum(n) FROM len) / (SELECT count(*) FROM documents) AS avg_len)
+       SELECT h.doc_id, round(3 * sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2
+         / (tf + 1.2 * (0.25 + 0.75 * len.n / avg_len))), 6) AS score
+       FROM h JOIN (SELECT term, count(*) AS df FROM h GROUP BY term) f ON h.term = f.term
+       JOIN len ON h.doc_id = len.doc_id CROSS JOIN s GROUP BY h.doc_id
+       ORDER BY round(3 * sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2
+         / (tf + 1.2 * (0.25 + 0.75 * len.n / avg_len))), 9) DESC, h.doc_id LIMIT 50""",
 )
+
+
+@entry("scored_text_search", _SEARCH_SQL)
 def scored_text_search(spark, d):
     docs = D.table(spark, d, "documents").select("doc_id", "text", "source")
     return search.scored_search(docs, [t for t, _ in _TERMS], 50).select(
@@ -731,6 +734,17 @@ def scored_text_search(spark, d):
     )
 
 
+@entry("indexed_text_search", _SEARCH_SQL)
+def indexed_text_search(spark, d):
+    """The same search on a stored inverted index of the documents."""
+    docs = D.table(spark, d, "documents").select("doc_id", "text", "source")
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    textindex.build(docs, root)
+    return textindex.search(docs, root, [t for t, _ in _TERMS], 50).select(
+        "doc_id", rounded("score")
+    )
+
+
 @entry(
     "truncated_labels",
     "SELECT doc_id, substr(text, 1, 16) || '...' AS label FROM documents",

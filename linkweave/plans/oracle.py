@@ -180,7 +180,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT 'u' || CAST(c_custkey AS VARCHAR) AS user_id,
               lower(replace(c_name, '#', '.')) || '@example.org' AS email,
               CASE WHEN c_custkey % 9 = 0 THEN 'ADMIN' ELSE 'ANALYST' END AS role
-            FROM customer WHERE c_custkey < 45""",
+            FROM customer""",
     ),
     "identifier_requests": (
         (),

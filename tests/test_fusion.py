@@ -2,10 +2,11 @@ import math
 import random
 
 import pytest
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from linkweave import fixed
-from linkweave.operators import evidence, evaluation, fusion, waterfall
+from linkweave.operators import evaluation, evidence, fusion, isotonic, waterfall
 from linkweave.plans import derive
 
 ROW = ("link_id string, id string, feature_name string, family string, dependence_group string, "
@@ -169,6 +170,26 @@ def test_isotonic_needs_cases(spark):
     assert out == pytest.approx([0.0, 0.0, 0.5, 1.0])
 
 
+@pytest.mark.parametrize("points", [65_536, 3])
+def test_isotonic_equals_the_pooled_curve_of_all_rows(spark, monkeypatch, points):
+    monkeypatch.setattr(isotonic, "POINTS", points)
+    rng = random.Random(8)
+    rows = [(round(rng.gauss(0, 2), 1), int(rng.random() < 0.5)) for _ in range(150)]
+    rows += [(round(x / 10, 1), int(rng.random() < x / 100)) for x in range(100)] + [(None, 1), (2.0, None)]
+    cases = spark.createDataFrame(rows, "final_llr double, truth int")
+    merged = cases.dropna().groupBy("final_llr").agg(
+        F.avg("truth").alias("rate"), F.count(F.lit(1)).cast("double").alias("weight"))
+    model = IsotonicRegression(featuresCol="final_llr", labelCol="rate", weightCol="weight").fit(merged)
+    probes = [(x / 7,) for x in range(-60, 90)] + [(r[0],) for r in rows if r[0] is not None]
+    probe = spark.createDataFrame(probes, "final_llr double")
+    want = sorted((r.final_llr, r.prediction) for r in model.transform(probe).collect())
+    curve = isotonic.fit(cases, "final_llr", "truth")
+    got = sorted((r.final_llr, r.y) for r in isotonic.predict(probe, curve, "final_llr", "y").collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-9)
+    assert isotonic.fit(cases.where("false"), "final_llr", "truth").count() == 0
+
+
 def test_metrics_on_edges(spark):
     schema = "case_id long, probability double, truth int, decision string, short_text boolean, " \
              "abstained boolean"

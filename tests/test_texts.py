@@ -1,4 +1,5 @@
 import hashlib
+import random
 import json
 import math
 import re
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linkweave import fixed
 from linkweave.functions import text, web
-from linkweave.operators import extract, observations, search, style
+from linkweave.operators import extract, observations, search, style, textindex
 from linkweave.sources import statistics
 
 LONG = ("The quick brown fox jumps over the lazy dog. It was not what we had in mind, but then "
@@ -218,3 +219,25 @@ def test_search_ranks_and_finds_digests(spark):
     assert set(out) == {1, 2}
     sha = hashlib.sha256(b"unrelated").hexdigest()
     assert [r.doc_id for r in search.scored_search(d, [sha], 10).collect()] == [3]
+
+
+def test_index_ranks_as_the_search_over_texts(spark, tmp_path):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcé_") for _ in range(rng.randint(1, 8))) for _ in range(60)]
+    vocabulary += ["x" * 31, "x" * 33, "x" * 34 + "y", "wallet", "walet", "wallets", "ballet"]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40))), rng.choice(["wallet forum", "b", None]))
+            for k in range(120)]
+    rows += [(500, None, "wallet"), (501, "", "x"), (502, "wallet " * 400, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    textindex.build(docs, f"{tmp_path}/index")
+    sha = hashlib.sha256(rows[7][1].encode()).hexdigest()
+    for words in (["wallet"], ["x" * 33], ["x" * 32, "Wallet"], ["ab", sha], ["abca", "bcéa"], ["zzzzzzzzzz"], []):
+        if not words:
+            assert textindex.search(docs, f"{tmp_path}/index", words).count() == 0
+            continue
+        want = {r.doc_id: r.score for r in search.scored_search(docs, words, 200).collect()}
+        got = {r.doc_id: r.score for r in textindex.search(docs, f"{tmp_path}/index", words, 200).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    plan = textindex.search(docs, f"{tmp_path}/index", ["wallet"])._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "sha2" not in plan
