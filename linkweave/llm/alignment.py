@@ -17,7 +17,7 @@ vocabulary, is part of the table of counts.
 
 Scale: texts are encoded once and the ids written; nothing but id pairs and per-text sums
 is shuffled. Working arrays hold one slab of texts (or one longer text); passes over the
-ids take a quarter of a slab at a time.
+ids take a quarter of a slab at a time, and freed memory goes back to the system.
 
 Nulls, ties: null and empty texts, and texts whose A or B bytes differ from the text with
 its space (such as texts that hold U+2581), have no tokens: zeros and an empty digest.
@@ -41,7 +41,7 @@ from linkweave.llm import common, tokens
 
 #: Bytes of text whose working arrays are held, chunks remembered, bytes of a batch of rows.
 SLAB = 2 << 20
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 BATCH = "8m"
 #: Most pairs that are broadcast: 24 bytes each.
 FREQUENT = 131_072
@@ -266,6 +266,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 )
                 row += last - first
                 first = last
+        del memo
+        tokens.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _TOKENS)
 
@@ -299,6 +301,7 @@ def pair_counts(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 i, j = links(a_end, b_end)
                 pair, n = np.unique(a[i].astype(np.int64) << 32 | b[j], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+        tokens.release()
 
     counts = common.stash(
         rows.select("a_ids", "b_ids").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs"

@@ -10,6 +10,8 @@ The tokenizers' files are parameters; workers read them from the path they are g
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable
 from itertools import chain
@@ -21,6 +23,7 @@ from linkweave.llm import common
 
 SLAB = 4 << 20
 REMEMBERED = 400_000
+AT_ONCE = 4096
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -66,7 +69,11 @@ def loaded(kind: str, path: str):
 
 
 def batch(tokenizer, texts: list[str]) -> list[list[int]]:
-    return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    """Ids of texts; their encodings, many times larger, exist for ``AT_ONCE`` texts at a time."""
+    out: list[list[int]] = []
+    for k in range(0, len(texts), AT_ONCE):
+        out += [e.ids for e in tokenizer.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
+    return out
 
 
 def _plain(chunks: list[bytes], space: bool = False) -> np.ndarray:
@@ -178,13 +185,27 @@ class Memo:
             pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]
         ).dictionary_encode()
         values = chunks.dictionary.to_pylist()
-        if len(self.known) > self.room:
-            self.known = {}
+        if len(self.known) > self.room:  # what this slab needs stays
+            self.known = {v: self.known[v] for v in values if v in self.known}
         new = [v for v in values if v not in self.known]
         self.known.update(zip(new, self.encode(new), strict=True))
         return [self.known[v] for v in values], chunks.indices.to_numpy()
 
 
+def release() -> None:
+    """Gives memory that Python and Arrow have freed back to the system.
+
+    A worker outlives its task; what it once needed would stay with it while the workers of
+    a later stage run beside it.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def packed(ids: list[list[int]]) -> list[bytes]:
     """Lists of ids as little-endian unsigned 32-bit numbers."""
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
