@@ -587,16 +587,10 @@ def resolve_entity(actors: DataFrame, aliases: DataFrame, term: str) -> DataFram
     )
 
 
-def universal_search(ledger: dict[str, DataFrame], term: str, limit: int = 8) -> DataFrame:
-    """Typed hits for a term over nine tables, ``limit`` per table, no repeats.
-
-    Terms under three characters find nothing.
-    """
-    t = (term or "").strip()
-    owner = _names(ledger["actors"], "actor_id", "actor")
-    none = F.lit(None).cast("string")
+def search_branches() -> list[tuple]:
+    """Kind, table, searched fields, key, shown value, detail, and whether an actor owns the row."""
     cluster = F.coalesce("cluster_id", F.lit("unclustered"))
-    branches = [
+    return [
         ("actor", "actors", ["primary_alias", "category"], "actor_id", "primary_alias",
          F.col("category"), True),
         ("alias", "aliases", ["value"], "alias_id", "value", F.col("platform"), True),
@@ -614,8 +608,18 @@ def universal_search(ledger: dict[str, DataFrame], term: str, limit: int = 8) ->
          F.col("extraction_method"), False),
         ("case", "cases", ["title", "description"], "case_id", "title", F.col("status"), False),
     ]
+
+
+def universal_search(ledger: dict[str, DataFrame], term: str, limit: int = 8) -> DataFrame:
+    """Typed hits for a term over nine tables, ``limit`` per table, no repeats.
+
+    Terms under three characters find nothing.
+    """
+    t = (term or "").strip()
+    owner = _names(ledger["actors"], "actor_id", "actor")
+    none = F.lit(None).cast("string")
     parts = []
-    for rank, (kind, name, fields, key, value, detail, owned) in enumerate(branches):
+    for rank, (kind, name, fields, key, value, detail, owned) in enumerate(search_branches()):
         rows = ledger[name]
         test = reduce(lambda a, b: a | b, [contains_term(f, t) for f in fields])
         if len(t) < 3:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PARTS = ["scoring", "ledger", "texts", "candidates", "graphs", "logs", "evaluation"]
+PARTS = ["scoring", "ledger", "texts", "candidates", "graphs", "logs", "evaluation", "functions"]
 
 
 def entries() -> dict:
