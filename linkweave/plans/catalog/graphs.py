@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkweave.functions import text
-from linkweave.operators import finance, graph
+from linkweave.operators import finance, graph, spectral
 from linkweave.plans import derive as D
 from linkweave.plans.catalog.registration import registrar, rounded
 from linkweave.plans.oracle import CTES, with_ctes
@@ -553,6 +553,52 @@ def actor_embeddings(spark, d):
     return _dims(graph.embed(graph.random_walks(D.actor_edges(spark, d))))
 
 
+_PMI = """, k AS (SELECT node, context, count(*) AS n FROM contexts GROUP BY ALL),
+        r AS (SELECT node, sum(n) AS n FROM k GROUP BY node),
+        m AS (SELECT * FROM (SELECT k.node, k.context, ln(k.n::DOUBLE * (SELECT sum(n) FROM k)::DOUBLE
+            / (a.n::DOUBLE * b.n::DOUBLE)) AS weight
+          FROM k JOIN r a ON k.node = a.node JOIN r b ON k.context = b.node) WHERE weight > 0)"""
+
+
+@entry(
+    "context_information",
+    with_ctes("contexts", _PMI + " SELECT node, context, round(weight, 9) AS weight FROM m"),
+)
+def context_information(spark, d):
+    """Words that meet within three steps more often than by chance."""
+    pairs = graph.context_pairs(_token_walks(spark, d))
+    return spectral.positive_pmi(pairs).withColumn("weight", F.round("weight", 9))
+
+
+@entry(
+    "power_iteration_step",
+    with_ctes(
+        "contexts",
+        _PMI
+        + f""", v AS (SELECT node, i, 2 * CAST((h >> i) & 1 AS BIGINT) - 1 AS x FROM (SELECT node,
+            CAST('0x' || substr(md5(node || '/0'), 1, 16) AS UBIGINT) AS h FROM r),
+            unnest(range(0, 64)) u(i)),
+          y AS (SELECT m.node, i, sum(weight * x) AS x FROM m JOIN v ON m.context = v.node GROUP BY ALL)
+          SELECT r.node, {", ".join(f"round(coalesce(sum(x) FILTER (WHERE i = {i}), 0), 6) + 0.0 AS d{i}" for i in range(64))}
+          FROM r LEFT JOIN y ON r.node = y.node GROUP BY r.node""",
+    ),
+)
+def power_iteration_step(spark, d):
+    """The first product of the fit: the matrix times the start vectors."""
+    matrix = spectral.positive_pmi(graph.context_pairs(_token_walks(spark, d)))
+    nodes = _token_walks(spark, d).select(F.explode("path").alias("node"), "path").where(
+        F.size("path") > 1
+    ).select("node").distinct()
+    out = spectral.product(matrix, spectral.start(nodes))
+    return _dims(out.withColumnRenamed("v", "vector"))
+
+
+@entry("fitted_actor_embeddings", None)
+def fitted_actor_embeddings(spark, d):
+    """Walks over the actor graph, vectors fitted to them."""
+    return _dims(spectral.fit(graph.context_pairs(graph.random_walks(D.actor_edges(spark, d)))))
+
+
 @entry(
     "node_pair_evidence",
     with_ctes(
