@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree; subtrees that cannot belong to an article (navigation, page header
-and footer, sidebars, forms, scripts, adverts, notices, reader comments, hidden parts) are
-left out. Every paragraph gives points for its length and commas to its ancestors, whole
+A page becomes a tree; elements that cannot belong to an article (navigation, page header
+and footer, asides, forms, scripts, hidden parts) are left out. Classes and ids that name
+sidebars, adverts, notices or reader comments are weighed against what the element holds:
+a name that may tell of the layout (``has-sidebar``, ``long-form``) never takes prose out, and
+most of a page's text goes only if an article lies outside it. Every paragraph gives points for its length and commas to its ancestors, whole
 points to its parent and a falling share to those above; a container's points are
 discounted by its link density. An ``article`` element counts all points below it and
 ``BONUS`` more. The best container is kept whole. From there the way goes up to the root:
@@ -70,15 +72,28 @@ BONUS = 25.0
 HEADING = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 LISTS = frozenset({"ul", "ol", "dl", "table"})
 ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|"
+    r"(?:^|[_-])(ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|"
     r"nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-bar|aside|widget|widgets|footer|masthead|"
     r"cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
     r"signup|login|paywall|comment|comments|commentlist|respond|disqus|discussion|replies|reader-comments|"
     r"related|recommended|recommendations|share|sharing|social|toolbar|pagination|pager|skip-link|"
     r"site-header|page-header|topbar|search|legal|copyright|outbrain|taboola|complementary|contentinfo|"
-    r"form)(?:$|[\s_-])",
+    r"form)(?=$|[_-])",
     re.I,
 )
+COMMENT_WORDS = frozenset({"comment", "comments", "commentlist", "respond", "disqus", "replies", "reader-comments"})
+# words that as often name a part of an article or its layout
+UNSURE_WORDS = frozenset(
+    {"discussion", "search", "form", "legal", "copyright", "nav", "navigation", "menu", "menus", "share",
+     "sharing", "social", "toolbar", "alert", "login", "signup", "advertising", "subscription"}
+)
+BEFORE = frozenset({"has", "no", "non", "not", "with", "without", "long", "short", "full", "hide", "show"})
+AFTER = frozenset(
+    {"open", "opened", "closed", "enabled", "disabled", "on", "off", "active", "free", "less", "layout", "page",
+     "visible", "hidden"}
+)
+#: How sure the words of class and id are that an element lies beside the article.
+UNSURE, SURE, READERS = 1, 2, 3
 ASIDE_ROLES = frozenset(
     {"navigation", "banner", "complementary", "contentinfo", "search", "menu", "menubar", "alert", "dialog",
      "form", "alertdialog"}
@@ -87,45 +102,67 @@ ASIDE_ROLES = frozenset(
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
+    r"|<([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')|=)*)(?:>|$)",
     re.S,
 )
-ATTRIBUTE = re.compile(
-    r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>\"']|$)", re.I
-)
-CLASS = re.compile(r"(?:^|\s)class\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+#: A quote opens a value only behind the equals sign; other values end at white space.
+ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 
 
 class Node:
     """An element: its tag, parent, class and parts (texts and elements) in order.
 
-    ``points`` fall on the way up, ``mass`` does not.
+    ``points`` fall on the way up, ``mass`` does not; ``beside`` is what class and id say.
     """
 
-    __slots__ = ("tag", "parent", "parts", "points", "mass", "mark")
+    __slots__ = ("tag", "parent", "parts", "points", "mass", "mark", "beside")
 
-    def __init__(self, tag: str, parent: Node | None, mark: str = ""):
+    def __init__(self, tag: str, parent: Node | None, mark: str = "", beside: int = 0):
         self.tag, self.parent, self.parts, self.points = tag, parent, [], 0.0
-        self.mass, self.mark = 0.0, mark
+        self.mass, self.mark, self.beside = 0.0, mark, beside
 
 
-def _aside(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in BESIDE or (tag == "header" and not inside_article):
-        return True
-    if not attributes or attributes.isspace():
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name == "role" and value.lower() in ASIDE_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if ASIDE_WORDS.search(value):
-                return True
-    return False
+def attributes_of(text: str) -> dict[str, str]:
+    """Names in small letters and values; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _gone(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+    """Whether an element cannot belong to an article, whatever it holds."""
+    return (
+        tag in BESIDE
+        or (tag == "header" and not inside_article)
+        or "hidden" in attributes
+        or attributes.get("aria-hidden", "").lower() == "true"
+        or attributes.get("role", "").lower() in ASIDE_ROLES
+        or bool(HIDDEN.search(attributes.get("style", "")))
+    )
+
+
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+def _beside(names: str) -> int:
+    """What the words of classes and ids say.
+
+    The first and the last part of a name tell what the element is. A word between others,
+    behind ``BEFORE`` or before ``AFTER``, or of ``UNSURE_WORDS``, may as well tell of the layout.
+    """
+    found = 0
+    for name in names.lower().split():
+        for m in ASIDE_WORDS.finditer(name):
+            before, after = name[: m.start(1)], name[m.end(1) :]
+            sure = (not after and re.split("[_-]", before)[0] not in BEFORE) or (
+                not before and re.split("[_-]", after)[-1] not in AFTER
+            )
+            if not sure or m[1] in UNSURE_WORDS:
+                found = max(found, UNSURE)
+            else:
+                found = max(found, READERS if m[1] in COMMENT_WORDS else SURE)
+    return found
 
 
 def parse(page: str) -> Node:
@@ -144,13 +181,19 @@ def parse(page: str) -> Node:
                 skipped -= 1
             elif gone.tag in ("article", "main"):
                 depth_of_article -= 1
-        node = next((x for x in reversed(stack) if x is not None), root)
+        if not skipped:
+            node = stack[-1]
 
     tags = ["html"]
+    opened: dict[str, int] = {}  # tags on the stack, so that it is searched for open ones only
 
     def close(wanted, barrier) -> None:
+        if not any(opened.get(t) for t in wanted):
+            return
         for k in range(len(tags) - 1, 0, -1):
             if tags[k] in wanted:
+                for t in tags[k:]:
+                    opened[t] -= 1
                 del tags[k:]
                 pop_to(k)
                 return
@@ -180,9 +223,7 @@ def parse(page: str) -> Node:
                 node.parts.append(m[1])
         elif m[2]:
             tag = m[2].lower()
-            if tag == "p" and "p" not in tags:
-                continue
-            if tag in tags[1:]:
+            if opened.get(tag):
                 barrier = () if tag in SCOPE or tag in ("article", "main", "div", "section") else SCOPE
                 close({tag}, barrier)
         elif m[3]:
@@ -198,16 +239,19 @@ def parse(page: str) -> Node:
                 if not skipped and tag in BLOCK:
                     node.parts.append(Node(tag, node))
                 continue
-            drop = skipped > 0 or _aside(tag, attributes, depth_of_article > 0)
+            named = attributes_of(attributes) if attributes and not attributes.isspace() else {}
+            drop = skipped > 0 or _gone(tag, named, depth_of_article > 0)
             tags.append(tag)
+            opened[tag] = opened.get(tag, 0) + 1
             if drop:
                 if not skipped:
                     node.parts.append(Node("br", node))  # what is left out still parts its neighbours
                 stack.append(None)
                 skipped += 1
             else:
-                mark = CLASS.search(attributes) if attributes else None
-                child = Node(tag, node, mark[1].strip("\"'") if mark else "")
+                mark = named.get("class", "")
+                says = 0 if tag in ("article", "main") else _beside(f"{mark} {named.get('id', '')}")
+                child = Node(tag, node, mark, says)
                 node.parts.append(child)
                 stack.append(child)
                 node = child
@@ -216,11 +260,49 @@ def parse(page: str) -> Node:
             if tag in RAW:
                 raw = tag
             elif attributes.endswith("/") and tag in ("svg", "path"):
-                tags.pop()
+                opened[tags.pop()] -= 1
                 pop_to(len(tags))
+    _leave_out(root)
     return root
 
 
+def _leave_out(root: Node) -> None:
+    """Takes out what class and id put beside the article, unless its content says otherwise.
+
+    An unsure name goes unless the element holds prose. A sure one goes unless the element
+    holds over half of the page's text, and prose, while no article with prose lies
+    outside. Readers' comments always go.
+    """
+    if not any(x.beside for x in _walk(root)):
+        return
+    size, order = _lengths(root), list(_walk(root))
+    prose: dict[int, int] = {}
+    articles: dict[int, int] = {}
+    for x in reversed(order):
+        inner = [p for p in x.parts if isinstance(p, Node)]
+        text, link = size[id(x)]
+        said = sum(prose[id(p)] for p in inner)
+        if x.tag in PARAGRAPH and not any(p.tag in PARAGRAPH for p in inner):
+            said = max(said, text - link)
+        prose[id(x)] = said
+        articles[id(x)] = int(x.tag in ("article", "main") and said > PROSE) + sum(articles[id(p)] for p in inner)
+    whole, every = size[id(root)][0], articles[id(root)]
+    out: set[int] = set()
+    for x in order:
+        if not x.beside or x.parent is None:
+            continue
+        text, link = size[id(x)]
+        stays = prose[id(x)] > PROSE and link < 0.25 * text
+        if x.beside == SURE:
+            stays = stays and 2 * text > whole and every == articles[id(x)]
+        if x.beside == READERS or not stays:
+            out.add(id(x))
+    for x in order:
+        x.parts = [
+            Node("br", x) if isinstance(p, Node) and id(p) in out else p for p in x.parts
+        ]
+
+
 def _walk(node: Node):
     """Elements in page order, without recursion."""
     todo = [node]
@@ -347,7 +429,7 @@ def _strong(p: Node, at: Node, best: Node, least: float, size: dict) -> bool:
     dense = _density(p, size)
     if not text or dense >= 0.25:
         return False
-    if p.tag == "article" and p.mark and p.mark != best.mark and ASIDE_WORDS.search(p.mark):
+    if p.tag == "article" and p.mark and p.mark != best.mark and _beside(p.mark) >= SURE:
         return False
     if p.tag in PARAGRAPH:
         return text > PROSE

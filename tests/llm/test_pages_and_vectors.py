@@ -117,6 +117,50 @@ def test_main_text_is_whole():
     assert html.main_text(f"<div><article>{part('a')}</article><div>{part('b')}</div></div>") == flat("a", "b")
 
 
+PROSE = "Two long sentences, with commas, and with words enough to be prose of their own, you see. " * 3
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "content no-sidebar", "long-form", "entry-content with-comments",
+                                  "article-comments-open", "post-share-wrapper", "widget", "search", "ad-free"])
+def test_layout_names_take_no_article_out(name):
+    said = " ".join((PROSE * 2).split())
+    for attribute in ("class", "id"):
+        page = f'<div {attribute}="{name}"><p>{PROSE}</p><p>{PROSE}</p></div>'
+        assert html.main_text(page) == said
+        assert html.main_text(f'<ul class="menu"><li><a href=#>x</a></ul>{page}') == said
+
+
+def test_furniture_goes_by_name():
+    said = " ".join(PROSE.split())
+    article = f"<article><h1>Head</h1><p>{PROSE}</p></article>"
+    for name in ("sidebar", "sidebar-left", "cookie-notice", "newsletter", "reader-comments", "comment-list", "ad-slot"):
+        beside = f'<div class="{name}"><h3>Other</h3><p>{PROSE * 4}</p></div>'
+        assert html.main_text(article + beside) == "Head " + said, name
+        assert html.main_text(article.replace("</article>", beside + "</article>")) == "Head " + said, name
+    for name in ("discussion", "search"):
+        part = f'<section id="{name}"><h2>Part</h2><p>{PROSE}</p></section>'
+        assert html.main_text(article.replace("</article>", part + "</article>")) == f"Head {said} Part {said}"
+    links = '<div class="post-share-wrapper"><a href=#>One network</a> <a href=#>Another</a></div>'
+    assert html.main_text(article.replace("</article>", links + "</article>")) == "Head " + said
+    assert html.main_text(f'<div class="comments"><p>{PROSE}</p></div>') == ""
+
+
+def test_attributes_are_read_as_browsers_do():
+    assert html.main_text("<article><p title=it's>One first.</p><p>Don't two.</p></article>") == "One first. Don't two."
+    text = html.main_text('<article><p>See <a href="x"">link</a> here.</p><p class="y" title="a > b">Next.</p></article>')
+    assert text == "See link here. Next."
+    assert html.main_text(f'<div data-class="sidebar" title=\'class="ad"\'><p>{PROSE}</p></div>') == " ".join(PROSE.split())
+    assert html.main_text("<p hidden>No</p><p aria-hidden=true>No</p><p style='display: none'>No</p><p>Yes") == "Yes"
+
+
+def test_long_and_deep_pages():
+    many = "".join(f"<p>{PROSE}</p>" for _ in range(5000))
+    assert len(html.main_text(f"<article>{many}</article>")) == 5000 * len(PROSE) - 1
+    for skipped in ("", " hidden"):
+        deep = f"<div{skipped}>" * 30_000 + "<p>down, here</p>" + "</div>" * 30_000 + f"<p>{PROSE}</p>"
+        assert html.main_text(deep).endswith(PROSE.strip())
+
+
 def test_extract_keeps_every_page(spark):
     ship_code(spark)
     rows = [(1, "u", "<p>Hello, you</p>", 7), (1, "u", "<p>Hello, you</p>", 7), (None, None, None, None), (2, "v", "", 0)]
