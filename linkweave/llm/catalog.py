@@ -20,12 +20,12 @@ SELECT page_id, url, payload_bytes, payload_digest,
 FROM d LEFT JOIN f USING (payload_digest)"""
 
 VECTOR_SQL = """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) >= 4194304)) = 0),
-s AS (SELECT q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
-SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id
+WITH v AS (SELECT row_number() OVER () r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) e
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY r
   ORDER BY score DESC, vec_id))::INT rank FROM s) WHERE rank <= 20"""
 
 

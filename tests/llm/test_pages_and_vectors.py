@@ -43,6 +43,44 @@ def test_archive_starts_with_its_dictionary():
     assert len(warc.records(data)) == 50
 
 
+def _brute_top(good, k=20):
+    """Every row but the query's own, by whole numbers; scores beyond 64 bits cut to them."""
+    want = []
+    for at, (q, a) in enumerate(good):
+        if q % 20:
+            continue
+        scored = sorted(
+            (-sum(x * y for x, y in zip(a, b, strict=True)), i)
+            for n, (i, b) in enumerate(good) if n != at and len(a) == len(b)
+        )
+        want += [(q, r + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, i) in enumerate(scored[:k])]
+    return want
+
+
+def test_large_components_and_repeated_ids(spark, monkeypatch):
+    ship_code(spark)
+    monkeypatch.setattr(vafile, "TILE", 20)
+    rng = np.random.default_rng(4)
+    v = [(k, [float(x) for x in rng.normal(size=2)]) for k in range(60)]
+    v += [(100, [5e6, 0.0]), (120, [0.0, 1.0]), (101, [2.0**53 + 2, -1.0]), (140, [-1e300, 3.0]), (141, [1e300, 1.0])]
+    v += [(142, [1e301, -1.0]), (143, [1.7e308, 0.5]), (160, [1e10, -1e10]), (144, [-1e302, 0.0])]
+    v += [(20, [1.0, 1.0]), (20, [-1.0, 0.5]), (20, [-1.0, 0.5]), (7, [5e6, 0.0]), (7, [5e6, 0.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in vafile.top_k(df).collect()]
+    good = [(i, vafile.whole(e, 64)) for i, e in v]
+    assert sorted(got) == sorted(_brute_top(good))
+    assert {(20, 1, 143, 2**63 - 1), (20, 2, 142, 2**63 - 1)} <= set(got)  # ranked by the exact score, not by the cut one
+
+
+def test_order_of_scores_beyond_64_bits():
+    scores = [-(10**40), -(10**39) - 1, -(10**39), -(1 << 63) - 1]
+    up = [1 << 63, 10**30, 10**30 + 1, 10**300]
+    assert [vafile.beyond(s) for s in (5, -(1 << 63), (1 << 63) - 1)] == [None] * 3
+    for part in (scores, up):
+        keys = [vafile.beyond(s) for s in part]
+        assert keys == sorted(keys)
+
+
 @pytest.mark.parametrize("tile,rows", [(16_384, 256), (40, 3)])
 def test_top_k_equals_brute_force(spark, monkeypatch, tile, rows):
     ship_code(spark)
@@ -55,18 +93,12 @@ def test_top_k_equals_brute_force(spark, monkeypatch, tile, rows):
     monkeypatch.setattr(vafile, "TILE", tile)
     monkeypatch.setattr(vafile, "ROWS", rows)
     got = [tuple(r) for r in vafile.top_k(df).collect()]
-    good = {
-        (i, tuple(int(np.floor(64 * float(np.float32(x)))) for x in e))
+    good = [
+        (i, [vafile.whole([np.float32(x)], 64)[0] for x in e])
         for i, e in v
         if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)
-    }
-    want = []
-    for q, a in good:
-        if q % 20:
-            continue
-        scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q and len(a) == len(b))
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:20])]
-    assert sorted(got) == sorted(want)
+    ]
+    assert sorted(got) == sorted(_brute_top(good))
     assert vafile.top_k(df.where("false")).count() == 0
 
 
