@@ -76,7 +76,10 @@ def _lowered(part: pa.RecordBatch) -> pa.Array:
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """Labelled texts to learn from: ``lang, place, text``, the first SAMPLE per language."""
+    """Labelled texts to learn from: ``lang, place, doc_id, text``, the first SAMPLE ids per language.
+
+    Rows that repeat an id and its language count once, with the smallest of their texts.
+    """
     modulus, out = HELD
     labelled = docs.where(
         (common.held("doc_id", modulus) != out) & F.col("lang").isNotNull() & F.col("text").isNotNull()
@@ -84,15 +87,15 @@ def _sample(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
         labelled.select("doc_id", "lang")
+        .distinct()
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= SAMPLE)
-        .groupBy("doc_id", "lang")
-        .agg(F.min("place").alias("place"))
     )
     return common.stash(
         labelled.select("doc_id", "lang", "text")
         .join(F.broadcast(ids), ["doc_id", "lang"])
-        .select("lang", "place", "doc_id", "text"),
+        .groupBy("lang", "place", "doc_id")
+        .agg(F.min("text").alias("text")),
         "labelled",
     )
 
@@ -206,6 +209,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     names = docs.columns
     languages, weights = fit(docs)
     plain = docs.select(F.struct(*names).alias("_row"), "text")
-    if not languages:  # nothing to learn from: nothing is known against any text
-        return docs
+    if not languages:  # nothing to learn from: only texts without a letter are known to have none
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return predict(plain, languages, weights).where(F.col("lang_pred") != UNDETERMINED).select("_row.*")

@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 from linkweave.llm import bwt, langid, mixing, quota, secrets, superminhash, templates
+from linkweave.session import ship_code
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -462,3 +463,19 @@ def test_empty_tables(nothing, spark):
         mixing.score(nothing),
     ):
         assert result.count() == 0
+
+
+def test_language_sample_is_bounded_under_repeated_ids(spark, monkeypatch):
+    ship_code(spark)
+    monkeypatch.setattr(langid, "SAMPLE", 5)
+    held = next(i for i in range(1, 100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(held, f"the same id {k % 3}", "en") for k in range(3000)]
+    rows += [(1000 + k, f"ein anderer Text {k}", "de") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid._sample(docs).collect()
+    assert [(r.place, r.text) for r in got if r.lang == "en"] == [(1, "the same id 0")]
+    assert sorted(r.place for r in got if r.lang == "de") == [1, 2, 3, 4, 5]
+    left = langid.keep_identified(spark.createDataFrame(
+        [(1, "Wort", None), (2, "12 !", None), (3, None, None), (4, "", None), (5, "\u4e2d", None)],
+        "doc_id long, text string, lang string"))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 5]
