@@ -86,6 +86,17 @@ def distance_probability(distance: str) -> Column:
     return F.expr(f"round(1D / (1D + exp(-2.5D + 15D * {distance})), 4)")
 
 
+def places_sql(value: str, places: int) -> str:
+    """Text with a fixed number of places, rounded from the exact binary value as C's printf does.
+
+    ``format_string`` rounds the shortest decimal text instead: 3.105, in binary a little less,
+    would become 3.11. ``format_number`` errs only on 0.00005, hence the first arm.
+    """
+    unit = f"1E-{places}D"
+    value = f"CASE WHEN abs({value}) = 5E-{places + 1}D THEN signum({value}) * {unit} ELSE {value} END"
+    return f"format_number({value}, '0.{'0' * places}')"
+
+
 def round_even(value: str, places: int) -> Column:
     """Rounding of a binary figure with ties to even, as the published scores use."""
     scale = f"{10 ** places}D"

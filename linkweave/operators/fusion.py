@@ -1,7 +1,7 @@
 """Fusion of evidence into one score per link, and the waterfall behind it.
 
 Inside one dependence group the strongest item counts in full and every other one
-by the discount, so a group adds ``d * sum + (1 - d) * max``. That is an ordinary
+by the discount, so a group adds ``max + d * (sum - max)``. That is an ordinary
 aggregate: it combines on the map side, and a link or group that holds a large
 share of all rows never has to be sorted in one task.
 """
@@ -28,7 +28,8 @@ def _scored(items: DataFrame) -> DataFrame:
 
 
 def _group_sum(discount: float) -> str:
-    return f"({float(discount)}D * g_sum + {1.0 - discount}D * g_max)"
+    # in this form a lone item adds exactly its own figure
+    return f"(g_max + {float(discount)}D * (g_sum - g_max))"
 
 
 def fuse(
@@ -91,17 +92,19 @@ def fuse(
     )
 
 
+_PROBABILITY = scoring.places_sql("posterior_probability", 4)
+_FINAL = scoring.places_sql("final_llr", 2)
+_PENALTY = scoring.places_sql("contradiction_penalty", 2)
+
 EXPLANATION = f"""CASE decision
-  WHEN '{fixed.REJECTED}' THEN format_string(
-    'Rejected: contradiction penalty %.2f, final score %.2f.', contradiction_penalty, final_llr)
-  WHEN '{fixed.HIGH}' THEN format_string(
-    'High confidence: probability %.4f, final score %.2f, %d independent families.',
-    posterior_probability, final_llr, independent_families)
-  WHEN '{fixed.LOW}' THEN format_string(
-    'Low confidence: probability %.4f, final score %.2f; needs review.',
-    posterior_probability, final_llr)
-  ELSE format_string('Insufficient evidence: probability %.4f, final score %.2f.',
-    posterior_probability, final_llr) END"""
+  WHEN '{fixed.REJECTED}' THEN concat(
+    'Rejected: contradiction penalty ', {_PENALTY}, ', final score ', {_FINAL}, '.')
+  WHEN '{fixed.HIGH}' THEN concat('High confidence: probability ', {_PROBABILITY},
+    ', final score ', {_FINAL}, ', ', independent_families, ' independent families.')
+  WHEN '{fixed.LOW}' THEN concat('Low confidence: probability ', {_PROBABILITY},
+    ', final score ', {_FINAL}, '; needs review.')
+  ELSE concat('Insufficient evidence: probability ', {_PROBABILITY},
+    ', final score ', {_FINAL}, '.') END"""
 
 
 Calibrator = Callable[[DataFrame], DataFrame]
