@@ -46,14 +46,15 @@ def contradiction_rows(contributions: DataFrame) -> DataFrame:
     )
 
 
-def items_nested(contributions: DataFrame) -> DataFrame:
-    """Item arrays per link and family, in chunks."""
+def items_nested(contributions: DataFrame, places: int | None = 4) -> DataFrame:
+    """Item arrays per link and family, in chunks; without ``places`` the figures stay whole."""
+    shown = (lambda c: F.col(c)) if places is None else (lambda c: F.round(c, places).alias(c))
     rows = contributions.where("NOT abstain AND NOT is_contradiction")
     item = F.struct(
         "evidence_id",
         "feature_name",
-        F.round("raw_llr", 4).alias("raw_llr"),
-        F.round("llr_contrib", 4).alias("llr_contrib"),
+        shown("raw_llr"),
+        shown("llr_contrib"),
         "dependence_group",
     )
     return nest(rows, ["link_id", "family"], item, "evidence_id")

@@ -251,11 +251,9 @@ _FAM4 = ", ".join(
 )
 def public_scores(spark, d):
     out = fusion.public_scores(fusion.evaluate(D.evidence_items(spark, d)))
+    shown = scoring.places_sql("e.value", 4)
     flat = F.array_join(
-        F.transform(
-            F.array_sort(F.map_entries("family_scores")),
-            lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"])),
-        ),
+        F.expr(f"transform(array_sort(map_entries(family_scores)), e -> concat(e.key, '=', {shown}))"),
         ",",
     )
     return out.select(
@@ -364,13 +362,10 @@ def waterfall_by_family(spark, d):
     ),
 )
 def waterfall_items_nested(spark, d):
-    nested = waterfall.items_nested(fusion.contributions(D.evidence_items(spark, d)))
-    line = F.transform(
-        "items",
-        lambda x: F.concat(
-            x["evidence_id"], F.lit(":"), F.format_string("%.4f", x["llr_contrib"])
-        ),
-    )
+    # rounded once, by the text: a figure rounded before may end on the other side of a tie
+    nested = waterfall.items_nested(fusion.contributions(D.evidence_items(spark, d)), None)
+    shown = scoring.places_sql("x.llr_contrib", 4)
+    line = F.expr(f"transform(items, x -> concat(x.evidence_id, ':', {shown}))")
     return nested.select(
         "link_id", "family", "chunk", F.size("items").cast("long").alias("n_items"),
         F.array_join(line, "|").alias("item_list"),
@@ -410,14 +405,10 @@ def link_summary(spark, d):
     out = waterfall.link_summary(
         fusion.evaluate(items), fusion.contributions(items), D.link_ends(spark, d)
     )
-    steps = F.transform(
-        "waterfall.family_contributions",
-        lambda s: F.concat_ws(
-            ":",
-            s["family"],
-            s["item_count"].cast("string"),
-            F.format_string("%.4f", s["capped_llr_contribution"]),
-        ),
+    shown = scoring.places_sql("s.capped_llr_contribution", 4)
+    steps = F.expr(
+        "transform(waterfall.family_contributions, s -> "
+        f"concat_ws(':', s.family, CAST(s.item_count AS STRING), {shown}))"
     )
     return out.select(
         "link_id", "target", "candidate", "decision", "posterior_probability", "final_net_llr",

@@ -6,6 +6,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from linkweave import fixed
+from linkweave.functions import scoring
 from linkweave.operators import evaluation, evidence, fusion, isotonic, waterfall
 from linkweave.plans import derive
 
@@ -214,3 +215,28 @@ def test_stored_score_is_the_sum_of_its_items(spark, small):
     worst = links.join(sums, "hypothesis_id").agg(
         F.max(F.abs(F.col("s") - F.col("raw_log_lr")))).first()[0]
     assert worst < 0.01
+
+
+def test_texts_round_the_binary_value(spark):
+    """3.105 is a little less in binary, 5.15625 an exact tie: rounded as printf does."""
+    figures = [3.105, -4.395, 13.555, 5.15625, 0.78125, 0.00005, -0.001, 0.0, 1234567.125]
+    shown = spark.createDataFrame([(x,) for x in figures], "x double").selectExpr(
+        "x", f"{scoring.places_sql('x', 2)} AS two", f"{scoring.places_sql('x', 4)} AS four"
+    )
+    for r in shown.collect():
+        assert (r.two, r.four) == (f"{r.x:.2f}", f"{r.x:.4f}")
+    row = fusion.evaluate(frame(spark, [item("l", "a", 3.105)])).first()
+    assert row.explanation.endswith("final score 3.10; needs review.")
+
+
+def test_lone_items_keep_their_figure(spark):
+    figures = [3.0 * (1 - i / 100) * (1 - j / 100) for i in range(11) for j in range(9)]
+    rows = [item(f"l{i}", "a", x) for i, x in enumerate(figures)]
+    got = {r.link_id: r.final_llr for r in fusion.fuse(frame(spark, rows)).collect()}
+    assert got == {f"l{i}": x for i, x in enumerate(figures)}
+
+
+def test_nested_items_can_stay_unrounded(spark):
+    parts = fusion.contributions(frame(spark, [item("l", "a", 3.15625)]))
+    assert waterfall.items_nested(parts, None).first()["items"][0].llr_contrib == 3.15625
+    assert waterfall.items_nested(parts).first()["items"][0].llr_contrib == 3.1563
