@@ -358,3 +358,38 @@ def test_node_pairs(spark):
     assert (out["a"].m_i, out["b"].m_i, out["z"].m_i) == (0.90, 0.75, 0.20)
     assert out["gone"].abstain and out["gone"].llr == 0.0 and out["gone"].link_probability is None
     assert out["z"].link_probability == 0.5 and out["z"].euclidean_distance == 2.0
+
+
+def test_walks_keep_names_with_separators(spark):
+    names = ["a\u0001b", "\u0002A", "", "\u0001", "x\u0002"]
+    edges = spark.createDataFrame(
+        [e for i, n in enumerate(names) for e in ((n, names[i - 1]), (names[i - 1], n))],
+        "src string, dst string",
+    )
+    for p, q in ((1.0, 1.0), (4.0, 0.5)):
+        walks = graph.random_walks(edges, 2, 6, p, q).collect()
+        assert len(walks) == 2 * len(names)
+        for r in walks:
+            assert len(r.path) == 6 and set(r.path) <= set(names)
+            assert r.walk_id.rsplit("#", 1)[0] == r.path[0]
+
+
+def test_refused_walkers_arrive(spark):
+    """Ways back and out weigh next to nothing: whole batches of offers are refused."""
+    edges = spark.createDataFrame([(a, b) for a in "hub" for b in "hub" if a != b] + [
+        (f"l{i}", "h") for i in range(40)] + [("h", f"l{i}") for i in range(40)], "src string, dst string")
+    walks = graph.random_walks(edges, 3, 5, 50.0, 50.0).collect()
+    assert len(walks) == 3 * 43 and {len(r.path) for r in walks} == {5}
+    ways = {(r.src, r.dst) for r in edges.collect()}
+    assert all(step in ways for r in walks for step in zip(r.path, r.path[1:]))
+
+
+def test_earlier_walk_tables_are_removed(spark):
+    import os
+
+    from linkweave.session import shared_folder
+
+    before = set(os.listdir(shared_folder(spark)))
+    graph.random_walks(_ring(spark), 2, 12, 4.0, 0.5).collect()
+    # the neighbours and the last round
+    assert len(set(os.listdir(shared_folder(spark))) - before) == 2
