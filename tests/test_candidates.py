@@ -393,3 +393,9 @@ def test_earlier_walk_tables_are_removed(spark):
     graph.random_walks(_ring(spark), 2, 12, 4.0, 0.5).collect()
     # the neighbours and the last round
     assert len(set(os.listdir(shared_folder(spark))) - before) == 2
+
+
+def test_vectors_are_summed_without_counted_pairs(spark):
+    walks = graph.random_walks(_ring(spark), 2, 10)
+    plan = graph.embed(walks)._jdf.queryExecution().toString()
+    assert "context" not in plan
