@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkweave.session import cut_lineage
+from linkweave.session import cut_lineage, stored
 
 
 def running_totals(rows: DataFrame, order: list[str], measures: list[str]) -> DataFrame:
@@ -48,16 +48,41 @@ def running_totals(rows: DataFrame, order: list[str], measures: list[str]) -> Da
 def positions(rows: DataFrame, key: str, order: list[str], made: dict) -> DataFrame:
     """Adds ``position`` (from 1) within each ``key`` by ``order``, however many rows a key has.
 
-    ``made`` names further columns to order by. The order is completed by a digest of the
-    whole row, so rows equal in it are numbered in a repeatable way.
+    ``made`` names further columns to order by. The order is completed by the remaining
+    columns, so only equal rows are interchangeable. Rows go to range partitions and are
+    numbered inside them; a key's rows are consecutive, so only the first key of a partition
+    goes on from earlier ones, by an offset per partition.
     """
-    tie = F.md5(F.to_json(F.struct(*rows.columns)))
-    numbered = running_totals(
-        rows.withColumns({**made, "_tie": tie, "_one": F.lit(1)}), [key, *order, "_tie"], ["_one"]
+    rest = [c for c in rows.columns if c != key and c not in order]
+    # a map has no order of its own
+    ties = [F.to_json(c) if "map<" in rows.schema[c].dataType.simpleString() else F.col(c) for c in rest]
+    placed = stored(
+        rows.withColumns(made)
+        .repartitionByRange(key, *order, *ties)
+        .withColumn("_part", F.spark_partition_id())
     )
-    first = numbered.groupBy(key).agg(F.min("_one_before").alias("_first"))
+    name = F.struct(F.col(key).alias("k"))
+    ends = placed.groupBy("_part").agg(F.min(name).alias("_first"), F.max(name).alias("_last"))
+    tails = (
+        placed.select("_part", name.alias("_key"))
+        .join(F.broadcast(ends), "_part")
+        .groupBy("_part", "_last")
+        .agg(F.count_if(F.expr("_key <=> _last")).alias("n"))
+    )
+    # one row per shuffle partition on either side
+    carried = (
+        ends.alias("e")
+        .join(tails.alias("t"), F.expr("t._part < e._part AND t._last <=> e._first"), "left")
+        .groupBy("e._part", "e._first")
+        .agg(F.coalesce(F.sum("t.n"), F.lit(0)).alias("_carried"))
+    )
+    inside = Window.partitionBy("_part", key).orderBy(*order, *ties)
     return (
-        numbered.join(first, key)
-        .withColumn("position", (F.col("_one_before") - F.col("_first") + 1).cast("long"))
-        .select(*rows.columns, "position")
+        placed.withColumn("_inside", F.row_number().over(inside))
+        .join(F.broadcast(carried), "_part")
+        .withColumn(
+            "position",
+            F.col("_inside") + F.when(name.eqNullSafe(F.col("_first")), F.col("_carried")).otherwise(0),
+        )
+        .select(*rows.columns, F.col("position").cast("long"))
     )

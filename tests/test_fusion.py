@@ -152,6 +152,24 @@ def test_legacy_rows(spark):
     assert rows["d"].family is None
 
 
+def test_busy_links_get_the_same_figures_by_joins(spark):
+    rng = random.Random(5)
+    rows = [item(f"l{n % 7 if n % 2 else 0}", f"i{n % 150}", rng.choice([None, 2.0, rng.uniform(-3, 9)]),
+                 rng.choice(fixed.FAMILIES), f"g{rng.randrange(3)}",
+                 contradiction=rng.choice([None] * 9 + [15.0]), abstain=rng.random() < 0.1)
+            for n in range(300)]
+    plan = fusion.contributions(frame(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "RepartitionByExpression [link_id" in plan
+
+    def figures(busy):
+        out = fusion.contributions(frame(spark, rows), busy_items=busy).collect()
+        return sorted((r.link_id, r.evidence_id, r.family, r.dependence_group, round(r.llr_contrib, 9),
+                       round(r.raw_llr, 9), r.is_discounted, bool(r.is_capped)) for r in out)
+
+    assert len(figures(30)) == 300
+    assert figures(0) == figures(30) == figures(10_000)
+
+
 def test_one_hot_link_is_not_one_row(spark):
     rows = [item("hot", f"i{n:05d}", 0.1, group=f"g{n}") for n in range(2500)]
     nested = waterfall.items_nested(fusion.contributions(frame(spark, rows))).collect()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkweave import session
 from linkweave.functions import web
 from linkweave.operators import audit, finance, graph, ledger, ranking, reads
+from linkweave.plans import derive
 
 
 @pytest.fixture(scope="module")
@@ -134,6 +135,24 @@ def test_positions_number_every_row(spark):
     assert [p for p, _ in mine] == list(range(1, 51)) and [x for _, x in mine] == sorted(x for _, x in mine)
 
 
+def test_positions_go_on_over_partitions_and_for_rows_without_a_key(spark):
+    keys = [None] * 30 + ["a"] * 3 + ["b"] * 200 + ["c"] * 2
+    rows = spark.createDataFrame([(k, i % 7, {"n": i % 2}) for i, k in enumerate(keys)],
+                                 "key string, x int, m map<string,int>")
+    got = ranking.positions(rows, "key", ["x"], {}).collect()
+    assert len(got) == len(keys)
+    for key in set(keys):
+        mine = sorted((r.position, r.x) for r in got if r.key == key)
+        assert [p for p, _ in mine] == list(range(1, keys.count(key) + 1))
+        assert [x for _, x in mine] == sorted(x for _, x in mine)
+
+
+def test_a_timeline_carries_nothing_it_does_not_show(spark, small):
+    links, cited = derive.link_pairs(spark, small), derive.cited_evidence(spark, small)
+    rows = reads.actor_timeline(links, cited, derive.stored_evidence(spark, small))
+    assert set(rows.columns) == {"actor_id", "evidence_id", "extraction_method", "created_at", "position"}
+
+
 @pytest.mark.parametrize("p,q", [(1.0, 1.0), (4.0, 0.5)])
 def test_walks_step_along_edges(spark, p, q):
     pairs = [("hub", f"n{i}") for i in range(90)] + [("n1", "n2"), ("n2", "n3")]
