@@ -54,20 +54,28 @@ def retract(
     receipts = accepted.join(cited, "evidence_id", "left").withColumn(
         "cited_by", F.coalesce("cited_by", F.lit(0).cast("long"))
     )
-    stamps = accepted.select(
+    # evidence withdrawn before keeps its stamps, so the first request needs no look at its state
+    stamps = first_requests(requests).select(
         "evidence_id",
         F.col("requested_at").alias("_at"),
         F.col("requested_by").alias("_by"),
         F.col("reason").alias("_why"),
     )
-    updated = evidence.join(stamps, "evidence_id", "left")
-    for column, stamp in (
-        ("retracted_at", "_at"),
-        ("retracted_by", "_by"),
-        ("retraction_reason", "_why"),
-    ):
-        updated = updated.withColumn(column, F.coalesce(column, stamp))
-    return updated.drop("_at", "_by", "_why"), refused, receipts
+    fresh = F.col("retracted_at").isNull()
+    updated = (
+        evidence.join(stamps, "evidence_id", "left")
+        .withColumns(
+            {
+                "retracted_by": F.when(fresh, F.coalesce("retracted_by", "_by")).otherwise(F.col("retracted_by")),
+                "retraction_reason": F.when(fresh, F.coalesce("retraction_reason", "_why")).otherwise(
+                    F.col("retraction_reason")
+                ),
+                "retracted_at": F.coalesce("retracted_at", "_at"),
+            }
+        )
+        .drop("_at", "_by", "_why")
+    )
+    return updated, refused, receipts
 
 
 def rescore(hypotheses: DataFrame, items: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -177,43 +177,45 @@ def live_items(items: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def link_items(items: DataFrame, evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """The shown items of every link with their provenance."""
-    source = evidence_with_artifacts(evidence, artifacts).select(
+    """The shown items of every link with their provenance.
+
+    As in ``live_items``, but the evidence ledger, one row per id, is met once: an item
+    whose row turns out to be withdrawn goes, one without a row stays.
+    """
+    source = evidence.select(
         "evidence_id",
+        "artifact_id",
         "source_uri",
         "extraction_method",
         "value",
         F.col("dependence_group").alias("_group"),
         F.col("created_at").alias("timestamp"),
-        F.col("artifact_sha256").alias("sha256"),
+        F.col("retracted_at").alias("_gone"),
     )
-    return (
-        live_items(items, evidence)
-        .join(source, "evidence_id", "left")
-        .select(
-            "hypothesis_id",
-            F.when(F.col("is_contradiction"), "contradicting")
-            .otherwise("supporting")
-            .alias("side"),
-            "evidence_id",
-            "family",
-            F.coalesce("source_uri", F.lit("Unknown")).alias("source_uri"),
-            F.coalesce("extraction_method", F.lit("N/A")).alias("extraction_method"),
-            F.coalesce("value", F.lit("N/A")).alias("value"),
-            F.col("reliability_weight").alias("reliability"),
-            "raw_llr",
-            "contribution",
-            "is_contradiction",
-            F.coalesce("_group", F.lit("DEP_NONE")).alias("dependence_group"),
-            "timestamp",
-            "sha256",
-        )
+    shown = items.join(source, "evidence_id", "left").where("_gone IS NULL").drop("_gone")
+    return evidence_with_artifacts(shown, artifacts).select(
+        "hypothesis_id",
+        F.when(F.col("is_contradiction"), "contradicting").otherwise("supporting").alias("side"),
+        "evidence_id",
+        "family",
+        F.coalesce("source_uri", F.lit("Unknown")).alias("source_uri"),
+        F.coalesce("extraction_method", F.lit("N/A")).alias("extraction_method"),
+        F.coalesce("value", F.lit("N/A")).alias("value"),
+        F.col("reliability_weight").alias("reliability"),
+        "raw_llr",
+        "contribution",
+        "is_contradiction",
+        F.coalesce("_group", F.lit("DEP_NONE")).alias("dependence_group"),
+        "timestamp",
+        F.col("artifact_sha256").alias("sha256"),
     )
 
 
-def link_items_nested(detail: DataFrame) -> DataFrame:
-    item = F.struct("evidence_id", "family", "value", "contribution", "sha256")
-    return nest(detail, ["hypothesis_id", "side"], item, "evidence_id")
+def link_items_nested(
+    detail: DataFrame,
+    fields: tuple[str, ...] = ("evidence_id", "family", "value", "contribution", "sha256"),
+) -> DataFrame:
+    return nest(detail, ["hypothesis_id", "side"], F.struct(*fields), "evidence_id")
 
 
 def family_totals(items: DataFrame, caps: dict[str, float] | None = None) -> DataFrame:

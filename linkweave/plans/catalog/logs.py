@@ -289,9 +289,9 @@ def _detail(spark, d):
     ),
 )
 def evidence_csv_export(spark, d):
-    """The export written as CSV and read back."""
+    """The export written as gzipped CSV and read back."""
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    exports.write_evidence_csv(_detail(spark, d), path)
+    exports.write_evidence_csv(_detail(spark, d), path, "gzip")
     return spark.read.option("header", True).csv(path).selectExpr(
         "`Evidence ID` AS evidence_id", "`Family` AS family", "`Source URI` AS source_uri",
         "`Value` AS value", "round(CAST(`Contribution` AS DOUBLE), 4) AS contribution",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkweave import fixed
 from linkweave.operators import graph, reads
+from linkweave.session import shuffles_cleaned
 
 
 def evidence_rows(detail: DataFrame) -> DataFrame:
@@ -24,8 +25,11 @@ def evidence_rows(detail: DataFrame) -> DataFrame:
     return detail.select(*out)
 
 
-def write_evidence_csv(detail: DataFrame, path: str) -> None:
-    evidence_rows(detail).write.mode("overwrite").option("header", True).csv(path)
+def write_evidence_csv(detail: DataFrame, path: str, compression: str = "none") -> None:
+    """Writes the export; the shuffle files behind the rows go with the write."""
+    out = evidence_rows(detail).write.mode("overwrite")
+    with shuffles_cleaned(detail.sparkSession):
+        out.option("header", True).option("compression", compression).csv(path)
 
 
 def link_bundles(links: DataFrame, aliases: DataFrame, stamp: str) -> DataFrame:

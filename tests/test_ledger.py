@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 from datetime import datetime, timezone
 
 import pytest
@@ -224,6 +225,31 @@ def test_csv_has_twelve_headings(spark, folder):
     assert len(back.columns) == 12
 
 
+def test_csv_may_be_compressed(spark, folder):
+    detail = spark.createDataFrame([("e1", "x" * 5000)], "evidence_id string, value string")
+    exports.write_evidence_csv(detail, f"{folder}/csv", "gzip")
+    assert spark.read.option("header", True).csv(f"{folder}/csv").first()["Value"] == "x" * 5000
+    kept = [n for n in os.listdir(f"{folder}/csv") if n.startswith("part")]
+    assert kept and all(n.endswith(".gz") for n in kept)
+
+
+def test_link_items_meet_the_evidence_once(spark):
+    asked = spark.createDataFrame([("e1", AT, 1, "u1", "wrong")], "evidence_id string, "
+                                  "requested_at timestamp, request_no int, requested_by string, reason string")
+    evidence = _evidence(spark).withColumns(
+        {c: F.lit("x") for c in ("artifact_id", "source_uri", "extraction_method", "value", "dependence_group")}
+    ).withColumn("created_at", F.lit(AT))
+    items = _items(spark).withColumns({"family": F.lit("F"), "reliability_weight": F.lit(1.0),
+                                       "raw_llr": F.lit(1.0), "is_contradiction": F.lit(False)})
+    updated, _, _ = ledger.retract(evidence, asked, items)
+    files = spark.createDataFrame([("x", "d")], "artifact_id string, sha256 string")
+    rows = reads.link_items(items, updated, files)
+    got = {(r.evidence_id, r.source_uri, r.sha256) for r in rows.collect()}
+    assert got == {("e2", "x", "d"), ("gone", "Unknown", None)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Join ") == 3
+
+
 def test_tables_round_trip(spark, folder, small):
     tables.append(derive.actors(spark, small), folder, "actors")
     back = tables.read(spark, folder, "actors")
