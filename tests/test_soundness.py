@@ -11,6 +11,7 @@ from linkweave import session
 from linkweave.functions import web
 from linkweave.operators import audit, finance, graph, ledger, ranking, reads
 from linkweave.plans import derive
+from linkweave.streaming import state
 
 
 @pytest.fixture(scope="module")
@@ -179,3 +180,7 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Unset())
     assert json.dumps(session.shared_folder(spark))
+
+
+def test_only_links_that_change_get_state():
+    assert "handleInitialState" not in vars(state.LinkSums)
