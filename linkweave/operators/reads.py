@@ -435,29 +435,56 @@ def wallet_holdings(wallets: DataFrame, actors: DataFrame) -> DataFrame:
     ).join(_names(actors, "actor_id", "actor"), "actor_id")
 
 
+TILE = 2_000
+
+
 def wallet_co_owners(
-    wallets: DataFrame, actors: DataFrame, actor_ids: DataFrame
+    wallets: DataFrame, actors: DataFrame, actor_ids: DataFrame, tile: int = TILE
 ) -> DataFrame:
-    """For the asked actors: each wallet and the other owners of its cluster."""
-    asked = wallets.join(actor_ids.select("actor_id"), "actor_id", "left_semi")
+    """For the asked actors: each wallet and the other owners of its cluster.
+
+    The pairs grow with the square of a cluster. They are made in tiles of about ``tile``
+    wallets and as many owners, dealt over as many partitions as there are tiles.
+    """
+    asked = wallets.join(actor_ids.select("actor_id"), "actor_id", "left_semi").select(
+        "actor_id", "address", "chain", "cluster_id"
+    )
     others = cluster_owners(wallets, actors).select(
         "cluster_id",
         F.col("actor_id").alias("co_owner_id"),
         F.col("actor").alias("co_owner"),
         F.col("address").alias("co_owner_address"),
     )
-    return (
-        asked.alias("w")
-        .join(
-            others.alias("o"),
-            F.expr("w.cluster_id = o.cluster_id AND o.co_owner_id <> w.actor_id"),
-            "left",
-        )
-        .selectExpr(
-            "w.actor_id", "w.address", "w.chain", "w.cluster_id", "o.co_owner_id", "o.co_owner",
-            "o.co_owner_address",
-        )
+    parts = F.ceil(F.count(F.lit(1)) / tile).cast("int")
+    owned = others.groupBy("cluster_id").agg(
+        parts.alias("_tiles"), F.min("co_owner_id").alias("_lo"), F.max("co_owner_id").alias("_hi")
+    )
+    held = asked.groupBy("cluster_id").agg(parts.alias("_strips"))
+    sizes = owned.join(held, "cluster_id")
+    n = sizes.agg(F.sum(F.col("_tiles").cast("long") * F.col("_strips"))).first()[0] or 1
+    key = ["cluster_id", "_tile", "_strip"]
+    sized = asked.join(sizes, "cluster_id", "left")
+    left = (
+        sized.withColumn("_tile", F.explode(F.expr("sequence(0, _tiles - 1)")))
+        .withColumn("_strip", F.pmod(F.xxhash64("address", "actor_id"), "_strips").cast("int"))
+        .select("actor_id", "address", "chain", *key)
+        .repartition(n, *key)
+    )
+    right = (
+        others.join(sizes, "cluster_id")
+        .withColumn("_tile", F.pmod(F.xxhash64("co_owner_id"), "_tiles").cast("int"))
+        .withColumn("_strip", F.explode(F.expr("sequence(0, _strips - 1)")))
+        .select("co_owner_id", "co_owner", "co_owner_address", *key)
+        .repartition(n, *key)
+    )
+    shown = ["actor_id", "address", "chain", "cluster_id", "co_owner_id", "co_owner",
+             "co_owner_address"]
+    none = F.lit(None).cast("string")
+    alone = sized.where("_lo IS NULL OR (_lo = actor_id AND _hi = actor_id)").withColumns(
+        {"co_owner_id": none, "co_owner": none, "co_owner_address": none}
     )
+    pairs = left.join(right, key).where("co_owner_id <> actor_id")
+    return pairs.select(*shown).unionByName(alone.select(*shown))
 
 
 def wallets_and_cluster_owners(wallets: DataFrame, actors: DataFrame) -> DataFrame:

@@ -184,6 +184,19 @@ def test_wallet_co_owners(spark):
     assert (row.wallet_count, row.clustered_count, row.shared_cluster_count) == (3, 2, 1)
 
 
+def test_co_owners_are_paired_in_tiles(spark):
+    w = spark.createDataFrame(
+        [(f"w{i}", f"a{i}", "BTC", "C" if i < 60 else "D", f"x{i % 45}") for i in range(61)],
+        "wallet_id string, address string, chain string, cluster_id string, actor_id string")
+    who = w.selectExpr("actor_id", "upper(actor_id) AS primary_alias").distinct()
+    rows = reads.wallet_co_owners(w, who, who, tile=7)
+    got = rows.collect()
+    assert len(got) == len(set(got)) == 60 * 44 + 1
+    assert [r.address for r in got if r.co_owner_id is None] == ["a60"]
+    busy = rows.where("cluster_id = 'C'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(busy) > 10 and max(r["count"] for r in busy) < 60 * 44 // 4
+
+
 def test_every_wallet_gets_its_co_owners(spark, small):
     from linkweave.plans import catalog
     from linkweave.plans import derive as D
