@@ -176,8 +176,10 @@ def live_items(items: DataFrame, evidence: DataFrame) -> DataFrame:
     return items.join(gone, "evidence_id", "left_anti")
 
 
-def link_items(items: DataFrame, evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """The shown items of every link with their provenance.
+def link_items(
+    items: DataFrame, evidence: DataFrame, artifacts: DataFrame | None
+) -> DataFrame:
+    """The shown items of every link with their provenance; without ``artifacts`` no digests.
 
     As in ``live_items``, but the evidence ledger, one row per id, is met once: an item
     whose row turns out to be withdrawn goes, one without a row stays.
@@ -193,7 +195,11 @@ def link_items(items: DataFrame, evidence: DataFrame, artifacts: DataFrame) -> D
         F.col("retracted_at").alias("_gone"),
     )
     shown = items.join(source, "evidence_id", "left").where("_gone IS NULL").drop("_gone")
-    return evidence_with_artifacts(shown, artifacts).select(
+    if artifacts is None:
+        traced = shown.withColumn("artifact_sha256", F.lit(None).cast("string"))
+    else:
+        traced = evidence_with_artifacts(shown, artifacts)
+    return traced.select(
         "hypothesis_id",
         F.when(F.col("is_contradiction"), "contradicting").otherwise("supporting").alias("side"),
         "evidence_id",

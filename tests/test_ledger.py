@@ -261,6 +261,8 @@ def test_link_items_meet_the_evidence_once(spark):
     assert got == {("e2", "x", "d"), ("gone", "Unknown", None)}
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and plan.count("Join ") == 3
+    nested = reads.link_items_nested(reads.link_items(items, updated, None), ("evidence_id",))
+    assert sorted(x["evidence_id"] for r in nested.collect() for x in r["items"]) == ["e2", "gone"]
 
 
 def test_tables_round_trip(spark, folder, small):
