@@ -399,3 +399,27 @@ def test_vectors_are_summed_without_counted_pairs(spark):
     walks = graph.random_walks(_ring(spark), 2, 10)
     plan = graph.embed(walks)._jdf.queryExecution().toString()
     assert "context" not in plan
+
+
+def test_signals_of_busy_keys_are_never_gathered_by_pair(spark):
+    rng = random.Random(9)
+    kind = "string, fingerprint string, handle string, embedding array<double>, favicon_hash string"
+
+    def profile(i):
+        return (f"p{i:03d}", rng.choice(["ab CD", "ABCD", "x", "", None]),
+                rng.choice(["silverfox", "silver_fox", " Silverfox", "greenhill", "", "  ", None]),
+                rng.choice([None, [rng.random() - 0.5 for _ in range(6)]]), rng.choice(["0", "7", " 7", "-3", None]))
+
+    rows = [profile(i) for i in range(60)]
+    s = spark.createDataFrame(rows[:40], "source_id " + kind)
+    c = spark.createDataFrame(rows[20:], "actor_id " + kind)
+    got = candidates.multi_signal_search(s, c, 5, tile=3)
+    want = candidates._gathered(s, c, candidates.near_vectors(s, c, 5).drop("rank"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("Scan")[0] and "rangepartitioning" not in plan
+    show = ["source_id", "candidate_id", "max_score", "n_matches", "matches"]
+    assert sorted(map(repr, got.select(*show).collect())) == sorted(map(repr, want.select(*show).collect()))
+    # an id with two profiles is one candidate
+    twice = c.unionByName(spark.createDataFrame([("p020", "x", "greenhill", None, "7")], "actor_id " + kind))
+    pairs = [(r.source_id, r.candidate_id) for r in candidates.multi_signal_search(s, twice, 5).collect()]
+    assert len(pairs) == len(set(pairs))
