@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkweave import fixed
 from linkweave.functions import scoring, text, vectors
@@ -114,22 +119,48 @@ def char_ngram_shares(
     )
 
 
+NGRAM_FIGURES = ["distinct_ngrams", "total_ngrams", "top_ngram_count"]
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in NGRAM_FIGURES]))
+def ngram_figures(texts: pd.Series) -> pd.DataFrame:
+    """Different character n-grams of length three to five, all of them, and the count of the top one.
+
+    Grams of a text are numbers: three code points of 21 bits, then the place of the shorter
+    gram among its text's and one code point more.
+    """
+    out = np.zeros((len(texts), 3), np.int64)
+    for row, t in enumerate(texts):
+        c = np.frombuffer((t or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+        grams = c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+        for n in (3, 4, 5):
+            if n > 3:
+                grams = place[:-1] << 21 | c[n - 1 :]  # noqa: F821
+            if not len(grams):
+                break
+            kinds, place, times = np.unique(grams, return_inverse=True, return_counts=True)
+            out[row] += len(kinds), len(grams), 0
+            out[row, 2] = max(out[row, 2], times.max())
+    return pd.DataFrame(out, columns=NGRAM_FIGURES)
+
+
+def repeats(rows: DataFrame, key: str) -> bool:
+    """Whether two rows share a key."""
+    return not rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def bundle(docs: DataFrame, id_col: str = "doc_id", body: str = "text") -> DataFrame:
     """Everything about a text's style in one row, n-grams summed up.
 
     The texts are dealt by id once: all groupings and joins below are by id and need no
-    further exchange, so n-grams, several times the size of their text, never travel.
+    further exchange. N-grams, several times the size of their text, are counted inside its
+    row; only texts that share an id have theirs exploded and counted together.
     """
+    together = repeats(docs, id_col)
     docs = docs.select(id_col, body).repartition(id_col)
-    grams = (
-        char_ngram_shares(docs, id_col, body)
-        .groupBy(id_col)
-        .agg(
-            F.count(F.lit(1)).alias("distinct_ngrams"),
-            F.sum("n").alias("total_ngrams"),
-            F.max("n").alias("top_ngram_count"),
-        )
-    )
+    grams = _ngrams_by_id(docs, id_col, body) if together else docs.select(
+        id_col, ngram_figures(F.expr(text.collapsed_sql(body))).alias("f")
+    ).select(id_col, "f.*")
     zero = F.lit(0).cast("long")
     return (
         features(docs, id_col, body)
@@ -141,6 +172,17 @@ def bundle(docs: DataFrame, id_col: str = "doc_id", body: str = "text") -> DataF
     )
 
 
+def _ngrams_by_id(docs: DataFrame, id_col: str, body: str) -> DataFrame:
+    return (
+        char_ngram_shares(docs, id_col, body)
+        .groupBy(id_col)
+        .agg(
+            F.count(F.lit(1)).alias("distinct_ngrams"),
+            F.sum("n").alias("total_ngrams"),
+            F.max("n").alias("top_ngram_count"),
+        )
+    )
+
 # --- background statistics --------------------------------------------------------------
 
 
@@ -301,15 +343,42 @@ def _cosine_by_pair(feats: DataFrame, weight: str) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("dot", "norm_a", "norm_b")]))
+def short_text_sums(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """The sums behind the cosine of two token lists, given as tokens with a space between."""
+
+    def counts(t):
+        words = t.split(" ") if t else []
+        whole = Counter("w_" + w for w in words)
+        whole.update(map("bg_{}_{}".format, words, words[1:]))
+        return whole, Counter(t[i : i + 3] for i in range(len(t) - 2))
+
+    def product(x, y):
+        if len(x) > len(y):
+            x, y = y, x
+        return sum(n * y[f] for f, n in x.items() if f in y)
+
+    out = []
+    for x, y in zip(a, b, strict=True):
+        (wa, ca), (wb, cb) = counts(x), counts(y)
+        out.append([product(p, q) + product(r, s) / 4 for p, q, r, s in (
+            (wa, wb, ca, cb), (wa, wa, ca, ca), (wb, wb, cb, cb))])
+    sums = np.array(out, np.float64).reshape(-1, 3)
+    return pd.DataFrame({"dot": sums[:, 0], "norm_a": np.sqrt(sums[:, 1]), "norm_b": np.sqrt(sums[:, 2])})
+
+
 def verify_short_pairs(
     pairs: DataFrame, threshold: float = fixed.SHORT_TEXT_MATCH_FROM
 ) -> DataFrame:
     """Authorship verdict for pairs of short texts (``pair_id, text_a, text_b``).
 
-    Pairs with too few tokens abstain before any features are built. Pairs are dealt by id
-    first, so their features are built and summed without another exchange.
+    Pairs with too few tokens abstain before any features are built. Features, many times the
+    size of the texts, are counted inside the pair's row; only pairs that share an id have
+    theirs exploded and counted together.
     """
-    sized = pairs.select("pair_id", "text_a", "text_b").repartition("pair_id").selectExpr(
+    together = repeats(pairs, "pair_id")
+    pairs = pairs.select("pair_id", "text_a", "text_b")
+    sized = (pairs.repartition("pair_id") if together else pairs).selectExpr(
         "*",
         f"size({text.ascii_tokens_sql('text_a')}) AS tokens_a",
         f"size({text.ascii_tokens_sql('text_b')}) AS tokens_b",
@@ -317,12 +386,20 @@ def verify_short_pairs(
     enough = (
         f"tokens_a >= {fixed.MIN_SHORT_TEXT_TOKENS} AND tokens_b >= {fixed.MIN_SHORT_TEXT_TOKENS}"
     )
-    feats = pair_features(sized.where(enough), SHORT_TEXT_TOKENS, SHORT_TEXT_FEATURES)
-    cosines = _cosine_by_pair(feats, "CASE WHEN feature LIKE 'c3\\\\_%' THEN 0.5D ELSE 1D END")
+    if together:
+        feats = pair_features(sized.where(enough), SHORT_TEXT_TOKENS, SHORT_TEXT_FEATURES)
+        cosines = _cosine_by_pair(feats, "CASE WHEN feature LIKE 'c3\\\\_%' THEN 0.5D ELSE 1D END")
+        rows = sized.select("pair_id", "tokens_a", "tokens_b").join(cosines, "pair_id", "left")
+    else:
+        sides = [
+            F.expr(f"CASE WHEN {enough} THEN array_join({text.ascii_tokens_sql(c)}, ' ') ELSE '' END")
+            for c in ("text_a", "text_b")
+        ]
+        rows = sized.withColumn("sums", short_text_sums(*sides)).select(
+            "pair_id", "tokens_a", "tokens_b", "sums.*"
+        )
     return (
-        sized.select("pair_id", "tokens_a", "tokens_b")
-        .join(cosines, "pair_id", "left")
-        .selectExpr(
+        rows.selectExpr(
             "pair_id",
             "tokens_a",
             "tokens_b",

@@ -241,3 +241,30 @@ def test_index_ranks_as_the_search_over_texts(spark, tmp_path):
         assert all(abs(got[k] - want[k]) < 1e-8 for k in want)
     plan = textindex.search(docs, f"{tmp_path}/index", ["wallet"])._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan and "sha2" not in plan
+
+
+def test_ngrams_are_counted_inside_the_row(spark):
+    texts = ["", "ab", "abc", "a  b\tA B a b", "aaaaaa", "é😀é😀é😀é", "x" * 40 + "y" * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    figures = ["distinct_ngrams", "total_ngrams", "top_ngram_count"]
+    out = style.bundle(docs)
+    assert "Generate explode(concat(regexp_extract_all" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: tuple(r[f] for f in figures) for r in out.collect()}
+    want = {r.doc_id: tuple(r[f] for f in figures) for r in style._ngrams_by_id(docs, "doc_id", "text").collect()}
+    assert len(got) == len(texts) and got == {i: want.get(i, (0, 0, 0)) for i in range(len(texts))}
+    # texts that share an id are one
+    twice = docs.unionByName(spark.createDataFrame([(2, "bcd")], docs.schema))
+    assert {r.distinct_ngrams for r in style.bundle(twice).where("doc_id = 2").collect()} == {2}
+
+
+def test_short_pairs_are_compared_inside_the_row(spark):
+    base = "one two two three a_b c a b_c four five six seven"
+    rows = [("p", base, base + " eight nine"), ("q", base, "zz " * 12), ("r", "few", base), ("s", None, base)]
+    pairs = spark.createDataFrame(rows, "pair_id string, text_a string, text_b string")
+    out = style.verify_short_pairs(pairs)
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.pair_id: r for r in out.collect()}
+    # a repeated id takes the other way for all pairs
+    twice = pairs.unionByName(spark.createDataFrame([("t", base, base)] * 2, pairs.schema))
+    want = {r.pair_id: r for r in style.verify_short_pairs(twice).where("pair_id <> 't'").collect()}
+    assert got == want and got["p"].verdict == "MATCH"
