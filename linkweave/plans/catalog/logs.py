@@ -315,15 +315,17 @@ def evidence_csv_export(spark, d):
 def link_bundles(spark, d):
     links = reads.with_actor_names(D.hypotheses(spark, d), D.actors(spark, d))
     out = exports.link_bundles(links, D.aliases(spark, d), "2024-01-01T00:00:00Z")
-    get = lambda p: F.get_json_object("bundle", p)
-    either = lambda f: F.coalesce(get(f"$.objects[1].{f}"), get(f"$.objects[0].{f}"))
-    return out.select(
+    shape = "struct<objects: array<struct<id: string, source_ref: string, confidence: int, aliases: array<string>>>>"
+    rows = out.select("bundle_of", F.from_json("bundle", shape)["objects"].alias("o"))  # parsed once
+    at = lambda n, f: F.get("o", F.lit(n))[f]
+    either = lambda f: F.coalesce(at(1, f), at(0, f))
+    return rows.select(
         "bundle_of",
         either("id").alias("actor_ref"),
-        get("$.objects[3].source_ref").alias("target_ref"),
-        F.array_join(F.from_json(either("aliases"), "array<string>"), "|").alias("known_as"),
-        get("$.objects[3].confidence").cast("int").alias("confidence"),
-        F.json_array_length(get("$.objects")).alias("objects"),
+        at(3, "source_ref").alias("target_ref"),
+        F.array_join(either("aliases"), "|").alias("known_as"),
+        at(3, "confidence").alias("confidence"),
+        F.size("o").alias("objects"),
     )
 
 

@@ -52,8 +52,7 @@ def link_bundles(links: DataFrame, aliases: DataFrame, stamp: str) -> DataFrame:
         "concat('identity--', object_id) AS target_ref",
         "array(subject) AS known_as",
     )
-    text = f"""to_json(struct('bundle' AS type, concat('bundle--', hypothesis_id) AS id, {head},
-        array(
+    objects = f"""array(
           to_json(struct('identity' AS type, {head}, 'identity--linkweave-system' AS id, {times},
             'linkweave' AS name, 'system' AS identity_class)),
           to_json(struct('threat-actor' AS type, {head}, actor_ref AS id, {times},
@@ -66,22 +65,20 @@ def link_bundles(links: DataFrame, aliases: DataFrame, stamp: str) -> DataFrame:
           to_json(struct('relationship' AS type, {head},
             concat('relationship--', hypothesis_id) AS id, {times},
             'attributed-to' AS relationship_type, target_ref AS source_ref,
-            actor_ref AS target_ref, {conf} AS confidence))) AS parts))"""
-    main = rows.selectExpr("hypothesis_id AS bundle_of", f"{text} AS body")
+            actor_ref AS target_ref, {conf} AS confidence)))"""
+    main = rows.selectExpr("hypothesis_id AS bundle_of", f"{objects} AS objects")
     rest = own.selectExpr(
         "alias_id AS bundle_of",
-        f"""to_json(struct('bundle' AS type, concat('bundle--', alias_id) AS id,
-          {head}, array(to_json(struct('threat-actor' AS type, {head},
-          concat('threat-actor--', actor_id) AS id, {times}, array(value) AS aliases))) AS parts))
-          AS body""",
+        f"""array(to_json(struct('threat-actor' AS type, {head},
+          concat('threat-actor--', actor_id) AS id, {times}, array(value) AS aliases)))
+          AS objects""",
     )
-    # the objects were rendered one by one; join them as JSON values, not as strings
-    objects = "concat('[', array_join(from_json(get_json_object(body, '$.parts'), " \
-              "'array<string>'), ','), ']')"
+    # every object is rendered once and nothing is parsed again; the name is quoted as JSON is
+    start = "to_json(struct('bundle' AS type, concat('bundle--', bundle_of) AS id, '2.1' AS spec_version))"
     return main.unionByName(rest).selectExpr(
         "bundle_of",
-        "concat('{\"type\":\"bundle\",\"id\":\"', get_json_object(body, '$.id'), "
-        f"'\",\"spec_version\":\"2.1\",\"objects\":', {objects}, '}}') AS bundle",
+        f"CASE WHEN bundle_of IS NOT NULL THEN concat(rtrim('}}', {start}), ',\"objects\":[', "
+        "array_join(objects, ','), ']}') END AS bundle",
     )
 
 

@@ -386,3 +386,17 @@ def test_catalogue_is_sound():
     entries = catalog.entries()
     assert len(entries) > 120
     assert all(callable(fn) for fn, _ in entries.values())
+
+
+def test_bundles_are_rendered_once_and_quoted(spark):
+    links = spark.createDataFrame(
+        [('h"1\\', "a", "b", 'A "x"\n', "B}", 0.5, 1.0), (None, "a", "b", "A", "B", None, 1.0)],
+        "hypothesis_id string, subject_id string, object_id string, subject string, object string, "
+        "calibrated_prob double, raw_log_lr double")
+    al = spark.createDataFrame([("al}", "a", "né\"me")], "alias_id string, actor_id string, value string")
+    out = exports.link_bundles(links, al, "t")
+    assert "json_object" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.bundle_of: r.bundle and json.loads(r.bundle) for r in out.collect()}
+    assert got[None] is None and got['h"1\\']["id"] == 'bundle--h"1\\'
+    assert got['h"1\\']["objects"][1]["name"] == 'A "x"\n' and got['h"1\\']["objects"][2]["name"] == "B}"
+    assert got["al}"]["objects"][0]["aliases"] == ['né"me'] and got["al}"]["spec_version"] == "2.1"
