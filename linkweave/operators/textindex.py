@@ -15,10 +15,13 @@ the documents it returns.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkweave.functions import text
 from linkweave.operators.search import _fuzz
@@ -34,19 +37,27 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])))
+def term_counts(tokens: pd.Series) -> pd.Series:
+    """Each different token of a text with how often it occurs."""
+    found = [[] if t is None else [{"term": w, "tf": n} for w, n in Counter(t).items()] for t in tokens]
+    return pd.Series(found, dtype=object)
+
+
 def build(docs: DataFrame, root: str, id_col: str = "doc_id", body: str = "text", source: str = "source") -> None:
-    """Writes the index of ``docs`` under ``root``."""
+    """Writes the index of ``docs`` under ``root``.
+
+    Words are counted inside the row, so postings travel once, to the bucket they are written
+    to. Texts that share an id have postings of their own, which a search adds up.
+    """
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         text.tokens(body).alias("toks"),
         F.array_distinct(text.tokens(source)).alias("named"),
         F.sha2(body, 256).alias("sha256"),
     ).withColumn("len", F.greatest(F.size("toks"), F.lit(0)))
-    words = (
-        rows.select("doc_id", "len", F.explode("toks").alias("term"))
-        .groupBy("doc_id", "len", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .select(F.lit("content").alias("field"), "term", "doc_id", "tf", "len")
+    words = rows.select("doc_id", "len", F.explode(term_counts("toks")).alias("t")).select(
+        F.lit("content").alias("field"), "t.term", "doc_id", "t.tf", "len"
     )
     one = F.lit(1).cast("long")
     named = rows.select(F.lit("source").alias("field"), F.explode("named").alias("term"), "doc_id", one.alias("tf"), "len")
@@ -57,6 +68,7 @@ def build(docs: DataFrame, root: str, id_col: str = "doc_id", body: str = "text"
         words.unionByName(named).unionByName(digests)
         .withColumn("bucket", bucket(F.col("term")))
         .repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+        .sortWithinPartitions("bucket", "field", "term")  # equal terms are written once
         .write.partitionBy("bucket").parquet(f"{root}/postings")
     )
     rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")).write.parquet(f"{root}/facts")

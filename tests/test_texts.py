@@ -268,3 +268,14 @@ def test_short_pairs_are_compared_inside_the_row(spark):
     twice = pairs.unionByName(spark.createDataFrame([("t", base, base)] * 2, pairs.schema))
     want = {r.pair_id: r for r in style.verify_short_pairs(twice).where("pair_id <> 't'").collect()}
     assert got == want and got["p"].verdict == "MATCH"
+
+
+def test_postings_are_counted_in_the_row_and_lie_by_term(spark, tmp_path):
+    rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(30)), "s") for i in range(40)] + [(3, "w1 w1", "s"), (99, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    textindex.build(docs, f"{tmp_path}/index")
+    got = spark.read.parquet(f"{tmp_path}/index/postings").where("field = 'content'")
+    want = sum(len(set(t.split())) for _, t, _ in rows if t)
+    assert got.count() == want and got.agg(F.sum("tf")).first()[0] == 30 * 40 + 2
+    for part in got.groupBy(F.input_file_name()).agg(F.collect_list("term").alias("t")).collect():
+        assert part.t == sorted(part.t)
