@@ -66,10 +66,14 @@ def segments(data: np.ndarray, offsets: np.ndarray):
         return none.astype(np.uint64), none, none, none, none
     h = common._BYTE[data]
     for k in range(4):
-        h = h[: -(1 << k)] * np.uint64(_A[k]) + h[1 << k :]
+        ahead = h[1 << k :]
+        h = h[: -(1 << k)] * np.uint64(_A[k])
+        h += ahead
     h = common.mix64(h)
     bits = np.uint64(max(1, int(len(h)).bit_length()))
-    low = h >> bits << bits | np.arange(len(h), dtype=np.uint64)
+    low = h >> bits
+    low <<= bits
+    low |= np.arange(len(h), dtype=np.uint64)
     width, have = LENGTH - GRAM + 1, 1
     while have < width:
         step = min(have, width - have)
@@ -85,7 +89,7 @@ def segments(data: np.ndarray, offsets: np.ndarray):
     starts = np.flatnonzero(inside)
     if not len(starts):
         return none.astype(np.uint64), none, none, none, none
-    row = np.searchsorted(offsets, starts, "right") - 1
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[starts]
     at = place[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
@@ -113,14 +117,17 @@ def _runs(values: np.ndarray):
     return zip([0, *edge.tolist()], [*edge.tolist(), len(values)], strict=True)
 
 
-def sides(data: np.ndarray, offsets: np.ndarray, place: np.ndarray, row: np.ndarray):
-    """Hashes of the minimizers with what stands before and after them; 0 where a text ends."""
+def sides(hashes, offsets: np.ndarray, place: np.ndarray, row: np.ndarray):
+    """Hashes of the minimizers with what stands before and after them; 0 where a text ends.
+
+    ``hashes`` is the ``span_hasher`` of the texts' bytes.
+    """
     out = []
     for before, after in ((SIDE, 0), (0, SIDE)):
         a, b = place - before, place + GRAM + after
         ok = (a >= offsets[row]) & (b <= offsets[row + 1])
         h = np.zeros(len(place), np.uint64)
-        h[ok] = common.span_hashes(data, a[ok], b[ok]) | np.uint64(1)
+        h[ok] = hashes(a[ok], b[ok]) | np.uint64(1)
         out.append(h)
     return out
 
@@ -193,7 +200,7 @@ def _candidates(packed: DataFrame, total: int) -> DataFrame:
                     held = []
                 now = pack
                 _, _, _, row, place = segments(data, offsets)
-                both = np.concatenate(sides(data, offsets, place, row))
+                both = np.concatenate(sides(common.span_hasher(data), offsets, place, row))
                 doc = np.concatenate([row, row])[both > 0]
                 key = both[both > 0] >> drop
                 if len(key):
@@ -239,9 +246,9 @@ def _candidates(packed: DataFrame, total: int) -> DataFrame:
 # --- segments -----------------------------------------------------------------------------------
 
 
-def _named(data: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def _named(hashes, key: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The hash that names a segment: its bytes and its minimizer."""
-    return common.mix64(common.span_hashes(data, first, last + LENGTH) ^ key)
+    return common.mix64(hashes(first, last + LENGTH) ^ key)
 
 
 def _cut(packed: DataFrame, candidates: DataFrame, total: int, buckets: int) -> DataFrame:
@@ -282,12 +289,13 @@ def _cut(packed: DataFrame, candidates: DataFrame, total: int, buckets: int) ->
         for ids, data, offsets in _slices(rows):
             key, first, last, row, place = segments(data, offsets)
             valid, doc = np.asarray(ids.is_valid())[row], np.asarray(ids.fill_null(0))[row]
-            side = sides(data, offsets, place, row)
+            hashes = common.span_hasher(data)
+            side = sides(hashes, offsets, place, row)
             for hot in (False, True):
                 good = valid & ((side[0] > 0) & among(side[0] >> drop, wanted[hot]) | (side[1] > 0) & among(side[1] >> drop, wanted[hot]))
                 if good.any():
                     a, b = first[good], last[good] + LENGTH
-                    h = _named(data, key[good], first[good], last[good])
+                    h = _named(hashes, key[good], first[good], last[good])
                     held[hot].append((h, key[good], doc[good], a, b, np.full(len(a), len(texts))))
             texts.append(data.tobytes())
         out = {n: [] for n in names}
@@ -326,9 +334,9 @@ def _cut(packed: DataFrame, candidates: DataFrame, total: int, buckets: int) ->
 
 
 def _gathered(table: pa.Table):
-    """The distinct segments of a bucket: ``strings, hashes, keys, least, most, packs``.
+    """The distinct segments of a bucket: ``strings, hashes, keys, least, most, packs, held``.
 
-    ``packs`` lists for each segment the packs that hold it.
+    ``packs`` lists the packs that hold a segment, one segment after the other, ``held`` how many.
     """
     import zstandard
 
@@ -347,7 +355,7 @@ def _gathered(table: pa.Table):
     key, first, _, row, _ = segments(body, offsets)
     head = np.flatnonzero(np.diff(row, prepend=-1))
     key = key[head]
-    h = _named(body, key, offsets[:-1], offsets[1:] - LENGTH)
+    h = _named(common.span_hasher(body), key, offsets[:-1], offsets[1:] - LENGTH)
     order = np.lexsort((h, key))
     new = np.ones(len(h), bool)
     new[1:] = h[order][1:] != h[order][:-1]
@@ -355,10 +363,9 @@ def _gathered(table: pa.Table):
     pick = order[begin]
     whole = body.tobytes()
     strings = [whole[offsets[k] : offsets[k + 1]] for k in pick.tolist()]
-    packs_of = np.split(pack[order], begin[1:])
     return (
         strings, h[pick], key[pick], np.minimum.reduceat(least[order], begin),
-        np.maximum.reduceat(most[order], begin), packs_of,
+        np.maximum.reduceat(most[order], begin), pack[order], np.diff(np.append(begin, len(h))),
     )
 
 
@@ -388,12 +395,15 @@ class Shard:
         left = size[self.owner] - self.offset
         step, longest = 1, int(size.max())
         while True:
-            ahead = np.minimum(np.arange(n) + step, n - 1)
-            second = np.where(left > step, rank[ahead] + 1, 0)
+            second = np.zeros(n, np.int64)
+            second[: n - step] = rank[step:] + 1
+            second[left <= step] = 0
             both = rank * (n + len(strings) + 300) + second
-            order = np.argsort(both, kind="stable")
+            # only equal keys could change places, and the last round has none
+            order = np.argsort(both)
+            both = both[order]
             new = np.ones(n, bool)
-            new[1:] = both[order][1:] != both[order][:-1]
+            np.not_equal(both[1:], both[:-1], out=new[1:])
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new) - 1
             step *= 2
@@ -419,39 +429,38 @@ def merge(left: Shard, right: Shard, depth: int) -> tuple[np.ndarray, np.ndarray
     from_right[len(left.symbols) :] = True
     start = np.zeros(n, bool)
     start[0] = True
-    prefix = np.full(n, depth, np.int32)
-    symbols = np.empty(n, np.uint16)
+    prefix = np.zeros(n, np.int32 if depth > 255 else np.uint8)
     # symbols renumbered to one byte where they fit: the sort then takes one pass
-    used = np.unique(np.concatenate([left.symbols, right.symbols]))
-    kind = np.uint8 if len(used) <= 256 else np.uint16
-    code = np.zeros(258, kind)
-    code[used] = np.arange(len(used))
-    low, high = code[left.symbols], code[right.symbols]
-    symbols = symbols.astype(kind)
-    for h in range(1, depth + 1):
-        symbols[~from_right] = low
-        symbols[from_right] = high
-        block = np.cumsum(start, dtype=np.int32)
-        order = np.argsort(symbols, kind="stable")
-        moved = block[order]
-        ahead = symbols[order]
-        now = np.empty(n, bool)
-        now[0] = True
-        now[1:] = (moved[1:] != moved[:-1]) | (ahead[1:] != ahead[:-1])
-        from_right = from_right[order]
+    both = np.concatenate([left.symbols, right.symbols])
+    used, both = np.unique(both, return_inverse=True)
+    both = both.astype(np.uint8 if len(used) <= 256 else np.uint16)
+    # a symbol's block begins at the same place in every round
+    first = np.concatenate([[0], np.cumsum(np.bincount(both, minlength=len(used)))[:-1]])
+    place, now = np.arange(n, dtype=np.int32), np.empty(n, bool)
+    jump = np.int32(len(left.symbols))
+    for _ in range(depth):
+        # where the symbol of a place stands: the rights before it are passed over, or lead to it
+        of_right = np.cumsum(from_right.view(np.int8), dtype=np.int32)
+        at = place - of_right
+        at += from_right * (jump - 1 + of_right - at)
+        order = np.argsort(both.take(at), kind="stable")
+        moved = np.cumsum(start.view(np.int8), dtype=np.int32).take(order)
+        np.not_equal(moved[1:], moved[:-1], out=now[1:])
+        now[first] = True
+        from_right = from_right.take(order)
         # the ends of strings: in string order, each by itself
         from_right[: left.strings] = False
         from_right[left.strings : ends] = True
         now[:ends] = True
-        fresh = now & ~start
-        prefix[fresh] = h - 1
         start |= now
+        # places still inside their block share one more symbol with the place before
+        prefix += ~start
     prefix[0] = 0
     return from_right, prefix
 
 
-def least_ids(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """For each string, the smallest id of a string that holds its LENGTH-byte string at each start."""
+def least_ids(strings: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """The smallest id of a string that holds the LENGTH-byte string at each start of each string."""
     half = (len(strings) + 1) // 2
     shards = [Shard(strings[:half]), Shard(strings[half:])]
     from_right, prefix = merge(*shards, LENGTH)
@@ -463,35 +472,52 @@ def least_ids(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     begin = np.flatnonzero(prefix < LENGTH)
     lowest = np.minimum.reduceat(ids[owner], begin)
     each = np.repeat(lowest, np.diff(np.append(begin, len(prefix))))
-    sizes = np.array([len(s) for s in strings])
-    starts = sizes - LENGTH + 1
-    base = np.concatenate([[0], np.cumsum(starts)])
+    starts = np.array([len(s) for s in strings]) - LENGTH + 1
+    base = np.cumsum(starts) - starts
     real = offset < starts[owner]
-    out = np.empty(base[-1], np.int64)
+    out = np.empty(int(starts.sum()), np.int64)
     out[base[owner[real]] + offset[real]] = each[real]
-    return np.split(out, base[1:-1])
+    return out
 
 
-def _steps(ids: np.ndarray) -> bytes:
-    """Equal neighbours as one (first place, id) pair."""
-    edge = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
-    return np.stack([edge, ids[edge]], 1).astype(np.int64).tobytes()
+def _found(strings: list[bytes], key: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id of each string of the segments (in the order of their minimizer).
 
+    ``ids, size``: one segment after the other, and how many each has. A segment whose minimizer
+    no other one has holds its own smallest id, which is told once.
+    """
+    new = np.ones(len(key) + 1, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:-1])
+    several = np.flatnonzero(~(new[1:] & new[:-1]))
+    size = np.ones(len(strings), np.int64)
+    if not len(several):
+        return least, size
+    size[several] = [len(strings[k]) - LENGTH + 1 for k in several.tolist()]
+    ids = np.repeat(least, size)
+    met = np.zeros(len(strings), bool)
+    met[several] = True
+    ids[np.repeat(met, size)] = least_ids([strings[k] for k in several.tolist()], least[several])
+    return ids, size
+
+
+def _binaries(body: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Rows of ``body`` as bytes, ``size`` rows together."""
+    offsets = np.concatenate([[0], np.cumsum(size)]) * body.strides[0]
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body)]
+    )
 
-def _found(strings: list[bytes], key: np.ndarray, least: np.ndarray) -> list[np.ndarray]:
-    """For each segment (in the order of its minimizer) the smallest id of each of its strings.
 
-    None where the minimizer has no other segment: there the segment's own smallest id holds.
-    """
-    found: list = [None] * len(strings)
-    several: list[int] = []
-    for a, b in _runs(key):
-        if b - a > 1:
-            several += range(a, b)
-    if several:
-        for k, f in zip(several, least_ids([strings[k] for k in several], least[several]), strict=True):
-            found[k] = f
-    return found
+def _steps(ids: np.ndarray, size: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Equal neighbours of a segment as one (first place, id) pair; how many pairs each has."""
+    first = np.cumsum(size) - size
+    edge = np.ones(len(ids), bool)
+    np.not_equal(ids[1:], ids[:-1], out=edge[1:])
+    edge[first] = True
+    at = np.flatnonzero(edge)
+    n = np.add.reduceat(edge, first, dtype=np.int64)
+    pairs = np.stack([at - np.repeat(first, n), ids[at]], 1).astype(np.int64)
+    return _binaries(pairs, n), n
 
 
 def _intervals(segs: DataFrame) -> DataFrame:
@@ -501,20 +527,21 @@ def _intervals(segs: DataFrame) -> DataFrame:
     """
 
     def plain(table: pa.Table) -> pa.Table:
-        strings, h, key, least, most, packs_of = _gathered(table)
-        out = {"pack": [], "hash": [], "steps": []}
-        names = h.view(np.int64).tolist()
-        single = least == most
-        for k, f in enumerate(_found(strings, key, least)):
-            if single[k] and (f is None or (f == least[k]).all()):
-                continue
-            held = packs_of[k].tolist()
-            steps = np.array([0, least[k]], np.int64).tobytes() if f is None else _steps(f)
-            out["pack"] += held
-            out["hash"] += [names[k]] * len(held)
-            out["steps"] += [steps] * len(held)
-        types = (pa.int64(), pa.int64(), pa.binary())
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+        strings, h, key, least, most, packs_of, held = _gathered(table)
+        ids, size = _found(strings, key, least)
+        steps, n = _steps(ids, size)
+        # all of it first occurs in the one text that has it
+        own = (least == most) & (n == 1) & (ids[np.cumsum(size) - size] == least)
+        rows = np.repeat(np.arange(len(h)), held)
+        told = ~own[rows]
+        rows = rows[told]
+        return pa.table(
+            {
+                "pack": packs_of[told],
+                "hash": h.view(np.int64)[rows],
+                "steps": steps.take(pa.array(rows)).cast(pa.binary()),
+            }
+        )
 
     columns = ["bucket", "pack", "segs", "sizes", "ids"]
     result = (
@@ -526,23 +553,22 @@ def _intervals(segs: DataFrame) -> DataFrame:
 
     # segments with a hot side: the intervals of their buckets meet by the hash of the string
     def spread(table: pa.Table) -> pa.Table:
-        strings, h, key, least, _, packs_of = _gathered(table)
-        found = [
-            np.full(len(s) - LENGTH + 1, n) if f is None else f
-            for s, n, f in zip(strings, least, _found(strings, key, least), strict=True)
-        ]
-        size = [len(f) for f in found]
+        strings, h, key, least, _, packs_of, held = _gathered(table)
+        ids, told = _found(strings, key, least)
+        size = np.array([len(s) - LENGTH + 1 for s in strings])
+        # a segment that met no other has one id for all of its strings
+        ids = np.repeat(ids, np.where(told == size, 1, size)[np.repeat(np.arange(len(size)), told)])
         grams = []
         for s in strings:
             at = np.arange(len(s) - LENGTH + 1)
             grams.append(common.span_hashes(np.frombuffer(s, np.uint8), at, at + LENGTH))
-        held = [p.tolist() for p in packs_of]
+        held = [p.tolist() for p in np.split(packs_of, np.cumsum(held)[:-1])]
         return pa.table(
             {
                 "hash": np.repeat(h.view(np.int64), size),
                 "at": np.concatenate([np.arange(n) for n in size]),
                 "gram": np.concatenate(grams).view(np.int64),
-                "least": np.concatenate(found),
+                "least": ids,
                 # the packs stand in a segment's first row only
                 "packs": pa.array(
                     [p if not k else None for p, n in zip(held, size, strict=True) for k in range(n)],
@@ -555,11 +581,12 @@ def _intervals(segs: DataFrame) -> DataFrame:
         ordered = table.sort_by("at")
         packs_of = ordered.column("packs")[0].as_py()
         n = len(packs_of)
+        (steps,), _ = _steps(ordered.column("lowest").to_numpy(), np.array([ordered.num_rows]))
         return pa.table(
             {
                 "pack": pa.array(packs_of, pa.int64()),
                 "hash": pa.array([ordered.column("hash")[0].as_py()] * n, pa.int64()),
-                "steps": pa.array([_steps(ordered.column("lowest").to_numpy())] * n, pa.binary()),
+                "steps": pa.array([steps.as_py()] * n, pa.binary()),
             }
         )
 
@@ -596,15 +623,18 @@ def _drop(packed: DataFrame, intervals: DataFrame) -> DataFrame:
     def drop(rows: pa.Table, told: pa.Table) -> pa.Table:
         hashes = told.column("hash").to_numpy().view(np.uint64) if told.num_rows else np.zeros(0, np.uint64)
         order = np.argsort(hashes)
-        hashes, steps = hashes[order], told.column("steps").take(pa.array(order)).to_pylist()
-        n_steps = np.array([len(b) // 16 for b in steps], np.int64)
+        hashes = hashes[order]
+        steps = told.column("steps").take(pa.array(order)).combine_chunks().cast(pa.large_binary())
+        _, edges, body = steps.buffers() if len(steps) else (None, bytes(8), b"")
+        edges = np.frombuffer(edges, np.int64)[: len(steps) + 1]
+        n_steps = np.diff(edges) // 16
         first_step = np.cumsum(n_steps) - n_steps
-        pairs = np.frombuffer(b"".join(steps), np.int64).reshape(-1, 2)
+        pairs = np.frombuffer(body or b"", np.int64)[: edges[-1] // 8].reshape(-1, 2)
         least = np.minimum.reduceat(pairs[:, 1], first_step) if len(pairs) else pairs[:, 1]
         out = []
         for ids, data, offsets in _slices(rows):
             key, first, last, row, _ = segments(data, offsets)
-            h = _named(data, key, first, last)
+            h = _named(common.span_hasher(data), key, first, last)
             at, to = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
             hit = to > at
             valid, doc = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0))
@@ -619,13 +649,16 @@ def _drop(packed: DataFrame, intervals: DataFrame) -> DataFrame:
             whole = n_steps[told_at] == 1
             np.add.at(mark, first[seg[whole]], 1)
             np.add.at(mark, last[seg[whole]] + LENGTH, -1)
-            for k, j in zip(seg[~whole].tolist(), told_at[~whole].tolist(), strict=True):
-                own = pairs[first_step[j] : first_step[j] + n_steps[j]].tolist()
-                ends = [*[p[0] for p in own[1:]], int(last[k] - first[k]) + 1]
-                for (x, lowest), y in zip(own, ends, strict=True):
-                    if lowest < doc[row[k]]:
-                        mark[first[k] + x] += 1
-                        mark[first[k] + y - 1 + LENGTH] -= 1
+            seg, told_at = seg[~whole], told_at[~whole]
+            times = n_steps[told_at]
+            own = np.repeat(first_step[told_at] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            ends = np.append(pairs[1:, 0], 0)[own] if len(own) else own
+            ends[np.cumsum(times) - 1] = last[seg] - first[seg] + 1
+            seg = np.repeat(seg, times)
+            lower = pairs[own, 1] < doc[row[seg]]
+            seg, own, ends = seg[lower], own[lower], ends[lower]
+            np.add.at(mark, first[seg] + pairs[own, 0], 1)
+            np.add.at(mark, first[seg] + ends - 1 + LENGTH, -1)
             gone = np.cumsum(mark[:-1]) > 0
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]

@@ -7,9 +7,10 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import duckdb
+import numpy as np
 import pytest
 
-from linkweave.llm import bwt, langid, mixing, quota, secrets, superminhash, templates
+from linkweave.llm import bwt, common, langid, mixing, quota, secrets, superminhash, templates
 from linkweave.session import ship_code
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -479,3 +480,20 @@ def test_language_sample_is_bounded_under_repeated_ids(spark, monkeypatch):
         [(1, "Wort", None), (2, "12 !", None), (3, None, None), (4, "", None), (5, "\u4e2d", None)],
         "doc_id long, text string, lang string"))
     assert sorted(r.doc_id for r in left.collect()) == [1, 5]
+
+
+def test_running_sums_of_a_slice_are_made_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 101, 4000).astype(np.uint8)
+    offsets = np.array([0, 0, 1500, 1549, 4000])
+    key, first, last, row, place = bwt.segments(data, offsets)
+    for k, r in enumerate(row.tolist()):
+        assert offsets[r] <= first[k] <= last[k] <= offsets[r + 1] - bwt.LENGTH
+    hashes = common.span_hasher(data)
+    ends = last + bwt.LENGTH
+    assert (hashes(first, ends) == common.span_hashes(data, first, ends)).all()
+    monkeypatch.setattr(common, "_tables", None)  # no further sums over the bytes
+    sides, names = bwt.sides(hashes, offsets, place, row), bwt._named(hashes, key, first, last)
+    texts = [data[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+    assert len(set(names.tolist())) == len(set(texts))
+    assert len(sides) == 2 and all(len(s) == len(place) for s in sides)
