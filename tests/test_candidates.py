@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from linkweave.operators import activity, candidates, clones, finance, graph, similar
@@ -423,3 +424,27 @@ def test_signals_of_busy_keys_are_never_gathered_by_pair(spark):
     twice = c.unionByName(spark.createDataFrame([("p020", "x", "greenhill", None, "7")], "actor_id " + kind))
     pairs = [(r.source_id, r.candidate_id) for r in candidates.multi_signal_search(s, twice, 5).collect()]
     assert len(pairs) == len(set(pairs))
+
+
+def test_near_vectors_make_angles_and_visits_in_pieces(spark, monkeypatch):
+    from linkweave.operators import nearest
+
+    monkeypatch.setattr(nearest, "ANGLES", 64)
+    rng = np.random.default_rng(3)
+    pivots = nearest.Pivots(rng.normal(size=(20, 4)).tolist())
+    rows = list(rng.normal(size=(50, 4)))
+    pieces = [a.shape for _, _, a in pivots.angles(pd.Series(rows))]
+    assert max(n * k for n, k in pieces) <= 64 and sum(n for n, _ in pieces) == 50
+
+
+def test_near_vectors_hand_on_few_of_many_copies(spark):
+    from linkweave.operators import nearest
+
+    rows = [(f"v{k:03d}", [1.0, 2.0, 3.0]) for k in range(150)] + [("w", [1.0, 2.0, 2.9]), ("x", [-1.0, 0.0, 0.0])]
+    s = spark.createDataFrame(rows, "source_id string, embedding array<double>")
+    c = s.withColumnRenamed("source_id", "actor_id")
+    assert nearest.near_pairs(s, c, 3, 0.65, 4096, False).count() <= 2 * 152 * 12
+    got = {(r.source_id, r.candidate_id, r.rank) for r in candidates.near_vectors(s, c, 3, same_ids=False).collect()}
+    ids = [r[0] for r in rows[:150]]
+    want = {(i, o, k) for i in ids for k, o in enumerate([o for o in ids if o != i][:3], 1)}
+    assert got == want | {("w", o, k) for k, o in enumerate(ids[:3], 1)}
