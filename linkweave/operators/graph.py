@@ -288,9 +288,9 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     the logarithm of the graph, not with its diameter; minima combine on the map side;
     each round is written out reliably.
     """
-    from linkweave.session import cut_lineage
+    from linkweave.session import stored
 
-    e = cut_lineage(
+    e = stored(
         edges.selectExpr("greatest(src, dst) AS u", "least(src, dst) AS v").where("u <> v").distinct()
     )
     last = None
@@ -300,7 +300,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").selectExpr("v AS u", "m AS v")
-        e = cut_lineage(small.unionAll(least.selectExpr("u", "m AS v")).distinct())
+        e = stored(small.unionAll(least.selectExpr("u", "m AS v")).distinct(), e)
         now = e.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()
