@@ -47,8 +47,8 @@ def owner_clusters(tx: DataFrame) -> DataFrame:
 def adjacency(tx: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """``spends, pays, busy``: who spends in a transaction, whom it pays, both stored.
 
-    Both are dealt once, by address and by transaction, and written; joins with them
-    shuffle only the other side. The transactions of a busy address lie in slabs of about
+    Both are dealt once, by address and by transaction, sorted and written; joins with them
+    shuffle and sort only the other side. The transactions of a busy address lie in slabs of about
     ``SLAB``; ``busy`` says in how many (None if there is no busy address).
     """
     n = int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -66,8 +66,8 @@ def adjacency(tx: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         ).drop("slabs")
     pays = tx.selectExpr("txid", "posexplode(outputs) AS (place, address)")
     return (
-        cut_lineage(spends.repartition(n, "address", "slab")),
-        cut_lineage(pays.repartition(n, "txid")),
+        cut_lineage(spends.repartition(n, "address", "slab").sortWithinPartitions("address", "slab")),
+        cut_lineage(pays.repartition(n, "txid").sortWithinPartitions("txid")),
         busy,
     )
 

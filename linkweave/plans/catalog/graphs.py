@@ -9,6 +9,7 @@ from linkweave.operators import finance, graph, spectral
 from linkweave.plans import derive as D
 from linkweave.plans.catalog.registration import registrar, rounded
 from linkweave.plans.oracle import CTES, with_ctes
+from linkweave.session import stored
 
 ENTRIES: dict = {}
 entry = registrar(ENTRIES)
@@ -86,14 +87,20 @@ _TRACE = " UNION ALL ".join(
 )
 
 
-def _start(spark, d):
-    return D.transactions(spark, d).selectExpr("inputs[0] AS a").agg(F.min("a").alias("start"))
+def _transactions(spark, d):
+    """The transactions, derived once and written for queries that read them more than once."""
+    return stored(D.transactions(spark, d).select("txid", "tx_order", "inputs", "outputs"))
+
+
+def _start(tx):
+    return stored(tx.selectExpr("inputs[0] AS a").agg(F.min("a").alias("start")))
 
 
 @entry("hop_trace", with_ctes("tx", f", {_levels(5)} {_TRACE}"))
 def hop_trace(spark, d):
     """Money trace from the smallest first input over five hops."""
-    return finance.trace_hops(D.transactions(spark, d), _start(spark, d), 5).drop("start")
+    tx = _transactions(spark, d)
+    return finance.trace_hops(tx, _start(tx), 5).drop("start")
 
 
 @entry(
@@ -105,8 +112,9 @@ def hop_trace(spark, d):
     ),
 )
 def hop_trace_summary(spark, d):
-    start = _start(spark, d)
-    return finance.trace_summary(start, finance.trace_hops(D.transactions(spark, d), start, 5)).drop(
+    tx = _transactions(spark, d)
+    start = _start(tx)
+    return finance.trace_summary(start, finance.trace_hops(tx, start, 5)).drop(
         "start", "deepest_hop"
     )
 
@@ -157,7 +165,7 @@ def cluster_risk(spark, d):
     ),
 )
 def wallet_pair_evidence(spark, d):
-    tx = D.transactions(spark, d)
+    tx = _transactions(spark, d)
     k = F.pmod("tx_order", F.lit(5))
     pairs = tx.select(
         F.col("txid").alias("id"),

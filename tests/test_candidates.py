@@ -448,3 +448,17 @@ def test_near_vectors_hand_on_few_of_many_copies(spark):
     ids = [r[0] for r in rows[:150]]
     want = {(i, o, k) for i in ids for k, o in enumerate([o for o in ids if o != i][:3], 1)}
     assert got == want | {("w", o, k) for k, o in enumerate(ids[:3], 1)}
+
+
+def test_transactions_are_derived_once_and_written(spark, monkeypatch):
+    from linkweave.plans import derive
+    from linkweave.plans.catalog import graphs
+
+    made, seen = [], []
+    derived, clusters, traced = derive.transactions, finance.owner_clusters, finance.trace_hops
+    monkeypatch.setattr(derive, "transactions", lambda *a: made.append(a) or derived(*a))
+    monkeypatch.setattr(finance, "owner_clusters", lambda tx: seen.append(tx) or clusters(tx))
+    monkeypatch.setattr(finance, "trace_hops", lambda tx, *a: seen.append(tx) or traced(tx, *a))
+    graphs.hop_trace_summary(spark, "/root/testdata/sf0.001")
+    graphs.wallet_pair_evidence(spark, "/root/testdata/sf0.001")
+    assert len(made) == 2 and all(hasattr(tx, "_working_path") for tx in seen)
