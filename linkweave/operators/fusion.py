@@ -208,22 +208,28 @@ _SCALE = "CASE WHEN f_sum > cap THEN cap / f_sum ELSE 1D END AS scale"
 def _marked_in_windows(scored: DataFrame, discount: float, caps: dict[str, float]) -> DataFrame:
     """Items with ``lead_id, scale, over_cap``; a link's items are in one task."""
     group = Window.partitionBy(*GROUP_KEY)
-    ordered = group.orderBy(F.desc("counts"), F.expr("-eff"), "id")
+    ordered = group.orderBy(F.desc("counts"), "neg", "id")
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    family = Window.partitionBy("link_id", "family")
+    # item by item, strongest first: the last bit of the sum decides ties of rounded texts
+    family = (
+        Window.partitionBy("link_id", "family")
+        .orderBy("dependence_group", F.desc("counts"), "neg", "id")
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
     return (
         scored.repartition("link_id")
+        .withColumn("neg", F.expr("-eff"))
         .withColumns(
             {
                 "n": F.row_number().over(ordered),
                 "lead_id": F.first("id").over(whole),
-                "g_sum": F.sum(F.expr("CASE WHEN counts THEN eff END")).over(whole),
-                "g_max": F.max(F.expr("CASE WHEN counts THEN eff END")).over(whole),
             }
         )
         .withColumn(
             "f_sum",
-            F.sum(F.expr(f"CASE WHEN counts AND n = 1 THEN {_group_sum(discount)} END")).over(family),
+            F.sum(
+                F.expr(f"CASE WHEN counts THEN eff * CASE WHEN n > 1 THEN {float(discount)}D ELSE 1D END END")
+            ).over(family),
         )
         .withColumn("cap", scoring.family_cap(caps, fixed.UNKNOWN_CAP_FUSION))
         .selectExpr(*scored.columns, "lead_id", _SCALE, "f_sum > cap AS over_cap")

@@ -258,3 +258,17 @@ def test_nested_items_can_stay_unrounded(spark):
     parts = fusion.contributions(frame(spark, [item("l", "a", 3.15625)]))
     assert waterfall.items_nested(parts, None).first()["items"][0].llr_contrib == 3.15625
     assert waterfall.items_nested(parts).first()["items"][0].llr_contrib == 3.1563
+
+
+def test_capped_items_keep_the_last_bit(spark):
+    """A family's sum is taken item by item, strongest first, as its SQL does."""
+    rng = random.Random(11)
+    links = {f"l{n}": sorted((rng.uniform(3, 6) for _ in range(3)), reverse=True) for n in range(200)}
+    rows = [item(link, f"i{k}", x) for link, xs in links.items() for k, x in enumerate(xs)]
+    got = {(r.link_id, r.evidence_id): r.llr_contrib
+           for r in fusion.contributions(frame(spark, rows)).collect()}
+    for link, xs in links.items():
+        parts = [xs[0], 0.25 * xs[1], 0.25 * xs[2]]
+        total = parts[0] + parts[1] + parts[2]
+        for k, part in enumerate(parts):
+            assert got[link, f"i{k}"] == part * (5.0 / total if total > 5.0 else 1.0)
