@@ -433,6 +433,43 @@ def test_base_scores_and_probabilities(awkward):
     assert all((r.bits_per_byte is None) == (r.n_tokens == 1 and r.score > -20 and r.bits_per_byte is None) for r in got)
 
 
+def test_words_cost_by_what_stands_before_them(spark):
+    """Contexts cross words: order counts, and the pair counts are those of a plain loop."""
+    ship_code(spark)
+    rng = random.Random(6)
+    phrase = [f"{a}{b}" for a in "klmnrst" for b in "aeiou"]
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:60]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, " ".join(phrase[k : k + 20])) for i in train for k in [rng.randrange(15)]]
+    mixed = phrase[:]
+    rng.shuffle(mixed)
+    docs = spark.createDataFrame(
+        [*rows, (held[0], " ".join(phrase)), (held[1], " ".join(mixed))], "doc_id long, text string"
+    )
+    bits = {r.doc_id: -r.score for r in mixing.score(docs).collect()}
+    assert bits[held[0]] < 0.7 * bits[held[1]]
+    want = Counter()
+    for k, text in docs.collect():
+        split = [w + " " for w in text.split()[:-1]] + [text.split()[-1]]
+        for one, two in zip(["", *split], split, strict=False):
+            want[one, two] += k in train
+    found = mixing.successions(docs).collect()
+    assert sorted(r.c for r in found) == sorted(want.values())
+    assert sum(r.c for r in found if r.before == mixing.START) == len(train)
+
+
+def test_weights_of_pairs_leave_a_distribution(spark):
+    rows = [(5, 8, 3.0), (2, 8, 4.0), (1, 8, 2.0), (0, 8, 1.0), (1, 1, 2000.0), (0, 0, 7.0), (9, 9, 1500.0)]
+    counted = spark.createDataFrame(rows, "c long, cb long, b1 double")
+    weights = mixing.pair_weights(counted)
+    assert all(0 <= w < 1 for w in weights) and weights[2] > 0.3
+    for r in counted.withColumn("bits", mixing.pair_cost(weights)).collect():
+        w = weights[r.cb.bit_length() - 1] if r.cb else 0.0
+        part = w * r.c / r.cb if r.cb else 0.0
+        want = r.b1 if w == 0 else -math.log2(part + (1 - w) * 2.0 ** -min(r.b1, 1000))
+        assert r.bits == pytest.approx(want)
+
+
 def test_units_cover_the_text():
     import numpy as np
 
