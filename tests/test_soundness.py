@@ -154,6 +154,24 @@ def test_a_timeline_carries_nothing_it_does_not_show(spark, small):
     assert set(rows.columns) == {"actor_id", "evidence_id", "extraction_method", "created_at", "position"}
 
 
+def test_items_are_doubled_where_they_meet_their_evidence(spark, small):
+    links, evidence = derive.link_pairs(spark, small), derive.stored_evidence(spark, small)
+    items = derive.hypothesis_evidence(spark, small)
+    shown = reads.actor_evidence(links, items, evidence, derive.artifacts(spark, small))
+    timed = reads.actor_timeline(links, derive.cited_evidence(spark, small), evidence)
+    for rows in (shown, timed):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(actor_id" not in plan
+    want = set()
+    cited = {(r.hypothesis_id, r.evidence_id) for r in items.collect()}
+    ends = {r.hypothesis_id: {r.subject_id, r.object_id} for r in links.collect()}
+    for link, evidence_id in cited:
+        want |= {(actor, evidence_id) for actor in ends.get(link, ())}
+    for rows in (shown, timed):
+        got = [(r.actor_id, r.evidence_id) for r in rows.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("p,q", [(1.0, 1.0), (4.0, 0.5)])
 def test_walks_step_along_edges(spark, p, q):
     pairs = [("hub", f"n{i}") for i in range(90)] + [("n1", "n2"), ("n2", "n3")]
