@@ -62,3 +62,19 @@ def test_decision_without_a_link(spark):
     })
     got = {r.review_id: r.pair for r in spark.sql("SELECT * FROM get_decisions()").collect()}
     assert got == {"r1": "Ann <-> b", "r2": None}
+
+
+def test_evidence_of_an_actor_needs_no_scored_links(spark, small):
+    """With the ends of links at hand the scored links are not read."""
+    ends = derive.link_pairs(spark, small)
+    scored = ends.selectExpr("hypothesis_id", "raise_error('scored') AS subject_id", "object_id")
+    tables = derive.ledger(spark, small) | {
+        "hypotheses": scored.selectExpr("*", "'x' AS status", "0D AS raw_log_lr", "0D AS calibrated_prob"),
+        "link_ends": ends,
+        "hypothesis_evidence": derive.hypothesis_evidence(spark, small),
+        "artifacts": derive.artifacts(spark, small),
+    }
+    table_functions.register(spark, tables, "ends_")
+    actor = ends.first().subject_id
+    got = spark.sql(f"SELECT * FROM get_actor_evidence('{actor}')").collect()
+    assert got and [r.position for r in got] == list(range(1, len(got) + 1))
