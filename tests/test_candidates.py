@@ -402,6 +402,29 @@ def test_vectors_are_summed_without_counted_pairs(spark):
     assert "context" not in plan
 
 
+@pytest.mark.parametrize("window", [1, 3, 4])
+def test_digests_around_a_node_travel_as_counts(spark, window):
+    import hashlib
+
+    rng = random.Random(4)
+    paths = [[rng.choice("abcdefg") for _ in range(n)] for n in (1, 2, 3, 9, 9, 30)] + [["lone"]]
+    walks = spark.createDataFrame([(p,) for p in paths], "path array<string>")
+    rows = graph.embed(walks, window)
+    assert "around" not in rows._jdf.queryExecution().toString()
+    want = {}
+    for p in paths:
+        for i, node in enumerate(p):
+            for j in range(max(0, i - window), min(len(p), i + window + 1)):
+                if j != i:
+                    h = int(hashlib.md5(p[j].encode()).hexdigest()[:16], 16)
+                    sums = want.setdefault(node, np.zeros(64))
+                    sums += [2 * (h >> b & 1) - 1 for b in range(64)]
+    got = {r.node: r.vector for r in rows.collect()}
+    assert set(got) == set(want)
+    for node, sums in want.items():
+        assert got[node] == pytest.approx(sums / max(np.sqrt((sums**2).sum()), 1e-9))
+
+
 def test_signals_of_busy_keys_are_never_gathered_by_pair(spark):
     rng = random.Random(9)
     kind = "string, fingerprint string, handle string, embedding array<double>, favicon_hash string"
