@@ -460,6 +460,16 @@ def test_near_vectors_make_angles_and_visits_in_pieces(spark, monkeypatch):
     assert max(n * k for n, k in pieces) <= 64 and sum(n for n, _ in pieces) == 50
 
 
+def test_near_vectors_keep_no_rows_as_objects(spark):
+    """The first pass is written in columns, and its shuffle files go before the second."""
+    rng = random.Random(2)
+    s = spark.createDataFrame([(f"v{i}", [rng.random() - 0.5 for _ in range(6)]) for i in range(40)],
+                              "source_id string, embedding array<double>")
+    got = candidates.near_vectors(s, s.withColumnRenamed("source_id", "actor_id"), 3, same_ids=False)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "LogicalRDD" not in plan
+
+
 def test_near_vectors_hand_on_few_of_many_copies(spark):
     from linkweave.operators import nearest
 
